@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from wavelake.llm.linededup import dedup_lines
 from wavelake.llm.minhash import near_duplicates
 from wavelake.llm.mixing import mix
+from wavelake.llm.quality import score_quality
+from wavelake.llm.urlfilter import filter_urls
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), percent=85)
 
@@ -27,10 +33,20 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "_lines.n_lines", "_lines.n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_pages(spark, sf_dir)).drop("trust", "distrust")
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_documents(spark, sf_dir)).drop("n_lines")
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_source_mix": op2_source_mix,
     "op7_line_dedup": op7_line_dedup,
+    "op9_url_filter": op9_url_filter,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 _OP1_SQL = r"""
@@ -76,7 +92,56 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+_OP10_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), E'\n'), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls
+  FROM documents),
+wins AS (
+  SELECT doc_id, unnest([array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)]) AS g,
+         unnest(range(1, len(w) - 3)) AS i
+  FROM texts WHERE len(w) >= 5),
+twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM wins),
+hit AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, range(5) r(j) WHERE k >= 2 GROUP BY doc_id),
+c AS (
+  SELECT t.doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) AS n_lines,
+         len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(hit.n, 0) AS n_repeat_words
+  FROM texts t LEFT JOIN hit ON hit.doc_id = t.doc_id),
+r AS (
+  SELECT *, coalesce(word_chars / nullif(n_words, 0), 0) AS r1, coalesce(n_symbols / nullif(n_words, 0), 0) AS r2,
+         coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS r3, coalesce(n_repeat_words / nullif(n_words, 0), 0) AS r4
+  FROM c),
+e AS (
+  SELECT lang, source, unnest([1, 2, 3, 4]) AS ratio, unnest([r1, r2, r3, r4]) AS v FROM r WHERE n_words > 0),
+b AS (SELECT lang, source, ratio, CASE WHEN v > 1e-8 THEN ceil(ln(v) / ln(1.01 / 0.99)) ELSE -1000 END AS bin FROM e),
+q AS (
+  SELECT grouping_id(lang, source) AS level, lang, source, ratio, count(*) AS docs,
+         pow(CAST(1.01 AS DOUBLE) / 0.99, quantile_cont(bin, 0.25)) AS a, pow(CAST(1.01 AS DOUBLE) / 0.99, quantile_cont(bin, 0.75)) AS z
+  FROM b GROUP BY GROUPING SETS ((lang, source, ratio), (lang, ratio), (ratio)) HAVING count(*) >= 100),
+t AS (
+  SELECT level, lang, source, ratio, a - 10 * greatest(z - a, s) AS lo, z + 10 * greatest(z - a, s) AS hi
+  FROM (SELECT *, CASE ratio WHEN 1 THEN 0.3 WHEN 2 THEN 0.03 WHEN 3 THEN 0.04 ELSE 0.02 END AS s FROM q)),
+x AS (
+  SELECT r.doc_id, max(t.level) FILTER (WHERE FALSE) AS unused, list(struct_pack(level := t.level, ratio := t.ratio, lo := t.lo, hi := t.hi)) AS bs
+  FROM r JOIN t ON (t.level = 3) OR (t.level = 1 AND t.lang IS NOT DISTINCT FROM r.lang)
+       OR (t.level = 0 AND t.lang IS NOT DISTINCT FROM r.lang AND t.source IS NOT DISTINCT FROM r.source)
+  GROUP BY r.doc_id),
+f AS (
+  SELECT doc_id, ratio, arg_min(lo, level) AS lo, arg_min(hi, level) AS hi
+  FROM (SELECT doc_id, unnest(bs, recursive := true) FROM x) GROUP BY doc_id, ratio),
+odd AS (
+  SELECT r.doc_id FROM r JOIN f ON f.doc_id = r.doc_id
+  WHERE (ratio = 1 AND (r1 > hi OR r1 < lo)) OR (ratio = 2 AND r2 > hi) OR (ratio = 3 AND r3 > hi) OR (ratio = 4 AND r4 > hi))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND doc_id NOT IN (SELECT doc_id FROM odd) AS kept
+FROM r
+"""
+
 ORACLE_SQL = {
+    "op10_quality_rules": _OP10_SQL,
     "op1_minhash_dedup": _OP1_SQL,
     "op7_line_dedup": _OP7_SQL,
 }
