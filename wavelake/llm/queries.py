@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavelake.llm.decontam import find_contaminated
 from wavelake.llm.linededup import dedup_lines
 from wavelake.llm.minhash import near_duplicates
 from wavelake.llm.mixing import mix
@@ -40,6 +41,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "_lines.n_lines", "_lines.n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_pages(spark, sf_dir)).drop("trust", "distrust")
 
@@ -53,6 +58,7 @@ QUERIES = {
     "op2_source_mix": op2_source_mix,
     "op6_toxicity": op6_toxicity,
     "op7_line_dedup": op7_line_dedup,
+    "op8_decontaminate": op8_decontaminate,
     "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
 }
@@ -148,7 +154,33 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM r
 """
 
+_OP8_SQL = r"""
+WITH w AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i
+  FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents) d),
+b AS (
+  SELECT item_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS j, least(20, len(ws)) AS size, len(ws) AS n
+  FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM benchmark) d
+  WHERE len(ws) >= 13),
+same AS (SELECT doc_id, item_id, i - j AS shift, j, size FROM w JOIN b ON w.word = b.word),
+runs AS (
+  SELECT doc_id, item_id, size,
+         count(*) OVER (PARTITION BY doc_id, item_id, shift, size ORDER BY j RANGE BETWEEN CURRENT ROW AND 19 FOLLOWING) AS up,
+         count(*) OVER (PARTITION BY doc_id, item_id, shift, size ORDER BY j) AS k
+  FROM same),
+short AS (
+  SELECT doc_id, item_id, count(*) AS k FROM same WHERE size < 20
+  GROUP BY doc_id, item_id, shift, size HAVING count(*) >= ceil(0.85 * size)),
+hits AS (
+  SELECT doc_id, item_id, max(up) AS overlap FROM runs WHERE size = 20 AND up >= 17 GROUP BY 1, 2
+  UNION ALL SELECT doc_id, item_id, max(k) FROM short GROUP BY 1, 2)
+SELECT d.doc_id, count(h.item_id) > 0 AS contaminated, count(h.item_id) AS n_items, coalesce(min(h.item_id), -1) AS first_item,
+       CAST(coalesce(max(overlap), 0) AS INTEGER) AS overlap_words
+FROM documents d LEFT JOIN hits h ON h.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
 ORACLE_SQL = {
+    "op8_decontaminate": _OP8_SQL,
     "op10_quality_rules": _OP10_SQL,
     "op1_minhash_dedup": _OP1_SQL,
     "op7_line_dedup": _OP7_SQL,

@@ -54,14 +54,6 @@ def contains(filt: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (_test(filt, p) & _test(filt, q)).astype(bool)
 
 
-def member_filter(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """A plain Bloom filter of the same layout."""
-    filt = np.zeros(bits // 8, np.uint8)
-    for p in positions(hashes, bits):
-        _set(filt, p)
-    return filt
-
-
 def _insert(once: np.ndarray, twice: np.ndarray, hashes: np.ndarray) -> None:
     h, n = np.unique(hashes, return_counts=True)
     p, q = positions(h, len(once) * 8)
@@ -111,8 +103,8 @@ def pieces_of(hash_arrays: Iterator[np.ndarray], bits: int) -> Iterator[pa.Recor
     yield from _rows(once, twice)
 
 
-def merged(pieces: DataFrame, bits: int) -> np.ndarray:
-    """The twice-filter over all tasks; at most ``MAX_BITS`` / 8 bytes reach the driver."""
+def merged(pieces: DataFrame, bits: int, which: str = "twice") -> np.ndarray:
+    """One of the filters over all tasks; at most ``MAX_BITS`` / 8 bytes reach the driver."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
@@ -125,24 +117,32 @@ def merged(pieces: DataFrame, bits: int) -> np.ndarray:
                     mine[0] = mine[0] | once
                 else:
                     held[b] = [once, twice]
-        for b, (_, twice) in held.items():
-            if twice.any():
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([_packed(twice)], pa.binary())], ["block", "twice"])
+        for b, pair in held.items():
+            if (bits_of := pair[which == "twice"]).any():
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([_packed(bits_of)], pa.binary())], ["block", "bits"])
 
     out = np.zeros(bits // 8, np.uint8)
     size = _BLOCK_BITS // 8
-    for row in pieces.repartition("block").mapInArrow(merge, "block int, twice binary").collect():
-        out[row.block * size : (row.block + 1) * size] = _unpacked(bytes(row.twice))
+    for row in pieces.repartition("block").mapInArrow(merge, "block int, bits binary").collect():
+        out[row.block * size : (row.block + 1) * size] = _unpacked(bytes(row.bits))
     return out
 
 
 def twice_filter(df: DataFrame, hashes: Column, bits: int) -> np.ndarray:
     """The twice-filter of an ``array<bigint>`` column."""
+    return _filter(df, hashes, bits, "twice")
+
+
+def member_filter(df: DataFrame, hashes: Column, bits: int) -> np.ndarray:
+    """A plain Bloom filter of an ``array<bigint>`` column."""
+    return _filter(df, hashes, bits, "once")
+
 
+def _filter(df: DataFrame, hashes: Column, bits: int, which: str) -> np.ndarray:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pieces_of((b.column(0).flatten().to_numpy(zero_copy_only=False) for b in batches), bits)
 
-    return merged(df.select(hashes.alias("hashes")).mapInArrow(build, _PIECES), bits)
+    return merged(df.select(hashes.alias("hashes")).mapInArrow(build, _PIECES), bits, which)
 
 
 def twice_filter_of(df: DataFrame, names, bits: int) -> np.ndarray:
