@@ -10,6 +10,7 @@ from wavelake.llm.linededup import dedup_lines
 from wavelake.llm.minhash import near_duplicates
 from wavelake.llm.mixing import mix
 from wavelake.llm.quality import score_quality
+from wavelake.llm.substring import dedup_substrings
 from wavelake.llm.toxicity import held_out, score_toxicity
 from wavelake.llm.urlfilter import filter_urls
 
@@ -30,6 +31,11 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_substrings(_documents(spark, sf_dir))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored, _ = score_toxicity(_documents(spark, sf_dir).select("doc_id", "text"), labels)
@@ -56,6 +62,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_source_mix": op2_source_mix,
+    "op3_substring_dedup": op3_substring_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_line_dedup": op7_line_dedup,
     "op8_decontaminate": op8_decontaminate,
@@ -179,7 +186,28 @@ SELECT d.doc_id, count(h.item_id) > 0 AS contaminated, count(h.item_id) AS n_ite
 FROM documents d LEFT JOIN hits h ON h.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
+_OP3_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+wins AS (
+  SELECT doc_id, unnest(range(1, len(w) - 33)) AS i,
+         unnest([sha256(array_to_string(w[j : j + 34], ' ')) FOR j IN range(1, len(w) - 33)]) AS h
+  FROM words WHERE len(w) >= 35),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS n FROM wins) WHERE n > 1),
+pos AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM words),
+near AS (
+  SELECT p.doc_id, p.i, p.word, t.i AS last
+  FROM pos p ASOF LEFT JOIN twice t ON p.doc_id = t.doc_id AND p.i >= t.i),
+kept AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE last IS NOT NULL AND i - last < 35) AS n_removed,
+         string_agg(word, ' ' ORDER BY i) FILTER (WHERE last IS NULL OR i - last >= 35) AS t
+  FROM near GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
+
 ORACLE_SQL = {
+    "op3_substring_dedup": _OP3_SQL,
     "op8_decontaminate": _OP8_SQL,
     "op10_quality_rules": _OP10_SQL,
     "op1_minhash_dedup": _OP1_SQL,
