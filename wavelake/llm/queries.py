@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavelake.llm.decontam import find_contaminated
+from wavelake.llm.htmltext import extract_main_text
+from wavelake.llm.licenses import COPYRIGHT_LINE, KNOWN, SPELLINGS, scan_licenses
 from wavelake.llm.linededup import dedup_lines
 from wavelake.llm.minhash import near_duplicates
 from wavelake.llm.mixing import mix
@@ -36,6 +38,14 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_documents(spark, sf_dir))
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_pages(spark, sf_dir)).select("page_id", "url", "text", "n_chars")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored, _ = score_toxicity(_documents(spark, sf_dir).select("doc_id", "text"), labels)
@@ -63,6 +73,8 @@ QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_source_mix": op2_source_mix,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_license_scan": op4_license_scan,
+    "op5_html_text": op5_html_text,
     "op6_toxicity": op6_toxicity,
     "op7_line_dedup": op7_line_dedup,
     "op8_decontaminate": op8_decontaminate,
@@ -206,7 +218,37 @@ SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_re
 FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical_sql(text: str) -> str:
+    """The canonical form of a text, as a DuckDB expression."""
+    low = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    lines = f"list_filter(string_split({low}, chr(10)), lambda l: NOT regexp_matches(l, {_quoted(COPYRIGHT_LINE)}))"
+    out = f"' ' || regexp_replace(array_to_string({lines}, chr(10)), '[^a-z0-9]+', ' ', 'g') || ' '"
+    for a, b in SPELLINGS:
+        out = f"replace({out}, ' {a} ', ' {b} ')"
+    return f"trim(regexp_replace({out}, ' +', ' ', 'g'))"
+
+
+_OP4_SQL = f"""
+WITH known AS (
+  SELECT sha256({_canonical_sql("t")}) AS d, min(license) AS license
+  FROM (VALUES {", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in KNOWN)}) k(license, t) GROUP BY 1),
+whole AS (SELECT doc_id, coalesce(text, '') AS t, sha256({_canonical_sql("coalesce(text, '')")}) AS digest FROM documents),
+lines AS (
+  SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM whole)
+  WHERE regexp_matches(line, '(?i)licen[cs]e|permission')),
+notices AS (
+  SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS names
+  FROM lines JOIN known ON known.d = sha256({_canonical_sql("line")}) GROUP BY doc_id)
+SELECT w.doc_id, w.digest, coalesce(k.license, '') AS license, coalesce(n.n, 0) AS n_notices, coalesce(n.names, '') AS notice_licenses
+FROM whole w LEFT JOIN known k ON k.d = w.digest LEFT JOIN notices n ON n.doc_id = w.doc_id
+"""
+
 ORACLE_SQL = {
+    "op4_license_scan": _OP4_SQL,
     "op3_substring_dedup": _OP3_SQL,
     "op8_decontaminate": _OP8_SQL,
     "op10_quality_rules": _OP10_SQL,
