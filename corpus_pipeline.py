@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages over the ``documents`` table.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written
-as Parquet and read again as the next stage's ``docs``.
+as Parquet and read again as the next stage's ``docs``.  All but the last return the
+columns of ``docs``, whatever they are.
 """
 
 from __future__ import annotations
@@ -9,24 +10,69 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavelake.llm.decontam import decontaminate, row_key
 from wavelake.llm.linededup import dedup_lines
+from wavelake.llm.minhash import near_duplicates
+from wavelake.llm.mixing import mix
 from wavelake.llm.storage import materialize
+from wavelake.llm.toxicity import scorer, train
+
+#: Documents with at least this score are rejected.
+TOXIC = 0.7
+
+
+def _columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier calls toxic go."""
+    score = scorer(spark, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return docs.where(score(F.coalesce("text", F.lit(""))) < TOXIC)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Common lines go from all but one document; ``n_chars`` follows the new text."""
     out = dedup_lines(docs)
-    changed = F.col("_lines.n_dropped") > 0
-    return out.select(*[F.when(changed, F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    length = F.when(F.col("_lines.n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
+    return out.select(*[length.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (similarity 0.8) stays, that of the smallest doc_id."""
+    gone = near_duplicates(docs, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = materialize(gone, "near_duplicates")
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per copy that the mix takes: the columns of ``docs``, ``mix_size``, ``mix_target`` and ``mix_copy``."""
+    keyed = docs.select(F.struct(*_columns(docs)).alias("doc"), row_key(F.col("doc_id"), F.col("text")).alias("key"))
+    taken = mix(docs.withColumn("_mix_id", row_key(F.col("doc_id"), F.col("text"))), doc_id="_mix_id")
+    taken = materialize(taken.where(F.col("copies") > 0).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("key"), "size", "target", "copies"), "mix")
+    out = keyed.join(taken, "key").select("doc", "size", "target", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("mix_copy"))
+    return out.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns], F.col("size").alias("mix_size"), F.col("target").alias("mix_target"), "mix_copy")
 
 
-STAGES = [("line dedup", line_dedup)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("line dedup", line_dedup),
+    ("near dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+]
 
-#: Toxicity scores, sketches and tilted rates have no SQL form; tests hold the stages against brute force.
+#: Toxicity scores and tilted rates have no SQL form; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order, from ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
