@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from wavelake.functions import units
 from wavelake.operators import kymograph as kymo
 from wavelake.operators import movie as mv
-from wavelake.operators import onset, propagation, regions, traces
+from wavelake.operators import motion, onset, propagation, regions, traces
 from wavelake.sources import tables
 
 T, H, W = tables.MOVIE_SHAPE
@@ -506,3 +506,48 @@ def unit_factors(spark, sf_dir):
 @_query("SELECT p_partkey, CASE WHEN v >= 5 * p THEN 5 * p WHEN v >= 2 * p THEN 2 * p ELSE p END AS bar FROM (SELECT p_partkey, p_retailprice / 5 AS v, pow(10.0, floor(log10(p_retailprice / 5))) AS p FROM part)")
 def scale_bar(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", units.scale_bar(F.col("p_retailprice")).alias("bar"))
+
+
+# --- registration ---------------------------------------------------------------------
+
+_SHIFTS = """SELECT recording, t, round(CAST(t * (recording % 3 - 1) AS DOUBLE), 1) AS dy, round(CAST(t * (recording % 5 - 2) AS DOUBLE), 1) AS dx
+FROM (SELECT vec_id // 64 AS recording FROM embeddings GROUP BY 1 HAVING count(*) = 64), range(3) r(t)"""
+
+
+def _shifts(found: DataFrame) -> DataFrame:
+    """Shifts of the window's centre, to a tenth of a pixel."""
+    y, x = regions.map_point(F.lit(23.5), F.lit(23.5), F.col("m"), F.lit(0.0), F.lit(0.0))
+    tenth = lambda c: (F.round(c, 1) + F.lit(0.0))
+    return found.select("recording", "t", tenth(y - 23.5).alias("dy"), tenth(x - 23.5).alias("dx"))
+
+
+@_query(_SHIFTS)
+def register_translation(spark, sf_dir):
+    return _shifts(motion.register(tables.drifting_frames(spark, sf_dir), "first", "translation", ("recording",)))
+
+
+@_query(_SHIFTS)
+def register_affine(spark, sf_dir):
+    return _shifts(motion.register(tables.drifting_frames(spark, sf_dir), "first", "affine", ("recording",)))
+
+
+@_query(_SHIFTS)
+def register_previous(spark, sf_dir):
+    return _shifts(motion.register(tables.drifting_frames(spark, sf_dir), "previous", "rigid_body", ("recording",)))
+
+
+@_query("SELECT vec_id // 64 AS recording, true AS steadier FROM embeddings GROUP BY 1 HAVING count(*) = 64")
+def stabilised_frames(spark, sf_dir):
+    """Whether warping brings the inner pixels closer to the first frame (or nothing moved)."""
+    frames = tables.drifting_frames(spark, sf_dir)
+    found = motion.register(frames, "first", "affine", ("recording",))
+
+    def inner(df: DataFrame, name: str) -> DataFrame:
+        px = mv.to_pixels(df, ("recording",)).where(F.col("y").between(8, 39) & F.col("x").between(8, 39))
+        return px.select("recording", "t", "y", "x", F.col("v").alias(name))
+
+    first = inner(frames.where(F.col("t") == 0), "first").drop("t")
+    both = inner(frames, "before").join(inner(motion.stabilise(frames, found, ("recording",)), "after"), ["recording", "t", "y", "x"]).join(first, ["recording", "y", "x"])
+    error = lambda c: F.avg((F.col(c) - F.col("first")) ** 2)
+    sums = both.groupBy("recording").agg(error("before").alias("before"), error("after").alias("after"))
+    return sums.select("recording", (F.col("after") <= F.lit(0.1) * F.col("before") + 1e-6).alias("steadier"))

@@ -6,6 +6,8 @@ key columns (such as a recording id) where a caller has them.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,3 +44,28 @@ def movie_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.pmod("l_suppkey", F.lit(16)).cast("int").alias("x"),
     ).agg(F.sum("l_quantity").alias("s"))
     return grid(spark, MOVIE_SHAPE).join(sums, ["t", "y", "x"], "left").select("t", "y", "x", F.coalesce("s", F.lit(0.0)).alias("v"))
+
+
+def drifting_frames(spark: SparkSession, sf_dir: str, n_frames: int = 3) -> DataFrame:
+    """Recordings cut from embedding blocks: ``(recording, t, height, width, px)``.
+
+    64 vectors of 64 numbers are an image; smoothed, it is seen through a window of 48 x 48 that moves
+    against the content, by ``recording % 5 - 2`` columns and ``recording % 3 - 1`` rows a frame.
+    """
+    @F.pandas_udf("array<array<double>>")
+    def views(block: pd.Series, recording: pd.Series) -> pd.Series:
+        out = []
+        for rows, r in zip(block, recording, strict=True):
+            image = np.stack([np.asarray(v, float) for v in rows])
+            for _ in range(6):
+                image = sum(np.roll(image, d, axis) for axis in (0, 1) for d in (-1, 0, 1)) / 6
+            dy, dx = int(r) % 3 - 1, int(r) % 5 - 2
+            cuts = [(8 - dy * t, 8 - dx * t) for t in range(n_frames)]
+            out.append([(100 + 500 * image[y : y + 48, x : x + 48]).ravel().tolist() for y, x in cuts])
+        return pd.Series(out)
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    row = F.struct("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    blocks = vectors.groupBy(F.floor(F.col("vec_id") / 64).alias("recording")).agg(F.array_sort(F.collect_list(row)).alias("rows")).where(F.size("rows") == 64)
+    seen = blocks.select("recording", F.posexplode(views("rows.v", "recording")).alias("t", "px"))
+    return seen.select("recording", "t", F.lit(48).alias("height"), F.lit(48).alias("width"), "px")
