@@ -84,9 +84,11 @@ def chain(steps: DataFrame, by: Sequence[str] = ()) -> DataFrame:
             out.append(total.ravel().tolist())
         return group.assign(m=out)
 
-    schema = steps.select(*by, "t", "m").schema
-    keys = list(by) if by else [F.lit(0)]
-    return steps.select(*by, "t", "m").groupBy(*keys).applyInPandas(run, schema)
+    rows = steps.select(*by, "t", "m")
+    if by:
+        return rows.groupBy(*by).applyInPandas(run, rows.schema)
+    one = rows.withColumn("recording", F.lit(0))
+    return one.groupBy("recording").applyInPandas(run, one.schema).drop("recording")
 
 
 @F.pandas_udf(_DOUBLES)
@@ -106,7 +108,9 @@ def crop_boxes(frames: DataFrame, leaves: DataFrame, by: Sequence[str] = ()) ->
     joined = frames.join(leaves, list(by)) if by else frames.join(F.broadcast(leaves), F.lit(True))
     line = lambda y: F.slice("px", y * F.col("width") + F.col("x0") + 1, F.col("x1") - F.col("x0"))
     cut = F.flatten(F.transform(F.sequence(F.col("y0"), F.col("y1") - 1), line))
-    return joined.select(*by, "leaf_id", "t", (F.col("y1") - F.col("y0")).alias("height"), (F.col("x1") - F.col("x0")).alias("width"), cut.alias("px"))
+    # in two steps: inside a lambda, "width" would mean the new column
+    boxes = joined.withColumn("box", cut)
+    return boxes.select(*by, "leaf_id", "t", (F.col("y1") - F.col("y0")).alias("height"), (F.col("x1") - F.col("x0")).alias("width"), F.col("box").alias("px"))
 
 
 def register_leaves(frames: DataFrame, leaves: DataFrame, reference: str = "mean", model: str = "affine", by: Sequence[str] = ()) -> DataFrame:
