@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed at once; a longer text is one slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _Q = np.uint64(0xD6E8FEB86659FD93 | 1)

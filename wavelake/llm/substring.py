@@ -18,14 +18,15 @@ share one, and an anchor with its run of windows is an *occurrence*.
 1. A pass over the texts puts the anchors' names into a once- and a twice-filter
    (``twice``).
 2. A second pass writes the occurrences whose name may repeat, each with a
-   fingerprint of all words its windows cover.  Grouped by name: if all occurrences
-   of a name cover the same words, all their windows repeat.
-3. Names that cover different words (the ends of shared passages, edited copies) go
-   into a bounded Bloom filter; a third pass writes the 128-bit fingerprints of only
-   their windows, and those that occur twice or more repeat.
-4. The ranges found go back to their texts.
-
-Counts are partial aggregations and the two joins are between written tables, so a
+   fingerprint of all words its windows cover (its span).  Spans that occur twice or
+   more repeat as a whole.
+3. A name with different spans (at the ends of shared passages and around edits) may
+   still have windows in common.  Of such names all single spans and one holder of
+   each repeated span go into a bounded Bloom filter; a third pass writes the 128-bit
+   fingerprints of only their windows, and those that occur twice or more repeat.
+4. The ranges found go back to their texts; other texts are not shuffled.
+
+Counts are partial aggregations and the joins are between written tables, so a
 passage that a third of all documents share can be split.  Filters are bounded; a
 full filter lets more rows through but changes no result.
 
@@ -49,11 +50,11 @@ from wavelake.llm import arrowtext, twice
 from wavelake.llm.storage import materialize
 
 WINDOW = 35
-ROUNDS = ("run", "pair", "pair", "pair", "pair", "pair", "pair")
+ROUNDS = ("run", *["pair"] * 8)
 #: Symbols to choose an anchor from; neighbouring windows mostly choose the same.
 _CHOICE = 1
 #: Names a document has about, for the size of the first filter.
-_NAMES_PER_DOC = 48
+_NAMES_PER_DOC = 64
 
 
 def _run_round(sym, doc, lo, hi, bounds):
@@ -75,22 +76,27 @@ def _run_round(sym, doc, lo, hi, bounds):
 
 def _pair_round(sym, doc, lo, hi, bounds, salt):
     """Name pairs (left, right); sides are disjoint, so pairs never overlap."""
-    n = len(sym)
-    right = (arrowtext.mix(sym ^ np.uint64(salt)) & np.uint64(1)).astype(bool)
-    same = np.zeros(n, bool)
-    same[:-1] = doc[1:] == doc[:-1]
-    follows = np.zeros(n, bool)
-    follows[:-1] = right[1:]
-    pair = ~right & same & follows
-    second = np.zeros(n, bool)
-    second[1:] = pair[:-1]
-    nxt, prv = np.minimum(np.arange(n) + 1, n - 1), np.maximum(np.arange(n) - 1, 0)
-    has_prv = np.zeros(n, bool)
-    has_prv[1:] = same[:-1]
-    new_lo = np.where(pair | ~right, lo, np.where(has_prv, lo[prv], bounds[doc] - 1))
-    new_hi = np.where(pair, hi[nxt], np.where(right, hi, np.where(same, hi[nxt], bounds[doc + 1])))
-    name = np.where(pair, arrowtext.mix((sym + np.uint64(salt)) ^ arrowtext.mix(sym[nxt])), sym)
-    keep = ~second
+    right = (sym * np.uint64(salt | 1)) >> np.uint64(63) == 1
+    same = doc[1:] == doc[:-1]
+    pair = np.zeros(len(sym), bool)
+    pair[:-1] = ~right[:-1] & right[1:] & same
+    first = np.flatnonzero(pair)
+    name, new_lo, new_hi = sym.copy(), lo.copy(), hi.copy()
+    name[first] = arrowtext.mix((sym[first] + np.uint64(salt)) ^ (sym[first + 1] * np.uint64(0xD6E8FEB86659FD93)))
+    new_hi[first] = hi[first + 1]
+    # a lone left symbol depends on what follows, a lone right one on what precedes
+    has_next, has_prev = np.append(same, False), np.insert(same, 0, False)
+    left = ~right & ~pair
+    k = np.flatnonzero(left & has_next)
+    new_hi[k] = hi[k + 1]
+    k = np.flatnonzero(left & ~has_next)
+    new_hi[k] = bounds[doc[k] + 1]
+    k = np.flatnonzero(right & has_prev)
+    new_lo[k] = lo[k - 1]
+    k = np.flatnonzero(right & ~has_prev)
+    new_lo[k] = bounds[doc[k]] - 1
+    keep = np.ones(len(sym), bool)
+    keep[first + 1] = False
     return name[keep], doc[keep], new_lo[keep], new_hi[keep]
 
 
@@ -151,7 +157,7 @@ class Occurrences:
         new = np.ones(len(starts), bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)
         at = np.flatnonzero(new)
-        end = np.append(at[1:], len(starts)) - 1
+        end = np.append(at[1:], len(starts))[: len(at)] - 1
         self.name, self.first, self.last = name[at], starts[at], starts[end]
         self.doc = np.searchsorted(bounds, self.first, "right") - 1
 
@@ -182,6 +188,14 @@ def _spans(held, window: int):
     return run
 
 
+def _span_id(name: np.ndarray, span: np.ndarray) -> np.ndarray:
+    return arrowtext.mix(name ^ arrowtext.mix(span))
+
+
+def _holder_id(name: np.ndarray, span: np.ndarray, key: np.ndarray) -> np.ndarray:
+    return arrowtext.mix(_span_id(name, span) + arrowtext.mix(key.view(np.uint64)))
+
+
 def _windows(held, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filt = np.frombuffer(held.value, np.uint8)
@@ -189,7 +203,9 @@ def _windows(held, window: int):
             for part in arrowtext.slices(batch):
                 words = arrowtext.Words(part.column("text"))
                 occ = Occurrences(words, window)
-                hit = np.flatnonzero(twice.contains(filt, occ.name))
+                span = arrowtext.range_hash(words.hashes, occ.first, occ.last + window, seed=77)
+                keys = part.column("key").to_numpy()
+                hit = np.flatnonzero(twice.contains(filt, _span_id(occ.name, span)) | twice.contains(filt, _holder_id(occ.name, span, keys[occ.doc])))
                 size = occ.last[hit] - occ.first[hit] + 1
                 ends = np.cumsum(size)
                 total = int(ends[-1]) if len(ends) else 0
@@ -197,13 +213,26 @@ def _windows(held, window: int):
                 doc = np.repeat(occ.doc[hit], size)
                 h1 = arrowtext.range_hash(words.hashes, w, w + window)
                 h2 = arrowtext.range_hash(words.hashes, w, w + window, seed=991)
-                key = part.column("key").to_numpy()[doc]
-                arrays = [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(key), pa.array((w - words.offs[doc]).astype(np.int32))]
+                arrays = [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(keys[doc]), pa.array((w - words.offs[doc]).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(arrays, ["h1", "h2", "key", "at"])
 
     return run
 
 
+def _to_compare(held):
+    """Spans to the ids of the occurrences whose windows must be compared one by one."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        name, span = (batch.column(c).to_numpy().view(np.uint64) for c in ("name", "span"))
+        mixed = twice.contains(np.frombuffer(held.value, np.uint8), name)
+        single = batch.column("n").to_numpy() == 1
+        yield _span_id(name, span)[mixed & single]
+        k = mixed & ~single
+        yield _holder_id(name[k], span[k], batch.column("holder").to_numpy()[k])
+
+    return run
+
+
 _KEPT = StructType([StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("text", StringType())])
 
 
@@ -230,27 +259,37 @@ def repeated_ranges(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     bits = twice.bits_for(_NAMES_PER_DOC * texts.count())
     repeated = spark.sparkContext.broadcast(twice.twice_filter_of(texts.select("text"), _names(window), bits).tobytes())
     occ = materialize(texts.mapInArrow(_spans(repeated, window), "name bigint, span bigint, key bigint, at int, windows int"), "occurrences")
-    spans = occ.groupBy("name", "span").agg(F.count(F.lit(1)).alias("n"))
-    names = spans.groupBy("name").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("spans")).where(F.col("n") > 1)
-    names = materialize(names, "names")
-    whole = occ.join(names.where(F.col("spans") == 1).select("name"), "name").select("key", F.col("at").alias("start"), (F.col("at") + F.col("windows") + F.lit(window - 1)).alias("end"))
-
-    mixed = names.where(F.col("spans") > 1)
-    bits = twice.bits_for(mixed.count())
-    unsure = spark.sparkContext.broadcast(twice.member_filter(mixed, F.array("name"), bits).tobytes())
+    spans = materialize(occ.groupBy("name", "span").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("holder")), "spans")
+    again = spans.where(F.col("n") > 1).select("name", "span")
+    whole = occ.join(again, ["name", "span"]).select("key", F.col("at").alias("start"), (F.col("at") + F.col("windows") + F.lit(window - 1)).alias("end"))
+
+    bits = twice.bits_for(spans.count())
+    mixed = spark.sparkContext.broadcast(twice.twice_filter_of(spans.select("name"), _column, bits).tobytes())
+    unsure = spark.sparkContext.broadcast(twice.member_filter_of(spans, _to_compare(mixed), bits).tobytes())
     wins = materialize(texts.mapInArrow(_windows(unsure, window), "h1 bigint, h2 bigint, key bigint, at int"), "windows")
-    again = wins.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
-    again = materialize(again, "repeated_windows")
-    single = wins.join(again, ["h1", "h2"]).select("key", F.col("at").alias("start"), (F.col("at") + F.lit(window)).alias("end"))
+    suspect = twice.suspects(spark, twice.twice_filter_of(wins.select("h1"), _column, twice.bits_for(wins.count())))
+    likely = wins.where(suspect(F.col("h1")))
+    twice_or_more = likely.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
+    twice_or_more = materialize(twice_or_more, "repeated_windows")
+    single = likely.join(twice_or_more, ["h1", "h2"]).select("key", F.col("at").alias("start"), (F.col("at") + F.lit(window)).alias("end"))
     return whole.union(single)
 
 
+def _column(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    yield batch.column(0).to_numpy()
+
+
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_words, n_removed, text`` (kept words, one space between)."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     rows = rows.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
     ranges = repeated_ranges(rows.select("key", "text"), window)
     lists = ranges.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("r")).select(F.col("key").alias("r_key"), "r")
-    joined = rows.join(lists, F.col("key") == F.col("r_key"), "left")
+    lists = materialize(lists, "ranges")
+    # only texts that may lose words are shuffled to their ranges
+    number = lists.count()
+    cut = twice.suspects(docs.sparkSession, twice.member_filter(lists, F.array("r_key"), twice.bits_for(number)))
+    joined = rows.where(cut("key")).join(lists, F.col("key") == F.col("r_key"), "left").select("doc_id", "text", "r")
+    joined = joined.unionByName(rows.where(~cut("key")).select("doc_id", "text", F.lit(None).cast(joined.schema["r"].dataType).alias("r")))
     kept = joined.select("doc_id", _cut("text", F.col("r.start"), F.col("r.end")).alias("k"))
     return kept.select("doc_id", "k.n_words", "k.n_removed", "k.text")

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 #: 32 MB: what is sent to the driver and broadcast never exceeds this.
 MAX_BITS = 1 << 28
-_BLOCK_BITS = 1 << 19
-_FLUSH = 1 << 21
+_BLOCK_BITS = 1 << 16
+_FLUSH = 1 << 18
 
 _PIECES = "block int, once binary, twice binary"
 
@@ -64,26 +64,24 @@ def _insert(once: np.ndarray, twice: np.ndarray, hashes: np.ndarray) -> None:
 
 
 def _packed(bits: np.ndarray) -> bytes:
-    """A block's set bits: 4 bytes each while that is shorter than the block."""
+    """A block's set bits: 2 bytes each while that is shorter than the block."""
     at = np.flatnonzero(np.unpackbits(bits, bitorder="little"))
-    return at.astype("<u4").tobytes() if 4 * len(at) < len(bits) else bits.tobytes()
+    return at.astype("<u2").tobytes() if 2 * len(at) < len(bits) else bits.tobytes()
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
     if len(raw) == _BLOCK_BITS // 8:
         return np.frombuffer(raw, np.uint8)
     out = np.zeros(_BLOCK_BITS, np.uint8)
-    out[np.frombuffer(raw, "<u4")] = 1
+    out[np.frombuffer(raw, "<u2")] = 1
     return np.packbits(out, bitorder="little")
 
 
-def _rows(once: np.ndarray, twice: np.ndarray, names: tuple = ("block", "once", "twice")) -> Iterator[pa.RecordBatch]:
-    size = _BLOCK_BITS // 8
-    for b in range(len(once) // size):
-        if (part := once[b * size : (b + 1) * size]).any():
-            other = twice[b * size : (b + 1) * size]
-            row = [pa.array([b], pa.int32()), pa.array([_packed(part)], pa.binary()), pa.array([_packed(other)], pa.binary())]
-            yield pa.RecordBatch.from_arrays(row, list(names))
+def _rows(once: np.ndarray, twice: np.ndarray) -> Iterator[pa.RecordBatch]:
+    parts, others = once.reshape(-1, _BLOCK_BITS // 8), twice.reshape(-1, _BLOCK_BITS // 8)
+    full = np.flatnonzero(parts.any(axis=1))
+    for some in np.array_split(full, max(1, len(full) // 256)):
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([_packed(parts[b]) for b in some], pa.binary()), pa.array([_packed(others[b]) for b in some], pa.binary())], ["block", "once", "twice"])
 
 
 def pieces_of(hash_arrays: Iterator[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
@@ -117,9 +115,9 @@ def merged(pieces: DataFrame, bits: int, which: str = "twice") -> np.ndarray:
                     mine[0] = mine[0] | once
                 else:
                     held[b] = [once, twice]
-        for b, pair in held.items():
-            if (bits_of := pair[which == "twice"]).any():
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([_packed(bits_of)], pa.binary())], ["block", "bits"])
+        found = [(b, pair[which == "twice"]) for b, pair in held.items()]
+        found = [(b, bits_of) for b, bits_of in found if bits_of.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([_packed(x) for _, x in found], pa.binary())], ["block", "bits"])
 
     out = np.zeros(bits // 8, np.uint8)
     size = _BLOCK_BITS // 8
@@ -145,13 +143,29 @@ def _filter(df: DataFrame, hashes: Column, bits: int, which: str) -> np.ndarray:
     return merged(df.select(hashes.alias("hashes")).mapInArrow(build, _PIECES), bits, which)
 
 
-def twice_filter_of(df: DataFrame, names, bits: int) -> np.ndarray:
+def twice_filter_of(df: DataFrame, names, bits: int, which: str = "twice") -> np.ndarray:
     """The twice-filter of what ``names(batch)`` yields for each Arrow batch of ``df``."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pieces_of((h for b in batches for h in names(b)), bits)
 
-    return merged(df.mapInArrow(build, _PIECES), bits)
+    return merged(df.mapInArrow(build, _PIECES), bits, which)
+
+
+def member_filter_of(df: DataFrame, names, bits: int) -> np.ndarray:
+    """A plain Bloom filter of what ``names(batch)`` yields for each Arrow batch of ``df``."""
+    return twice_filter_of(df, names, bits, "once")
+
+
+def suspects(spark, filt: np.ndarray):
+    """A column function: hash to flag, by a broadcast filter."""
+    held = spark.sparkContext.broadcast(filt.tobytes())
+
+    @F.arrow_udf("boolean")
+    def flag(values: pa.Array) -> pa.Array:
+        return pa.array(contains(np.frombuffer(held.value, np.uint8), values.to_numpy(zero_copy_only=False)))
+
+    return flag
 
 
 def suspect_flags(spark, filt: np.ndarray):
