@@ -14,7 +14,7 @@ from wavelake.llm.decontam import decontaminate, row_key
 from wavelake.llm.linededup import dedup_lines
 from wavelake.llm.minhash import near_duplicates
 from wavelake.llm.mixing import mix
-from wavelake.llm.storage import materialize
+from wavelake.llm.storage import fresh, materialize
 from wavelake.llm.toxicity import scorer, train
 
 #: Documents with at least this score are rejected.
@@ -40,9 +40,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (similarity 0.8) stays, that of the smallest doc_id."""
-    gone = near_duplicates(docs, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    name = fresh(docs, "gone")
+    gone = near_duplicates(docs, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
     gone = materialize(gone, "near_duplicates")
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +52,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per copy that the mix takes: the columns of ``docs``, ``mix_size``, ``mix_target`` and ``mix_copy``."""
+    """One row per copy that the mix takes: the columns of ``docs``, ``mix_size``, ``mix_target`` and ``mix_copy``.
+
+    Rows equal in id and text are taken equally often.
+    """
     keyed = docs.select(F.struct(*_columns(docs)).alias("doc"), row_key(F.col("doc_id"), F.col("text")).alias("key"))
-    taken = mix(docs.withColumn("_mix_id", row_key(F.col("doc_id"), F.col("text"))), doc_id="_mix_id")
+    name = fresh(docs, "mix_id")
+    taken = mix(docs.withColumn(name, row_key(F.col("doc_id"), F.col("text"))), doc_id=name)
     taken = materialize(taken.where(F.col("copies") > 0).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("key"), "size", "target", "copies"), "mix")
     out = keyed.join(taken, "key").select("doc", "size", "target", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("mix_copy"))
     return out.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns], F.col("size").alias("mix_size"), F.col("target").alias("mix_target"), "mix_copy")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from wavelake.llm import arrowtext, twice
-from wavelake.llm.storage import materialize
+from wavelake.llm.storage import fresh, materialize
 
 WINDOW = 20
 PERCENT = 85
@@ -168,5 +168,6 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` without the rows that hold a benchmark item."""
-    bad = materialize(overlaps(docs, benchmark, text, doc_id).select(F.col("key").alias("_bad_key")).distinct(), "contaminated")
-    return docs.join(bad, row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")) == F.col("_bad_key"), "left_anti")
+    name = fresh(docs, "bad_key")
+    bad = materialize(overlaps(docs, benchmark, text, doc_id).select(F.col("key").alias(name)).distinct(), "contaminated")
+    return docs.join(bad, row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")) == F.col(name), "left_anti")

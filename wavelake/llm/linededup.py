@@ -45,7 +45,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, text: s
     """``docs`` with repeated lines dropped from its text.
 
     Adds ``n_lines`` (before dropping) and ``n_dropped`` in the struct column
-    ``_lines``; every other column stays as it is.
+    ``_lines``, after the columns of ``docs``; these stay as they are.
     """
     spark = docs.sparkSession
     t, d = F.col(f"`{text}`"), F.col(f"`{doc_id}`")
@@ -66,8 +66,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, text: s
         seen.join(common, ["h1", "h2"])
         .where(~F.col("doc").eqNullSafe(F.col("keeper")))
         .groupBy("doc")
-        .agg(F.collect_list("h1").alias("_drop"))
-        .select(F.col("doc").alias("_drop_doc"), "_drop")
+        .agg(F.collect_list("h1").alias("drop"))
+        .select(F.col("doc").alias("drop_doc"), "drop")
     )
 
     @F.arrow_udf("array<boolean>")
@@ -83,16 +83,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, text: s
                 out.append([h not in gone for h in have])
         return pa.array(out, pa.list_(pa.bool_()))
 
-    joined = docs.join(drops, d.eqNullSafe(F.col("_drop_doc")), "left")
-    long_hash = F.transform(lines, lambda l: F.when(F.length(line_key(l)) >= min_chars, _digest(line_key(l), 1)))
-    joined = joined.withColumn("_stay", stays(F.when(F.col("_drop").isNotNull(), long_hash), F.col("_drop")))
-    rest = F.filter(lines, lambda l, i: F.get(F.col("_stay"), i))
-    joined = joined.withColumn(
-        "_lines",
-        F.struct(
-            F.size(lines).cast("long").alias("n_lines"),
-            F.coalesce(F.size(lines) - F.size(F.when(F.col("_stay").isNotNull(), rest)), F.lit(0)).cast("long").alias("n_dropped"),
-        ),
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), d.alias("doc"), lines.alias("lines"))
+    joined = packed.join(drops, F.col("doc").eqNullSafe(F.col("drop_doc")), "left")
+    long_hash = F.transform("lines", lambda l: F.when(F.length(line_key(l)) >= min_chars, _digest(line_key(l), 1)))
+    joined = joined.withColumn("stay", stays(F.when(F.col("drop").isNotNull(), long_hash), F.col("drop")))
+    rest = F.filter("lines", lambda l, i: F.get(F.col("stay"), i))
+    counts = F.struct(
+        F.size("lines").cast("long").alias("n_lines"),
+        F.coalesce(F.size("lines") - F.size(F.when(F.col("stay").isNotNull(), rest)), F.lit(0)).cast("long").alias("n_dropped"),
     )
-    new = F.when(F.col("_stay").isNull(), t).otherwise(F.array_join(rest, "\n"))
-    return joined.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], "_lines")
+    old = lambda c: F.col("row").getField(c)
+    new = F.when(F.col("stay").isNull(), old(text)).otherwise(F.array_join(rest, "\n"))
+    return joined.select(*[(new if c == text else old(c)).alias(c) for c in docs.columns], counts.alias("_lines"))

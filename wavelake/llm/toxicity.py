@@ -11,20 +11,21 @@ on a bounded sample of labelled rows:
    the ``MAX_FEATURES`` whose rates differ most beyond chance stay.
 3. Every sampled text that names an identity group also yields counterfactuals, the
    same text with the term swapped for another group's; the loss penalises the
-   squared difference of their scores.  Identity terms and their swaps are always
+   squared difference of their scores before the logistic function.  Identity terms and their swaps are always
    among the features, and neutral sentences that only name a group are added as
    label 0, so that naming a group can't raise a score by itself.
 4. The model (``MAX_FEATURES`` weights at most) is broadcast and scores every whole
    text in one pass.
 
 Edge cases: null, empty and blank texts have no features and get the score of the
-intercept, pulled below 0.5; rows without doc_id are scored but never learned from;
+intercept; rows without doc_id are scored but never learned from;
 labels that are null or belong to no text are left out; repeated rows are scored
 alike; with no labels of one class every score is 0; other columns pass through.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,6 +39,8 @@ from wavelake.llm import arrowtext
 MAX_ROWS = 4000
 MAX_FEATURES = 4096
 MIN_ROWS = 2
+#: Weight of the counterfactual term against the mean logistic loss.
+PENALTY = 1.0
 PREFIXES = (3, 4, 5, 6, 7, 8)
 
 #: Terms that name groups, each list with terms that swap for one another.
@@ -113,10 +116,20 @@ def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(feature.view(np.int64)), pa.array(n1), pa.array(n0)], ["feature", "n1", "n0"])
 
 
-def _term_hashes() -> dict[str, int]:
-    terms = sorted({t for group in IDENTITY_TERMS for t in group})
-    words = arrowtext.Words(pa.array(terms), lower=True, letters=True)
-    return dict(zip(terms, words.hashes.tolist(), strict=True))
+_SWAPS = {t: [o for o in group if o != t] for group in IDENTITY_TERMS for t in group}
+_TERM = re.compile(r"(?<![^\W_])(" + "|".join(sorted(_SWAPS, key=len, reverse=True)) + r")(?![^\W_])")
+
+
+def swapped(text: str) -> list[str]:
+    """The text once for every identity term in it and every term that may stand for it."""
+    text = text.lower()
+    terms = sorted({m[1] for m in _TERM.finditer(text)})
+    return [re.sub(rf"(?<![^\W_]){t}(?![^\W_])", o, text) for t in terms for o in _SWAPS[t]]
+
+
+def _term_features() -> np.ndarray:
+    """The features of all identity terms."""
+    return np.unique(_distinct(pa.array(sorted(_SWAPS)))[1])
 
 
 class Model:
@@ -126,14 +139,16 @@ class Model:
         self.features, self.weights, self.bias = features, weights, bias
 
     def scores(self, column: pa.Array) -> np.ndarray:
+        if self.bias == -np.inf:
+            return np.zeros(len(column))
         docs, at = _Lookup(self.features)(column)
         z = np.full(len(column), self.bias)
         np.add.at(z, docs, self.weights[at])
         return 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))
 
 
-def _fit(rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, pairs: list[tuple[dict, dict]], size: int, penalty: float, l2: float, steps: int) -> tuple[np.ndarray, float]:
-    """Logistic loss with balanced classes + l2 + penalty * (difference of swapped scores)**2, by Adam."""
+def _fit(rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, pairs: list[tuple[list, list]], size: int, penalty: float, l2: float, steps: int) -> tuple[np.ndarray, float]:
+    """Logistic loss with balanced classes + l2 + penalty * (difference of swapped logits)**2, by Adam."""
     w, b = np.zeros(size), 0.0
     weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum()))
     prior = -1.0
@@ -150,11 +165,8 @@ def _fit(rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, pairs: list[tup
         gb = g.sum() + 0.01 * (b - prior)
         if pairs:
             n = len(pairs)
-            x = sig(b + np.bincount(lr_, weights=w[lc], minlength=n))
-            y = sig(b + np.bincount(rr, weights=w[rc], minlength=n))
-            d = 2 * penalty * (x - y) / n
-            gw += np.bincount(lc, weights=(d * x * (1 - x))[lr_], minlength=size) - np.bincount(rc, weights=(d * y * (1 - y))[rr], minlength=size)
-            gb += (d * (x * (1 - x) - y * (1 - y))).sum()
+            d = 2 * penalty / n * (np.bincount(lr_, weights=w[lc], minlength=n) - np.bincount(rr, weights=w[rc], minlength=n))
+            gw += np.bincount(lc, weights=d[lr_], minlength=size) - np.bincount(rc, weights=d[rr], minlength=size)
         grad = np.append(gw, gb)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -162,13 +174,13 @@ def _fit(rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, pairs: list[tup
     return w, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", max_rows: int = MAX_ROWS, penalty: float = 1.0, l2: float = 1e-4, steps: int = 600) -> Model:
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", max_rows: int = MAX_ROWS, penalty: float = PENALTY, l2: float = 1e-4, steps: int = 600) -> Model:
     """Fit on rows whose ``crc32(doc_id as text) mod 3`` is not 1."""
     mine = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     mine = mine.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     drawn = [mine.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for k in (1, 0)]
     chosen = [(r.doc_id, r.label) for d in drawn for r in d.collect()]
-    empty = Model(np.zeros(0, np.uint64), np.zeros(0), -500.0)
+    empty = Model(np.zeros(0, np.uint64), np.zeros(0), -np.inf)
     if len({k for _, k in chosen}) < 2:
         return empty
     spark = docs.sparkSession
@@ -182,34 +194,36 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     rate = (F.col("n1") + F.col("n0")) / F.lit(float(n1 + n0))
     z = (F.col("n1") / F.lit(float(n1)) - F.col("n0") / F.lit(float(n0))) / F.sqrt(rate * (F.lit(1.0 + 1e-9) - rate) * F.lit(1.0 / n1 + 1.0 / n0))
     best = counts.where(F.abs(z) >= 3.0).orderBy(F.desc(F.abs(z)), "feature").limit(MAX_FEATURES).select("feature").collect()
-    terms = _term_hashes()
-    known = np.unique(np.array([r.feature for r in best] + [], np.int64).view(np.uint64))
-    known = np.unique(np.concatenate([known, np.array(list(terms.values()), np.uint64)]))
+    known = np.unique(np.array([r.feature for r in best], np.int64).view(np.uint64))
+    known = np.unique(np.concatenate([known, _term_features()]))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = _Lookup(known)
+
+        def lists(column: pa.Array) -> list[list[int]]:
+            rows, cols = find(column)
+            cut = np.searchsorted(rows, np.arange(len(column) + 1))
+            return [cols[i:j].tolist() for i, j in zip(cut, cut[1:], strict=False)]
+
         for batch in batches:
             for part in arrowtext.slices(batch):
-                rows, cols = find(part.column("text"))
-                cut = np.searchsorted(rows, np.arange(part.num_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("l_id"), part.column("label"), pa.ListArray.from_arrays(pa.array(cut), pa.array(cols.astype(np.int32)))], ["l_id", "label", "at"])
-
-    rows = sorted(((r.l_id, r.label, list(r["at"])) for r in sample.mapInArrow(sparse, "l_id bigint, label int, at array<int>").collect()), key=lambda r: (r[0], r[2]))
+                other = [swapped(t) for t in part.column("text").to_pylist()]
+                flat = lists(pa.array([t for texts in other for t in texts], pa.string()))
+                ends = np.cumsum([len(texts) for texts in other])
+                other = [flat[e - len(texts) : e] for e, texts in zip(ends, other, strict=True)]
+                kind = pa.list_(pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column("l_id"), part.column("label"), pa.array(lists(part.column("text")), kind), pa.array(other, pa.list_(kind))], ["l_id", "label", "at", "other"])
+
+    found = sample.mapInArrow(sparse, "l_id bigint, label int, at array<int>, other array<array<int>>").collect()
+    rows = sorted((r.l_id, r.label, list(r["at"]), [list(x) for x in r["other"]]) for r in found)
     if len({r[1] for r in rows}) < 2:
         return empty
 
-    column = {t: int(np.searchsorted(known, np.uint64(h))) for t, h in terms.items()}
-    neutral = [s.format(t) for group in IDENTITY_TERMS for t in group for s in NEUTRAL]
-    n_docs, n_cols = _Lookup(known)(pa.array(neutral))
-    extra = [(-1 - k, 0, n_cols[n_docs == k].tolist()) for k in range(len(neutral))]
-    rows += extra
-    pairs = []
-    swaps = {column[t]: [column[o] for o in group if o != t] for group in IDENTITY_TERMS for t in group}
-    for _, _, at in rows:
-        for c in at:
-            for other in swaps.get(c, ()):
-                pairs.append((dict.fromkeys(at), dict.fromkeys([x for x in at if x != c] + [other])))
-    pairs = pairs[: 8 * max_rows]
+    find = _Lookup(known)
+    single = lambda t: find(pa.array([t]))[1].tolist()
+    neutral = [f.format(t) for group in IDENTITY_TERMS for t in group for f in NEUTRAL]
+    rows += [(-1 - k, 0, single(t), [single(o) for o in swapped(t)]) for k, t in enumerate(neutral)]
+    pairs = [(at, other) for _, _, at, others in rows for other in others]
     r = np.repeat(np.arange(len(rows)), [len(x[2]) for x in rows])
     c = np.array([x for row in rows for x in row[2]], np.int64)
     w, b = _fit(r, c, np.array([x[1] for x in rows], float), pairs, len(known), penalty, l2, steps)
