@@ -66,11 +66,13 @@ def smooth_gaussian(traces: DataFrame, sigma: float, by: Sequence[str] = ("roi_i
     kernel = gaussian_kernel(sigma)
     taps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in kernel])
     whole = traces.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("t", F.col(value).cast("double").alias("v")))).alias("s"))
-    n = F.size("s")
+    # the values as an array of their own: taking them from the structs at every tap would copy the trace
+    whole = whole.select(*by, "s", F.transform("s", lambda e: e["v"]).alias("v"))
+    n = F.size("v")
 
     def at(i: Column) -> Column:
         q = F.pmod(i, n * 2)
-        return F.get(F.col("s.v"), F.when(q < n, q).otherwise(n * 2 - 1 - q))
+        return F.get(F.col("v"), F.when(q < n, q).otherwise(n * 2 - 1 - q))
 
     blurred = F.transform("s", lambda e, i: F.struct(e["t"].alias("t"), e["v"].alias(value), F.aggregate(taps, F.lit(0.0), lambda acc, tap: acc + tap["w"] * at(i + tap["k"])).alias("smoothed")))
     return whole.select(*by, F.inline(blurred))

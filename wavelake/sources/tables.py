@@ -17,9 +17,11 @@ MOVIE_SHAPE = (83, 7, 16)
 
 def traces_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One trace per user: the values in order of time."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id", "value")
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return events.select(F.col("user_id").alias("roi_id"), (F.row_number().over(order) - 1).alias("t"), F.col("value").alias("raw"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    # named before the window, so that later windows of a trace reuse its partitioning
+    events = events.select(F.col("user_id").alias("roi_id"), "ts", "event_id", F.col("value").alias("raw"))
+    order = Window.partitionBy("roi_id").orderBy("ts", "event_id")
+    return events.select("roi_id", (F.row_number().over(order) - 1).alias("t"), "raw")
 
 
 def rois_of_traces(traces: DataFrame) -> DataFrame:
