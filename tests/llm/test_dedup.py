@@ -141,8 +141,10 @@ def brute_substrings(rows, window):
     return out
 
 
-def test_substring_dedup(docs, documents):
-    got = Counter(tuple(r) for r in substring.dedup_substrings(docs).collect())
+@pytest.mark.parametrize("max_bits", [twice.MAX_BITS, 1])
+def test_substring_dedup(docs, documents, max_bits):
+    """By filters, and by joins where the filters would be too small."""
+    got = Counter(tuple(r) for r in substring.dedup_substrings(docs, max_bits=max_bits).collect())
     want = brute_substrings(documents, 35)
     assert got == want and sum(n for _, _, n, _ in want) > 500
 

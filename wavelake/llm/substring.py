@@ -27,8 +27,8 @@ share one, and an anchor with its run of windows is an *occurrence*.
 4. The ranges found go back to their texts; other texts are not shuffled.
 
 Counts are partial aggregations and the joins are between written tables, so a
-passage that a third of all documents share can be split.  Filters are bounded; a
-full filter lets more rows through but changes no result.
+passage that a third of all documents share can be split.  Filters are bounded and
+change no result; where the input is too large for them, joins choose the same rows.
 
 Edge cases: null, empty and blank texts have no words and lose none; texts shorter
 than a window lose none; repeated rows lose everything that is at least a window
@@ -53,8 +53,10 @@ WINDOW = 35
 ROUNDS = ("run", *["pair"] * 8)
 #: Symbols to choose an anchor from; neighbouring windows mostly choose the same.
 _CHOICE = 1
-#: Names a document has about, for the size of the first filter.
-_NAMES_PER_DOC = 64
+#: Bytes of text per name, about, for the size of the first filter.
+_BYTES_PER_NAME = 32
+#: Fewest filter bits a name; with fewer the filters would let most rows through.
+_LEAST_BITS = 4
 
 
 def _run_round(sym, doc, lo, hi, bounds):
@@ -172,12 +174,11 @@ def _names(window: int):
 
 def _spans(held, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filt = np.frombuffer(held.value, np.uint8)
         for batch in batches:
             for part in arrowtext.slices(batch):
                 words = arrowtext.Words(part.column("text"))
                 occ = Occurrences(words, window)
-                hit = np.flatnonzero(twice.contains(filt, occ.name))
+                hit = np.arange(len(occ.name)) if held is None else np.flatnonzero(twice.contains(np.frombuffer(held.value, np.uint8), occ.name))
                 first, last, doc = occ.first[hit], occ.last[hit], occ.doc[hit]
                 span = arrowtext.range_hash(words.hashes, first, last + window, seed=77)
                 key = part.column("key").to_numpy()[doc]
@@ -206,15 +207,35 @@ def _windows(held, window: int):
                 span = arrowtext.range_hash(words.hashes, occ.first, occ.last + window, seed=77)
                 keys = part.column("key").to_numpy()
                 hit = np.flatnonzero(twice.contains(filt, _span_id(occ.name, span)) | twice.contains(filt, _holder_id(occ.name, span, keys[occ.doc])))
-                size = occ.last[hit] - occ.first[hit] + 1
-                ends = np.cumsum(size)
-                total = int(ends[-1]) if len(ends) else 0
-                w = np.arange(total) - np.repeat(ends - size, size) + np.repeat(occ.first[hit], size)
-                doc = np.repeat(occ.doc[hit], size)
-                h1 = arrowtext.range_hash(words.hashes, w, w + window)
-                h2 = arrowtext.range_hash(words.hashes, w, w + window, seed=991)
-                arrays = [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(keys[doc]), pa.array((w - words.offs[doc]).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(arrays, ["h1", "h2", "key", "at"])
+                yield _fingerprints(words, occ.first[hit], occ.last[hit], occ.doc[hit], keys, window)
+
+    return run
+
+
+def _fingerprints(words: arrowtext.Words, first: np.ndarray, last: np.ndarray, doc: np.ndarray, keys: np.ndarray, window: int) -> pa.RecordBatch:
+    """128-bit fingerprints of the windows of some runs."""
+    size = last - first + 1
+    ends = np.cumsum(size)
+    w = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size, size) + np.repeat(first, size)
+    doc = np.repeat(doc, size)
+    h1 = arrowtext.range_hash(words.hashes, w, w + window)
+    h2 = arrowtext.range_hash(words.hashes, w, w + window, seed=991)
+    arrays = [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(keys[doc]), pa.array((w - words.offs[doc]).astype(np.int32))]
+    return pa.RecordBatch.from_arrays(arrays, ["h1", "h2", "key", "at"])
+
+
+def _listed_windows(window: int):
+    """Windows of the runs that a text is listed with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in arrowtext.slices(batch):
+                words = arrowtext.Words(part.column("text"))
+                lists = part.column("runs")
+                at, n = (lists.flatten().field(c).to_numpy() for c in (0, 1))
+                doc = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
+                first = words.offs[doc] + at
+                yield _fingerprints(words, first, first + n - 1, doc, part.column("key").to_numpy(), window)
 
     return run
 
@@ -253,20 +274,34 @@ def _cut(text: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["n_words", "n_removed", "text"])
 
 
-def repeated_ranges(texts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``(key, start, end)``: word ranges inside repeated windows of ``texts (key, text)``; they may overlap."""
+def repeated_ranges(texts: DataFrame, window: int = WINDOW, max_bits: int = twice.MAX_BITS) -> DataFrame:
+    """``(key, start, end)``: word ranges inside repeated windows of ``texts (key, text)``; they may overlap.
+
+    While filters of ``max_bits`` can tell names apart, they choose the rows that are written
+    and compared; for larger inputs joins make the same choices.
+    """
     spark = texts.sparkSession
-    bits = twice.bits_for(_NAMES_PER_DOC * texts.count())
-    repeated = spark.sparkContext.broadcast(twice.twice_filter_of(texts.select("text"), _names(window), bits).tobytes())
+    number = int((texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // _BYTES_PER_NAME)
+    filtered = _LEAST_BITS * number <= max_bits
+    repeated = spark.sparkContext.broadcast(twice.twice_filter_of(texts.select("text"), _names(window), twice.bits_for(number)).tobytes()) if filtered else None
     occ = materialize(texts.mapInArrow(_spans(repeated, window), "name bigint, span bigint, key bigint, at int, windows int"), "occurrences")
     spans = materialize(occ.groupBy("name", "span").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("holder")), "spans")
     again = spans.where(F.col("n") > 1).select("name", "span")
     whole = occ.join(again, ["name", "span"]).select("key", F.col("at").alias("start"), (F.col("at") + F.col("windows") + F.lit(window - 1)).alias("end"))
 
-    bits = twice.bits_for(spans.count())
-    mixed = spark.sparkContext.broadcast(twice.twice_filter_of(spans.select("name"), _column, bits).tobytes())
-    unsure = spark.sparkContext.broadcast(twice.member_filter_of(spans, _to_compare(mixed), bits).tobytes())
-    wins = materialize(texts.mapInArrow(_windows(unsure, window), "h1 bigint, h2 bigint, key bigint, at int"), "windows")
+    schema = "h1 bigint, h2 bigint, key bigint, at int"
+    if filtered:
+        bits = twice.bits_for(spans.count())
+        mixed = spark.sparkContext.broadcast(twice.twice_filter_of(spans.select("name"), _column, bits).tobytes())
+        unsure = spark.sparkContext.broadcast(twice.member_filter_of(spans, _to_compare(mixed), bits).tobytes())
+        wins = texts.mapInArrow(_windows(unsure, window), schema)
+    else:
+        mixed = materialize(spans.groupBy("name").agg(F.count(F.lit(1)).alias("spans")).where(F.col("spans") > 1).select("name"), "mixed")
+        open_ = materialize(spans.join(mixed, "name"), "open_spans")
+        runs = occ.join(open_, ["name", "span"]).where((F.col("n") == 1) | (F.col("key") == F.col("holder")))
+        runs = runs.groupBy("key").agg(F.collect_list(F.struct("at", "windows")).alias("runs"))
+        wins = texts.join(runs, "key").mapInArrow(_listed_windows(window), schema)
+    wins = materialize(wins, "windows")
     suspect = twice.suspects(spark, twice.twice_filter_of(wins.select("h1"), _column, twice.bits_for(wins.count())))
     likely = wins.where(suspect(F.col("h1")))
     twice_or_more = likely.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
@@ -279,11 +314,11 @@ def _column(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     yield batch.column(0).to_numpy()
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id", max_bits: int = twice.MAX_BITS) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_words, n_removed, text`` (kept words, one space between)."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     rows = rows.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
-    ranges = repeated_ranges(rows.select("key", "text"), window)
+    ranges = repeated_ranges(rows.select("key", "text"), window, max_bits)
     lists = ranges.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("r")).select(F.col("key").alias("r_key"), "r")
     lists = materialize(lists, "ranges")
     # only texts that may lose words are shuffled to their ranges
