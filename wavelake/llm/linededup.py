@@ -83,8 +83,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, text: s
                 out.append([h not in gone for h in have])
         return pa.array(out, pa.list_(pa.bool_()))
 
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), d.alias("doc"), lines.alias("lines"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), d.alias("doc"))
     joined = packed.join(drops, F.col("doc").eqNullSafe(F.col("drop_doc")), "left")
+    # split again after the join: the lines would double what is shuffled
+    joined = joined.withColumn("lines", F.split(F.coalesce(F.col("row").getField(text), F.lit("")), "\n", -1))
     long_hash = F.transform("lines", lambda l: F.when(F.length(line_key(l)) >= min_chars, _digest(line_key(l), 1)))
     joined = joined.withColumn("stay", stays(F.when(F.col("drop").isNotNull(), long_hash), F.col("drop")))
     rest = F.filter("lines", lambda l, i: F.get(F.col("stay"), i))
