@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from wavelake.llm import arrowtext, twice
-from wavelake.llm.storage import materialize
+from wavelake.llm.storage import arrow_rows, materialize
 
 WINDOW = 35
 ROUNDS = ("run", *["pair"] * 8)
@@ -260,8 +260,8 @@ _KEPT = StructType([StructField("n_words", LongType()), StructField("n_removed",
 @F.arrow_udf(_KEPT)
 def _cut(text: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
     n_words, n_removed, kept = [], [], []
-    for t, a, b in zip(text.to_pylist(), starts.to_pylist(), ends.to_pylist(), strict=True):
-        words = t.encode().split()
+    for t, a, b in zip(text, starts.to_pylist(), ends.to_pylist(), strict=True):
+        words = t.as_py().encode().split()
         n_words.append(len(words))
         if a:
             cover = np.zeros(len(words) + 1, np.int64)
@@ -274,6 +274,24 @@ def _cut(text: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["n_words", "n_removed", "text"])
 
 
+def _uncut(spark, filt: np.ndarray):
+    """The same for texts that lose no word; null for those that may be in the filter."""
+    held = spark.sparkContext.broadcast(filt.tobytes())
+
+    @F.arrow_udf(_KEPT)
+    def uncut(key: pa.Array, text: pa.Array) -> pa.Array:
+        maybe = twice.contains(np.frombuffer(held.value, np.uint8), key.to_numpy(zero_copy_only=False))
+        n_words, kept = [], []
+        for t, skip in zip(text, maybe.tolist(), strict=True):
+            words = [] if skip else t.as_py().encode().split()
+            n_words.append(len(words))
+            kept.append(b" ".join(words).decode())
+        arrays = [pa.array(n_words, pa.int64()), pa.array([0] * len(kept), pa.int64()), pa.array(kept, pa.string())]
+        return pa.StructArray.from_arrays(arrays, ["n_words", "n_removed", "text"], mask=pa.array(maybe))
+
+    return uncut.asNondeterministic()  # evaluated once, not again in the filter below
+
+
 def repeated_ranges(texts: DataFrame, window: int = WINDOW, max_bits: int = twice.MAX_BITS) -> DataFrame:
     """``(key, start, end)``: word ranges inside repeated windows of ``texts (key, text)``; they may overlap.
 
@@ -318,13 +336,13 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, text: str = "text",
     """One row per row of ``docs``: ``doc_id, n_words, n_removed, text`` (kept words, one space between)."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     rows = rows.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
-    ranges = repeated_ranges(rows.select("key", "text"), window, max_bits)
-    lists = ranges.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("r")).select(F.col("key").alias("r_key"), "r")
-    lists = materialize(lists, "ranges")
+    with arrow_rows(docs.sparkSession, 1000):
+        ranges = repeated_ranges(rows.select("key", "text"), window, max_bits)
+        lists = ranges.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("r")).select(F.col("key").alias("r_key"), "r")
+        lists = materialize(lists, "ranges")
     # only texts that may lose words are shuffled to their ranges
-    number = lists.count()
-    cut = twice.suspects(docs.sparkSession, twice.member_filter(lists, F.array("r_key"), twice.bits_for(number)))
-    joined = rows.where(cut("key")).join(lists, F.col("key") == F.col("r_key"), "left").select("doc_id", "text", "r")
-    joined = joined.unionByName(rows.where(~cut("key")).select("doc_id", "text", F.lit(None).cast(joined.schema["r"].dataType).alias("r")))
-    kept = joined.select("doc_id", _cut("text", F.col("r.start"), F.col("r.end")).alias("k"))
-    return kept.select("doc_id", "k.n_words", "k.n_removed", "k.text")
+    filt = twice.member_filter(lists, F.array("r_key"), twice.bits_for(lists.count()))
+    listed = rows.where(twice.suspects(docs.sparkSession, filt)("key")).join(lists, F.col("key") == F.col("r_key"), "left")
+    kept = listed.select("doc_id", _cut("text", F.col("r.start"), F.col("r.end")).alias("k"))
+    other = rows.select("doc_id", _uncut(docs.sparkSession, filt)("key", "text").alias("k")).where(F.col("k").isNotNull())
+    return kept.unionByName(other).select("doc_id", "k.n_words", "k.n_removed", "k.text")
