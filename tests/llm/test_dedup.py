@@ -109,6 +109,25 @@ def test_near_duplicates_of_a_large_group(spark):
     assert {got[i] for i in range(300)} == {0} and all(got[900 + i] == 900 + i for i in range(50))
 
 
+def test_near_duplicates_of_copies_that_only_match_their_original(spark):
+    """1,000 copies with edits at random places; the original lies in the middle of the ids."""
+    import random
+
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(304)]
+    rows = []
+    for i in range(1001):
+        w = list(base)
+        for k, at in enumerate(rng.sample(range(6, 298), 4) if i != 500 else []):
+            w[at] = f"x{i}_{k}"
+        rows.append((i, " ".join(w)))
+    sets, _ = brute_components([rows[0], rows[1], rows[500]], 85)
+    like = lambda a, b: len(a & b) / len(a | b)
+    assert like(sets[0], sets[2]) >= 0.85 > like(sets[0], sets[1])
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()
+    assert len(got) == 1001 and {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(3)
     errors = []

@@ -16,7 +16,11 @@ doc_id that links reach.
    pairs as members, whatever the bucket's size.  Links that these pairs confirm
    give first components.  Then members are paired with two more members that
    every bucket draws by a hash of its own (the smallest and largest of
-   ``doc_id XOR hash(bucket)``), unless both are in one component already.
+   ``doc_id XOR hash(bucket)``), unless both are in one component already.  What is
+   still apart in a bucket is settled exactly by ``_settle``: hubs are drawn by how
+   many members of other components they meet in all bands (the original of a group
+   of copies meets the most), as long as that halves the pairs left; then all pairs
+   of a bucket that are still in different components are compared.
 4. A pair is verified only if its Jaccard estimate, corrected for the register
    collisions that ``n``, ``m`` and the mantissa lead one to expect, is within
    ``MARGIN`` of the threshold; it is then confirmed on the full sets.
@@ -24,7 +28,9 @@ doc_id that links reach.
    label, until nothing changes; labels are a written table after each round.
 
 Bucket keys, hubs and classes may be hot: they are only aggregated with partial
-aggregation or joined between tables that Spark can split.
+aggregation or joined between tables that Spark can split.  Only the last step's
+pairs may grow with the square of a bucket, where many members are linked with none
+of its hubs; they are not cut.
 
 Edge cases: null, empty or blank texts have the empty set, are linked with nothing
 and are their own component; a text of fewer words than a shingle has one shingle,
@@ -52,6 +58,8 @@ ROWS = 5
 BANDS = REGISTERS // ROWS
 #: Six standard deviations of an estimate from 128 registers near the threshold.
 MARGIN = 0.2
+#: So many pairs per bucket member are compared without looking for hubs first.
+FEW = 8
 
 _BUCKET_BITS = REGISTERS.bit_length() - 1
 #: Expected register collisions of sets of n and m items, in units of
@@ -178,6 +186,39 @@ def components(links: DataFrame, name: str = "labels") -> DataFrame:
             return labels
 
 
+def _settle(rows: DataFrame, links: DataFrame, verify: _Verifier) -> DataFrame:
+    """Labels of ``links`` and of all links within buckets: ``rows (key, rep, n)`` are the members of each."""
+    before, k = None, 0
+    while True:
+        k += 1
+        labels = components(links, f"settled_{k}")
+        of = labels.select(F.col("vertex").alias("rep"), F.col("label").alias("found"))
+        rows = rows.join(of, "rep", "left").select("key", "rep", "n", F.coalesce("found", "rep").alias("label"))
+        groups = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("own"))
+        sizes = groups.groupBy("key").agg(F.sum("own").alias("size"), F.sum(F.col("own") * F.col("own")).alias("within"))
+        sizes = materialize(sizes.where(F.col("size") * F.col("size") > F.col("within")), f"mixed_{k}")
+        members, left = sizes.agg(F.sum("size"), F.sum((F.col("size") * F.col("size") - F.col("within")) / 2)).first()
+        if not left:
+            return labels
+        rows = materialize(rows.join(sizes.select("key", "size"), "key"), f"apart_{k}")
+        last = left <= FEW * members or (before is not None and left > before / 2)
+        before = left
+        if last:
+            b = rows.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
+            near = 100 * F.least("n", "n_b") >= verify.percent * F.greatest("n", "n_b")
+            pairs = rows.join(b, "key").where((F.col("rep") < F.col("b")) & (F.col("label") != F.col("label_b")) & near).select(F.col("rep").alias("a"), "b")
+        else:
+            own = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("own"))
+            met = rows.join(own, ["key", "label"]).groupBy("rep").agg(F.sum(F.col("size") - F.col("own")).alias("met"))
+            hubs = rows.join(met, "rep").groupBy("key").agg(F.max(F.struct("met", "rep", "label")).alias("hub"))
+            pairs = rows.join(materialize(hubs, f"hubs_{k}"), "key").where(F.col("label") != F.col("hub.label"))
+            pairs = pairs.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b"))
+        links = links.union(materialize(verify.links(pairs), f"settled_links_{k}"))
+        if last:
+            return components(links, "all")
+        rows = rows.select("key", "rep", "n")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``."""
     texts = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc"), F.col(f"`{text}`").alias("text"))
@@ -187,13 +228,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text:
     classes = real.groupBy("d1", "d2", "n").agg(F.min("doc").alias("rep"), F.max("regs").alias("regs"), F.max("bands").alias("bands"))
     classes = materialize(classes, "classes")
 
-    rows = classes.select("rep", F.explode("bands").alias("key"))
+    rows = classes.select("rep", "n", F.explode("bands").alias("key"))
     mask = F.xxhash64("key")
     masked = F.col("rep").bitwiseXOR(mask)
     buckets = rows.groupBy("key").agg(F.min("rep").alias("low"), F.min(masked).alias("x"), F.max(masked).alias("y"))
     buckets = buckets.where(F.col("x") != F.col("y"))
     buckets = materialize(buckets.select("key", "low", F.col("x").bitwiseXOR(mask).alias("x"), F.col("y").bitwiseXOR(mask).alias("y")), "buckets")
-    members = materialize(rows.join(buckets, "key").select("rep", "low", "x", "y").groupBy("rep", "low", "x", "y").agg(F.lit(1).alias("one")).drop("one"), "members")
+    shared = materialize(rows.join(buckets, "key").select("key", "rep", "n", "low", "x", "y"), "shared")
+    members = materialize(shared.groupBy("rep", "low", "x", "y").agg(F.lit(1).alias("one")).drop("one"), "members")
 
     def pairs(frame: DataFrame, *other: str) -> DataFrame:
         ends = F.explode(F.array(*[F.col(o) for o in other])).alias("to")
@@ -214,7 +256,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text:
         sketch.join(twin.select("doc"), "doc", "left_semi").join(classes.select("d1", "d2", "n", "rep"), ["d1", "d2", "n"])
         .where(F.col("doc") != F.col("rep")).select(F.col("rep").alias("a"), F.col("doc").alias("b"))
     )
-    labels = components(first.union(second).union(twin_links), "all")
+    links = materialize(first.union(second).union(twin_links), "links")
+    labels = _settle(shared.select("key", "rep", "n"), links, verify)
 
     named = classes.select("d1", "d2", "n", "rep").join(labels.withColumnRenamed("vertex", "rep"), "rep", "left")
     named = materialize(named.select("d1", "d2", "n", F.coalesce("label", "rep").alias("label")), "class_labels")
