@@ -128,6 +128,18 @@ def test_near_duplicates_of_copies_that_only_match_their_original(spark):
     assert len(got) == 1001 and {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
 
 
+@pytest.mark.parametrize("percent, sizes", [(85, ((7, 6), (10, 9), (20, 17))), (80, ((5, 4), (10, 8), (20, 16), (40, 32)))])
+def test_near_duplicates_of_short_texts_at_the_threshold(spark, percent, sizes):
+    rows = []
+    for n, m in sizes:
+        for _ in range(120):
+            w = [f"v{len(rows)}_{k}" for k in range(n + 4)]
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(w[: m + 4]))]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).collect()}
+    sets, _ = brute_components(rows[:2], percent)
+    assert [len(s) for s in sets] == list(sizes[0]) and got == {i: i - i % 2 for i, _ in rows}
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(3)
     errors = []

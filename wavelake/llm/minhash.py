@@ -21,9 +21,11 @@ doc_id that links reach.
    many members of other components they meet in all bands (the original of a group
    of copies meets the most), as long as that halves the pairs left; then all pairs
    of a bucket that are still in different components are compared.
-4. A pair is verified only if its Jaccard estimate, corrected for the register
-   collisions that ``n``, ``m`` and the mantissa lead one to expect, is within
-   ``MARGIN`` of the threshold; it is then confirmed on the full sets.
+4. A pair of sets of ``DENSE`` shingles or more is verified only if its Jaccard
+   estimate, corrected for the register collisions that ``n``, ``m`` and the mantissa
+   lead one to expect, is within ``MARGIN`` of the threshold; it is then confirmed on
+   the full sets.  Smaller sets leave buckets empty, whose copied registers make the
+   estimate wider, so pairs with one of them go to the full sets by size alone.
 5. Components: every vertex takes the least label around it, and the label of its
    label, until nothing changes; labels are a written table after each round.
 
@@ -58,6 +60,8 @@ ROWS = 5
 BANDS = REGISTERS // ROWS
 #: Six standard deviations of an estimate from 128 registers near the threshold.
 MARGIN = 0.2
+#: Sets from this size on leave only 2 percent of the buckets empty.
+DENSE = 4 * REGISTERS
 #: So many pairs per bucket member are compared without looking for hubs first.
 FEW = 8
 
@@ -156,7 +160,7 @@ class _Verifier:
         near = pairs.join(side("a"), "a").join(side("b"), "b")
         near = near.where(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
         close = estimate(_equal_registers("regs_a", "regs_b"), F.col("n_a"), F.col("n_b")) >= self.percent / 100 - MARGIN
-        near = materialize(near.where(close).select("a", "b", "n_a", "n_b"), f"near_{self.round}")
+        near = materialize(near.where((F.least("n_a", "n_b") < DENSE) | close).select("a", "b", "n_a", "n_b"), f"near_{self.round}")
         wanted = near.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.lit(1).alias("one")).drop("one")
         sets = self.texts.join(wanted, "doc", "left_semi").mapInArrow(_sets(self.shingle), "doc bigint, items array<bigint>")
         sets = materialize(sets, f"sets_{self.round}")
