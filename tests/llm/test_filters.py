@@ -117,6 +117,24 @@ def test_decontamination(spark, documents):
     assert decontam.find_contaminated(df.limit(0), benchmark).count() == 0
 
 
+def test_short_items_are_held_word_for_word(spark):
+    rng = random.Random(8)
+    items = [(n, llm_fixtures.sentence(rng, n)) for n in (1, 2, 5, 8, 12)] + [(20, "Qx, rz?"), (30, None)]
+    docs = [(100, "all qx: RZ here"), (101, "qx and rz"), (102, "only qx"), (103, "qx rz"), (104, None)]
+    for n, item in items[:5]:
+        w = item.split()
+        docs += [(n, llm_fixtures.sentence(rng, 9) + " " + item.upper() + " zz end"), (40 + n, item), (60 + n, " ".join([*w[:-1], "other"]))]
+    tokens = lambda t: " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (t or "").translate(FOLD))) + " "
+    want = {}
+    for i, t in docs:
+        held = [k for k, item in items if item and tokens(item) in tokens(t)]
+        want[i] = (bool(held), len(held), min(held, default=-1))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = decontam.find_contaminated(frame, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: (r.contaminated, r.n_items, r.first_item) for r in got} == want
+    assert all(want[i][0] for i in (1, 5, 8, 12, 45, 100, 103)) and not any(want[i][0] for i in (101, 102, 104))
+
+
 # --- quality ---
 
 

@@ -4,13 +4,13 @@ Words are runs of letters and digits, A-Z lower-cased; punctuation is ignored.
 document holds a benchmark item if, for some alignment of the two, ``L`` successive
 aligned words agree in at least ``PERCENT`` percent of the positions, with ``L`` the
 smaller of ``WINDOW`` and the item's length.  Up to 3 of 20 words may be
-substituted.  Items of fewer than ``MIN_WORDS`` words are left out: ordinary text
-would match them by chance.
+substituted.  Items of fewer than ``MIN_WORDS`` words must agree in every word.
 
 1. Every position of an item gives one hash for each mask of ``MASKS`` (the words
    that the mask looks at).  A mask ignores some positions, so that substitutions
    there don't matter.  The three masks together miss no window with the
-   substitutions allowed; a test goes through all of them.
+   substitutions allowed; a test goes through all of them.  A shorter item gives one
+   hash of all its words; texts are hashed in windows of every length that such items have.
 2. A Bloom filter of the items' hashes (bounded by ``twice.MAX_BITS``) is broadcast.
    One pass over the texts keeps the stretches around positions whose hash it may
    hold, with the stretch's word fingerprints.
@@ -44,12 +44,19 @@ MASKS = ((0, 1, 2, 4, 5, 6, 7), (0, 1, 3, 6, 8, 9, 10), (0, 1, 6, 7, 9, 10, 11))
 
 def needed(length: int) -> int:
     """Words that must agree in a window of ``length``."""
-    return -(-PERCENT * length // 100)
+    return length if length < MIN_WORDS else -(-PERCENT * length // 100)
 
 
-def seed_hashes(hashes: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def whole(length: int) -> tuple[tuple[int, ...], ...]:
+    """The only mask of an item of fewer than ``MIN_WORDS`` words: all of them."""
+    return (tuple(range(length)),)
+
+
+def seed_hashes(hashes: np.ndarray, offs: np.ndarray, masks: tuple[tuple[int, ...], ...] = MASKS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each mask the positions where it fits and their hashes."""
-    for k, mask in enumerate(MASKS):
+    for k, mask in enumerate(masks):
+        if mask not in MASKS:
+            k = len(MASKS) + len(mask)
         at = arrowtext.window_starts(offs, mask[-1] + 1)
         h = np.full(len(at), arrowtext.mix(np.array([k + 1], np.uint64))[0])
         for o in mask:
@@ -64,9 +71,10 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for d, item in enumerate(part.column("item_id").to_pylist()):
                 own = words.hashes[words.offs[d] : words.offs[d + 1]]
-                if len(own) < MIN_WORDS:
+                if not len(own):
                     continue
-                seeds = [(int(x), int(a)) for at, h in seed_hashes(own, np.array([0, len(own)])) for a, x in zip(at, h.view(np.int64), strict=True)]
+                masks = MASKS if len(own) >= MIN_WORDS else whole(len(own))
+                seeds = [(int(x), int(a)) for at, h in seed_hashes(own, np.array([0, len(own)]), masks) for a, x in zip(at, h.view(np.int64), strict=True)]
                 rows.append({"item": item, "words": own.view(np.int64).tolist(), "hashes": [s[0] for s in seeds], "at": [s[1] for s in seeds]})
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=_ITEM)
@@ -75,8 +83,9 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _ITEM = pa.schema([("item", pa.int64()), ("words", pa.list_(pa.int64())), ("hashes", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))])
 
 
-def _stretches(held):
-    """Texts to stretches of words around possible hits."""
+def _stretches(held, short: list[int]):
+    """Texts to stretches of words around possible hits; ``short``: the lengths of items below ``MIN_WORDS``."""
+    masks = (*MASKS, *(m for n in short for m in whole(n)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filt = np.frombuffer(held.value, np.uint8)
@@ -84,7 +93,7 @@ def _stretches(held):
             for part in arrowtext.slices(batch):
                 words = arrowtext.Words(part.column("text"), lower=True, letters=True)
                 found = []
-                for at, h in seed_hashes(words.hashes, words.offs):
+                for at, h in seed_hashes(words.hashes, words.offs, masks):
                     hit = twice.contains(filt, h)
                     found.append((at[hit], h[hit]))
                 at, h = (np.concatenate([f[k] for f in found]) for k in (0, 1))
@@ -141,11 +150,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id:
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     items = materialize(items.mapInArrow(_items, "item bigint, words array<bigint>, hashes array<bigint>, at array<int>"), "items")
     number = items.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()[0]
+    short = [r[0] for r in items.where(F.size("words") < MIN_WORDS).groupBy(F.size("words")).agg(F.lit(1)).collect()]
     filt = twice.member_filter(items, F.col("hashes"), twice.bits_for(4 * number))
     held = spark.sparkContext.broadcast(filt.tobytes())
 
     slim = docs.select(row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    found = slim.mapInArrow(_stretches(held), "key bigint, start int, words array<bigint>, hashes array<bigint>, at array<int>")
+    found = slim.mapInArrow(_stretches(held, short), "key bigint, start int, words array<bigint>, hashes array<bigint>, at array<int>")
     found = materialize(found.withColumn("stretch", F.xxhash64("key", "start")), "stretches")
     hits = found.select("stretch", F.explode(F.arrays_zip("hashes", "at")).alias("h")).select("stretch", F.col("h.hashes").alias("hash"), F.col("h.at").alias("at"))
     seeds = items.select("item", F.explode(F.arrays_zip("hashes", "at")).alias("h")).select("item", F.col("h.hashes").alias("hash"), F.col("h.at").alias("item_at"))
