@@ -262,6 +262,17 @@ def test_main_text(spark):
     assert htmltext.extract_main_text(df.limit(0)).collect() == []
 
 
+def test_raw_elements_without_an_end_cut_no_page():
+    texts = lambda page: [b[0] for b in htmltext.blocks(page)]
+    for tag in ('<svg viewBox="0 0 1 1"/>', "<iframe src='x' />", "<object/>", "<math/>", "<noscript>", "<template>", "<canvas>", "<iframe src=x>", "<svg>"):
+        assert texts(f"<p>one</p>{tag}<p>two</p><p>three</p>") == ["one", "two", "three"], tag
+    assert texts('<p>one</p><svg/><p>two</p><svg><text>no</text></svg><p>three</p>') == ["one", "two", "three"]
+    assert texts("<p>one</p><iframe src=http://x/>no</iframe><p>two</p>") == ["one", "two"]
+    for tag in ("script", "style"):
+        assert texts(f"<p>one</p><{tag}>var x<p>two</p>") == ["one"]
+        assert texts(f"<p>one</p><{tag}>var x</{tag}><p>two</p>") == ["one", "two"]
+
+
 def test_labeller_on_unseen_pages():
     rng = np.random.default_rng(1234)
     made = [htmltext.training_page(rng) for _ in range(150)]

@@ -14,7 +14,8 @@ the same in every run, and its weights (under 100 kB) are broadcast.
 Edge cases: null and empty html give an empty text; html without main text gives an
 empty text; unclosed and stray tags are tolerated; character references are decoded;
 white space inside a block becomes one space; comments, scripts, styles and markup
-never are text; nothing is cut off from long pages; repeated rows are treated alike.
+never are text; of an element whose content is no text, but that nothing closes, only
+the tag is skipped (script and style run to the end); nothing is cut off from long pages; repeated rows are treated alike.
 """
 
 from __future__ import annotations
@@ -44,6 +45,11 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em f
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never text.
 _RAW = frozenset("script style template noscript iframe svg object math canvas".split())
+#: Of these, those that ``/>`` makes empty; and those that run to the page's end when nothing closes them.
+_EMPTIED = frozenset("iframe svg object math".split())
+_TO_THE_END = frozenset("script style".split())
+#: A slash that belongs to an attribute's value.
+_VALUE_SLASH = re.compile(r"=\s*[^\s\"']+/\Z")
 #: What an opening tag closes when it is still open.
 _CLOSES = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
@@ -74,6 +80,7 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     text: list[str] = []
     linked, in_link = 0, 0
+    unclosed: set[str] = set()
 
     def flush() -> None:
         nonlocal linked
@@ -116,9 +123,14 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
                     break
             continue
         if tag in _RAW:
+            if tag in unclosed or (tag in _EMPTIED and m[3].endswith("/") and not _VALUE_SLASH.search(m[3])):
+                continue
             close = re.compile(f"</{tag}", re.I).search(page, at)
             if close is None:
-                break
+                if tag in _TO_THE_END:
+                    break
+                unclosed.add(tag)
+                continue
             stop = page.find(">", close.end())
             at = end if stop < 0 else stop + 1
             continue
