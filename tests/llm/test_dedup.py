@@ -140,20 +140,82 @@ def test_near_duplicates_of_short_texts_at_the_threshold(spark, percent, sizes):
     assert [len(s) for s in sets] == list(sizes[0]) and got == {i: i - i % 2 for i, _ in rows}
 
 
+def test_near_duplicates_among_form_letters(spark):
+    """300 letters of one form: any two are just not alike, but 150 planted pairs share four more edits."""
+    import random
+
+    rng = random.Random(11)
+    form = [f"w{k}" for k in range(1600)]
+    rows, sets = [], []
+    for i in range(150):
+        shared = rng.sample(range(6, 1590), 4)
+        for j in (2 * i, 2 * i + 1):
+            w = list(form)
+            for at in shared:
+                w[at] = f"s{i}"
+            for at in rng.sample([x for x in range(6, 1590) if all(abs(x - y) > 5 for y in shared)], 12):
+                w[at] = f"x{j}"
+            rows.append((j * 3 + 7, " ".join(w)))
+            sets.append({hash(tuple(w[k : k + 5])) for k in range(1596)})
+    linked = lambda a, b: 100 * len(a & b) >= 85 * len(a | b)
+    assert all(linked(a, b) == (k // 2 == j // 2) for k, a in enumerate(sets) for j, b in enumerate(sets[:k]))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()}
+    assert got == {i: i - 3 * ((i - 7) // 3 % 2) for i, _ in rows}
+
+
+def test_splitting_finds_all_links_of_a_family(spark, monkeypatch):
+    """Every bucket with two components left is split, over and over; all links are found."""
+    import random
+
+    monkeypatch.setattr(minhash, "FEW", 0.5)
+    rng = random.Random(6)
+    rows = []
+    for f in range(3):
+        form = [f"f{f}w{k}" for k in range(60)]
+        for i in range(45):
+            w = list(form)
+            for _ in range(rng.randint(1, 4)):
+                w[rng.randrange(60)] = f"e{f}_{rng.randrange(40)}"
+            rows.append((1000 * f + i, " ".join(w[rng.randrange(3) :])))
+    rng.shuffle(rows)
+    for percent in (80, 60):
+        _, label = brute_components(rows, percent)
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).collect()}
+        assert got == label
+
+
+def test_near_duplicates_of_ids_near_the_limits(spark):
+    import random
+
+    from llm_fixtures import edited, sentence
+
+    rng = random.Random(8)
+    base = sentence(rng, 150)
+    ids = [2**63 - 1 - 7 * k for k in range(40)] + [-(2**63) + 5 * k for k in range(40)]
+    rows = [(i, edited(rng, base, 120)) for i in ids]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: -(2**63) for i in ids}
+
+
 def test_registers_estimate_similarity():
+    """Within the allowed deviation for sets of all sizes, and right on average."""
     rng = np.random.default_rng(3)
-    errors = []
-    for share in (0.5, 0.8, 0.95):
-        for _ in range(30):
-            pool = np.unique(rng.integers(0, 2**63, 1200).astype(np.uint64) * np.uint64(2))
-            n = int(len(pool) * share)
-            a = np.sort(pool)
-            b = np.sort(np.concatenate([rng.permutation(pool)[:n], rng.integers(0, 2**63, len(pool) - n).astype(np.uint64) * np.uint64(2) + np.uint64(1)]))
-            equal = (minhash.registers(a) == minhash.registers(b)).sum()
-            truth = n / (2 * len(pool) - n)
-            chance = minhash._COLLISIONS * minhash.REGISTERS / 2**minhash.MANTISSA / 4
-            errors.append((equal - chance) / (minhash.REGISTERS - chance) - truth)
-    assert abs(np.mean(errors)) < 0.02 and np.abs(errors).max() < minhash.MARGIN
+    for size in (8, 40, 150, 1200):
+        errors = []
+        for share in (0.5, 0.8, 0.95):
+            for _ in range(40):
+                pool = np.unique(rng.integers(0, 2**63, size).astype(np.uint64) * np.uint64(2))
+                n = int(len(pool) * share)
+                a = np.sort(pool)
+                b = np.sort(np.concatenate([rng.permutation(pool)[:n], rng.integers(0, 2**63, len(pool) - n).astype(np.uint64) * np.uint64(2) + np.uint64(1)]))
+                x, y = (pa.array([minhash.registers(s).tobytes()]) for s in (a, b))
+                found = minhash._shared_registers.func(x, y).to_pylist()[0]
+                truth = n / (2 * len(pool) - n)
+                chance = minhash._COLLISIONS / 2**minhash.MANTISSA / 4 * found["filled"]
+                error = (found["equal"] - chance) / (found["filled"] - chance) - truth
+                errors.append(error)
+                assert abs(error) <= minhash.SIGMAS * (truth * (1 - truth) / found["filled"]) ** 0.5
+        assert abs(np.mean(errors)) < 0.03
 
 
 def brute_substrings(rows, window):

@@ -8,31 +8,37 @@ doc_id that links reach.
 1. One pass over the texts makes a sketch of ``REGISTERS`` buckets: the top bits
    of a shingle's fingerprint choose its bucket, and of the bucket's smallest rest
    only the number of leading zeros (6 bits) and the next ``MANTISSA`` bits are
-   kept.  Empty buckets take the next filled bucket's register.  The pass also
-   makes a 128-bit digest of the whole set.
+   kept.  For banding alone, empty buckets take the next filled bucket's register.  The
+   pass also makes a 128-bit digest of the whole set.
 2. Documents with equal sets form a class; only one of each class goes on.
 3. Bands of ``ROWS`` successive registers are grouped by plain aggregation.  Each
    member of a band bucket is paired with the bucket's smallest doc_id: as many
    pairs as members, whatever the bucket's size.  Links that these pairs confirm
-   give first components.  Then members are paired with two more members that
-   every bucket draws by a hash of its own (the smallest and largest of
-   ``doc_id XOR hash(bucket)``), unless both are in one component already.  What is
-   still apart in a bucket is settled exactly by ``_settle``: hubs are drawn by how
-   many members of other components they meet in all bands (the original of a group
-   of copies meets the most), as long as that halves the pairs left; then all pairs
-   of a bucket that are still in different components are compared.
-4. A pair of sets of ``DENSE`` shingles or more is verified only if its Jaccard
-   estimate, corrected for the register collisions that ``n``, ``m`` and the mantissa
-   lead one to expect, is within ``MARGIN`` of the threshold; it is then confirmed on
-   the full sets.  Smaller sets leave buckets empty, whose copied registers make the
-   estimate wider, so pairs with one of them go to the full sets by size alone.
-5. Components: every vertex takes the least label around it, and the label of its
+   give first components.
+4. What is still apart in a bucket is settled exactly.  Where few pairs are left, they
+   are all compared.  Other buckets are merged into clusters and split by *differences*
+   (``_split``), which costs rows in proportion to the members' sets, not to their pairs.
+5. A pair is verified only if its Jaccard estimate over the buckets that either set
+   fills, corrected for the register collisions that ``n``, ``m`` and the mantissa lead
+   one to expect, is within ``SIGMAS`` standard deviations of the threshold; it is then
+   confirmed on the full sets.
+6. Components: every vertex takes the least label around it, and the label of its
    label, until nothing changes; labels are a written table after each round.
 
-Bucket keys, hubs and classes may be hot: they are only aggregated with partial
-aggregation or joined between tables that Spark can split.  Only the last step's
-pairs may grow with the square of a bucket, where many members are linked with none
-of its hubs; they are not cut.
+Splitting by differences: let ``T`` be the shingles that more than half of a cluster's
+documents hold.  A document lacks ``r`` of them and has ``x`` others; those ``r + x``
+shingles are its differences and ``w = 100 * r + percent * x`` its weight.  Two documents
+with ``s`` differences in common are linked exactly if
+``(100 + percent) * s >= w1 + w2 - (100 - percent) * |T|``.  So one whose weight and the
+cluster's least weight leave the right side at or below 0 is linked with that lightest document,
+and all others need at least ``s`` differences in common with whatever they are linked
+with.  As in any prefix filter, it is enough to look at all but the ``s - 1`` most
+frequent differences of each: those who share one form a new, narrower group.  A group holds
+at most half of its cluster, and large groups are split again by their own common
+shingles, so form letters with many shared shingles don't meet in pairs.
+
+Bucket keys, clusters and classes may be hot: they are only aggregated with partial
+aggregation or joined between tables that Spark can split.
 
 Edge cases: null, empty or blank texts have the empty set, are linked with nothing
 and are their own component; a text of fewer words than a shingle has one shingle,
@@ -43,13 +49,14 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from wavelake.llm import arrowtext
 from wavelake.llm.storage import materialize
@@ -58,12 +65,12 @@ REGISTERS = 128
 MANTISSA = 10
 ROWS = 5
 BANDS = REGISTERS // ROWS
-#: Six standard deviations of an estimate from 128 registers near the threshold.
-MARGIN = 0.2
-#: Sets from this size on leave only 2 percent of the buckets empty.
-DENSE = 4 * REGISTERS
-#: So many pairs per bucket member are compared without looking for hubs first.
-FEW = 8
+#: How far an estimate may lie below the threshold, in its standard deviations at the threshold.
+SIGMAS = 6
+#: Groups with at most so many pairs per member left are not split; their pairs are all compared.
+FEW = 16
+#: The register of a bucket that no shingle fills.
+EMPTY = 0xFFFF
 
 _BUCKET_BITS = REGISTERS.bit_length() - 1
 #: Expected register collisions of sets of n and m items, in units of
@@ -72,7 +79,7 @@ _COLLISIONS = 4 * 0.169919487159739093975315012348630288992889
 
 
 def registers(shingles: np.ndarray) -> np.ndarray:
-    """The sketch of a sorted array of distinct fingerprints, as uint16."""
+    """The sketch of a sorted array of distinct fingerprints, as uint16; ``EMPTY`` where none falls."""
     edges = np.arange(REGISTERS, dtype=np.uint64) << np.uint64(64 - _BUCKET_BITS)
     first = np.searchsorted(shingles, edges)
     bucket = np.append(first[1:], len(shingles)) > first
@@ -80,12 +87,13 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     zeros = 63 - np.floor(np.log2(rest.astype(np.longdouble))).astype(np.int64)
     mantissa = (rest << (zeros.astype(np.uint64) + np.uint64(1))) >> np.uint64(64 - MANTISSA)
     reg = (zeros.astype(np.uint16) << np.uint16(MANTISSA)) | mantissa.astype(np.uint16)
-    filled = np.flatnonzero(bucket)
-    source = filled[np.searchsorted(filled, np.arange(REGISTERS)) % len(filled)]
-    return reg[source]
+    return np.where(bucket, reg, np.uint16(EMPTY))
 
 
 def band_keys(reg: np.ndarray) -> np.ndarray:
+    """One key for each band; empty buckets take the next filled bucket's register."""
+    filled = np.flatnonzero(reg != EMPTY)
+    reg = reg[filled[np.searchsorted(filled, np.arange(REGISTERS)) % len(filled)]]
     used = arrowtext.mix(reg[: BANDS * ROWS].astype(np.uint64) + np.uint64(1)).reshape(BANDS, ROWS)
     salt = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     key = salt
@@ -134,16 +142,22 @@ def _sets(shingle: int):
     return run
 
 
-@F.arrow_udf(IntegerType())
-def _equal_registers(a: pa.Array, b: pa.Array) -> pa.Array:
+_SHARED = StructType([StructField("equal", IntegerType()), StructField("filled", IntegerType())])
+
+
+@F.arrow_udf(_SHARED)
+def _shared_registers(a: pa.Array, b: pa.Array) -> pa.Array:
+    """How many buckets either sketch fills, and how many of these have equal registers."""
     left, right = (np.frombuffer(b"".join(x.to_pylist()), np.uint16).reshape(-1, REGISTERS) for x in (a, b))
-    return pa.array((left == right).sum(axis=1).astype(np.int32), pa.int32())
+    filled = (left != EMPTY) | (right != EMPTY)
+    counts = [(filled & (left == right)).sum(axis=1), filled.sum(axis=1)]
+    return pa.StructArray.from_arrays([pa.array(c.astype(np.int32), pa.int32()) for c in counts], ["equal", "filled"])
 
 
-def estimate(equal: Column, n: Column, m: Column) -> Column:
-    """Jaccard from equal registers, less the collisions to expect."""
-    by_chance = F.lit(_COLLISIONS * REGISTERS / 2**MANTISSA) * n.cast("double") * m / ((n + m).cast("double") * (n + m))
-    return (equal - by_chance) / (F.lit(float(REGISTERS)) - by_chance)
+def estimate(equal: Column, filled: Column, n: Column, m: Column) -> Column:
+    """Jaccard from the equal ones of ``filled`` registers, less the collisions to expect."""
+    by_chance = F.lit(_COLLISIONS / 2**MANTISSA) * filled * n.cast("double") * m / ((n + m).cast("double") * (n + m))
+    return (equal - by_chance) / (filled - by_chance)
 
 
 class _Verifier:
@@ -153,17 +167,25 @@ class _Verifier:
         self.texts, self.classes, self.shingle, self.percent = texts, classes, shingle, percent
         self.round = 0
 
+    def sets(self, docs: DataFrame, name: str) -> DataFrame:
+        """``(doc, items)``: the full sets of the documents that ``docs (doc)`` names."""
+        wanted = docs.groupBy("doc").agg(F.lit(1).alias("one")).drop("one")
+        found = self.texts.join(wanted, "doc", "left_semi").mapInArrow(_sets(self.shingle), "doc bigint, items array<bigint>")
+        return materialize(found, name)
+
     def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that are linked."""
         self.round += 1
         side = lambda x: self.classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
         pairs = materialize(pairs.groupBy("a", "b").agg(F.lit(1).alias("one")).drop("one"), f"pairs_{self.round}")
         near = pairs.join(side("a"), "a").join(side("b"), "b")
         near = near.where(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
-        close = estimate(_equal_registers("regs_a", "regs_b"), F.col("n_a"), F.col("n_b")) >= self.percent / 100 - MARGIN
-        near = materialize(near.where((F.least("n_a", "n_b") < DENSE) | close).select("a", "b", "n_a", "n_b"), f"near_{self.round}")
-        wanted = near.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.lit(1).alias("one")).drop("one")
-        sets = self.texts.join(wanted, "doc", "left_semi").mapInArrow(_sets(self.shingle), "doc bigint, items array<bigint>")
-        sets = materialize(sets, f"sets_{self.round}")
+        near = near.withColumn("r", _shared_registers("regs_a", "regs_b"))
+        p = self.percent / 100
+        slack = F.lit(SIGMAS * math.sqrt(p * (1 - p))) / F.sqrt("r.filled")
+        near = near.where(estimate(F.col("r.equal"), F.col("r.filled"), F.col("n_a"), F.col("n_b")) >= F.lit(p) - slack)
+        near = materialize(near.select("a", "b", "n_a", "n_b"), f"near_{self.round}")
+        sets = self.sets(near.select(F.explode(F.array("a", "b")).alias("doc")), f"sets_{self.round}")
         full = near.join(sets.select(F.col("doc").alias("a"), F.col("items").alias("items_a")), "a")
         full = full.join(sets.select(F.col("doc").alias("b"), F.col("items").alias("items_b")), "b")
         both = F.size(F.array_intersect("items_a", "items_b"))
@@ -178,49 +200,99 @@ def components(links: DataFrame, name: str = "labels") -> DataFrame:
     k = 0
     while True:
         k += 1
-        around = edges.join(labels, F.col("a") == F.col("vertex")).select(F.col("b").alias("vertex"), "label")
+        none = F.lit(None).cast("bigint").alias("old")
+        around = edges.join(labels, F.col("a") == F.col("vertex")).select(F.col("b").alias("vertex"), "label", none)
         jump = labels.select(F.col("vertex").alias("v"), F.col("label").alias("via"))
-        jump = jump.join(labels.select(F.col("vertex").alias("via"), F.col("label")), "via").select(F.col("v").alias("vertex"), "label")
-        own = labels.select("vertex", F.col("label"))
-        least = around.union(jump).union(own).groupBy("vertex").agg(F.min("label").alias("label"))
+        jump = jump.join(labels.select(F.col("vertex").alias("via"), F.col("label")), "via").select(F.col("v").alias("vertex"), "label", none)
+        own = labels.select("vertex", "label", F.col("label").alias("old"))
+        least = around.union(jump).union(own).groupBy("vertex").agg(F.min("label").alias("label"), F.max("old").alias("old"))
         least = materialize(least, f"{name}_{k}")
-        moved = least.agg(F.sum("label")).first()[0] != labels.agg(F.sum("label")).first()[0]
-        labels = least
-        if not moved:
+        labels = least.select("vertex", "label")
+        if least.where(F.col("label") != F.col("old")).isEmpty():
             return labels
 
 
-def _settle(rows: DataFrame, links: DataFrame, verify: _Verifier) -> DataFrame:
-    """Labels of ``links`` and of all links within buckets: ``rows (key, rep, n)`` are the members of each."""
-    before, k = None, 0
+def joined(labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """``labels`` with more ``links``: components are only sought among the labels that these connect."""
+    of = lambda x: labels.select(F.col("vertex").alias(x), F.col("label").alias(f"label_{x}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    more = components(ends.where(F.col("a") != F.col("b")), name)
+    old = labels.join(more.select(F.col("vertex").alias("label"), F.col("label").alias("new")), "label", "left").select("vertex", F.coalesce("new", "label").alias("label"))
+    return materialize(old.unionByName(more).groupBy("vertex").agg(F.min("label").alias("label")), f"{name}_joined")
+
+
+def _split(rows: DataFrame, verify: _Verifier, name: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs with each cluster's lightest document, and narrower groups ``(key, rep, n)``.
+
+    ``rows (key, rep, n, label)``: the documents of each cluster.
+    """
+    p = verify.percent
+    sets = verify.sets(rows.select(F.col("rep").alias("doc")), f"{name}_sets")
+    each = rows.join(sets.withColumnRenamed("doc", "rep"), "rep")
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    held = each.select("key", F.explode("items").alias("item")).groupBy("key", "item").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > 1)
+    held = materialize(held.join(sizes, "key"), f"{name}_held")
+    common = held.where(2 * F.col("held") > F.col("size")).groupBy("key").agg(F.collect_list("item").alias("common"))
+    each = each.join(common, "key", "left").withColumn("common", F.coalesce("common", F.array().cast("array<bigint>")))
+    entry = lambda gone: lambda i: F.struct(i.alias("item"), F.lit(gone).alias("gone"))
+    lacks, has = F.array_except("common", "items"), F.array_except("items", "common")
+    diffs = each.select(
+        "key", "rep", "n", "label", (100 * F.size(lacks).cast("long") + p * F.size(has).cast("long")).alias("w"),
+        ((100 - p) * F.size("common").cast("long")).alias("free"), F.concat(F.transform(lacks, entry(True)), F.transform(has, entry(False))).alias("diffs"),
+    )
+    diffs = materialize(diffs, f"{name}_diffs")
+    light = materialize(diffs.groupBy("key").agg(F.min(F.struct("w", "rep", "label")).alias("light")), f"{name}_light")
+    diffs = diffs.join(light, "key").withColumn("over", F.col("w") + F.col("light.w") - F.col("free"))
+    pairs = diffs.where((F.col("over") <= 0) & (F.col("label") != F.col("light.label"))).select(F.least("rep", "light.rep").alias("a"), F.greatest("rep", "light.rep").alias("b"))
+
+    shared = F.greatest(F.lit(1), F.ceil(F.col("over") / (100 + p)))
+    entries = diffs.select("key", "rep", "n", (F.size("diffs") - shared + 1).cast("int").alias("prefix"), F.explode("diffs").alias("d")).where(F.col("prefix") > 0)
+    entries = entries.select("key", "rep", "n", "prefix", "d.item", "d.gone").join(held, ["key", "item"], "left")
+    often = F.coalesce(F.when(F.col("gone"), F.col("size") - F.col("held")).otherwise(F.col("held")), F.lit(1))
+    ranked = entries.groupBy("key", "rep").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.array_sort(F.collect_list(F.struct(often.alias("often"), "item", "gone"))).alias("d"))
+    prefix = F.filter(F.slice("d", F.lit(1), F.col("prefix")), lambda d: d["often"] > 1)
+    narrow = ranked.select("key", "rep", "n", F.explode(prefix).alias("d")).select(F.xxhash64("key", "d.item", "d.gone").alias("key"), "rep", "n")
+    return pairs, materialize(narrow, f"{name}_narrow")
+
+
+def _settle(rows: DataFrame, labels: DataFrame, verify: _Verifier) -> DataFrame:
+    """Labels of ``labels`` and of all links within groups: ``rows (key, rep, n)`` are the members of each."""
+    k = 0
     while True:
         k += 1
-        labels = components(links, f"settled_{k}")
         of = labels.select(F.col("vertex").alias("rep"), F.col("label").alias("found"))
-        rows = rows.join(of, "rep", "left").select("key", "rep", "n", F.coalesce("found", "rep").alias("label"))
-        groups = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("own"))
-        sizes = groups.groupBy("key").agg(F.sum("own").alias("size"), F.sum(F.col("own") * F.col("own")).alias("within"))
-        sizes = materialize(sizes.where(F.col("size") * F.col("size") > F.col("within")), f"mixed_{k}")
-        members, left = sizes.agg(F.sum("size"), F.sum((F.col("size") * F.col("size") - F.col("within")) / 2)).first()
-        if not left:
+        rows = materialize(rows.join(of, "rep", "left").select("key", "rep", "n", F.coalesce("found", "rep").alias("label")), f"groups_{k}")
+        same = F.bit_xor(F.xxhash64("rep")).alias("same")
+        groups = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("own"), same)
+        sizes = groups.groupBy("key").agg(F.sum("own").alias("size"), F.sum(F.col("own") * F.col("own")).alias("within"), F.bit_xor("same").alias("same"))
+        sizes = sizes.where(F.col("size") * F.col("size") > F.col("within"))
+        # of groups with the same members one is enough
+        sizes = sizes.groupBy("size", "within", "same").agg(F.min("key").alias("key"))
+        large = (F.col("size") * F.col("size") - F.col("within") > 2 * FEW * F.col("size")).alias("large")
+        sizes = materialize(sizes.select("key", large), f"mixed_{k}")
+        kinds = {r["large"] for r in sizes.select("large").distinct().collect()}
+        if not kinds:
             return labels
-        rows = materialize(rows.join(sizes.select("key", "size"), "key"), f"apart_{k}")
-        last = left <= FEW * members or (before is not None and left > before / 2)
-        before = left
-        if last:
-            b = rows.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-            near = 100 * F.least("n", "n_b") >= verify.percent * F.greatest("n", "n_b")
-            pairs = rows.join(b, "key").where((F.col("rep") < F.col("b")) & (F.col("label") != F.col("label_b")) & near).select(F.col("rep").alias("a"), "b")
-        else:
-            own = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("own"))
-            met = rows.join(own, ["key", "label"]).groupBy("rep").agg(F.sum(F.col("size") - F.col("own")).alias("met"))
-            hubs = rows.join(met, "rep").groupBy("key").agg(F.max(F.struct("met", "rep", "label")).alias("hub"))
-            pairs = rows.join(materialize(hubs, f"hubs_{k}"), "key").where(F.col("label") != F.col("hub.label"))
-            pairs = pairs.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b"))
-        links = links.union(materialize(verify.links(pairs), f"settled_links_{k}"))
-        if last:
-            return components(links, "all")
-        rows = rows.select("key", "rep", "n")
+        rows = materialize(rows.join(sizes, "key"), f"apart_{k}")
+        few = rows.where(~F.col("large"))
+        b = few.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
+        near = 100 * F.least("n", "n_b") >= verify.percent * F.greatest("n", "n_b")
+        pairs = few.join(b, "key").where((F.col("rep") < F.col("b")) & (F.col("label") != F.col("label_b")) & near).select(F.col("rep").alias("a"), "b")
+        more = None
+        if True in kinds:
+            many = rows.where("large").select("key", "rep", "n", "label")
+            if k == 1:
+                # a document is in many buckets but in one cluster
+                star = many.join(many.groupBy("key").agg(F.min("rep").alias("low")), "key")
+                cluster = components(star.select(F.col("rep").alias("a"), F.col("low").alias("b")), "clusters").select(F.col("vertex").alias("rep"), F.col("label").alias("cluster"))
+                many = many.groupBy("rep", "n", "label").agg(F.lit(1).alias("one")).join(cluster, "rep").select(F.col("cluster").alias("key"), "rep", "n", "label")
+                many = materialize(many, "cluster_members")
+            direct, more = _split(many, verify, f"split_{k}")
+            pairs = pairs.union(direct)
+        labels = joined(labels, materialize(verify.links(pairs), f"settled_links_{k}"), f"settled_{k}")
+        if more is None:
+            return labels
+        rows = more
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -233,35 +305,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text:
     classes = materialize(classes, "classes")
 
     rows = classes.select("rep", "n", F.explode("bands").alias("key"))
-    mask = F.xxhash64("key")
-    masked = F.col("rep").bitwiseXOR(mask)
-    buckets = rows.groupBy("key").agg(F.min("rep").alias("low"), F.min(masked).alias("x"), F.max(masked).alias("y"))
-    buckets = buckets.where(F.col("x") != F.col("y"))
-    buckets = materialize(buckets.select("key", "low", F.col("x").bitwiseXOR(mask).alias("x"), F.col("y").bitwiseXOR(mask).alias("y")), "buckets")
-    shared = materialize(rows.join(buckets, "key").select("key", "rep", "n", "low", "x", "y"), "shared")
-    members = materialize(shared.groupBy("rep", "low", "x", "y").agg(F.lit(1).alias("one")).drop("one"), "members")
-
-    def pairs(frame: DataFrame, *other: str) -> DataFrame:
-        ends = F.explode(F.array(*[F.col(o) for o in other])).alias("to")
-        found = frame.select("rep", ends).where(F.col("rep") != F.col("to"))
-        return found.select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b"))
-
+    buckets = rows.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where(F.col("low") != F.col("high"))
+    buckets = materialize(buckets.select("key", "low"), "buckets")
+    shared = materialize(rows.join(buckets, "key").select("key", "rep", "n", "low"), "shared")
     verify = _Verifier(texts, classes, shingle, percent)
-    first = materialize(verify.links(pairs(members, "low")), "links_1")
-    labels = components(first, "first")
-
-    rest = pairs(members, "x", "y").groupBy("a", "b").agg(F.lit(1).alias("one")).drop("one")
-    of = lambda x: labels.select(F.col("vertex").alias(x), F.col("label").alias(f"label_{x}"))
-    rest = rest.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    apart = F.coalesce("label_a", "a") != F.coalesce("label_b", "b")
-    second = materialize(verify.links(rest.where(apart).select("a", "b")), "links_2")
+    first = verify.links(shared.where(F.col("low") != F.col("rep")).select(F.col("low").alias("a"), F.col("rep").alias("b")))
+    # a doc_id with several texts links their classes
     twin = real.groupBy("doc").agg(F.min("d1").alias("x1"), F.max("d1").alias("y1")).where(F.col("x1") != F.col("y1"))
     twin_links = (
         sketch.join(twin.select("doc"), "doc", "left_semi").join(classes.select("d1", "d2", "n", "rep"), ["d1", "d2", "n"])
         .where(F.col("doc") != F.col("rep")).select(F.col("rep").alias("a"), F.col("doc").alias("b"))
     )
-    links = materialize(first.union(second).union(twin_links), "links")
-    labels = _settle(shared.select("key", "rep", "n"), links, verify)
+    links = materialize(first.union(twin_links), "links")
+    labels = _settle(shared.select("key", "rep", "n"), components(links), verify)
 
     named = classes.select("d1", "d2", "n", "rep").join(labels.withColumnRenamed("vertex", "rep"), "rep", "left")
     named = materialize(named.select("d1", "d2", "n", F.coalesce("label", "rep").alias("label")), "class_labels")
