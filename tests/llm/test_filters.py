@@ -273,6 +273,59 @@ def test_raw_elements_without_an_end_cut_no_page():
         assert texts(f"<p>one</p><{tag}>var x</{tag}><p>two</p>") == ["one", "two"]
 
 
+def test_malformed_and_deep_pages_take_linear_time():
+    """Sizes at which anything quadratic would take minutes."""
+    import time
+
+    deep = "<div class='a b'>x" * 50_000
+    pages = ["<a " * 300_000, "<a \"' > " * 100_000, deep, deep + "</p>" * 100_000, "<p>y</b></i></q></span></em>" * 50_000, "<svg>" * 200_000, "<!-- " * 200_000, "<" * 500_000, "<p title='" * 100_000 + ">"]
+    for page in pages:
+        start = time.perf_counter()
+        found = htmltext.blocks(page)
+        assert time.perf_counter() - start < 8, page[:20]
+        htmltext.vectors([found])
+    assert len(htmltext.blocks(deep)) == 50_000
+
+
+def test_paths_are_the_open_elements():
+    """Running sums equal those of the tokens of all open elements."""
+    page = "<body><div class='a b'><p>one<div id=c><ul><li>two<li>three</ul></div></em></div></section><p class=a>four<table><tr><td>five</table>six"
+    want = [
+        ("one", "body div .a .b p leaf:p"), ("two", "body div .a .b .c ul li leaf:li"), ("three", "body div .a .b .c ul li leaf:li"),
+        ("four", "body p .a leaf:p"), ("five", "body table tr td leaf:td"), ("six", "body leaf:body"),
+    ]
+    got = htmltext.blocks(page)
+    assert [b[0] for b in got] == [t for t, _ in want]
+    for (_, vector, _), (text, tokens) in zip(got, want):
+        sums = np.zeros(htmltext._PATH)
+        for token in set(tokens.split()):
+            slot, sign = htmltext._slot(token)
+            sums[slot] += sign
+        assert (vector == sums).all(), text
+
+
+def test_main_text_of_pages_written_by_hand(spark):
+    """Pages in shapes of their own, not made by the training pages' rules."""
+    news = """<!doctype html><html><head><title>Town paper</title><meta name=x content="a > b"></head><body class="home">
+    <div id="cookie-banner"><span>We use cookies.</span> <button>OK</button></div>
+    <header class="top"><a href="/"><img src=l.png></a><nav><a href="/a">News</a> <a href="/b">Sport</a></nav></header>
+    <div class="page"><main><article class="story"><h1>The bridge is open again</h1>
+    <p>After two years of work the old bridge over the river was opened on Monday, and many people came to walk across it.</p>
+    <p>The mayor thanked all who had helped. &ldquo;It was hard,&rdquo; she said, &ldquo;but we are glad that it is done.&rdquo;</p>
+    <p>Cars may cross from Friday on; until then the road stays closed to all traffic but buses and bicycles.</p></article></main>
+    <aside class="sidebar"><h3>Most read</h3><ul><li><a href="/1">Rain again</a></li><li><a href="/2">New school</a></li></ul></aside></div>
+    <section class="comments"><h3>2 comments</h3><div class="comment"><b>ann</b> says: <p>I walked over it today, and it is very fine.</p></div></section>
+    <footer class="site-footer"><p>&copy; 2021 Town paper. All rights reserved.</p><a href="/imprint">Imprint</a></footer></body></html>"""
+    got = htmltext.extract_main_text(spark.createDataFrame([(1, "u", news)], "page_id long, url string, html string")).first()
+    want = [
+        "The bridge is open again",
+        "After two years of work the old bridge over the river was opened on Monday, and many people came to walk across it.",
+        "The mayor thanked all who had helped. “It was hard,” she said, “but we are glad that it is done.”",
+        "Cars may cross from Friday on; until then the road stays closed to all traffic but buses and bicycles.",
+    ]
+    assert got.text == "\n\n".join(want)
+
+
 def test_labeller_on_unseen_pages():
     rng = np.random.default_rng(1234)
     made = [htmltext.training_page(rng) for _ in range(150)]

@@ -23,6 +23,7 @@ from __future__ import annotations
 import functools
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,9 @@ _HIDDEN = 16
 _PATH, _WORDS, _COUNTS = 128, 32, 8
 _SIZE = _PATH + _WORDS + _COUNTS
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_OPENING = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+#: What may stand between a tag's name and its end; a quoted ``>`` does not end it.
+_INSIDE = re.compile(r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 #: Tags that do not end a block.
@@ -48,6 +51,7 @@ _RAW = frozenset("script style template noscript iframe svg object math canvas".
 #: Of these, those that ``/>`` makes empty; and those that run to the page's end when nothing closes them.
 _EMPTIED = frozenset("iframe svg object math".split())
 _TO_THE_END = frozenset("script style".split())
+_END_OF = {tag: re.compile(f"</{tag}", re.I) for tag in _RAW}
 #: A slash that belongs to an attribute's value.
 _VALUE_SLASH = re.compile(r"=\s*[^\s\"']+/\Z")
 #: What an opening tag closes when it is still open.
@@ -74,10 +78,55 @@ def _attributes(raw: str) -> list[str]:
     return out
 
 
-def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
-    """(text, path tokens, share of linked characters) of every leaf block in order."""
-    out: list[tuple[str, tuple[str, ...], float]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+class _Path:
+    """The open elements, with a running sum of their hashed tokens; a token counts once."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.open: Counter[str] = Counter()
+        self.held: Counter[str] = Counter()
+        self.sums = np.zeros(_PATH, np.float32)
+
+    def push(self, tag: str, tokens: tuple[str, ...]) -> None:
+        self.stack.append((tag, tokens))
+        self.open[tag] += 1
+        for token in tokens:
+            if not self.held[token]:
+                slot, sign = _slot(token)
+                self.sums[slot] += sign
+            self.held[token] += 1
+
+    def pop(self) -> str:
+        tag, tokens = self.stack.pop()
+        self.open[tag] -= 1
+        for token in tokens:
+            self.held[token] -= 1
+            if not self.held[token]:
+                slot, sign = _slot(token)
+                self.sums[slot] -= sign
+        return tag
+
+    def close(self, tag: str) -> None:
+        """Ends the innermost such element and all inside it; a stray tag ends nothing."""
+        while self.open[tag] and self.pop() != tag:
+            pass
+
+    def vector(self) -> np.ndarray:
+        out = self.sums.copy()
+        slot, sign = _slot(f"leaf:{self.stack[-1][0] if self.stack else 'body'}")
+        out[slot] += sign
+        return out
+
+
+def blocks(page: str) -> list[tuple[str, np.ndarray, float]]:
+    """(text, vector of the path, share of linked characters) of every leaf block in order.
+
+    Time and memory are in proportion to the page, however deep its elements are
+    and whatever its tags leave open.  A tag that no ``>`` outside quotes ends, ends at the next
+    ``>``, and so do all tags after it.
+    """
+    out: list[tuple[str, np.ndarray, float]] = []
+    path = _Path()
     text: list[str] = []
     linked, in_link = 0, 0
     unclosed: set[str] = set()
@@ -87,16 +136,16 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
         if text:
             whole = " ".join(html_lib.unescape("".join(text)).split())
             if whole:
-                path = [t for _, tokens in stack for t in tokens]
-                leaf = stack[-1][0] if stack else "body"
-                out.append((whole, (*path, f"leaf:{leaf}"), min(1.0, linked / len(whole))))
+                out.append((whole, path.vector(), min(1.0, linked / len(whole))))
         text.clear()
         linked = 0
 
-    at, end = 0, len(page)
+    at, end, quotes = 0, len(page), True
+    last = page.rfind(">")
     while at < end:
-        m = _TOKEN.search(page, at)
-        if m is None:
+        m = _OPENING.search(page, at)
+        comment = m is not None and m[0] == "<!--"
+        if m is None or (m.start() > last and not comment):
             text.append(page[at:])
             break
         if m.start() > at:
@@ -104,9 +153,17 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
             text.append(piece)
             if in_link:
                 linked += len(piece.strip())
-        at = m.end()
         if m[2] is None:
+            stop = page.find("-->" if comment else ">", m.end())
+            at = end if stop < 0 else stop + (3 if comment else 1)
             continue
+        inside = _INSIDE.match(page, m.end()) if quotes else None
+        if inside is None:
+            quotes = False
+            at = page.index(">", m.end()) + 1
+            attributes = page[m.end() : at - 1]
+        else:
+            at, attributes = inside.end(), inside[1]
         tag = m[2].lower()
         if tag in _INLINE:
             if tag == "a":
@@ -117,15 +174,12 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
         flush()
         in_link = 0
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            path.close(tag)
             continue
         if tag in _RAW:
-            if tag in unclosed or (tag in _EMPTIED and m[3].endswith("/") and not _VALUE_SLASH.search(m[3])):
+            if tag in unclosed or (tag in _EMPTIED and attributes.endswith("/") and not _VALUE_SLASH.search(attributes)):
                 continue
-            close = re.compile(f"</{tag}", re.I).search(page, at)
+            close = _END_OF[tag].search(page, at)
             if close is None:
                 if tag in _TO_THE_END:
                     break
@@ -135,15 +189,15 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
             at = end if stop < 0 else stop + 1
             continue
         closes = _CLOSES.get(tag) or (("p",) if tag in _ENDS_P else ())
-        while stack and stack[-1][0] in closes:
-            stack.pop()
-        if tag not in _VOID and not m[3].endswith("/"):
-            stack.append((tag, (tag, *_attributes(m[3]))))
+        while path.stack and path.stack[-1][0] in closes:
+            path.pop()
+        if tag not in _VOID and not attributes.endswith("/"):
+            path.push(tag, (tag, *_attributes(attributes)))
     flush()
     return out
 
 
-def vectors(pages: list[list[tuple[str, tuple[str, ...], float]]]) -> tuple[np.ndarray, np.ndarray]:
+def vectors(pages: list[list[tuple[str, np.ndarray, float]]]) -> tuple[np.ndarray, np.ndarray]:
     """One row per block of all pages, and the pages' row bounds."""
     flat = [b for page in pages for b in page]
     bounds = np.zeros(len(pages) + 1, np.int64)
@@ -151,16 +205,7 @@ def vectors(pages: list[list[tuple[str, tuple[str, ...], float]]]) -> tuple[np.n
     x = np.zeros((len(flat), _SIZE), np.float32)
     if not flat:
         return x, bounds
-    seen: dict[tuple[str, ...], np.ndarray] = {}
-    for k, (_, path, _) in enumerate(flat):
-        v = seen.get(path)
-        if v is None:
-            v = np.zeros(_PATH, np.float32)
-            for token in set(path):
-                slot, sign = _slot(token)
-                v[slot] += sign
-            seen[path] = v
-        x[k, :_PATH] = v
+    x[:, :_PATH] = [b[1] for b in flat]
     words = arrowtext.Words(pa.array([b[0] for b in flat]), lower=True, letters=True)
     h = words.hashes
     slot = (h % np.uint64(_WORDS)).astype(np.int64)
@@ -264,14 +309,19 @@ class Labeller:
         self._back(x, tb, "b", dfull[..., _HIDDEN : 2 * _HIDDEN], grads)
         return loss, grads
 
-    def label(self, x: np.ndarray, bounds: np.ndarray, at_once: int = 128) -> np.ndarray:
-        """True for main-text blocks; pages of like length are read together."""
+    def label(self, x: np.ndarray, bounds: np.ndarray, at_once: int = 128, cells: int = 1 << 15) -> np.ndarray:
+        """True for main-text blocks; pages of like length are read together, ``cells`` blocks at most or one page."""
         out = np.zeros(len(x), bool)
         sizes = np.diff(bounds)
         order = np.argsort(sizes, kind="stable")
         order = order[sizes[order] > 0]
-        for k in range(0, len(order), at_once):
-            chosen = order[k : k + at_once]
+        k = 0
+        while k < len(order):
+            n = 1
+            while n < at_once and k + n < len(order) and (n + 1) * sizes[order[k + n]] <= cells:
+                n += 1
+            chosen = order[k : k + n]
+            k += n
             xs, mask, rows = padded(x, bounds, chosen)
             z = self.logits(xs, mask)[0]
             out[rows[mask > 0]] = z[mask > 0] > 0
