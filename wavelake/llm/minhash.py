@@ -59,7 +59,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from wavelake.llm import arrowtext
-from wavelake.llm.storage import materialize
+from wavelake.llm.storage import materialize, scratch
 
 REGISTERS = 128
 MANTISSA = 10
@@ -297,9 +297,15 @@ def _settle(rows: DataFrame, labels: DataFrame, verify: _Verifier) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``."""
+    with scratch(docs.sparkSession) as keep:
+        return _near_duplicates(docs, shingle, percent, text, doc_id, keep)
+
+
+def _near_duplicates(docs: DataFrame, shingle: int, percent: int, text: str, doc_id: str, keep) -> DataFrame:
     texts = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc"), F.col(f"`{text}`").alias("text"))
     sketch = texts.mapInArrow(_sketches(shingle), "doc bigint, n bigint, d1 bigint, d2 bigint, regs binary, bands array<bigint>")
     sketch = materialize(sketch, "sketches")
+    slim = keep(sketch.select("doc", "n", "d1", "d2"), "sizes")
     real = sketch.where((F.col("n") > 0) & F.col("doc").isNotNull())
     classes = real.groupBy("d1", "d2", "n").agg(F.min("doc").alias("rep"), F.max("regs").alias("regs"), F.max("bands").alias("bands"))
     classes = materialize(classes, "classes")
@@ -320,7 +326,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text:
     labels = _settle(shared.select("key", "rep", "n"), components(links), verify)
 
     named = classes.select("d1", "d2", "n", "rep").join(labels.withColumnRenamed("vertex", "rep"), "rep", "left")
-    named = materialize(named.select("d1", "d2", "n", F.coalesce("label", "rep").alias("label")), "class_labels")
-    out = sketch.select("doc", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left")
+    named = keep(named.select("d1", "d2", "n", F.coalesce("label", "rep").alias("label")), "class_labels")
+    out = slim.join(named, ["d1", "d2", "n"], "left")
     component = F.when(F.col("doc").isNotNull(), F.coalesce("label", "doc"))
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"))
