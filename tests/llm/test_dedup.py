@@ -29,6 +29,16 @@ def test_word_hashes_agree_with_the_words():
     assert upper.counts.tolist() == [2] and (upper.hashes == arrowtext.Words(pa.array(["aé bÉ1"]), letters=True).hashes).all()
 
 
+def test_regular_words_have_fingerprints_of_their_own():
+    """Texts on which polynomial hashes modulo 2**64 collide."""
+    a = "a"
+    b = "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    w = arrowtext.Words(pa.array([f"{a} {b}"]))
+    assert w.hashes[0] != w.hashes[1]
+
+
 def test_slices_cut_no_text():
     texts = ["x" * 400_000, "", None, "y" * 10, "z" * 300_000]
     batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
@@ -234,10 +244,14 @@ def brute_substrings(rows, window):
     return out
 
 
-@pytest.mark.parametrize("max_bits", [twice.MAX_BITS, 1])
-def test_substring_dedup(docs, documents, max_bits):
-    """By filters, and by joins where the filters would be too small."""
-    got = Counter(tuple(r) for r in substring.dedup_substrings(docs, max_bits=max_bits).collect())
+@pytest.mark.parametrize("full", [False, True])
+def test_substring_dedup(docs, documents, full, monkeypatch):
+    """The same result where the filters are full and let everything through."""
+    if full:
+        ones = np.full(1 << 13, 255, np.uint8)
+        monkeypatch.setattr(substring, "_member_bits", lambda *args: ones)
+        monkeypatch.setattr(twice, "twice_filter_of", lambda *args: ones)
+    got = Counter(tuple(r) for r in substring.dedup_substrings(docs).collect())
     want = brute_substrings(documents, 35)
     assert got == want and sum(n for _, _, n, _ in want) > 500
 

@@ -3,16 +3,20 @@
 The heavy text operators read whole texts in ``mapInArrow`` tasks.  A Python
 loop over words would dominate their cost, so words are located and hashed with
 numpy on the column's byte buffer: a prefix sum of ``byte * P**position`` gives
-the polynomial hash of any word (or of any word window) by one subtraction.
+the polynomial hash of any word (or of any word window) by one subtraction.  Such hashes
+modulo 2**64 are weak for long, regular ranges of bytes, so words beyond
+``LONG_WORD`` bytes are hashed one by one with BLAKE2.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+LONG_WORD = 64
 #: Bytes of text that are hashed at once; a longer text is one slice of its own.
 SLICE_BYTES = 1 << 18
 
@@ -133,7 +137,10 @@ class Words:
             self._sums = np.zeros(len(self.data) + 1, np.uint64)
             np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=self._sums[1:])
         h = (self._sums[ends] - self._sums[starts]) * down[starts]
-        return mix(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
+        h = mix(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
+        for k in np.flatnonzero(ends - starts > LONG_WORD):
+            h[k] = int.from_bytes(hashlib.blake2b(self.data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+        return h
 
     @property
     def hashes(self) -> np.ndarray:

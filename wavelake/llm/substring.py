@@ -13,22 +13,24 @@ that it is there.  A window that contains a symbol's whole context shows the sam
 symbol at the same place wherever else it occurs.  A window's anchor is, of the
 highest level that has such symbols (level 0, the words, always has),
 the one whose name hashes lowest; equal windows have equal anchors.  Windows next to each other mostly
-share one, and an anchor with its run of windows is an *occurrence*.
+share one, and an anchor with its run of windows is an *occurrence*.  It is named by the
+words of the anchor's context.
 
-1. A pass over the texts puts the anchors' names into a once- and a twice-filter
-   (``twice``).
-2. A second pass writes the occurrences whose name may repeat, each with a
-   fingerprint of all words its windows cover (its span).  Spans that occur twice or
+1. A pass over the texts counts the names of all occurrences; those that
+   occur twice or more are *repeated*.
+2. A second pass joins the occurrences with the repeated names, each with a
+   fingerprint of all words that its windows cover (its span).  Spans that occur twice or
    more repeat as a whole.
 3. A name with different spans (at the ends of shared passages and around edits) may
-   still have windows in common.  Of such names all single spans and one holder of
-   each repeated span go into a bounded Bloom filter; a third pass writes the 128-bit
-   fingerprints of only their windows, and those that occur twice or more repeat.
-4. The ranges found go back to their texts; other texts are not shuffled.
+   still have windows in common.  For such names all single spans and one holder of
+   each repeated span are listed with their texts, which give the 128-bit fingerprints of
+   only their windows; those that occur twice or more repeat.
+4. The ranges found go back to their texts.
 
-Counts are partial aggregations and the joins are between written tables, so a
-passage that a third of all documents share can be split.  Filters are bounded and
-change no result; where the input is too large for them, joins choose the same rows.
+The plan is the same for every size of input: counts are partial aggregations, the joins
+are between tables that Spark can split, and joins alone decide.  In front of each join a Bloom
+filter of bounded size (``twice.MAX_BITS``) drops most rows that the join would drop
+anyway; the more there is, the more rows it lets through.
 
 Edge cases: null, empty and blank texts have no words and lose none; texts shorter
 than a window lose none; repeated rows lose everything that is at least a window
@@ -47,16 +49,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from wavelake.llm import arrowtext, twice
-from wavelake.llm.storage import arrow_rows, materialize
+from wavelake.llm.storage import arrow_rows, materialize, scratch
 
 WINDOW = 35
-ROUNDS = ("run", *["pair"] * 8)
-#: Symbols to choose an anchor from; neighbouring windows mostly choose the same.
-_CHOICE = 1
-#: Bytes of text per name, about, for the size of the first filter.
-_BYTES_PER_NAME = 32
-#: Fewest filter bits a name; with fewer the filters would let most rows through.
-_LEAST_BITS = 4
+#: More rounds give longer symbols, of which a window contains fewer.
+ROUNDS = ("run", *["pair"] * 6)
 
 
 def _run_round(sym, doc, lo, hi, bounds):
@@ -149,10 +146,10 @@ class Occurrences:
             if len(todo) and len(sym):
                 a = np.searchsorted(lo, starts[todo])
                 b = np.searchsorted(hi, starts[todo] + window)
-                fits = b - a >= min(_CHOICE, window)
+                fits = b > a
                 got = todo[fits]
                 j = _least(arrowtext.mix(sym + np.uint64(k)), a[fits], b[fits])
-                name[got] = arrowtext.mix(sym[j] + np.uint64(k))
+                name[got] = arrowtext.mix(arrowtext.range_hash(words.hashes, lo[j], hi[j] + 1) + np.uint64(k))
                 anchor[got] = base + j
                 todo = todo[~fits]
             base += len(sym)
@@ -165,20 +162,23 @@ class Occurrences:
 
 
 def _names(window: int):
-    def run(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for part in arrowtext.slices(batch):
-            yield Occurrences(arrowtext.Words(part.column("text")), window).name
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in arrowtext.slices(batch):
+                name, n = np.unique(Occurrences(arrowtext.Words(part.column("text")), window).name, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(n.astype(np.int64))], ["name", "n"])
 
     return run
 
 
 def _spans(held, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filt = np.frombuffer(held.value, np.uint8)
         for batch in batches:
             for part in arrowtext.slices(batch):
                 words = arrowtext.Words(part.column("text"))
                 occ = Occurrences(words, window)
-                hit = np.arange(len(occ.name)) if held is None else np.flatnonzero(twice.contains(np.frombuffer(held.value, np.uint8), occ.name))
+                hit = np.flatnonzero(twice.contains(filt, occ.name))
                 first, last, doc = occ.first[hit], occ.last[hit], occ.doc[hit]
                 span = arrowtext.range_hash(words.hashes, first, last + window, seed=77)
                 key = part.column("key").to_numpy()[doc]
@@ -189,29 +189,6 @@ def _spans(held, window: int):
     return run
 
 
-def _span_id(name: np.ndarray, span: np.ndarray) -> np.ndarray:
-    return arrowtext.mix(name ^ arrowtext.mix(span))
-
-
-def _holder_id(name: np.ndarray, span: np.ndarray, key: np.ndarray) -> np.ndarray:
-    return arrowtext.mix(_span_id(name, span) + arrowtext.mix(key.view(np.uint64)))
-
-
-def _windows(held, window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filt = np.frombuffer(held.value, np.uint8)
-        for batch in batches:
-            for part in arrowtext.slices(batch):
-                words = arrowtext.Words(part.column("text"))
-                occ = Occurrences(words, window)
-                span = arrowtext.range_hash(words.hashes, occ.first, occ.last + window, seed=77)
-                keys = part.column("key").to_numpy()
-                hit = np.flatnonzero(twice.contains(filt, _span_id(occ.name, span)) | twice.contains(filt, _holder_id(occ.name, span, keys[occ.doc])))
-                yield _fingerprints(words, occ.first[hit], occ.last[hit], occ.doc[hit], keys, window)
-
-    return run
-
-
 def _fingerprints(words: arrowtext.Words, first: np.ndarray, last: np.ndarray, doc: np.ndarray, keys: np.ndarray, window: int) -> pa.RecordBatch:
     """128-bit fingerprints of the windows of some runs."""
     size = last - first + 1
@@ -240,20 +217,6 @@ def _listed_windows(window: int):
     return run
 
 
-def _to_compare(held):
-    """Spans to the ids of the occurrences whose windows must be compared one by one."""
-
-    def run(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        name, span = (batch.column(c).to_numpy().view(np.uint64) for c in ("name", "span"))
-        mixed = twice.contains(np.frombuffer(held.value, np.uint8), name)
-        single = batch.column("n").to_numpy() == 1
-        yield _span_id(name, span)[mixed & single]
-        k = mixed & ~single
-        yield _holder_id(name[k], span[k], batch.column("holder").to_numpy()[k])
-
-    return run
-
-
 _KEPT = StructType([StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("text", StringType())])
 
 
@@ -292,35 +255,34 @@ def _uncut(spark, filt: np.ndarray):
     return uncut.asNondeterministic()  # evaluated once, not again in the filter below
 
 
-def repeated_ranges(texts: DataFrame, window: int = WINDOW, max_bits: int = twice.MAX_BITS) -> DataFrame:
-    """``(key, start, end)``: word ranges inside repeated windows of ``texts (key, text)``; they may overlap.
+def _member_bits(table: DataFrame, column: str, max_bits: int) -> np.ndarray:
+    """A Bloom filter of a bigint column."""
+    bits = min(max_bits, twice.bits_for(table.count()))
+    return twice.member_filter_of(table.select(column), lambda batch: iter([batch.column(0).to_numpy()]), bits)
 
-    While filters of ``max_bits`` can tell names apart, they choose the rows that are written
-    and compared; for larger inputs joins make the same choices.
-    """
+
+def repeated_ranges(texts: DataFrame, window: int = WINDOW, max_bits: int = twice.MAX_BITS) -> DataFrame:
+    """``(key, start, end)``: word ranges inside repeated windows of ``texts (key, text)``; they may overlap."""
     spark = texts.sparkSession
-    number = int((texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // _BYTES_PER_NAME)
-    filtered = _LEAST_BITS * number <= max_bits
-    repeated = spark.sparkContext.broadcast(twice.twice_filter_of(texts.select("text"), _names(window), twice.bits_for(number)).tobytes()) if filtered else None
-    occ = materialize(texts.mapInArrow(_spans(repeated, window), "name bigint, span bigint, key bigint, at int, windows int"), "occurrences")
+    counts = texts.select("text").mapInArrow(_names(window), "name bigint, n bigint").groupBy("name").agg(F.sum("n").alias("n"))
+    repeated = materialize(counts.where(F.col("n") > 1).select("name"), "repeated_names")
+    held = spark.sparkContext.broadcast(_member_bits(repeated, "name", max_bits).tobytes())
+    occ = texts.mapInArrow(_spans(held, window), "name bigint, span bigint, key bigint, at int, windows int")
+    occ = materialize(occ.join(repeated, "name", "left_semi"), "occurrences")
+
     spans = materialize(occ.groupBy("name", "span").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("holder")), "spans")
-    again = spans.where(F.col("n") > 1).select("name", "span")
-    whole = occ.join(again, ["name", "span"]).select("key", F.col("at").alias("start"), (F.col("at") + F.col("windows") + F.lit(window - 1)).alias("end"))
-
-    schema = "h1 bigint, h2 bigint, key bigint, at int"
-    if filtered:
-        bits = twice.bits_for(spans.count())
-        mixed = spark.sparkContext.broadcast(twice.twice_filter_of(spans.select("name"), _column, bits).tobytes())
-        unsure = spark.sparkContext.broadcast(twice.member_filter_of(spans, _to_compare(mixed), bits).tobytes())
-        wins = texts.mapInArrow(_windows(unsure, window), schema)
-    else:
-        mixed = materialize(spans.groupBy("name").agg(F.count(F.lit(1)).alias("spans")).where(F.col("spans") > 1).select("name"), "mixed")
-        open_ = materialize(spans.join(mixed, "name"), "open_spans")
-        runs = occ.join(open_, ["name", "span"]).where((F.col("n") == 1) | (F.col("key") == F.col("holder")))
-        runs = runs.groupBy("key").agg(F.collect_list(F.struct("at", "windows")).alias("runs"))
-        wins = texts.join(runs, "key").mapInArrow(_listed_windows(window), schema)
-    wins = materialize(wins, "windows")
-    suspect = twice.suspects(spark, twice.twice_filter_of(wins.select("h1"), _column, twice.bits_for(wins.count())))
+    mixed = materialize(spans.groupBy("name").agg(F.count(F.lit(1)).alias("spans")).where(F.col("spans") > 1).select("name", F.lit(True).alias("mixed")), "mixed")
+    marked = spans.join(mixed, "name", "left").select("name", "span", (F.col("n") > 1).alias("whole"), F.when(F.col("mixed"), F.when(F.col("n") > 1, F.col("holder"))).alias("holder"), F.coalesce("mixed", F.lit(False)).alias("mixed"))
+    marked = marked.where(F.col("whole") | F.col("mixed"))
+    found = occ.join(marked, ["name", "span"]).select("key", "at", "windows", "whole", (F.col("mixed") & (~F.col("whole") | (F.col("key") == F.col("holder")))).alias("open"))
+    found = materialize(found, "settled")
+    whole = found.where("whole").select("key", F.col("at").alias("start"), (F.col("at") + F.col("windows") + F.lit(window - 1)).alias("end"))
+
+    runs = found.where("open").groupBy("key").agg(F.collect_list(F.struct("at", "windows")).alias("runs"))
+    runs = materialize(runs, "open_runs")
+    listed = texts.where(twice.suspects(spark, _member_bits(runs, "key", max_bits))("key")).join(runs, "key")
+    wins = materialize(listed.mapInArrow(_listed_windows(window), "h1 bigint, h2 bigint, key bigint, at int"), "windows")
+    suspect = twice.suspects(spark, twice.twice_filter_of(wins.select("h1"), _column, min(max_bits, twice.bits_for(wins.count()))))
     likely = wins.where(suspect(F.col("h1")))
     twice_or_more = likely.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
     twice_or_more = materialize(twice_or_more, "repeated_windows")
@@ -334,15 +296,16 @@ def _column(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id", max_bits: int = twice.MAX_BITS) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_words, n_removed, text`` (kept words, one space between)."""
+    spark = docs.sparkSession
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     rows = rows.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
-    with arrow_rows(docs.sparkSession, 1000):
+    with arrow_rows(spark, 1000), scratch(spark) as keep:
         ranges = repeated_ranges(rows.select("key", "text"), window, max_bits)
-        lists = ranges.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("r")).select(F.col("key").alias("r_key"), "r")
-        lists = materialize(lists, "ranges")
+        lists = ranges.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("r")).select(F.col("key").alias("r_key"), "r")
+        lists = keep(lists, "ranges")
     # only texts that may lose words are shuffled to their ranges
-    filt = twice.member_filter(lists, F.array("r_key"), twice.bits_for(lists.count()))
-    listed = rows.where(twice.suspects(docs.sparkSession, filt)("key")).join(lists, F.col("key") == F.col("r_key"), "left")
+    filt = _member_bits(lists, "r_key", max_bits)
+    listed = rows.where(twice.suspects(spark, filt)("key")).join(lists, F.col("key") == F.col("r_key"), "left")
     kept = listed.select("doc_id", _cut("text", F.col("r.start"), F.col("r.end")).alias("k"))
-    other = rows.select("doc_id", _uncut(docs.sparkSession, filt)("key", "text").alias("k")).where(F.col("k").isNotNull())
+    other = rows.select("doc_id", _uncut(spark, filt)("key", "text").alias("k")).where(F.col("k").isNotNull())
     return kept.unionByName(other).select("doc_id", "k.n_words", "k.n_removed", "k.text")
