@@ -2,7 +2,7 @@
 
 import random
 
-CLASHES = ("key", "doc", "n", "size", "kept", "label", "lines", "h1", "start", "_drop")
+CLASHES = ("key", "doc", "n", "size", "kept", "label", "Lines", "h1", "start", "_drop", "_lines", "GONE", "Bad_Key", "_Toxicity", "mix_size", "Mix_Copy", "row", "old")
 
 
 def sentence(rng, n):

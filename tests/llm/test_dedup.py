@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from llm_fixtures import CLASHES
 from wavelake.llm import arrowtext, linededup, minhash, substring, twice
 
 ENDS = " \t\n\x0b\f\r"
@@ -72,10 +73,10 @@ def test_line_dedup(docs, documents):
         kept = [l for l in lines if keeper.get(key(l), i) == i]
         want[i, len(lines), len(lines) - len(kept), "\n".join(kept)] += 1
     out = linededup.dedup_lines(docs)
-    assert out.columns == [*docs.columns, "_lines"]
+    assert out.columns == [*docs.columns, "__lines"]
     got = out.collect()
-    assert Counter((r.doc_id, r["_lines"].n_lines, r["_lines"].n_dropped, r.text or "") for r in got) == want
-    assert all(r["_drop"] == "mine-_drop" if "_drop" in r.asDict() else True for r in got)
+    assert Counter((r.doc_id, r["__lines"].n_lines, r["__lines"].n_dropped, r.text or "") for r in got) == want
+    assert all(r[c] == f"mine-{c}" for r in got for c in CLASHES)
 
 
 def brute_components(rows, percent):

@@ -54,7 +54,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(_documents(spark, sf_dir).select("doc_id", "text"))
-    return out.select("doc_id", "_lines.n_lines", "_lines.n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    counts = F.col(out.columns[-1])
+    return out.select("doc_id", counts["n_lines"].alias("n_lines"), counts["n_dropped"].alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
