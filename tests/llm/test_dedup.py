@@ -175,10 +175,12 @@ def test_near_duplicates_among_form_letters(spark):
 
 
 def test_splitting_finds_all_links_of_a_family(spark, monkeypatch):
-    """Every bucket with two components left is split, over and over; all links are found."""
+    """Clusters are split over and over, and compared in small blocks; all links are found."""
     import random
 
     monkeypatch.setattr(minhash, "FEW", 0.5)
+    monkeypatch.setattr(minhash, "LARGE", 15)
+    monkeypatch.setattr(minhash, "BLOCK_ITEMS", 200)
     rng = random.Random(6)
     rows = []
     for f in range(3):

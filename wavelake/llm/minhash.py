@@ -16,8 +16,11 @@ doc_id that links reach.
    pairs as members, whatever the bucket's size.  Links that these pairs confirm
    give first components.
 4. What is still apart in a bucket is settled exactly.  Where few pairs are left, they
-   are all compared.  Other buckets are merged into clusters and split by *differences*
-   (``_split``), which costs rows in proportion to the members' sets, not to their pairs.
+   are all compared.  Other buckets are merged into clusters.  The members of a cluster
+   of up to ``LARGE`` documents are compared block by block: a row holds the full sets of
+   two blocks of bounded size, and one matrix product gives all intersections; only links
+   between different components come out.  Larger clusters are first split by *differences*
+   (``_split``) into narrower groups.
 5. A pair is verified only if its Jaccard estimate over the buckets that either set
    fills, corrected for the register collisions that ``n``, ``m`` and the mantissa lead
    one to expect, is within ``SIGMAS`` standard deviations of the threshold; it is then
@@ -35,7 +38,7 @@ and all others need at least ``s`` differences in common with whatever they are
 with.  As in any prefix filter, it is enough to look at all but the ``s - 1`` most
 frequent differences of each: those who share one form a new, narrower group.  A group holds
 at most half of its cluster, and large groups are split again by their own common
-shingles, so form letters with many shared shingles don't meet in pairs.
+shingles.
 
 Bucket keys, clusters and classes may be hot: they are only aggregated with partial
 aggregation or joined between tables that Spark can split.
@@ -54,12 +57,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from wavelake.llm import arrowtext
-from wavelake.llm.storage import materialize, scratch
+from wavelake.llm.storage import arrow_rows, materialize, scratch
 
 REGISTERS = 128
 MANTISSA = 10
@@ -67,8 +70,12 @@ ROWS = 5
 BANDS = REGISTERS // ROWS
 #: How far an estimate may lie below the threshold, in its standard deviations at the threshold.
 SIGMAS = 6
-#: Groups with at most so many pairs per member left are not split; their pairs are all compared.
-FEW = 16
+#: Groups with at most so many pairs per member left are settled pair by pair.
+FEW = 4
+#: Clusters of more documents are split by differences; smaller ones are compared in blocks.
+LARGE = 1 << 14
+#: The shingles of a block, where each document counts ``BLOCK_ITEMS / 512`` more.
+BLOCK_ITEMS = 1 << 18
 #: The register of a bucket that no shingle fills.
 EMPTY = 0xFFFF
 
@@ -255,6 +262,67 @@ def _split(rows: DataFrame, verify: _Verifier, name: str) -> tuple[DataFrame, Da
     return pairs, materialize(narrow, f"{name}_narrow")
 
 
+def _block_links(percent: int):
+    """Links between documents of two blocks in different components, one for each pair of components."""
+
+    def compare(left: pa.StructArray, right: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+        reps, labels, sizes, flat, row = [], [], [], [], []
+        for side in (left, right):
+            reps.append(side.field("rep").to_numpy())
+            labels.append(side.field("label").to_numpy())
+            lists = side.field("items")
+            sizes.append(lists.value_lengths().to_numpy())
+            flat.append(lists.flatten().to_numpy())
+            row.append(np.repeat(np.arange(len(side)), sizes[-1]))
+        common = np.intersect1d(*flat)
+        both = np.zeros((len(left), len(right)), np.float32)
+        at = [np.minimum(np.searchsorted(common, f), max(0, len(common) - 1)) for f in flat]
+        hit = [common[a] == f for a, f in zip(at, flat, strict=True)] if len(common) else [np.zeros(len(f), bool) for f in flat]
+        at, row = ([x[h] for x, h in zip(xs, hit, strict=True)] for xs in (at, row))
+        for k in range(0, len(common), 4096):
+            held = []
+            for side in range(2):
+                inside = (at[side] >= k) & (at[side] < k + 4096)
+                m = np.zeros((len(reps[side]), min(4096, len(common) - k)), np.float32)
+                m[row[side][inside], at[side][inside] - k] = 1
+                held.append(m)
+            both += held[0] @ held[1].T
+        both = both.astype(np.int64)
+        either = sizes[0][:, None].astype(np.int64) + sizes[1][None, :] - both
+        i, j = np.nonzero((100 * both >= percent * either) & (labels[0][:, None] != labels[1][None, :]))
+        _, first = np.unique(np.stack([labels[0][i], labels[1][j]]), axis=1, return_index=True)
+        return reps[0][i[first]], reps[1][j[first]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                found = compare(*(batch.column(c)[k].values for c in range(2)))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b"])
+
+    return run
+
+
+def _compare_blocks(rows: DataFrame, verify: _Verifier, name: str) -> DataFrame:
+    """Links between components within clusters ``rows (key, rep, n, label)`` of bounded size."""
+    before = Window.partitionBy("key").orderBy("label", "rep").rowsBetween(Window.unboundedPreceding, -1)
+    weight = F.col("n") + BLOCK_ITEMS // 512
+    placed = rows.withColumn("block", F.floor(F.coalesce(F.sum(weight).over(before), F.lit(0)) / BLOCK_ITEMS).cast("int"))
+    placed = materialize(placed.select("key", "rep", "label", "block"), f"{name}_placed")
+    ends = placed.groupBy("key", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    other = ends.select("key", F.col("block").alias("block_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
+    # blocks are ordered by label, so equal ends mean that both hold the same one component
+    met = ends.join(other, "key").where((F.col("block") <= F.col("block_b")) & ((F.col("low") != F.col("high_b")) | (F.col("high") != F.col("low_b"))))
+    met = materialize(met.select("key", "block", "block_b"), f"{name}_met")
+    sets = verify.sets(placed.select(F.col("rep").alias("doc")), f"{name}_sets").withColumnRenamed("doc", "rep")
+    blocks = placed.join(sets, "rep").groupBy("key", "block").agg(F.collect_list(F.struct("rep", "label", "items")).alias("docs"))
+    with arrow_rows(rows.sparkSession, 4):
+        blocks = materialize(blocks, f"{name}_blocks")
+        left = blocks.select("key", "block", F.col("docs").alias("docs_a"))
+        right = blocks.select("key", F.col("block").alias("block_b"), F.col("docs").alias("docs_b"))
+        both = met.join(left, ["key", "block"]).join(right, ["key", "block_b"]).select("docs_a", "docs_b")
+        return materialize(both.mapInArrow(_block_links(verify.percent), "a bigint, b bigint"), f"{name}_links")
+
+
 def _settle(rows: DataFrame, labels: DataFrame, verify: _Verifier) -> DataFrame:
     """Labels of ``labels`` and of all links within groups: ``rows (key, rep, n)`` are the members of each."""
     k = 0
@@ -268,28 +336,33 @@ def _settle(rows: DataFrame, labels: DataFrame, verify: _Verifier) -> DataFrame:
         sizes = sizes.where(F.col("size") * F.col("size") > F.col("within"))
         # of groups with the same members one is enough
         sizes = sizes.groupBy("size", "within", "same").agg(F.min("key").alias("key"))
-        large = (F.col("size") * F.col("size") - F.col("within") > 2 * FEW * F.col("size")).alias("large")
-        sizes = materialize(sizes.select("key", large), f"mixed_{k}")
-        kinds = {r["large"] for r in sizes.select("large").distinct().collect()}
+        many = (F.col("size") * F.col("size") - F.col("within") > 2 * FEW * F.col("size")).alias("many")
+        sizes = materialize(sizes.select("key", "size", many), f"mixed_{k}")
+        kinds = {r["many"] for r in sizes.select("many").distinct().collect()}
         if not kinds:
             return labels
         rows = materialize(rows.join(sizes, "key"), f"apart_{k}")
-        few = rows.where(~F.col("large"))
+        few = rows.where(~F.col("many"))
         b = few.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
         near = 100 * F.least("n", "n_b") >= verify.percent * F.greatest("n", "n_b")
         pairs = few.join(b, "key").where((F.col("rep") < F.col("b")) & (F.col("label") != F.col("label_b")) & near).select(F.col("rep").alias("a"), "b")
+        found = verify.links(pairs)
         more = None
         if True in kinds:
-            many = rows.where("large").select("key", "rep", "n", "label")
+            many = rows.where("many").select("key", "rep", "n", "label", "size")
             if k == 1:
                 # a document is in many buckets but in one cluster
                 star = many.join(many.groupBy("key").agg(F.min("rep").alias("low")), "key")
-                cluster = components(star.select(F.col("rep").alias("a"), F.col("low").alias("b")), "clusters").select(F.col("vertex").alias("rep"), F.col("label").alias("cluster"))
-                many = many.groupBy("rep", "n", "label").agg(F.lit(1).alias("one")).join(cluster, "rep").select(F.col("cluster").alias("key"), "rep", "n", "label")
+                cluster = components(star.select(F.col("rep").alias("a"), F.col("low").alias("b")), "clusters").select(F.col("vertex").alias("rep"), F.col("label").alias("key"))
+                sizes = cluster.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+                many = many.groupBy("rep", "n", "label").agg(F.lit(1).alias("one")).join(cluster.join(sizes, "key"), "rep").select("key", "rep", "n", "label", "size")
                 many = materialize(many, "cluster_members")
-            direct, more = _split(many, verify, f"split_{k}")
-            pairs = pairs.union(direct)
-        labels = joined(labels, materialize(verify.links(pairs), f"settled_links_{k}"), f"settled_{k}")
+            found = found.union(_compare_blocks(many.where(F.col("size") <= LARGE).drop("size"), verify, f"blocks_{k}"))
+            large = many.where(F.col("size") > LARGE).drop("size")
+            if not large.isEmpty():
+                direct, more = _split(large, verify, f"split_{k}")
+                found = found.union(verify.links(direct))
+        labels = joined(labels, materialize(found, f"settled_links_{k}"), f"settled_{k}")
         if more is None:
             return labels
         rows = more
