@@ -7,14 +7,15 @@ source), which is a plain grouped count, so sketches of parts add up to the sket
 of the whole.  From its quartiles come bounds ``q25 - K * spread`` and
 ``q75 + K * spread`` with ``spread = max(q75 - q25, slack)``: quartiles don't move
 with up to a quarter of bad rows, and the slack keeps constant ratios from
-rejecting all that differs.  A (lang, source) of fewer than ``MIN_DOCS`` documents
-takes the merged sketch of its language, a rare language that of all documents.
+rejecting all that differs.  Quartiles of few documents say little, so a (lang, source) of fewer than
+``min_docs`` documents takes the merged sketch of its language, a rare language that of all documents.
 The bounds are joined back and filter the documents that the base rules let pass.
 
 Edge cases: null, empty and blank texts have no words and fail; null languages and
 sources are groups of their own; rows that fail the base rules still count in the
-sketches, except those without words; repeated rows are judged alike; an empty
-table gives an empty result.
+sketches, except those without words; repeated rows are judged alike, and so are ties (a ratio equal
+to its bound is kept); very long texts are counted whole; an empty
+table gives an empty result; columns of other names are not read.
 """
 
 from __future__ import annotations
@@ -88,19 +89,19 @@ def _bin(value: Column) -> Column:
     return F.when(value > 1e-8, F.ceil(F.ln(value) / F.lit(math.log(_GAMMA)))).otherwise(F.lit(_ZERO_BIN)).cast("int")
 
 
-def _bounds(sketch: DataFrame, keys: list[str], tag: str) -> DataFrame:
-    """``keys`` with one struct of bounds, for groups of ``MIN_DOCS`` documents."""
+def _bounds(sketch: DataFrame, keys: list[str], tag: str, min_docs: int) -> DataFrame:
+    """``keys`` with one struct of bounds, for groups of ``min_docs`` documents."""
     quartiles = sketch.groupBy(*keys, "ratio").agg(F.sum("n").alias("docs"), F.percentile("bin", F.array(F.lit(0.25), F.lit(0.75)), F.col("n")).alias("q"))
     value = lambda k: F.pow(F.lit(_GAMMA), F.get(F.col("q"), k))
     slack = F.element_at(F.create_map(*[x for r, s in SLACK.items() for x in (F.lit(r), F.lit(s))]), F.col("ratio"))
     spread = F.lit(K) * F.greatest(value(1) - value(0), slack)
-    each = quartiles.where(F.col("docs") >= MIN_DOCS).select(*keys, "ratio", (value(0) - spread).alias("lo"), (value(1) + spread).alias("hi"))
+    each = quartiles.where(F.col("docs") >= min_docs).select(*keys, "ratio", (value(0) - spread).alias("lo"), (value(1) + spread).alias("hi"))
     flat = [F.max(F.when(F.col("ratio") == r, F.col(side))).alias(f"{r}_{side}") for r in SLACK for side in ("lo", "hi")]
     wide = each.groupBy(*keys).agg(*flat) if keys else each.agg(*flat)
     return wide.select(*[F.col(k).alias(f"{tag}_{k}") for k in keys], F.struct(*[f"{r}_{s}" for r in SLACK for s in ("lo", "hi")]).alias(tag))
 
 
-def score_quality(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", source: str = "source") -> DataFrame:
+def score_quality(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", source: str = "source", min_docs: int = MIN_DOCS) -> DataFrame:
     """One row per document: its counts, ``base_failed`` and ``kept``."""
     slim = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text"))
     counts = slim.mapInArrow(_count, "doc bigint, lang string, source string, " + ", ".join(f"{c} bigint" for c in _COUNTS))
@@ -108,8 +109,8 @@ def score_quality(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", l
     entries = F.explode(F.array(*[F.struct(F.lit(r).alias("ratio"), _bin(v).alias("bin")) for r, v in _ratios().items()])).alias("e")
     sketch = counts.where(F.col("n_words") > 0).select("lang", "source", entries).groupBy("lang", "source", "e.ratio", "e.bin").agg(F.count(F.lit(1)).alias("n"))
     sketch = materialize(sketch, "sketch")
-    fine, by_lang = _bounds(sketch, ["lang", "source"], "fine"), _bounds(sketch, ["lang"], "coarse")
-    overall = _bounds(sketch, [], "all").first()["all"].asDict()
+    fine, by_lang = _bounds(sketch, ["lang", "source"], "fine", min_docs), _bounds(sketch, ["lang"], "coarse", min_docs)
+    overall = _bounds(sketch, [], "all", min_docs).first()["all"].asDict()
     overall = F.struct(*[F.lit(v).cast("double").alias(k) for k, v in overall.items()])
     groups = sketch.select("lang", "source").distinct()
     groups = groups.join(fine, F.col("lang").eqNullSafe(F.col("fine_lang")) & F.col("source").eqNullSafe(F.col("fine_source")), "left")

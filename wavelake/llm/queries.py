@@ -11,10 +11,10 @@ from wavelake.llm.licenses import COPYRIGHT_LINE, KNOWN, SPELLINGS, scan_license
 from wavelake.llm.linededup import dedup_lines
 from wavelake.llm.minhash import near_duplicates
 from wavelake.llm.mixing import mix
-from wavelake.llm.quality import score_quality
+from wavelake.llm.quality import MIN_DOCS, score_quality
 from wavelake.llm.substring import dedup_substrings
 from wavelake.llm.toxicity import held_out, score_toxicity
-from wavelake.llm.urlfilter import filter_urls
+from wavelake.llm.urlfilter import RULES, filter_urls
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +70,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_documents(spark, sf_dir)).drop("n_lines")
 
 
+def quality_small_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``op10_quality_rules`` with thresholds of their own for groups from five documents on."""
+    return score_quality(_documents(spark, sf_dir), min_docs=5).drop("n_lines")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of ``op2_source_mix`` that SQL can express: sizes and targets of all documents."""
+    return mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_source_mix": op2_source_mix,
@@ -81,6 +91,8 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
+    "quality_small_groups": quality_small_groups,
+    "mix_targets": mix_targets,
 }
 
 _OP1_SQL = r"""
@@ -153,7 +165,7 @@ b AS (SELECT lang, source, ratio, CASE WHEN v > 1e-8 THEN ceil(ln(v) / ln(1.01 /
 q AS (
   SELECT grouping_id(lang, source) AS level, lang, source, ratio, count(*) AS docs,
          pow(CAST(1.01 AS DOUBLE) / 0.99, quantile_cont(bin, 0.25)) AS a, pow(CAST(1.01 AS DOUBLE) / 0.99, quantile_cont(bin, 0.75)) AS z
-  FROM b GROUP BY GROUPING SETS ((lang, source, ratio), (lang, ratio), (ratio)) HAVING count(*) >= 100),
+  FROM b GROUP BY GROUPING SETS ((lang, source, ratio), (lang, ratio), (ratio)) HAVING count(*) >= $min_docs),
 t AS (
   SELECT level, lang, source, ratio, a - 10 * greatest(z - a, s) AS lo, z + 10 * greatest(z - a, s) AS hi
   FROM (SELECT *, CASE ratio WHEN 1 THEN 0.3 WHEN 2 THEN 0.03 WHEN 3 THEN 0.04 ELSE 0.02 END AS s FROM q)),
@@ -174,6 +186,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM r
 """
 
+
+def quality_sql(min_docs: int) -> str:
+    """``op10_quality_rules`` for groups of at least ``min_docs`` documents."""
+    return _OP10_SQL.replace("$min_docs", str(min_docs))
+
+
 _OP8_SQL = r"""
 WITH w AS (
   SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i
@@ -219,6 +237,38 @@ SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_re
 FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
 
+
+#: For tables whose pages link to no other host, as the given ones: ranks then are those of the seeds.
+_OP9_SQL = rf"""
+WITH p AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+r AS (SELECT * FROM (VALUES {", ".join(str(r) for r in RULES)}) r(h, s, v)),
+fits AS (
+  SELECT u.host, u.path, h || s AS rule, v, row_number() OVER (PARTITION BY u.host, u.path ORDER BY length(h || s) DESC, length(h) DESC, v DESC) AS k
+  FROM (SELECT DISTINCT host, path FROM p WHERE host <> '') u JOIN r ON (u.host = h OR ends_with(u.host, '.' || h)) AND starts_with(u.path, s)),
+ruled AS (SELECT p.*, rule, v FROM p LEFT JOIN fits f ON f.host = p.host AND f.path = p.path AND k = 1),
+bad AS (SELECT host FROM ruled WHERE host <> '' GROUP BY host HAVING 2 * count(*) FILTER (WHERE v = 'block') > count(*))
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM ruled
+"""
+
+_MIX_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s),
+-- sources reach their cap in the order of size over weight
+o AS (SELECT *, 2.0 * source_size AS most, row_number() OVER (ORDER BY source_size / weight, source NULLS LAST) AS k FROM w),
+a AS (SELECT *, coalesce(sum(most) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_before,
+             sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest,
+             1.5 * sum(source_size) OVER () AS total FROM o),
+l AS (SELECT max((total - full_before) / rest) FILTER (WHERE (total - full_before) / rest * weight <= most) AS level FROM a),
+t AS (SELECT source, source_size, least(most, coalesce(level * weight, most)) AS target FROM a, l)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, round(CAST(target AS DOUBLE), 4) AS target
+FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source
+"""
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -252,7 +302,10 @@ ORACLE_SQL = {
     "op4_license_scan": _OP4_SQL,
     "op3_substring_dedup": _OP3_SQL,
     "op8_decontaminate": _OP8_SQL,
-    "op10_quality_rules": _OP10_SQL,
+    "op10_quality_rules": quality_sql(MIN_DOCS),
+    "quality_small_groups": quality_sql(5),
+    "op9_url_filter": _OP9_SQL,
+    "mix_targets": _MIX_SQL,
     "op1_minhash_dedup": _OP1_SQL,
     "op7_line_dedup": _OP7_SQL,
 }

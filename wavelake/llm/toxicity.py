@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from wavelake.llm import arrowtext
+from wavelake.llm.storage import fresh
 
 MAX_ROWS = 4000
 MAX_FEATURES = 4096
@@ -251,7 +252,7 @@ def scorer(spark, model: Model) -> Callable[[Column], Column]:
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> tuple[DataFrame, Model]:
-    """``docs`` with a ``_toxicity`` column from 0 to 1, and the model."""
+    """``docs`` with a last column ``_toxicity`` from 0 to 1 (more underscores if it has that name), and the model."""
     model = train(docs, labels, text=text, doc_id=doc_id, **options)
     score = scorer(docs.sparkSession, model)
-    return docs.withColumn("_toxicity", score(F.coalesce(F.col(f"`{text}`"), F.lit("")))), model
+    return docs.withColumn(fresh(docs, "_toxicity"), score(F.coalesce(F.col(f"`{text}`"), F.lit("")))), model
