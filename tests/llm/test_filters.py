@@ -295,6 +295,39 @@ def test_licenses(spark, no_docs):
     assert licenses.scan_licenses(no_docs).collect() == []
 
 
+def test_whole_licenses_in_disguise(spark, documents):
+    """Every known text, as a whole and wrapped inside a longer one, in other case, spelling and layout."""
+    rng = random.Random(2)
+    rows, whole = [], {}
+    for k, (name, text) in enumerate(licenses.KNOWN):
+        w = re.sub(r"(?<![\w/])license\b", "licence", text).replace("noninfringement", "non-infringement").split()
+        w = [x.upper() if rng.random() < 0.3 else x for x in w]
+        lines, at = [], 0
+        while at < len(w):
+            n = rng.randint(6, 12)
+            lines.append("  # " + " ".join(w[at : at + n]))
+            at += n
+        rows.append((k, f"Copyright (C) 20{k:02d} J. Doe\n\n" + "\n".join(lines) + "\n(c) the others"))
+        rows.append((100 + k, text.replace(" ", "\t ") + "\nAnd a line of its own."))
+        whole[k] = name
+    one = [k for k, (_, t) in enumerate(licenses.KNOWN) if len(t.split()) <= 18]
+    for k in one:
+        w = licenses.KNOWN[k][1].split()
+        cut = max(1, len(w) // 3)
+        rows.append((200 + k, "Some text first.\n" + " ".join(w[:cut]) + "\n" + " ".join(w[cut:]) + "\nand after."))
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    first = {}
+    for name, text in sorted(licenses.KNOWN):
+        first.setdefault(" ".join(re.findall("[a-z0-9]+", text.lower())), name)
+    for k, name in whole.items():
+        assert got[k].license == name or got[k].license in first.values() and got[k].license < name, name
+        assert got[100 + k].license == ""
+    assert all(licenses.KNOWN[k][0] in got[200 + k].notice_licenses.split(",") for k in one if re.search("licen|permission", licenses.KNOWN[k][1], re.I))
+    table = spark.createDataFrame([("Mine", "You may do what you like."), ("Other", "You may do, what you LIKE"), (None, None)], "license string, text string")
+    mine = {r.doc_id: r.license for r in licenses.scan_licenses(spark.createDataFrame([(1, "you may do\nwhat you like"), (2, "you may")], "doc_id long, text string"), table).collect()}
+    assert mine == {1: "Mine", 2: ""}
+
+
 # --- html ---
 
 

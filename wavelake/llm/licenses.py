@@ -4,14 +4,17 @@ A text's canonical form: A-Z lower-cased; lines that only state copyright droppe
 everything but letters a-z and digits turned into single spaces; spellings that
 licence matchers treat as one unified word by word.  The SHA-256 of the canonical
 form is hash-joined with the digests of known licences, formed the same way.  Besides the
-entire text, lines that mention a licence are looked up alone, which finds notices
-inside longer texts.
+entire text, runs of one to ``MAX_RUN`` lines that mention a licence are looked up in the same
+digests, which finds notices inside longer texts, wrapped or not.
 
-The known licences are a short fixed list (``KNOWN``), so their side of the join is
-broadcast; the documents are not shuffled.
+The known licences are a table ``(license, text)`` of any size; ``KNOWN`` is a small one of
+short licences and usual notices.  Both lookups are equi-joins on digests; Spark broadcasts
+the licences if they are few.  Of the documents, only digests are shuffled.
 
 Edge cases: null, empty and blank texts, and texts of copyright lines alone, have no
-licence (their canonical form is empty); repeated rows are judged alike; other columns are not read.
+licence (their canonical form is empty); repeated rows are judged alike; of licences with one
+canonical form the first by name counts; very long texts are read whole; an empty table gives an empty
+result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,10 +22,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavelake.llm.storage import materialize, scratch
+
+MAX_RUN = 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: A line, lower-cased, that only states copyright.
 COPYRIGHT_LINE = r"^[^a-z0-9]*(copyright|\(c\)|©|all rights reserved)"
+#: Such a start of a line that is part of a wrapped sentence.
+COPYRIGHT_PROSE = r"^[^a-z0-9]*copyright\s+(holder|notice|owner|law|interest|licen|statement|and |or )"
 
 #: Spellings that count as the same word.
 SPELLINGS = (
@@ -54,8 +62,83 @@ _ISC_WARRANTY = (
     "CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
     "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
 )
+_BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n"
+_BSD_SOURCE = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n"
+_BSD_BINARY = "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n"
+_BSD_NAME = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
+_BSD_WARRANTY = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, '
+    "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS "
+    "BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+    "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+    "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_ZLIB = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use "
+    "of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute "
+    "it freely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original "
+    "software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n\n2. Altered source "
+    "versions must be plainly marked as such, and must not be misrepresented as being the original software.\n\n3. This notice may not be removed or altered from any "
+    "source distribution."
+)
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, "
+    "either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\nIn jurisdictions that recognize copyright laws, "
+    "the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the "
+    "public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and "
+    "future rights to this software under copyright law.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO "
+    "THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+    "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_BOOST = (
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license "
+    "(the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties "
+    "to whom the Software is furnished to do so, all subject to the following:\n\nThe copyright notices in the Software and this entire statement, including the above license "
+    "grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless "
+    "such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", "
+    "WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND "
+    "NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR "
+    "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_APACHE_NOTICE = (
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n'
+    "http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
+    '"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
+)
+_MPL_NOTICE = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at "
+
+
+def _gnu_notice(name: str, version: str) -> str:
+    return (
+        f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, either version "
+        f"{version} of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+        f"implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details.\n\nYou should have received a copy of the GNU {name} along with "
+        "this program. If not, see <https://www.gnu.org/licenses/>."
+    )
+
+
 #: Fixed values: (licence, text) of whole licences and of usual notices.
 KNOWN = (
+    ("BSD-2-Clause", _BSD_HEAD + "1. " + _BSD_SOURCE + "2. " + _BSD_BINARY + _BSD_WARRANTY),
+    ("BSD-2-Clause", "BSD 2-Clause License\n\n" + _BSD_HEAD + "1. " + _BSD_SOURCE + "2. " + _BSD_BINARY + _BSD_WARRANTY),
+    ("BSD-2-Clause", _BSD_HEAD + "* " + _BSD_SOURCE + "* " + _BSD_BINARY + _BSD_WARRANTY),
+    ("BSD-3-Clause", _BSD_HEAD + "1. " + _BSD_SOURCE + "2. " + _BSD_BINARY + "3. " + _BSD_NAME + _BSD_WARRANTY),
+    ("BSD-3-Clause", "BSD 3-Clause License\n\n" + _BSD_HEAD + "1. " + _BSD_SOURCE + "2. " + _BSD_BINARY + "3. " + _BSD_NAME + _BSD_WARRANTY),
+    ("BSD-3-Clause", _BSD_HEAD + "* " + _BSD_SOURCE + "* " + _BSD_BINARY + "* " + _BSD_NAME + _BSD_WARRANTY),
+    ("Zlib", _ZLIB),
+    ("Zlib", "zlib License\n\n" + _ZLIB),
+    ("Unlicense", _UNLICENSE),
+    ("Unlicense", _UNLICENSE + "\n\nFor more information, please refer to <https://unlicense.org>"),
+    ("Unlicense", _UNLICENSE + "\n\nFor more information, please refer to <http://unlicense.org/>"),
+    ("BSL-1.0", _BOOST),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003\n\n" + _BOOST),
+    ("Apache-2.0", _APACHE_NOTICE),
+    ("MPL-2.0", _MPL_NOTICE + "http://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", _MPL_NOTICE + "https://mozilla.org/MPL/2.0/."),
+    ("GPL-3.0", _gnu_notice("General Public License", "3")),
+    ("AGPL-3.0", _gnu_notice("Affero General Public License", "3")),
+    ("LGPL-3.0", _gnu_notice("Lesser General Public License", "3")),
+    ("GPL-2.0", _gnu_notice("General Public License", "2")),
     ("MIT", "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n" + _WARRANTY),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n" + _WARRANTY),
     ("MIT-0", "MIT No Attribution\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.\n\n" + _WARRANTY),
@@ -83,7 +166,7 @@ KNOWN = (
 
 def canonical(text: Column) -> Column:
     low = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
-    lines = F.filter(F.split(low, "\n", -1), lambda l: ~F.regexp_like(l, F.lit(COPYRIGHT_LINE)))
+    lines = F.filter(F.split(low, "\n", -1), lambda l: ~F.regexp_like(l, F.lit(COPYRIGHT_LINE)) | F.regexp_like(l, F.lit(COPYRIGHT_PROSE)))
     out = F.concat(F.lit(" "), F.regexp_replace(F.array_join(lines, "\n"), "[^a-z0-9]+", " "), F.lit(" "))
     for a, b in SPELLINGS:
         out = F.replace(out, F.lit(f" {a} "), F.lit(f" {b} "))
@@ -94,32 +177,42 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known_licenses(spark: SparkSession) -> list[tuple[str, str]]:
-    """(digest, licence) of the fixed list, one per digest."""
+def known_licenses(spark: SparkSession) -> DataFrame:
+    """``KNOWN`` as a table ``(license, text)``."""
     rows = F.inline(F.array(*[F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in KNOWN]))
-    known = spark.range(1).select(rows).select(digest(F.col("text")).alias("digest"), "license")
-    return [(r["digest"], r["license"]) for r in known.groupBy("digest").agg(F.min("license").alias("license")).collect()]
+    return spark.range(1).select(rows)
+
 
+def _runs(lines: Column) -> Column:
+    """The runs of up to ``MAX_RUN`` lines that mention a licence and neither start nor end with an empty or copyright line."""
+    mentions = F.transform(lines, lambda l: F.regexp_like(l, F.lit("(?i)licen[cs]e|permission")))
+    near = F.transform(mentions, lambda _, i: F.exists(F.slice(mentions, F.greatest(F.lit(1), i + 2 - MAX_RUN), F.lit(2 * MAX_RUN - 1)), lambda m: m))
+    # lines far from any mention are not looked at again
+    full = F.transform(lines, lambda l, i: F.when(F.get(near, i), canonical(l) != "").otherwise(F.lit(False)))
+    at = lambda array, i: F.get(array, i)
 
-def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    def of(size: int) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(lines)), lambda i: at(full, i) & at(full, i + (size - 1)) & F.exists(F.slice(mentions, i + 1, F.lit(size)), lambda m: m))
+        return F.transform(starts, lambda i: digest(F.array_join(F.slice(lines, i + 1, F.lit(size)), "\n")))
+
+    return F.flatten(F.array(*[of(k) for k in range(1, MAX_RUN + 1)]))
+
+
+def scan_licenses(docs: DataFrame, licenses: DataFrame | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, digest, license, n_notices, notice_licenses``.
 
-    ``license`` is that of the entire text or empty; ``notice_licenses`` lists, sorted and
-    joined by commas, those of the lines that mention a licence.
+    ``license`` is that of the entire text or empty; ``n_notices`` counts the runs of lines that are a
+    known licence or notice, and ``notice_licenses`` lists theirs, sorted and joined by commas.
     """
-    found = known_licenses(docs.sparkSession)
-    pairs = F.array(*[F.struct(F.lit(d).alias("known_digest"), F.lit(n).alias("license")) for d, n in found])
-    known = docs.sparkSession.range(1).select(F.inline(pairs))
-    names_of = F.create_map(*[F.lit(x) for pair in found for x in pair])
+    licenses = known_licenses(docs.sparkSession) if licenses is None else licenses
+    known = licenses.where(canonical(F.col("text")) != "").select(digest(F.col("text")).alias("known"), "license").groupBy("known").agg(F.min("license").alias("license"))
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    mention = F.filter(F.split(t, "\n", -1), lambda l: F.regexp_like(l, F.lit("(?i)licen[cs]e|permission")))
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), digest(t).alias("digest"), F.transform(mention, digest).alias("lines"))
-    out = rows.join(F.broadcast(known), F.col("digest") == F.col("known_digest"), "left")
-    names = F.filter(F.transform("lines", lambda d: F.try_element_at(names_of, d)), lambda n: n.isNotNull())
-    return out.select(
-        "doc_id",
-        "digest",
-        F.coalesce("license", F.lit("")).alias("license"),
-        F.size(names).cast("long").alias("n_notices"),
-        F.array_join(F.array_sort(F.array_distinct(names)), ",").alias("notice_licenses"),
-    )
+    with scratch(docs.sparkSession) as keep:
+        known = keep(known, "licenses")
+        rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), digest(t).alias("digest"), F.when(F.regexp_like(t, F.lit("(?i)licen[cs]e|permission")), _runs(F.split(t, "\n", -1))).alias("runs"))
+        rows = keep(rows.withColumn("key", F.xxhash64("doc_id", "digest", "runs")), "digests")
+        runs = materialize(rows.where(F.size("runs") > 0).groupBy("key").agg(F.first("runs").alias("runs")), "runs")
+        found = runs.select("key", F.explode("runs").alias("known")).join(known, "known")
+        notices = keep(found.groupBy("key").agg(F.count(F.lit(1)).alias("n_notices"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notice_licenses")), "notices")
+    out = rows.join(known, F.col("digest") == F.col("known"), "left").join(notices, "key", "left")
+    return out.select("doc_id", "digest", F.coalesce("license", F.lit("")).alias("license"), F.coalesce("n_notices", F.lit(0)).alias("n_notices"), F.coalesce("notice_licenses", F.lit("")).alias("notice_licenses"))
