@@ -63,15 +63,40 @@ def test_stages(spark, corpus):
     taken = Counter()
     target = {}
     for r in mixed:
-        taken[r.source] += r.mix_size
+        taken[r.source] += r["_mix_size"]
         target[r.source] = r.mix_target
     assert all(abs(taken[s] - target[s]) <= 0.05 * target[s] + 10 for s in target)
     assert mixed[0].key == "mine-key"
 
 
+def test_mixing_of_repeated_rows(spark):
+    """Rows that occur a thousand times share their copies; all the others are taken as before."""
+    rng = random.Random(4)
+    rows = [(1, llm_fixtures.sentence(rng, 40), "en", "a")] * 3000 + [(None, llm_fixtures.sentence(rng, 25), "en", "a")] * 1500
+    rows += [(10 + k, llm_fixtures.sentence(rng, rng.randint(5, 60)), "en", "ab"[k % 2]) for k in range(600)] + [(5, None, None, "b")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
+    out = corpus_pipeline.materialize(corpus_pipeline.mixing(spark, docs, ""), "mixed")
+    assert out.columns == [*docs.columns, "mix_size", "mix_target", "mix_copy"]
+    taken, target = Counter(), {}
+    for r in out.collect():
+        taken[r.source] += r.mix_size
+        target[r.source] = r.mix_target
+    assert all(abs(taken[s] - target[s]) <= 0.01 * target[s] for s in target) and set(target) == {"a", "b"}
+    copies = Counter(r.doc_id for r in out.collect())
+    assert copies[1] <= 6000 and copies[None] <= 3000 and copies[1] > 100
+    again = Counter(tuple(r) for r in corpus_pipeline.mixing(spark, docs.repartition(3), "").collect())
+    assert again == Counter(tuple(r) for r in out.collect())
+
+
 def test_run_and_registry(spark, corpus):
     folder, *_ = corpus
-    assert corpus_pipeline.run(spark, folder).count() > 500
+    out = corpus_pipeline.materialize(corpus_pipeline.run(spark, folder), "out")
+    assert out.count() > 500
+    # every stage takes the pipeline's own output
+    for name, stage in corpus_pipeline.STAGES:
+        again = stage(spark, out, folder)
+        assert name == "mixing" or again.columns == out.columns
+        assert again.count() > 300
     import __spark_entry__
 
     names = __spark_entry__.queries()

@@ -12,16 +12,19 @@ the rates are exponentially tilted: ``rate / (cap - rate) = exp(lam * z)`` with
 sources take safeguarded Newton steps together, each step one aggregation of a
 (source, size) histogram.
 
-Rounding: within buckets of about ``bucket_docs`` documents of one source, from
-large to small, a document gets one copy more than its rate's whole part when that
-brings the bucket's words closer to their sum of rates.  A bucket misses its sum
-by no more than about half its smallest document, and no group grows with a source.
+Rounding: rows that agree in doc_id, source and size can't be told apart and are one
+entry with a count.  Within buckets of about ``bucket_docs`` entries of one source, from
+large to small, an entry gets its rates' whole part, and so many copies more as
+bring the bucket's words closest to their sum of rates; the rows of an entry share its
+copies as evenly as whole numbers allow.  A bucket misses its sum
+by no more than about half its smallest document, and no group grows with a source or with a
+doc_id that many rows have (or lack).
 
 Edge cases: null or blank texts have size 0, rate 1 and no words taken; a null
 source is a source of its own; without words all targets are 0; repeated rows are
 documents of their own; rows without doc_id are mixed like others; an empty table
-gives an empty result.  Buckets and ties depend on doc_id and size alone, so
-reruns agree.
+gives an empty result; very long texts are counted whole; other columns are not read, whatever
+their names.  Buckets and ties depend on doc_id and size alone, so reruns agree.
 """
 
 from __future__ import annotations
@@ -33,9 +36,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavelake.llm.storage import materialize
+from wavelake.llm.storage import materialize, scratch
 
 WEIGHTS = (3.0, 1.0, 2.0)
+#: Rows of one entry that are made at once.
+_RUN = 1000
 
 
 def word_count(text: Column) -> Column:
@@ -72,7 +77,7 @@ def _rate(lam: Column, z: Column, cap: float) -> Column:
     return F.lit(cap) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), lam * z))))
 
 
-def tilts(histogram: DataFrame, goals: DataFrame, cap: float, rounds: int = 40, tolerance: float = 1e-9) -> DataFrame:
+def tilts(histogram: DataFrame, goals: DataFrame, cap: float, rounds: int = 100, tolerance: float = 1e-9) -> DataFrame:
     """``goals`` with the dual variable ``lam`` of each source (null where the target is the cap)."""
     mean = histogram.groupBy(F.col("source").alias("m_source")).agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
     open_ = goals.where((F.col("target") > 0) & (F.col("target") < cap * F.col("source_size")))
@@ -100,6 +105,9 @@ def tilts(histogram: DataFrame, goals: DataFrame, cap: float, rounds: int = 40,
         state = materialize(state, f"tilt_{k + 1}")
         if (state.agg(F.max("miss")).first()[0] or 0.0) <= tolerance:
             break
+    else:
+        if rounds and (state.agg(F.max("miss")).first()[0] or 0.0) > 1e3 * tolerance:
+            raise RuntimeError(f"rates still miss their targets after {rounds} rounds")
     return state.select(F.col("source").alias("t_source"), "mean", "lam")
 
 
@@ -112,10 +120,20 @@ def mix(
     text: str = "text",
     doc_id: str = "doc_id",
     source: str = "source",
+    by_entry: bool = False,
 ) -> DataFrame:
-    """One row per document: ``doc_id, source, size, source_size, target, rate, copies, taken``."""
+    """One row per document: ``doc_id, source, size, source_size, target, rate, copies, taken``.
+
+    ``by_entry``: one row for all documents with the same doc_id, source and size instead, with their
+    number ``n`` and the ``total`` of their copies.
+    """
+    with scratch(docs.sparkSession) as keep:
+        return _mix(docs, weights, share, cap, bucket_docs, text, doc_id, source, by_entry, keep)
+
+
+def _mix(docs: DataFrame, weights: Sequence[float], share: float, cap: int, bucket_docs: int, text: str, doc_id: str, source: str, by_entry: bool, keep) -> DataFrame:
     sized = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"))
-    sized = materialize(sized, "sizes")
+    sized = keep(sized, "sizes")
     histogram = materialize(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "size_histogram")
     per_source = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs"))
     goals = targets(per_source, weights, share, cap)
@@ -123,26 +141,36 @@ def mix(
     full = goals.join(tilt, F.col("source").eqNullSafe(F.col("t_source")), "left")
     full = full.join(per_source.select(F.col("source").alias("p_source"), "docs"), F.col("source").eqNullSafe(F.col("p_source")))
     buckets = F.greatest(F.lit(1), F.ceil(F.col("docs") / bucket_docs))
-    full = materialize(full.select(F.col("source").alias("g_source"), "source_size", "target", "mean", "lam", buckets.cast("int").alias("buckets")), "source_tilts")
+    full = keep(full.select(F.col("source").alias("g_source"), "source_size", "target", "mean", "lam", buckets.cast("int").alias("buckets")), "source_tilts")
 
+    entries = sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n"))
     z = F.col("size") / F.col("mean")
     rate = F.when(F.col("size") == 0, F.lit(1.0)).when(F.col("lam").isNotNull(), _rate(F.col("lam"), z, cap)).when(F.col("target") > 0, F.lit(float(cap))).otherwise(F.lit(0.0))
-    rated = sized.join(full, F.col("source").eqNullSafe(F.col("g_source")))
-    rated = rated.select("doc_id", "source", "size", "source_size", "target", rate.alias("rate"), F.pmod(F.xxhash64("doc_id"), F.col("buckets")).cast("int").alias("bucket"))
+    rated = entries.join(full, F.col("source").eqNullSafe(F.col("g_source")))
+    rated = rated.select("doc_id", "source", "size", "n", "source_size", "target", rate.alias("rate"), F.pmod(F.xxhash64("doc_id", "size"), F.col("buckets")).cast("int").alias("bucket"))
 
     def rounded(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable")
-        owed, copies = 0.0, []
-        for size, r in zip(group["size"].to_numpy(), group["rate"].to_numpy(), strict=True):
-            n = min(cap, math.floor(r))
-            owed += (r - n) * size
-            if n < cap and owed > size / 2:
-                n += 1
-                owed -= size
-            copies.append(n)
-        group = group.assign(copies=copies)
-        group["taken"] = group["copies"] * group["size"]
-        return group[["doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken"]]
-
-    kinds = ", ".join(f"{c} {t}" for c, t in [("doc_id", docs.schema[doc_id].dataType.simpleString()), ("source", "string"), ("size", "bigint"), ("source_size", "bigint"), ("target", "double"), ("rate", "double"), ("copies", "bigint"), ("taken", "bigint")])
-    return rated.groupBy("source", "bucket").applyInPandas(rounded, kinds)
+        owed, total = 0.0, []
+        for size, n, r in zip(group["size"].to_numpy(), group["n"].to_numpy(), group["rate"].to_numpy(), strict=True):
+            whole = min(cap, math.floor(r))
+            owed += (r - whole) * size * n
+            more = 0
+            if whole < cap and size:
+                more = int(min(n, max(0, math.ceil(owed / size - 0.5))))
+                owed -= more * size
+            total.append(whole * n + more)
+        return group.assign(total=total)[["doc_id", "source", "size", "n", "source_size", "target", "rate", "total"]]
+
+    kinds = ", ".join(f"{c} {t}" for c, t in [("doc_id", docs.schema[doc_id].dataType.simpleString()), ("source", "string"), ("size", "bigint"), ("n", "bigint"), ("source_size", "bigint"), ("target", "double"), ("rate", "double"), ("total", "bigint")])
+    shared = rated.groupBy("source", "bucket").applyInPandas(rounded, kinds)
+    if by_entry:
+        return shared
+    # an entry's rows in runs of bounded length; long entries are dealt out before they become rows
+    runs = shared.withColumn("run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / _RUN))))
+    spread = runs.where(F.col("n") > _RUN).repartition("doc_id", "source", "size", "run")
+    runs = runs.where(F.col("n") <= _RUN).unionByName(spread)
+    first = F.col("run") * _RUN
+    each = runs.withColumn("k", F.explode(F.sequence(first, F.least(first + _RUN, F.col("n")) - 1)))
+    copies = F.floor(F.col("total") / F.col("n")) + F.when(F.col("k") < F.col("total") % F.col("n"), 1).otherwise(0)
+    return each.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
