@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelake.llm.decontam import decontaminate, row_key
+from wavelake.llm.decontam import decontaminate
 from wavelake.llm.linededup import dedup_lines
 from wavelake.llm.minhash import near_duplicates
 from wavelake.llm.mixing import mix
@@ -26,20 +26,32 @@ def _columns(docs: DataFrame) -> list:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier calls toxic go."""
+    """Documents that the classifier calls toxic go.
+
+    Null and empty texts have the score of the classifier's intercept; repeated rows go or stay together;
+    an empty table gives an empty result; columns keep their names and values.
+    """
     score = scorer(spark, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return docs.where(score(F.coalesce("text", F.lit(""))) < TOXIC)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Common lines go from all but one document; ``n_chars`` follows the new text."""
+    """Common lines go from all but one document; ``n_chars`` follows the new text.
+
+    Null texts stay null, texts without common lines as they are; rows without doc_id count as one document;
+    an empty table gives an empty result; columns keep their names.
+    """
     out = dedup_lines(docs)
-    length = F.when(F.col("_lines.n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
+    length = F.when(F.col(f"`{out.columns[-1]}`.n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
     return out.select(*[length.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (similarity 0.8) stays, that of the smallest doc_id."""
+    """One document of each group of near duplicates (similarity 0.8) stays, that of the smallest doc_id.
+
+    Texts without words and rows without doc_id stay; rows that share a doc_id go or stay together;
+    an empty table gives an empty result; columns keep their names and values.
+    """
     name = fresh(docs, "gone")
     gone = near_duplicates(docs, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
     gone = materialize(gone, "near_duplicates")
@@ -47,21 +59,36 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
+    """Documents that hold a benchmark passage go.
+
+    Null and empty texts stay, and so do all rows if the benchmark is empty; repeated rows go or stay together;
+    columns keep their names and values.
+    """
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per copy that the mix takes: the columns of ``docs``, ``mix_size``, ``mix_target`` and ``mix_copy``.
 
-    Rows equal in id and text are taken equally often.
+    Rows equal in all columns are one entry and share its copies.  Where ``docs`` has one of the new names (as after an
+    earlier run) the new column gets an underscore more.  Null texts and sources, empty tables: as for ``mix``.
     """
-    keyed = docs.select(F.struct(*_columns(docs)).alias("doc"), row_key(F.col("doc_id"), F.col("text")).alias("key"))
     name = fresh(docs, "mix_id")
-    taken = mix(docs.withColumn(name, row_key(F.col("doc_id"), F.col("text"))), doc_id=name)
-    taken = materialize(taken.where(F.col("copies") > 0).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("key"), "size", "target", "copies"), "mix")
-    out = keyed.join(taken, "key").select("doc", "size", "target", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("mix_copy"))
-    return out.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns], F.col("size").alias("mix_size"), F.col("target").alias("mix_target"), "mix_copy")
+    new = [fresh(docs, c) for c in ("mix_size", "mix_target", "mix_copy")]
+    keyed = docs.select("*", F.xxhash64(*_columns(docs)).alias(name))
+    taken = mix(keyed, doc_id=name, by_entry=True).where(F.col("total") > 0)
+    taken = materialize(taken.select(F.col("doc_id").alias("key"), "n", "size", "target", "total"), "mix")
+    rows = keyed.select(F.struct(*_columns(docs)).alias("doc"), F.col(name).alias("key"))
+    single = rows.join(taken.where(F.col("n") == 1), "key").select("doc", "size", "target", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("total"))).alias("copy"))
+    # of rows that occur more than once, one stands for all; their copies are dealt out in runs of bounded length
+    many = taken.where(F.col("n") > 1)
+    one = rows.join(many.select("key"), "key", "left_semi").groupBy("key").agg(F.first("doc").alias("doc"))
+    runs = many.select("key", "size", "target", "total", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("total") - 1) / 1000))).alias("run"))
+    runs = runs.repartition("key", "run").join(one, "key")
+    copies = F.sequence(F.col("run") * 1000 + 1, F.least(F.col("run") * 1000 + 1000, F.col("total")))
+    out = single.union(runs.select("doc", "size", "target", F.explode(copies).alias("copy")))
+    added = [F.col(c).alias(n) for c, n in zip(("size", "target", "copy"), new, strict=True)]
+    return out.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns], *added)
 
 
 STAGES = [
