@@ -465,6 +465,35 @@ def test_toxicity_on_held_out_rows(labelled):
     assert len(model.features) <= toxicity.MAX_FEATURES + 200
 
 
+def test_scores_agree_with_a_plain_scorer(labelled, docs, documents):
+    """Word by word and prefix by prefix in plain Python, for texts of all kinds."""
+    from wavelake.llm import arrowtext
+
+    train_docs, labels = labelled
+    model = toxicity.train(train_docs, labels)
+    weight = dict(zip(model.features.tolist(), model.weights.tolist()))
+    of = lambda b: int(arrowtext.Words(pa.array([b.decode("latin-1")]), letters=True).hashes[0]) if b.isascii() else None
+    texts = [r.text for r in train_docs.limit(40).collect()] + ["", "zorgle ZORGLES, fropisher! zorgle", "a b", "naming women here; naming men there"]
+    got = model.scores(pa.array(texts))
+    for text, score in zip(texts, got):
+        found = set()
+        for w in re.findall(r"[0-9a-z]+", text.lower()):
+            found.add(of(w.encode()))
+            for n in toxicity.PREFIXES:
+                if len(w) > n:
+                    found.add(int(arrowtext.mix(np.array([of(w[:n].encode())], np.uint64) ^ np.uint64(0x51ED270B))[0]))
+        z = model.bias + sum(weight.get(f, 0.0) for f in found)
+        assert score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9), text
+
+
+def test_swaps_of_labelled_texts_are_counted(labelled):
+    """The fixture's labelled texts name groups, so the penalty meets real rows."""
+    docs, labels = labelled
+    named = docs.where(F.col("text").rlike(r"\bwomen\b") & ~toxicity.held_out(F.col("doc_id")) & (F.col("doc_id") < 900)).count()
+    # a random word may be a term as well
+    assert named > 100 and 0 <= toxicity.train(docs, labels).swaps - 3 * named < 30
+
+
 def test_naming_a_group_changes_little(labelled):
     docs, labels = labelled
     model = toxicity.train(docs, labels)
@@ -481,12 +510,13 @@ def test_naming_a_group_changes_little(labelled):
 def test_toxicity_edge_cases(spark, docs, no_docs, labelled):
     _, labels = labelled
     scored, _ = toxicity.score_toxicity(docs, labels)
-    got = scored.select("doc_id", "text", "_toxicity").collect()
-    assert len(got) == docs.count() and all(0 <= r["_toxicity"] <= 1 for r in got)
-    assert len({r["_toxicity"] for r in got if not (r.text or "").strip()}) == 1
+    assert scored.columns == [*docs.columns, "__toxicity"]
+    got = scored.select("doc_id", "text", "_Toxicity", "__toxicity").collect()
+    assert len(got) == docs.count() and all(0 <= r["__toxicity"] <= 1 and r["_Toxicity"] == "mine-_Toxicity" for r in got)
+    assert len({r["__toxicity"] for r in got if not (r.text or "").strip()}) == 1
     assert toxicity.score_toxicity(no_docs, labels)[0].collect() == []
     scored, model = toxicity.score_toxicity(docs, labels.limit(0))
-    assert {r["_toxicity"] for r in scored.collect()} == {0.0} and len(model.features) == 0
+    assert {r["__toxicity"] for r in scored.collect()} == {0.0} and len(model.features) == 0
     import zlib
 
     for r in docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("h")).collect():

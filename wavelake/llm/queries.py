@@ -13,7 +13,7 @@ from wavelake.llm.minhash import near_duplicates
 from wavelake.llm.mixing import mix
 from wavelake.llm.quality import MIN_DOCS, score_quality
 from wavelake.llm.substring import dedup_substrings
-from wavelake.llm.toxicity import held_out, score_toxicity
+from wavelake.llm.toxicity import CUT, held_out, score_toxicity
 from wavelake.llm.urlfilter import RULES, filter_urls
 
 
@@ -49,7 +49,7 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored, _ = score_toxicity(_documents(spark, sf_dir).select("doc_id", "text"), labels)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_toxicity").alias("score"), (F.col("_toxicity") >= 0.7).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_toxicity").alias("score"), (F.col("_toxicity") >= CUT).cast("int").alias("predicted"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

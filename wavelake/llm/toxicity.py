@@ -14,7 +14,10 @@ on a bounded sample of labelled rows:
    squared difference of their scores before the logistic function.  Identity terms and their swaps are always
    among the features, and neutral sentences that only name a group are added as
    label 0, so that naming a group can't raise a score by itself.
-4. The model (``MAX_FEATURES`` weights at most) is broadcast and scores every whole
+4. A feature's value is the absolute logarithm of its rates' ratio in the two classes, so that rare but
+   telling words gain weight from few rows.  Classes weigh the same in the loss; the intercept is then moved so that
+   texts which are as likely of either class get the score ``CUT``.
+5. The model (``MAX_FEATURES`` weights at most) is broadcast and scores every whole
    text in one pass.
 
 Edge cases: null, empty and blank texts have no features and get the score of the
@@ -43,6 +46,8 @@ MIN_ROWS = 2
 #: Weight of the counterfactual term against the mean logistic loss.
 PENALTY = 1.0
 PREFIXES = (3, 4, 5, 6, 7, 8)
+#: The score at which texts count as toxic.
+CUT = 0.7
 
 #: Terms that name groups, each list with terms that swap for one another.
 IDENTITY_TERMS = (
@@ -134,10 +139,10 @@ def _term_features() -> np.ndarray:
 
 
 class Model:
-    """A sparse logistic model over hashed features."""
+    """A sparse logistic model over hashed features; ``swaps``: how many counterfactuals came from labelled texts."""
 
-    def __init__(self, features: np.ndarray, weights: np.ndarray, bias: float):
-        self.features, self.weights, self.bias = features, weights, bias
+    def __init__(self, features: np.ndarray, weights: np.ndarray, bias: float, swaps: int = 0):
+        self.features, self.weights, self.bias, self.swaps = features, weights, bias, swaps
 
     def scores(self, column: pa.Array) -> np.ndarray:
         if self.bias == -np.inf:
@@ -148,7 +153,7 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))
 
 
-def _fit(rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, pairs: list[tuple[list, list]], size: int, penalty: float, l2: float, steps: int) -> tuple[np.ndarray, float]:
+def _fit(rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, pairs: list[tuple[list, list]], size: int, penalty: float, l2: float, steps: int, scale: np.ndarray) -> tuple[np.ndarray, float]:
     """Logistic loss with balanced classes + l2 + penalty * (difference of swapped logits)**2, by Adam."""
     w, b = np.zeros(size), 0.0
     weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum()))
@@ -160,19 +165,20 @@ def _fit(rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, pairs: list[tup
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     sig = lambda z: 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))
     for t in range(1, steps + 1):
-        p = sig(b + np.bincount(rows, weights=w[cols], minlength=len(labels)))
+        full = w * scale
+        p = sig(b + np.bincount(rows, weights=full[cols], minlength=len(labels)))
         g = weight * (p - labels)
-        gw = np.bincount(cols, weights=g[rows], minlength=size) + l2 * w
+        gw = np.bincount(cols, weights=g[rows], minlength=size)
         gb = g.sum() + 0.01 * (b - prior)
         if pairs:
             n = len(pairs)
-            d = 2 * penalty / n * (np.bincount(lr_, weights=w[lc], minlength=n) - np.bincount(rr, weights=w[rc], minlength=n))
+            d = 2 * penalty / n * (np.bincount(lr_, weights=full[lc], minlength=n) - np.bincount(rr, weights=full[rc], minlength=n))
             gw += np.bincount(lc, weights=d[lr_], minlength=size) - np.bincount(rc, weights=d[rr], minlength=size)
-        grad = np.append(gw, gb)
+        grad = np.append(gw * scale + l2 * w, gb)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    return w, float(b)
+    return w * scale, float(b)
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", max_rows: int = MAX_ROWS, penalty: float = PENALTY, l2: float = 1e-4, steps: int = 600) -> Model:
@@ -194,9 +200,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     counts = counts.groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).where(F.col("n1") + F.col("n0") >= MIN_ROWS)
     rate = (F.col("n1") + F.col("n0")) / F.lit(float(n1 + n0))
     z = (F.col("n1") / F.lit(float(n1)) - F.col("n0") / F.lit(float(n0))) / F.sqrt(rate * (F.lit(1.0 + 1e-9) - rate) * F.lit(1.0 / n1 + 1.0 / n0))
-    best = counts.where(F.abs(z) >= 3.0).orderBy(F.desc(F.abs(z)), "feature").limit(MAX_FEATURES).select("feature").collect()
-    known = np.unique(np.array([r.feature for r in best], np.int64).view(np.uint64))
-    known = np.unique(np.concatenate([known, _term_features()]))
+    best = counts.where(F.abs(z) >= 3.0).orderBy(F.desc(F.abs(z)), "feature").limit(MAX_FEATURES).select("feature", "n1", "n0").collect()
+    ratio = {np.int64(r.feature).view(np.uint64): abs(np.log((r.n1 + 0.5) / (n1 + 1)) - np.log((r.n0 + 0.5) / (n0 + 1))) for r in best}
+    known = np.unique(np.concatenate([np.array(list(ratio), np.uint64), _term_features()]))
+    scale = np.array([ratio.get(f, 1.0) for f in known])
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = _Lookup(known)
@@ -220,6 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     if len({r[1] for r in rows}) < 2:
         return empty
 
+    swaps = sum(len(others) for *_, others in rows)
     find = _Lookup(known)
     single = lambda t: find(pa.array([t]))[1].tolist()
     neutral = [f.format(t) for group in IDENTITY_TERMS for t in group for f in NEUTRAL]
@@ -227,8 +235,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     pairs = [(at, other) for _, _, at, others in rows for other in others]
     r = np.repeat(np.arange(len(rows)), [len(x[2]) for x in rows])
     c = np.array([x for row in rows for x in row[2]], np.int64)
-    w, b = _fit(r, c, np.array([x[1] for x in rows], float), pairs, len(known), penalty, l2, steps)
-    return Model(known, w, b)
+    w, b = _fit(r, c, np.array([x[1] for x in rows], float), pairs, len(known), penalty, l2, steps, scale)
+    return Model(known, w, b + float(np.log(CUT / (1 - CUT))), swaps)
 
 
 def held_out(doc_id: Column) -> Column:
