@@ -1,4 +1,5 @@
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -35,6 +36,92 @@ def test_movies_survive_a_round_trip(spark, tmp_path):
         tiff.read_frames(spark, str(tmp_path / "c.tif")).collect()
 
 
+def stack_file(path, images, dtype, description=b"", order="<", packed=1, tile=None, predictor=1, big=False, one_directory=False, samples=1):
+    """A TIFF of any of the kinds that are read, written entry by entry."""
+    word, number, size = ("Q", "Q", 8) if big else ("I", "H", 4)
+    head = struct.pack(order + "2sH", b"II" if order == "<" else b"MM", 43 if big else 42) + (struct.pack(order + "HH", 8, 0) if big else b"")
+    raw = bytearray(head + struct.pack(order + word, 0))
+    link = len(raw) - size
+
+    def pack(part):
+        part = np.ascontiguousarray(part.astype(np.dtype(dtype).newbyteorder(order)))
+        if predictor == 2:
+            part = np.concatenate([part[:, :1], np.diff(part, axis=1)], axis=1).astype(part.dtype)
+        data = part.tobytes()
+        if packed == 8:
+            return zlib.compress(data)
+        if packed == 32773:
+            return b"".join(bytes([0, b]) for b in data[: len(data) // 2]) + b"".join(bytes([len(c) - 1]) + c for c in (data[len(data) // 2 :][k : k + 100] for k in range(0, len(data), 100)) if c)
+        if packed == 5:
+            codes, n = [], 0
+            for b in data:  # a code for every byte, starting anew before the width would grow
+                codes += ([256] if n % 200 == 0 else []) + [b]
+                n += 1
+            bits = "".join(f"{c:09b}" for c in [*codes, 257])
+            return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+        return data
+
+    for k, image in enumerate(images):
+        h, w = image.shape
+        if tile:
+            padded = np.pad(image, ((0, -h % tile), (0, -w % tile)))
+            parts = [padded[y : y + tile, x : x + tile] for y in range(0, h, tile) for x in range(0, w, tile)]
+        else:
+            parts = [image[:3], image[3:]]
+        if one_directory:
+            parts = [np.concatenate(images)]
+        parts = [pack(p) for p in parts]
+        at = []
+        for p in parts:
+            at.append(len(raw))
+            raw += p
+        itemsize = np.dtype(dtype).itemsize
+        tags = [(256, 4, [w]), (257, 4, [h]), (258, 3, [8 * itemsize]), (259, 3, [packed]), (277, 3, [samples]), (317, 3, [predictor]), (339, 3, [{"u": 1, "i": 2, "f": 3}[np.dtype(dtype).kind]])]
+        tags += [(322, 4, [tile]), (323, 4, [tile]), (324, 4, at), (325, 4, list(map(len, parts)))] if tile else [(273, 4, at), (279, 4, list(map(len, parts)))]
+        if description and k == 0:
+            tags.append((270, 2, description + b"\0"))
+        rows = b""
+        for tag, kind, values in sorted(tags):
+            data = values if kind == 2 else struct.pack(f"{order}{len(values)}{'H' if kind == 3 else 'I'}", *values)
+            if len(data) > size:
+                where = len(raw)
+                raw += data
+                data = struct.pack(order + word, where)
+            rows += struct.pack(f"{order}HH{word}", tag, kind, len(values)) + data.ljust(size, b"\0")
+        raw[link : link + size] = struct.pack(order + word, len(raw))
+        raw += struct.pack(order + number, len(tags)) + rows
+        link = len(raw)
+        raw += struct.pack(order + word, 0)
+        if one_directory:
+            break
+    path.write_bytes(bytes(raw))
+
+
+def test_kinds_of_files_read_back_equal(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    whole = rng.integers(0, 200, (6, 9, 13))
+    kinds = {
+        "plain.tif": dict(dtype="u2"), "big_endian.tif": dict(dtype="i4", order=">"), "lzw.tif": dict(dtype="u1", packed=5), "packbits.tif": dict(dtype="u2", packed=32773),
+        "deflate.tif": dict(dtype="u2", packed=8, predictor=2), "tiles.tif": dict(dtype="f4", tile=16), "bigtiff.tif": dict(dtype="f8", big=True), "lzw_tiles.TIFF": dict(dtype="u2", packed=5, tile=16, predictor=2, order=">"),
+        "one.tif": dict(dtype="u2", one_directory=True, description=b"ImageJ=1.5\nimages=6\nframes=6\n"),
+        "channels.tif": dict(dtype="u2", description=b"ImageJ=1.5\nimages=6\nchannels=2\nframes=3\n"),
+    }
+    for name, options in kinds.items():
+        stack_file(tmp_path / name, list(whole), **options)
+    rows = tiff.load(spark, str(tmp_path)).collect()
+    for name in kinds:
+        got = {(r.t, r.c): np.array(r.px).reshape(r.height, r.width) for r in rows if r.path.endswith("/" + name)}
+        want = {(k // 2, k % 2): v for k, v in enumerate(whole)} if name == "channels.tif" else {(k, 0): v for k, v in enumerate(whole)}
+        assert got.keys() == want.keys() and all((got[k] == want[k]).all() for k in want), name
+    bad = {"rgb": dict(dtype="u1", samples=3), "jpeg": dict(dtype="u1", packed=7), "count": dict(dtype="u1", description=b"ImageJ=1.5\nimages=4\n"), "odd": dict(dtype="u1", description=b"ImageJ=1.5\nimages=6\nchannels=4\n")}
+    for name, options in bad.items():
+        stack_file(tmp_path / f"{name}.tif", list(whole), **options)
+        with pytest.raises(Exception, match="ValueError"):
+            tiff.read_frames(spark, str(tmp_path / f"{name}.tif")).collect()
+    with pytest.raises(ValueError, match="expected one of"):
+        tiff.load(spark, str(tmp_path / "a.nd2"))
+
+
 def test_scales(spark, tmp_path):
     one = [np.zeros((2, 2))]
     ome = '<OME xmlns="x"><Image><Pixels PhysicalSizeX="0.5" TimeIncrement="2000" TimeIncrementUnit="ms"/></Image></OME>'

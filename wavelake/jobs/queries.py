@@ -286,11 +286,9 @@ def channel_select(spark, sf_dir):
     return mv.select_channel(pixels, 2).groupBy("t", "y", "x").agg(F.sum("l_quantity").alias("v"))
 
 
-@_query(f"WITH {_MV} SELECT y, x, round((max(v) - arg_min(v, t)) / (arg_min(v, t) + 1e-12), 4) AS rise FROM mv WHERE t >= 1 GROUP BY y, x HAVING arg_min(v, t) > 0")
+@_query(f"WITH {_MV} SELECT y, x, round((max(v) - arg_min(v, t)) / (arg_min(v, t) + 1e-12), 4) AS rise FROM mv GROUP BY y, x")
 def max_projection(spark, sf_dir):
-    movie = tables.movie_from_lineitem(spark, sf_dir).where(F.col("t") >= 1)
-    lit = movie.where(F.col("t") == 1).where(F.col("v") > 0).select("y", "x")
-    return mv.max_projection(movie).join(lit, ["y", "x"]).withColumn("rise", F.round("rise", 4))
+    return mv.max_projection(tables.movie_from_lineitem(spark, sf_dir)).withColumn("rise", F.round("rise", 4))
 
 
 @_query(f"WITH {_MV}, q AS (SELECT min(v) AS lo, quantile_cont(v, 0.99) AS p FROM mv WHERE t = 0) SELECT round(lo, 6) AS lo, round(CASE WHEN p <= lo THEN lo + 1 ELSE p END, 6) AS hi FROM q")
@@ -358,15 +356,15 @@ def roi_polygon(spark, sf_dir):
     return _mask_sums(spark, sf_dir, "polygon")
 
 
-@_query(f"""WITH {_TR}, p AS (SELECT roi_id, t, raw, avg(raw) OVER (PARTITION BY roi_id) AS m FROM tr WHERE t < 3),
-v AS (SELECT roi_id, t, raw AS y, 1.5 * t + raw * t AS x FROM p),
-e AS (SELECT a.roi_id, a.y AS ay, a.x AS ax, b.y AS py, b.x AS px FROM v a JOIN v b ON a.roi_id = b.roi_id AND b.t = (a.t + 2) % 3),
+@_query(f"""WITH {_TR}, v AS (SELECT roi_id, t, raw AS y, 1.5 * t + raw * t AS x, count(*) OVER (PARTITION BY roi_id) AS n FROM tr),
+e AS (SELECT a.roi_id, a.y AS ay, a.x AS ax, b.y AS py, b.x AS px FROM v a JOIN v b ON a.roi_id = b.roi_id AND b.t = (a.t + a.n - 1) % a.n),
 s AS (SELECT roi_id, sum(px * ay - ax * py) AS a2, avg(ay) AS my, avg(ax) AS mx, sum((py + ay) * (px * ay - ax * py)) AS sy, sum((px + ax) * (px * ay - ax * py)) AS sx FROM e GROUP BY roi_id)
 SELECT roi_id, round(CASE WHEN abs(a2) < 1e-9 THEN my ELSE sy / (3 * a2) END, 4) AS y, round(CASE WHEN abs(a2) < 1e-9 THEN mx ELSE sx / (3 * a2) END, 4) AS x FROM s""")
 def roi_centroid(spark, sf_dir):
-    three = tables.traces_from_events(spark, sf_dir).where(F.col("t") < 3)
+    """Every trace read as a polygon of all its points."""
+    found = tables.traces_from_events(spark, sf_dir)
     vertex = F.struct("t", F.col("raw").alias("y"), (F.lit(1.5) * F.col("t") + F.col("raw") * F.col("t")).alias("x"))
-    shapes = three.groupBy("roi_id").agg(F.array_sort(F.collect_list(vertex)).alias("v"))
+    shapes = found.groupBy("roi_id").agg(F.array_sort(F.collect_list(vertex)).alias("v"))
     vertices = F.transform("v", lambda v: F.struct(v["y"].alias("y"), v["x"].alias("x")))
     centre = regions.polygon_centroid(F.col("vertices"))
     return shapes.select("roi_id", vertices.alias("vertices")).select("roi_id", centre.alias("c")).select("roi_id", F.round("c.y", 4).alias("y"), F.round("c.x", 4).alias("x"))
@@ -479,13 +477,19 @@ def kymograph_dff(spark, sf_dir):
 # --- export and units ---------------------------------------------------------------
 
 
-@_query(f"""WITH {_TR} SELECT t AS frame, round(t * 0.5, 6) AS seconds, {", ".join(f"coalesce(max(raw) FILTER (WHERE roi_id = {k}), 0.0) AS roi_{k}_F" for k in range(1, 5))} FROM tr WHERE roi_id BETWEEN 1 AND 4 GROUP BY t""")
+@_query(f"""WITH {_TR}, d AS (SELECT *, avg(CASE WHEN t < 10 THEN raw END) OVER (PARTITION BY roi_id) AS f0 FROM tr),
+g AS (SELECT frame, roi_id FROM (SELECT DISTINCT t AS frame FROM tr), (SELECT DISTINCT roi_id FROM tr))
+SELECT g.frame, round(g.frame * CAST(0.5 AS DOUBLE), 6) AS seconds, g.roi_id, raw AS f, round({_ratio("raw - f0", "f0")}, 6) AS dff
+FROM g LEFT JOIN d ON d.t = g.frame AND d.roi_id = g.roi_id""")
 def traces_wide(spark, sf_dir):
+    """The wide export of all traces, read back cell by cell."""
     from wavelake.sources.export import wide_traces
 
-    some = tables.traces_from_events(spark, sf_dir).where(F.col("roi_id").between(1, 4))
-    wide = wide_traces(some, [1, 2, 3, 4], {"F": "raw"}, frame_interval=0.5)
-    return wide.select("frame", F.round("seconds", 6).alias("seconds"), *[F.coalesce(F.col(f"roi_{k}_F"), F.lit(0.0)).alias(f"roi_{k}_F") for k in range(1, 5)])
+    found = traces.delta_f(tables.traces_from_events(spark, sf_dir))
+    ids = sorted(r["roi_id"] for r in found.select("roi_id").distinct().collect())
+    wide = wide_traces(found, ids, {"F": "raw", "dFF": "dff"}, frame_interval=0.5)
+    cells = F.array(*[F.struct(F.lit(k).cast("bigint").alias("roi_id"), F.col(f"roi_{k}_F").alias("f"), F.col(f"roi_{k}_dFF").alias("dff")) for k in ids])
+    return _rounded(wide.select("frame", "seconds", F.inline(cells)), "seconds", "dff")
 
 
 @_query(f"{_POINTS}, {_LINE} SELECT round(speed, 4) AS px_per_frame, round(speed * 0.65 / 0.25, 3) AS um_per_s, 'µm/s' AS unit FROM fit")
@@ -495,11 +499,16 @@ def speed_units(spark, sf_dir):
     return fit.select(F.round("speed", 4).alias("px_per_frame"), F.round(F.col("speed") * factor, 3).alias("um_per_s"), F.lit(unit).alias("unit"))
 
 
-@_query("""WITH u AS (SELECT p_partkey, p_retailprice AS v, ['mm', 'µm', 'Inch ', 'furlong', 'NM'][p_size % 5 + 1] AS unit FROM part)
-SELECT p_partkey, round(v * CASE trim(lower(unit)) WHEN 'mm' THEN 1000.0 WHEN 'µm' THEN 1.0 WHEN 'inch' THEN 25400.0 WHEN 'nm' THEN 0.001 END, 3) AS um FROM u""")
+#: Spellings of all known units, and some that are none, with the expected factors.
+_UNITS = [(u, f) for u, f in units.LENGTHS_UM.items()] + [(f" {u.upper()} ", f) for u, f in units.LENGTHS_UM.items() if u.isascii()] + [("μm", 1.0), ("furlong", None), ("pixel", None), ("", None)]
+_UNIT_ROWS = ", ".join(f"({k}, {'NULL' if f is None else f'CAST({f!r} AS DOUBLE)'})" for k, (_, f) in enumerate(_UNITS))
+
+
+@_query(f"""WITH u AS (SELECT * FROM (VALUES {_UNIT_ROWS}) u(k, f))
+SELECT p_partkey, round(p_retailprice * f, 3) AS um FROM part JOIN u ON k = p_partkey % {len(_UNITS)}""")
 def unit_factors(spark, sf_dir):
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_retailprice", "p_size")
-    unit = F.get(F.array(*[F.lit(u) for u in ("mm", "μm", "Inch ", "furlong", "NM")]), (F.col("p_size") % 5).cast("int"))
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_retailprice")
+    unit = F.get(F.array(*[F.lit(u) for u, _ in _UNITS]), (F.col("p_partkey") % len(_UNITS)).cast("int"))
     return part.select("p_partkey", F.round(units.positive(F.col("p_retailprice")) * units.factor(unit, units.LENGTHS_UM), 3).alias("um"))
 
 
@@ -551,3 +560,65 @@ def stabilised_frames(spark, sf_dir):
     error = lambda c: F.avg((F.col(c) - F.col("first")) ** 2)
     sums = both.groupBy("recording").agg(error("before").alias("before"), error("after").alias("after"))
     return sums.select("recording", (F.col("after") <= F.lit(0.1) * F.col("before") + 1e-6).alias("steadier"))
+
+
+@_query(f"""WITH {_MV} SELECT d.t, d.y, d.x, round(coalesce(s.v, 0.0), 2) AS v
+FROM mv d LEFT JOIN mv s ON s.t = d.t AND s.y = d.y + d.t % 3 - 1 AND s.x = d.x + d.t % 5 - 2""")
+def warp_whole_pixels(spark, sf_dir):
+    """Warping by whole pixels moves values and leaves 0 where nothing comes from."""
+    frames = mv.to_frames(tables.movie_from_lineitem(spark, sf_dir), H, W)
+    dy, dx = _shift(F.col("t"))
+    moves = frames.select("t", regions.rigid_to_matrix(dy.cast("double"), dx.cast("double"), F.lit(0.0)).alias("m"))
+    moved = mv.to_pixels(motion.stabilise(frames, moves))
+    return moved.select("t", "y", "x", (F.round("v", 2) + F.lit(0.0)).alias("v"))
+
+
+_RECORDINGS = "(SELECT vec_id // 64 AS r FROM embeddings GROUP BY 1 HAVING count(*) = 64), range(3) f(t)"
+
+
+def _hundredth(c: Column) -> Column:
+    return F.round(c, 2) + F.lit(0.0)
+
+
+def _twentieth(c: Column) -> Column:
+    return F.round(F.round(c * 20) / 20, 2) + F.lit(0.0)
+
+
+@_query(f"""SELECT r AS recording, t, round(CAST(t * (r % 3 - 1) AS DOUBLE) / 2, 2) + 0.0 AS dy, round(CAST(t * (r % 5 - 2) AS DOUBLE) / 4, 2) + 0.0 AS dx,
+round(t * (r % 4 - CAST(1.5 AS DOUBLE)), 2) + 0.0 AS theta FROM {_RECORDINGS}""")
+def register_rotated(spark, sf_dir):
+    """Sub-pixel shifts to a fortieth and angles to a twentieth of a degree either way."""
+    found = motion.register(tables.turning_frames(spark, sf_dir), "first", "rigid_body", ("recording",))
+    y, x = regions.map_point(F.lit(23.5), F.lit(23.5), F.col("m"), F.lit(0.0), F.lit(0.0))
+    return found.select("recording", "t", _twentieth(y - 23.5).alias("dy"), _twentieth(x - 23.5).alias("dx"), (F.round(regions.matrix_to_rigid(F.col("m"))["theta"], 1) + F.lit(0.0)).alias("theta"))
+
+
+@_query(f"""SELECT r AS recording, t, round(CAST(t * (r % 3 - 1) AS DOUBLE) / 2, 2) + 0.0 AS dy, round(CAST(t * (r % 5 - 2) AS DOUBLE) / 4, 2) + 0.0 AS dx,
+round(1 + CAST(0.02 AS DOUBLE) * t, 2) + 0.0 AS xx, round(CAST(0.02 AS DOUBLE) * t * (r % 3 - 1), 2) + 0.0 AS xy, CAST(0 AS DOUBLE) AS yx, CAST(1 AS DOUBLE) AS yy FROM {_RECORDINGS}""")
+def register_sheared(spark, sf_dir):
+    """Sub-pixel shifts to a fortieth either way, with a stretch and a shear to half a hundredth."""
+    found = motion.register(tables.turning_frames(spark, sf_dir, sheared=True), "first", "affine", ("recording",))
+    y, x = regions.map_point(F.lit(23.5), F.lit(23.5), F.col("m"), F.lit(0.0), F.lit(0.0))
+    entries = [_hundredth(F.get("m", F.lit(k))).alias(n) for k, n in ((0, "xx"), (1, "xy"), (3, "yx"), (4, "yy"))]
+    return found.select("recording", "t", _twentieth(y - 23.5).alias("dy"), _twentieth(x - 23.5).alias("dx"), *entries)
+
+
+#: The upper leaf's outline leaves out a still decoy in its right half; the lower one has no outline.
+_OUTLINED = ((0, 2, 24, 2, 46, ((0.0, 0.0), (0.0, 30.0), (26.0, 30.0), (26.0, 0.0))), (1, 26, 46, 4, 44, None))
+
+
+@_query(f"""SELECT leaf_id, r AS recording, t, round(CAST(t * (r % 3 - 1) AS DOUBLE), 1) + 0.0 AS dy, round(CAST(t * (r % 5 - 2) AS DOUBLE), 1) + 0.0 AS dx,
+abs(t * (r % 3 - 1)) * abs(t * (r % 3 - 1)) + abs(t * (r % 5 - 2)) * abs(t * (r % 5 - 2)) > 16 AS far
+FROM {_RECORDINGS}, (VALUES (0), (1)) l(leaf_id)""", ints=("leaf_id",))
+def register_leaf_masked(spark, sf_dir):
+    """Leaf boxes registered on their own; a bright square that stands still lies outside the outline of one of them."""
+    frames = tables.drifting_frames(spark, sf_dir)
+    spot = lambda i: (F.floor(i / 48).between(6, 18)) & ((i % 48).between(34, 43))
+    frames = frames.withColumn("px", F.transform("px", lambda v, i: F.when(spot(i), 2000.0 + 10 * (i % 7)).otherwise(v)))
+    schema = f"leaf_id int, y0 int, y1 int, x0 int, x1 int, mask_polygon {regions.VERTICES}"
+    one = spark.createDataFrame([(*b, [{"y": y, "x": x} for y, x in v] if v else None) for *b, v in _OUTLINED], schema)
+    leaves = frames.select("recording").distinct().join(one, F.lit(True))
+    found = motion.register_leaves(frames, leaves, "first", "translation", ("recording",))
+    tenth = lambda c: F.round(F.get("m", F.lit(c)), 1) + F.lit(0.0)
+    moves = found.select("recording", "leaf_id", "t", tenth(5).alias("dy"), tenth(2).alias("dx"))
+    return moves.withColumn("far", F.hypot("dy", "dx") > 4)

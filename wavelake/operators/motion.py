@@ -23,53 +23,88 @@ IDENTITY = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
 _DOUBLES = ArrayType(DoubleType())
 
 
-def reference_frames(frames: DataFrame, reference: str = "mean", by: Sequence[str] = ()) -> DataFrame:
-    """``(by..., ref)``: the mean over time, or the first frame."""
+def reference_frames(frames: DataFrame, reference: str = "mean", by: Sequence[str] = (), n_frames: int = 1) -> DataFrame:
+    """``(by..., ref)``: the mean over time, or that of the first ``n_frames`` frames."""
     if reference not in REFERENCES:
         raise ValueError(f"unknown reference {reference!r}, expected one of {REFERENCES}")
     if reference != "mean":
-        return frames.where(F.col("t") == 0).select(*by, F.col("px").alias("ref"))
+        if n_frames == 1:
+            return frames.where(F.col("t") == 0).select(*by, F.col("px").alias("ref"))
+        frames = frames.where(F.col("t") < n_frames)
     cells = frames.select(*by, F.posexplode("px").alias("at", "v")).groupBy(*by, "at").agg(F.avg("v").alias("v"))
     whole = cells.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("c"))
     return whole.select(*by, F.col("c.v").alias("ref"))
 
 
+def reference_masks(masks: DataFrame, reference: str = "mean", by: Sequence[str] = (), n_frames: int = 1) -> DataFrame:
+    """``(by..., ref_mask)``: what all frames that make the reference let take part."""
+    if reference == "first":
+        masks = masks.where(F.col("t") < n_frames)
+    cells = masks.select(*by, F.posexplode("mask").alias("at", "v")).groupBy(*by, "at").agg(F.bool_and("v").alias("v"))
+    whole = cells.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("c"))
+    return whole.select(*by, F.col("c.v").alias("ref_mask"))
+
+
 def _estimator(model: str):
     @F.pandas_udf(_DOUBLES)
-    def estimate(px: pd.Series, ref: pd.Series, height: pd.Series, width: pd.Series, mask: pd.Series) -> pd.Series:
+    def estimate(px: pd.Series, ref: pd.Series, height: pd.Series, width: pd.Series, mask: pd.Series, ref_mask: pd.Series) -> pd.Series:
         out = []
-        for p, r, h, w, m in zip(px, ref, height, width, mask, strict=True):
+        for p, r, h, w, m, rm in zip(px, ref, height, width, mask, ref_mask, strict=True):
             if r is None:
                 out.append(IDENTITY)
                 continue
-            inside = None if m is None else np.asarray(m, bool).reshape(h, w)
-            found = align.register(np.asarray(r).reshape(h, w), np.asarray(p).reshape(h, w), model, inside, inside)
+            inside, before = (None if x is None else np.asarray(x, bool).reshape(h, w) for x in (m, rm))
+            found = align.register(np.asarray(r).reshape(h, w), np.asarray(p).reshape(h, w), model, before, inside)
             out.append(found.ravel().tolist())
         return pd.Series(out)
 
     return estimate
 
 
-def register(frames: DataFrame, reference: str = "first", model: str = "affine", by: Sequence[str] = (), mask: DataFrame | None = None) -> DataFrame:
+def register(
+    frames: DataFrame,
+    reference: str = "first",
+    model: str = "affine",
+    by: Sequence[str] = (),
+    mask: DataFrame | None = None,
+    n_frames: int = 1,
+    frame_masks: DataFrame | None = None,
+) -> DataFrame:
     """``(by..., t, m)``: one matrix per frame against its recording's reference.
 
-    ``mask (by..., mask array<boolean>)`` marks the pixels that may take part.  The frame that is the
-    reference itself gets the identity.
+    ``first`` is the mean of the first ``n_frames`` frames.  ``mask (by..., mask array<boolean>)`` marks the
+    pixels that may take part in all frames, ``frame_masks (by..., t, mask)`` those of each frame; an averaged
+    reference then lets take part what all averaged frames do, and ``previous`` what the frame before does.
+    Frame 0 gets the identity, except with the mean of all frames.
     """
     if model not in align.MODELS:
         raise ValueError(f"unknown model {model!r}")
+    if mask is not None and frame_masks is not None:
+        raise ValueError("give one mask for all frames or one for each, not both")
+    none = F.lit(None).cast("array<boolean>")
+    if frame_masks is not None:
+        frames = frames.join(frame_masks.select(*by, "t", "mask"), [*by, "t"], "left")
+    else:
+        frames = frames.withColumn("mask", none)
     if reference == "previous":
-        paired = frames.withColumn("ref", F.lag("px").over(Window.partitionBy(*by).orderBy("t")))
+        order = Window.partitionBy(*by).orderBy("t")
+        paired = frames.withColumn("ref", F.lag("px").over(order)).withColumn("ref_mask", F.lag("mask").over(order))
     else:
-        refs = reference_frames(frames, reference, by)
-        paired = frames.join(refs, list(by)) if by else frames.join(F.broadcast(refs), F.lit(True))
+        refs = reference_frames(frames, reference, by, n_frames)
+        paired = frames.join(refs, list(by)) if by else frames.join(refs, F.lit(True))
         if reference == "first":
             paired = paired.withColumn("ref", F.when(F.col("t") > 0, F.col("ref")))
-    if mask is None:
-        paired = paired.withColumn("mask", F.lit(None).cast("array<boolean>"))
-    else:
-        paired = paired.join(mask, list(by), "left") if by else paired.join(F.broadcast(mask), F.lit(True), "left")
-    found = paired.select(*by, "t", _estimator(model)("px", "ref", "height", "width", "mask").alias("m"))
+        if frame_masks is None:
+            paired = paired.withColumn("ref_mask", none)
+        else:
+            shared = reference_masks(frame_masks, reference, by, n_frames)
+            paired = paired.join(shared, list(by), "left") if by else paired.join(shared, F.lit(True), "left")
+    if mask is not None:
+        mask = mask.select(*by, F.col("mask").alias("all_mask"))
+        paired = paired.drop("mask", "ref_mask")
+        paired = paired.join(mask, list(by), "left") if by else paired.join(mask, F.lit(True), "left")
+        paired = paired.withColumn("mask", F.col("all_mask")).withColumn("ref_mask", F.col("all_mask"))
+    found = paired.select(*by, "t", _estimator(model)("px", "ref", "height", "width", "mask", "ref_mask").alias("m"))
     return chain(found, by) if reference == "previous" else found
 
 
@@ -105,7 +140,7 @@ def stabilise(frames: DataFrame, transforms: DataFrame, by: Sequence[str] = ())
 
 def crop_boxes(frames: DataFrame, leaves: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One row per frame and leaf box: ``(by..., leaf_id, t, height, width, px)`` of the box."""
-    joined = frames.join(leaves, list(by)) if by else frames.join(F.broadcast(leaves), F.lit(True))
+    joined = frames.join(leaves, list(by)) if by else frames.join(leaves, F.lit(True))
     line = lambda y: F.slice("px", y * F.col("width") + F.col("x0") + 1, F.col("x1") - F.col("x0"))
     cut = F.flatten(F.transform(F.sequence(F.col("y0"), F.col("y1") - 1), line))
     # in two steps: inside a lambda, "width" would mean the new column
@@ -114,8 +149,15 @@ def crop_boxes(frames: DataFrame, leaves: DataFrame, by: Sequence[str] = ()) ->
 
 
 def register_leaves(frames: DataFrame, leaves: DataFrame, reference: str = "mean", model: str = "affine", by: Sequence[str] = ()) -> DataFrame:
-    """``(by..., leaf_id, t, m)``: every box is registered on its own."""
-    return register(crop_boxes(frames, leaves, by), reference, model, (*by, "leaf_id"))
+    """``(by..., leaf_id, t, m)``: every box is registered on its own.
+
+    If leaves have a ``mask_polygon``, only pixels inside it take part; without a usable one all do.
+    """
+    from wavelake.operators.regions import leaf_mask_arrays
+
+    keys = (*by, "leaf_id")
+    masks = leaf_mask_arrays(leaves, by) if "mask_polygon" in leaves.columns else None
+    return register(crop_boxes(frames, leaves.select(*keys, "y0", "y1", "x0", "x1"), by), reference, model, keys, masks)
 
 
 def stabilise_leaves(frames: DataFrame, leaves: DataFrame, transforms: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -124,6 +166,6 @@ def stabilise_leaves(frames: DataFrame, leaves: DataFrame, transforms: DataFrame
     from wavelake.operators.regions import composite
 
     boxes = stabilise(crop_boxes(frames, leaves, by).join(transforms.select(*by, "leaf_id").distinct(), [*by, "leaf_id"]), transforms, (*by, "leaf_id"))
-    cells = to_pixels(boxes, (*by, "leaf_id")).join(F.broadcast(leaves.select(*by, "leaf_id", "y0", "x0")), [*by, "leaf_id"])
+    cells = to_pixels(boxes, (*by, "leaf_id")).join(leaves.select(*by, "leaf_id", "y0", "x0"), [*by, "leaf_id"])
     placed = cells.select(*by, "leaf_id", "t", (F.col("y") + F.col("y0")).alias("y"), (F.col("x") + F.col("x0")).alias("x"), "v")
     return composite(to_pixels(frames, by), placed, by)

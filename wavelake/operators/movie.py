@@ -18,8 +18,13 @@ def select_channel(pixels: DataFrame, channel: int = 0) -> DataFrame:
     return pixels.where(F.col("c") == channel).drop("c")
 
 
-def crop_time(movie: DataFrame, start: int = 0, end: int | None = None) -> DataFrame:
-    """Frames ``[start, end)``, renumbered from 0; an end beyond the movie is clamped."""
+def crop_time(movie: DataFrame, start: int = 0, end: int | None = None, n_frames: int | None = None) -> DataFrame:
+    """Frames ``[start, end)``, renumbered from 0; an end beyond the movie is clamped.
+
+    Negative bounds count from the end of the ``n_frames`` frames, which must then be known.
+    """
+    if n_frames is not None:
+        start, end, _ = slice(start, end).indices(n_frames)
     start, end = window_of((start, end if end is not None else 2**31 - 1), "time crop")
     return movie.where((F.col("t") >= start) & (F.col("t") < end)).withColumn("t", F.col("t") - start)
 
@@ -57,8 +62,8 @@ def import_movie(movie: DataFrame, n_frames: int, start: int = 0, end: int | Non
     """All import steps in their fixed order."""
     if channel is not None:
         movie = select_channel(movie, channel)
-    last = min(n_frames, end if end is not None else n_frames)
-    movie = average_time(crop_time(movie, start, last), temporal_step, max(0, last - start), integer)
+    start, last, _ = slice(start, end).indices(n_frames)
+    movie = average_time(crop_time(movie, start, max(start, last)), temporal_step, max(0, last - start), integer)
     if spatial_window is not None:
         movie = crop_space(movie, spatial_window)
     return stride_space(movie, spatial_step)

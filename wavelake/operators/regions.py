@@ -116,10 +116,13 @@ def move_rois(rois: DataFrame, transforms: DataFrame, n_frames: int, by: Sequenc
 
 
 def tracked_traces(movie: DataFrame, rois: DataFrame, transforms: DataFrame, n_frames: int, height: int, width: int, by: Sequence[str] = ()) -> DataFrame:
-    """Traces of regions that follow their transforms over the raw pixels; 0 while out of view."""
+    """Traces of regions that follow their transforms over the raw pixels; 0 while out of view.
+
+    Keys that the movie lacks (as a leaf box) come from the regions alone.
+    """
     moved = move_rois(rois, transforms, n_frames, by)
     mask = roi_mask(moved, height, width, (*by, "t"))
-    means = movie.join(mask, [*by, "t", "y", "x"]).groupBy(*by, "roi_id", "t").agg(F.avg("v").alias("raw"))
+    means = movie.join(mask, [*(b for b in by if b in movie.columns), "t", "y", "x"]).groupBy(*by, "roi_id", "t").agg(F.avg("v").alias("raw"))
     every = moved.select(*by, "roi_id", "t")
     return every.join(means, [*by, "roi_id", "t"], "left").select(*by, "roi_id", "t", F.coalesce("raw", F.lit(0.0)).alias("raw"))
 
@@ -136,12 +139,22 @@ def assign_leaves(rois: DataFrame, leaves: DataFrame, by: Sequence[str] = ()) ->
     return full.withColumn("leaf_id", F.get(holds, F.lit(0))["leaf_id"]).drop("boxes")
 
 
-def leaf_mask(leaves: DataFrame) -> DataFrame:
-    """``(leaf_id, y, x)`` in box coordinates of leaves whose outline selects pixels; others use all pixels."""
+def leaf_mask(leaves: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``(by..., leaf_id, y, x)`` in box coordinates of leaves whose outline selects pixels; others use all pixels."""
     shifted = F.transform("mask_polygon", lambda v: F.struct((v["y"] - F.col("y0")).alias("y"), (v["x"] - F.col("x0")).alias("x")))
     cells = leaves.where(F.size("mask_polygon") >= 3).withColumn("vertices", shifted)
     cells = cells.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("y1") - F.col("y0") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("x1") - F.col("x0") - 1)))
-    return cells.where(in_polygon(F.col("y").cast("double"), F.col("x").cast("double"), F.col("vertices"))).select("leaf_id", "y", "x")
+    return cells.where(in_polygon(F.col("y").cast("double"), F.col("x").cast("double"), F.col("vertices"))).select(*by, "leaf_id", "y", "x")
+
+
+def leaf_mask_arrays(leaves: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``(by..., leaf_id, mask array<boolean>)`` in row-major order, for the leaves that ``leaf_mask`` has."""
+    inside = leaf_mask(leaves, by).groupBy(*by, "leaf_id", "y").agg(F.collect_set("x").alias("xs"))
+    rows = leaves.select(*by, "leaf_id", F.col("x0").alias("x0_"), F.col("x1").alias("x1_"), F.explode(F.sequence(F.lit(0), F.col("y1") - F.col("y0") - 1)).alias("y"))
+    rows = rows.join(inside, [*by, "leaf_id", "y"], "left")
+    line = F.transform(F.sequence(F.lit(0), F.col("x1_") - F.col("x0_") - 1), lambda x: F.coalesce(F.array_contains("xs", x), F.lit(False)))
+    whole = rows.groupBy(*by, "leaf_id").agg(F.array_sort(F.collect_list(F.struct("y", line.alias("line")))).alias("lines"), F.count("xs").alias("n"))
+    return whole.where(F.col("n") > 0).select(*by, "leaf_id", F.flatten(F.col("lines.line")).alias("mask"))
 
 
 def composite(movie: DataFrame, warped: DataFrame, by: Sequence[str] = ()) -> DataFrame:

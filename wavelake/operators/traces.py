@@ -97,6 +97,13 @@ def running_mean(frames: DataFrame, n: int, by: Sequence[str], value: str = "v")
     return frames.withColumn("mean", (F.sum(value).over(order) + missing_before * first + missing_after * last) / n)
 
 
+def running_all(frames: DataFrame, n: int, by: Sequence[str], value: str = "inside") -> DataFrame:
+    """Adds ``all_inside``: whether a pixel is inside in every frame of ``running_mean``'s window; the ends repeat."""
+    before, after = -(-n // 2) - 1, n // 2
+    order = Window.partitionBy(*by).orderBy("t").rowsBetween(-before, after)
+    return frames.withColumn("all_inside", F.bool_and(value).over(order))
+
+
 def label_of(label: Column, roi_id: Column) -> Column:
     """The given label, or ``roi_<id>``."""
     return F.coalesce(F.nullif(label, F.lit("")), F.concat(F.lit("roi_"), roi_id.cast("string")))

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wavelake.functions import align
+
 #: The movie's grid: months from January 1995, order lines, supplier residues.
 MOVIE_SHAPE = (83, 7, 16)
 
@@ -48,26 +50,63 @@ def movie_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid(spark, MOVIE_SHAPE).join(sums, ["t", "y", "x"], "left").select("t", "y", "x", F.coalesce("s", F.lit(0.0)).alias("v"))
 
 
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(recording, rows)``: blocks of 64 vectors of 64 numbers."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    row = F.struct("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return vectors.groupBy(F.floor(F.col("vec_id") / 64).alias("recording")).agg(F.array_sort(F.collect_list(row)).alias("rows")).where(F.size("rows") == 64)
+
+
+def _smoothed(rows) -> np.ndarray:
+    image = np.stack([np.asarray(v, float) for v in rows])
+    for _ in range(6):
+        image = sum(np.roll(image, d, axis) for axis in (0, 1) for d in (-1, 0, 1)) / 6
+    return 100 + 500 * image
+
+
 def drifting_frames(spark: SparkSession, sf_dir: str, n_frames: int = 3) -> DataFrame:
     """Recordings cut from embedding blocks: ``(recording, t, height, width, px)``.
 
-    64 vectors of 64 numbers are an image; smoothed, it is seen through a window of 48 x 48 that moves
+    Smoothed, an image is seen through a window of 48 x 48 that moves
     against the content, by ``recording % 5 - 2`` columns and ``recording % 3 - 1`` rows a frame.
     """
+
     @F.pandas_udf("array<array<double>>")
     def views(block: pd.Series, recording: pd.Series) -> pd.Series:
         out = []
         for rows, r in zip(block, recording, strict=True):
-            image = np.stack([np.asarray(v, float) for v in rows])
-            for _ in range(6):
-                image = sum(np.roll(image, d, axis) for axis in (0, 1) for d in (-1, 0, 1)) / 6
+            image = _smoothed(rows)
             dy, dx = int(r) % 3 - 1, int(r) % 5 - 2
             cuts = [(8 - dy * t, 8 - dx * t) for t in range(n_frames)]
-            out.append([(100 + 500 * image[y : y + 48, x : x + 48]).ravel().tolist() for y, x in cuts])
+            out.append([image[y : y + 48, x : x + 48].ravel().tolist() for y, x in cuts])
         return pd.Series(out)
 
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    row = F.struct("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    blocks = vectors.groupBy(F.floor(F.col("vec_id") / 64).alias("recording")).agg(F.array_sort(F.collect_list(row)).alias("rows")).where(F.size("rows") == 64)
-    seen = blocks.select("recording", F.posexplode(views("rows.v", "recording")).alias("t", "px"))
+    seen = _images(spark, sf_dir).select("recording", F.posexplode(views("rows.v", "recording")).alias("t", "px"))
+    return seen.select("recording", "t", F.lit(48).alias("height"), F.lit(48).alias("width"), "px")
+
+
+def turning_frames(spark: SparkSession, sf_dir: str, n_frames: int = 3, sheared: bool = False) -> DataFrame:
+    """The same window with sub-pixel motion about its centre, interpolated by cubic splines.
+
+    A frame shifts the content by ``t * (recording % 3 - 1) / 2`` rows and ``t * (recording % 5 - 2) / 4`` columns and
+    turns it by ``t * (recording % 4 - 1.5)`` degrees; ``sheared``: instead of turning, it maps (x, y) to
+    ``((1 + 0.02 t) x + 0.02 t (recording % 3 - 1) y, y)``.
+    """
+
+    @F.pandas_udf("array<array<double>>")
+    def views(block: pd.Series, recording: pd.Series) -> pd.Series:
+        yy, xx = (v.ravel() for v in np.mgrid[0:48, 0:48].astype(float))
+        out = []
+        for rows, r in zip(block, recording, strict=True):
+            coefficients, cuts = align.spline_coefficients(_smoothed(rows)), []
+            for t in range(n_frames):
+                angle = np.radians(t * (int(r) % 4 - 1.5))
+                linear = np.array([[1 + 0.02 * t, 0.02 * t * (int(r) % 3 - 1)], [0, 1]]) if sheared else np.array([[np.cos(angle), -np.sin(angle)], [np.sin(angle), np.cos(angle)]])
+                shift = np.array([[t * (int(r) % 5 - 2) / 4], [t * (int(r) % 3 - 1) / 2]])
+                x, y = np.linalg.solve(linear, np.stack([xx, yy]) - 23.5 - shift) + 23.5
+                cuts.append(align.sample(coefficients, y + 8, x + 8).tolist())
+            out.append(cuts)
+        return pd.Series(out)
+
+    seen = _images(spark, sf_dir).select("recording", F.posexplode(views("rows.v", "recording")).alias("t", "px"))
     return seen.select("recording", "t", F.lit(48).alias("height"), F.lit(48).alias("width"), "px")

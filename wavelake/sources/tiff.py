@@ -1,9 +1,12 @@
 """TIFF recordings in and out.
 
-Files are read as binary rows, so any file system that Spark reads will do, and parsed
-in the tasks: baseline TIFF, uncompressed or deflated strips, one sample per pixel, 8 to
-64 bits, integers or floats, either byte order.  One row per image comes out, in the frame
-schema ``(path, t, height, width, px)``.  Scales are resolved per axis from the first source
+Files are read as binary rows, so any file system that Spark reads will do (a file must be
+smaller than 2 GB), and parsed in the tasks: TIFF and BigTIFF, strips or tiles, uncompressed, LZW, PackBits
+or deflated, with or without horizontal differences, one sample per pixel, 8 to
+64 bits, integers or floats, either byte order.  What can't be read raises an error.  One row per image comes out, in the frame
+schema ``(path, t, c, height, width, px)``.  ImageJ's description says how many images a file holds (also where only the first has a
+directory) and how many of them are channels and slices, channels varying fastest; of several slices per time all
+count as frames.  Scales are resolved per axis from the first source
 that has them: the ImageJ description, OME-XML, the resolution tags.
 """
 
@@ -22,8 +25,10 @@ from pyspark.sql import functions as F
 
 from wavelake.functions import units
 
-FRAMES = "path string, t int, height int, width int, px array<double>"
-_TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
+FRAMES = "path string, t int, c int, height int, width int, px array<double>"
+SUFFIXES = (".tif", ".tiff")
+_TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q", 17: "q", 18: "Q"}
+_SAMPLES, _PREDICTOR, _TILE_WIDTH, _TILE_HEIGHT, _TILES, _TILE_SIZES = 277, 317, 322, 323, 324, 325
 _WIDTH, _HEIGHT, _BITS, _PACKED, _TEXT, _STRIPS, _SIZES, _XRES, _UNIT, _FORMAT = 256, 257, 258, 259, 270, 273, 279, 282, 296, 339
 #: Names of the resolution units 2 and 3.
 _RESOLUTION = {2: "inch", 3: "cm"}
@@ -32,36 +37,130 @@ _RESOLUTION = {2: "inch", 3: "cm"}
 def directories(raw: bytes) -> tuple[str, list[dict[int, tuple]]]:
     """The byte order and the tags of every image."""
     order = {b"II": "<", b"MM": ">"}.get(raw[:2])
-    if order is None or struct.unpack_from(order + "H", raw, 2)[0] != 42:
+    kind = struct.unpack_from(order + "H", raw, 2)[0] if order and len(raw) >= 8 else 0
+    if kind not in (42, 43):
         raise ValueError("not a TIFF file")
-    out = []
-    at = struct.unpack_from(order + "I", raw, 4)[0]
-    while at and at + 2 <= len(raw) and len(out) < 1 << 24:
+    # BigTIFF has 8-byte offsets and counts
+    word, number, start, head = ("Q", "Q", 8, 8) if kind == 43 else ("I", "H", 4, 2)
+    size = struct.calcsize(order + word)
+    entry = 4 + 2 * size
+    out, seen = [], set()
+    at = struct.unpack_from(order + word, raw, start)[0]
+    while at and at + head <= len(raw) and at not in seen:
+        seen.add(at)
         tags = {}
-        for k in range(struct.unpack_from(order + "H", raw, at)[0]):
-            tag, kind, count = struct.unpack_from(order + "HHI", raw, at + 2 + 12 * k)
-            code = _TYPES.get(kind)
+        n = struct.unpack_from(order + number, raw, at)[0]
+        for k in range(n):
+            here = at + head + entry * k
+            tag, code, count = struct.unpack_from(f"{order}HH{word}", raw, here)
+            code = _TYPES.get(code)
             if code is None:
                 continue
-            size = struct.calcsize(order + code) * count
-            where = at + 10 + 12 * k if size <= 4 else struct.unpack_from(order + "I", raw, at + 10 + 12 * k)[0]
+            where = here + 4 + size
+            if struct.calcsize(order + code) * count > size:
+                where = struct.unpack_from(order + word, raw, where)[0]
             tags[tag] = (raw[where : where + count],) if code == "s" else struct.unpack_from(f"{order}{count * len(code)}{code[0]}", raw, where)
         out.append(tags)
-        at = struct.unpack_from(order + "I", raw, at + 2 + 12 * struct.unpack_from(order + "H", raw, at)[0])[0]
+        at = struct.unpack_from(order + word, raw, at + head + entry * n)[0]
     return order, out
 
 
-def image_of(raw: bytes, order: str, tags: dict[int, tuple]) -> np.ndarray:
-    """The pixels of one image."""
-    kind = {1: "u", 2: "i", 3: "f"}[tags.get(_FORMAT, (1,))[0]]
-    strips = [raw[a : a + n] for a, n in zip(tags[_STRIPS], tags[_SIZES], strict=True)]
-    packed = tags.get(_PACKED, (1,))[0]
-    if packed in (8, 32946):
-        strips = [zlib.decompress(s) for s in strips]
-    elif packed != 1:
-        raise ValueError(f"compression {packed} is not supported")
-    flat = np.frombuffer(b"".join(strips), np.dtype(f"{order}{kind}{tags.get(_BITS, (8,))[0] // 8}"))
-    return flat[: tags[_HEIGHT][0] * tags[_WIDTH][0]].reshape(tags[_HEIGHT][0], tags[_WIDTH][0])
+def unpacked_bits(data: bytes) -> bytes:
+    """PackBits: runs and literals."""
+    out, at = bytearray(), 0
+    while at < len(data):
+        n = data[at]
+        if n < 128:
+            out += data[at + 1 : at + 2 + n]
+            at += n + 2
+        else:
+            if n > 128:
+                out += data[at + 1 : at + 2] * (257 - n)
+            at += 2 if n > 128 else 1
+    return bytes(out)
+
+
+def unpacked_lzw(data: bytes) -> bytes:
+    """LZW with codes of 9 to 12 bits, high bits first; 256 starts anew, 257 ends."""
+    out, table, last = bytearray(), [], b""
+    held = bits = at = 0
+    width = 9
+    while True:
+        while bits < width:
+            if at >= len(data):
+                return bytes(out)
+            held, bits, at = (held << 8 | data[at]) & 0xFFFFFFFF, bits + 8, at + 1
+        bits -= width
+        code = held >> bits & (1 << width) - 1
+        if code == 257:
+            return bytes(out)
+        if code == 256:
+            table, last, width = [bytes([k]) for k in range(256)] + [b"", b""], b"", 9
+            continue
+        if not table:
+            raise ValueError("damaged LZW data")
+        word = table[code] if code < len(table) else last + last[:1]
+        if last:
+            table.append(last + word[:1])
+        out += word
+        last = word
+        width = max(9, min(12, (len(table) + 1).bit_length()))
+
+
+_UNPACK = {1: lambda b: b, 5: unpacked_lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: unpacked_bits}
+
+
+def image_of(raw: bytes, order: str, tags: dict[int, tuple], skip: int = 0) -> np.ndarray:
+    """The pixels of one image; ``skip``: images that lie before it without a directory of their own."""
+    samples, bits = tags.get(_SAMPLES, (1,))[0], tags.get(_BITS, (8,))
+    if samples != 1 or len(bits) != 1:
+        raise ValueError(f"{samples} samples a pixel are not supported")
+    kind = {1: "u", 2: "i", 3: "f"}.get(tags.get(_FORMAT, (1,))[0])
+    if kind is None or bits[0] not in (8, 16, 32, 64):
+        raise ValueError(f"{bits[0]} bits of format {tags.get(_FORMAT, (1,))[0]} are not supported")
+    dtype = np.dtype(f"{order}{kind}{bits[0] // 8}")
+    packed, predictor = tags.get(_PACKED, (1,))[0], tags.get(_PREDICTOR, (1,))[0]
+    if packed not in _UNPACK or predictor not in (1, 2):
+        raise ValueError(f"compression {packed} with predictor {predictor} is not supported")
+    height, width = tags[_HEIGHT][0], tags[_WIDTH][0]
+    if skip:
+        if packed != 1 or _TILES in tags:
+            raise ValueError("images without a directory must be plain strips")
+        start = tags[_STRIPS][0] + skip * height * width * dtype.itemsize
+        flat = np.frombuffer(raw[start : start + height * width * dtype.itemsize], dtype)
+        if flat.size < height * width:
+            raise ValueError("the file ends before its last image")
+        return flat.reshape(height, width)
+
+    def piece(at: int, size: int, w: int) -> np.ndarray:
+        part = np.frombuffer(_UNPACK[packed](raw[at : at + size]), dtype).reshape(-1, w)
+        return np.cumsum(part, axis=1, dtype=dtype.newbyteorder("=")) if predictor == 2 else part
+
+    if _TILES in tags:
+        tw, th = tags[_TILE_WIDTH][0], tags[_TILE_HEIGHT][0]
+        across = -(-width // tw)
+        out = np.zeros((-(-height // th) * th, across * tw), dtype)
+        for k, (at, size) in enumerate(zip(tags[_TILES], tags[_TILE_SIZES], strict=True)):
+            y, x = k // across * th, k % across * tw
+            out[y : y + th, x : x + tw] = piece(at, size, tw)
+        return out[:height, :width]
+    image = np.concatenate([piece(at, size, width) for at, size in zip(tags[_STRIPS], tags[_SIZES], strict=True)])
+    if len(image) < height:
+        raise ValueError("the file ends before its last image")
+    return image[:height]
+
+
+def layout(images: list[dict[int, tuple]]) -> tuple[int, int]:
+    """How many images a file holds and how many channels vary fastest among them."""
+    said = metadata(images[0]) if images else {}
+    number = lambda k, other: int(said[k]) if said.get("flavour") == "imagej" and said.get(k, "").isdigit() else other
+    total = number("images", len(images))
+    if len(images) not in (1, total):
+        raise ValueError(f"{len(images)} directories for {total} images")
+    channels = max(1, number("channels", 1))
+    if total % channels:
+        raise ValueError(f"{total} images for {channels} channels")
+    return total, channels
 
 
 def metadata(tags: dict[int, tuple]) -> dict[str, str]:
@@ -89,6 +188,14 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.[tT][iI][fF]*").load(path).select("path", "content")
 
 
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """``read_frames`` for a path whose suffix says what it is; others raise ``ValueError``."""
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    if "." in name and not name.lower().endswith(SUFFIXES):
+        raise ValueError(f"cannot read {name!r}, expected one of {', '.join(SUFFIXES)}")
+    return read_frames(spark, path)
+
+
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
     """Every image of every file under ``path``."""
 
@@ -96,9 +203,10 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, raw in zip(batch["path"], batch["content"], strict=True):
                 order, images = directories(raw)
-                for t, tags in enumerate(images):
-                    px = image_of(raw, order, tags)
-                    yield pd.DataFrame({"path": [name], "t": [t], "height": [px.shape[0]], "width": [px.shape[1]], "px": [px.astype(float).ravel()]})
+                total, channels = layout(images)
+                for k in range(total):
+                    px = image_of(raw, order, images[k]) if len(images) == total else image_of(raw, order, images[0], k)
+                    yield pd.DataFrame({"path": [name], "t": [k // channels], "c": [k % channels], "height": [px.shape[0]], "width": [px.shape[1]], "px": [px.astype(float).ravel()]})
 
     return _files(spark, path).mapInPandas(parse, FRAMES)
 
