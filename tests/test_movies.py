@@ -2,8 +2,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wavelake.operators import kymograph, motion, movie, regions
-from wavelake.session import Recording
+from wavelake.functions import align
+from wavelake.operators import kymograph, motion, movie, regions, traces
+from wavelake.session import Recording, register_analysis
+from wavelake.sources import tiff
+from wavelake.streaming import live
 
 
 def pixels(spark, stack):
@@ -238,3 +241,129 @@ def test_recording_follows_motion(spark):
     r.register("whole_frame", "first", apply=True, model="translation")
     s = r.traces().toPandas().raw
     assert s.std() / s.mean() < 0.02
+
+
+def test_outlines_limit_what_registers(spark):
+    """A still decoy lies in the leaf's box; its outline leaves the decoy out."""
+    yy, xx = np.mgrid[0:64, 0:64]
+    blob = lambda y, x, s: np.exp(-((yy - y) ** 2 + (xx - x) ** 2) / (2 * s * s))
+    stack = np.stack([100 + 150 * blob(24 + 1.5 * t, 24 - t, 5) + 400 * blob(46, 46, 3) for t in range(4)])
+    r = Recording(pixels(spark, stack), 4, 64, 64, frame_interval=0.5)
+    leaf = r.add_leaf((4, 60, 4, 60))
+
+    def shifts():
+        r.register("per_leaf", "first", apply=False, model="translation")
+        return {row.t: (row.m[5], row.m[2]) for row in r.transforms.collect()}
+
+    plain = shifts()
+    with pytest.raises(ValueError):
+        r.set_leaf_outline(leaf, [(0, 0), (1, 1)])
+    r.set_leaf_outline(leaf, [(0, 0), (0, 38), (38, 38), (38, 0)])
+    masked = shifts()
+    assert all(masked[t] == pytest.approx((1.5 * t, -t), abs=0.5) for t in range(4))
+    assert abs(plain[3][0]) < 0.6 * 4.5
+    assert r.drift.count() == 0 and len(r.references.first().ref) == 56 * 56
+    r.clear_leaf_outline(leaf)
+    assert shifts()[3] == pytest.approx(plain[3]) and r.leaves[0]["mask_polygon"] is None
+
+
+def test_averaged_references_and_masks_of_each_frame(spark):
+    images = [blob_image(0.5 * t, -0.25 * t) for t in range(5)]
+    by_first = {r.t: np.array(r.m).reshape(3, 3) for r in motion.register(frames(spark, images), "first", "translation", n_frames=3).collect()}
+    assert (by_first[0] == np.eye(3)).all() and abs(by_first[1][1, 2]) < 0.15 and by_first[4][1, 2] == pytest.approx(1.5, abs=0.1)
+    # a bright square wanders through the frames; each frame masks its own
+    masks, spoilt = [], []
+    for t, image in enumerate(images):
+        image, mask = image.copy(), np.ones(image.shape, bool)
+        image[20:30, 8 + 12 * t : 18 + 12 * t] = 900
+        mask[17:33, 5 + 12 * t : 21 + 12 * t] = False
+        spoilt.append(image)
+        masks.append(mask)
+    table = spark.createDataFrame([(t, m.ravel().tolist()) for t, m in enumerate(masks)], "t int, mask array<boolean>")
+    for reference in ("first", "previous"):
+        got = {r.t: np.array(r.m).reshape(3, 3) for r in motion.register(frames(spark, spoilt), reference, "translation", frame_masks=table).collect()}
+        assert all(got[t][:2, 2] == pytest.approx([-0.25 * t, 0.5 * t], abs=0.15) for t in range(5)), reference
+    shared = np.array(motion.reference_masks(table, "mean").first().ref_mask).reshape(80, 80)
+    assert (shared == np.logical_and.reduce(masks)).all()
+    two = np.array(motion.reference_masks(table, "first", n_frames=2).first().ref_mask).reshape(80, 80)
+    assert (two == (masks[0] & masks[1])).all()
+
+
+def test_matrix_forms():
+    m = np.array([[1.0, 2, 3], [4, 5, 6], [0, 0, 1]])
+    assert align.short_matrix(m, "affine").tolist() == [[3, 1, 2], [6, 4, 5]] and (align.long_matrix(align.short_matrix(m, "affine"), "affine") == m).all()
+    shift = np.array([[1.0, 0, 3], [0, 1, 6], [0, 0, 1]])
+    assert align.short_matrix(shift, "translation").tolist() == [[3], [6]] and (align.long_matrix([[3], [6]], "translation") == shift).all()
+    with pytest.raises(ValueError):
+        align.short_matrix(np.eye(2), "affine")
+
+
+def test_splines_of_short_sides_are_exact():
+    image = np.random.default_rng(0).uniform(0, 9, (5, 16))
+    yy, xx = (v.ravel().astype(float) for v in np.mgrid[0:5, 0:16])
+    assert np.abs(align.sample(align.spline_coefficients(image), yy, xx) - image.ravel()).max() < 1e-9
+
+
+def test_running_mask_and_negative_bounds(spark):
+    inside = [True, False, True, True, True, True]
+    rows = spark.createDataFrame([(t, 0, 0, v) for t, v in enumerate(inside)], "t int, y int, x int, inside boolean")
+    got = [r.all_inside for r in traces.running_all(rows, 3, ("y", "x")).orderBy("t").collect()]
+    assert got == [False, False, False, True, True, True]
+    stack = np.arange(10 * 2 * 2).reshape(10, 2, 2)
+    for start, end in ((-3, None), (2, -1), (-4, -2), (8, 3), (0, 99)):
+        cut = movie.import_movie(pixels(spark, stack), 10, start, end)
+        want = stack[start:end]
+        assert cut.count() == want.size and (not want.size or (array(cut, want.shape) == want).all())
+
+
+def test_exports_summary_and_registered_analyses(spark, tmp_path):
+    stack = np.full((30, 12, 16), 10.0)
+    for x in range(16):
+        stack[8 + x :, :, x] += 20
+    r = Recording(pixels(spark, stack), 30, 12, 16, pixel_size=0.5, frame_interval=0.25)
+    with pytest.raises(RuntimeError):
+        Recording(None, 1, 1, 1).traces()
+    r.add_roi(6, 4, 1.0, label="left")
+    r.add_roi(6, 12, 1.0)
+    r.set_crop(2, 30)
+    lines = [x.line for x in r.propagation_summary().collect()]
+    assert lines[0].startswith("speed: 2.00 µm/s") and lines[3] == "source (earliest): left"
+    assert lines[4].startswith("onset (s) left: 2.8") and lines[5].startswith("onset (s) roi_1: 4.8")
+    r.export_all(str(tmp_path / "out"))
+    wide = spark.read.option("header", True).csv(str(tmp_path / "out" / "traces.csv"))
+    assert wide.columns == ["frame", "seconds", "left_F", "left_dFF", "roi_1_F", "roi_1_dFF"]
+    assert sorted(int(x.frame) for x in wide.collect()) == list(range(2, 30))
+    assert tiff.read_frames(spark, str(tmp_path / "out" / "movie.tif")).count() == 30
+    assert "left" in "".join(x.value for x in spark.read.text(str(tmp_path / "out" / "parameters.json")).collect())
+    assert r.displayed().first().shown == pytest.approx(r.traces().first().dff) and r.displayed(dff=False).first().shown == 10
+    register_analysis("mean", "dataset", lambda t, rois: t.join(rois.select("roi_id", "cx"), "roi_id").groupBy("cx").agg(F.avg("raw").alias("m")))
+    assert r.run("mean").count() == 2 and "mean" in r.analyses
+    with pytest.raises(ValueError):
+        register_analysis("bad", "other", len)
+
+
+def test_live_traces_are_those_of_the_batch(spark, tmp_path):
+    """Frames whose pixels come in two files, with event times that straddle seconds, and a zero baseline."""
+    rng = np.random.default_rng(5)
+    stack = rng.uniform(1, 9, (20, 4, 5))
+    rows = [("a", t, y, x, float(stack[t, y, x]) if y < 2 else 0.0, 1_700_000_000 + 0.7 * t) for t, y, x in np.ndindex(*stack.shape)]
+    table = spark.createDataFrame(rows, "recording string, t long, y int, x int, v double, s double").select("recording", "t", "y", "x", "v", F.col("s").cast("timestamp").alias("at"))
+    table.where("x < 3").coalesce(1).write.parquet(str(tmp_path / "in" / "1"))
+    table.where("x >= 3").coalesce(1).write.parquet(str(tmp_path / "in" / "2"))
+    mask = spark.createDataFrame([(r, y, x) for r, ys in ((0, (0, 1)), (1, (2, 3))) for y in ys for x in range(5)], "roi_id long, y int, x int")
+    stream = spark.readStream.schema(table.schema).parquet(str(tmp_path / "in" / "*"))
+    means = live.live_traces(stream, mask, "1 second")
+    run = means.writeStream.format("memory").queryName("live_means").outputMode("append").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    got = {(r.roi_id, r.t): r.raw for r in spark.table("live_means").collect()}
+    want = {(k, t): stack[t, :2].mean() if k == 0 else 0.0 for k in (0, 1) for t in range(20)}
+    assert len(got) >= 34 and all(got[k] == pytest.approx(want[k]) for k in got)
+    signal = spark.createDataFrame([("a", k, t, float(want[k, t])) for k, t in want], "recording string, roi_id long, t long, raw double")
+    signal.coalesce(1).write.parquet(str(tmp_path / "traces"))
+    dff = live.live_dff(spark.readStream.schema(signal.schema).parquet(str(tmp_path / "traces")), n=10)
+    run = dff.writeStream.format("memory").queryName("live_dff").outputMode("append").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    found = {(r.roi_id, r.t): r.dff for r in spark.table("live_dff").collect()}
+    base = np.mean([want[0, t] for t in range(10)])
+    assert len(found) == 40 and all(found[0, t] == pytest.approx((want[0, t] - base) / base) for t in range(20))
+    assert all(np.isnan(found[1, t]) for t in range(20))
