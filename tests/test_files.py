@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wavelake.functions import units
-from wavelake.sources import export, tiff
+from wavelake.sources import export, tiff, written
 
 
 def write(path, images, description=""):
@@ -170,3 +170,36 @@ def test_live_traces(spark, tmp_path):
     query.awaitTermination(120)
     got = {(r.roi_id, r.t): r.dff for r in spark.table("live").collect()}
     assert len(got) == 24 and got[0, 5] == 0 and got[1, 11] == pytest.approx((21 - 11.5) / 11.5)
+
+
+def test_tables_of_a_scratch_are_dropped(spark):
+    import os
+
+    with written.scratch(spark) as keep:
+        first = written.materialize(spark.range(5), "first")
+        kept = keep(first.where("id > 2"), "kept")
+        with written.scratch(spark) as inner:
+            inner(spark.range(2), "inner")
+        gone, stays = (df.inputFiles()[0].removeprefix("file:") for df in (first, kept))
+        assert os.path.exists(gone.replace("///", "/")) and os.path.exists(stays.replace("///", "/"))
+    assert not os.path.exists(gone.replace("///", "/")) and kept.count() == 2
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, name, default):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        written.shared_dir(Session())
+    Session.sparkContext.master = "local[2]"
+    assert written.shared_dir(Session())

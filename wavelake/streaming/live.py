@@ -24,7 +24,7 @@ def live_traces(pixels: DataFrame, mask: DataFrame, lateness: str = "10 seconds"
 
 
 def live_dff(traces: DataFrame, n: int = 10) -> DataFrame:
-    """dF/F against the mean of each trace's first ``n`` frames, as soon as these are in; a zero mean gives inf or NaN.
+    """dF/F against the mean of each trace's first ``n`` frames, as soon as these are in; a zero mean gives inf or null.
 
     The state of a trace is the sum and count of its baseline and the frames that wait for it,
     ``n`` at most.
