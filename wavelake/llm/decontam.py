@@ -19,7 +19,8 @@ substituted.  Items of fewer than ``MIN_WORDS`` words must agree in every word.
 
 Edge cases: null, empty and blank texts hold nothing; repeated rows are judged
 alike; rows without doc_id are judged too; an empty benchmark leaves all documents
-clean; other columns pass through ``decontaminate``.
+clean; of several items the first by id and the largest overlap are reported; very long texts are read whole;
+other columns pass through ``decontaminate``, whatever their names.
 """
 
 from __future__ import annotations

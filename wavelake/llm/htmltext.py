@@ -15,7 +15,8 @@ Edge cases: null and empty html give an empty text; html without main text gives
 empty text; unclosed and stray tags are tolerated; character references are decoded;
 white space inside a block becomes one space; comments, scripts, styles and markup
 never are text; of an element whose content is no text, but that nothing closes, only
-the tag is skipped (script and style run to the end); nothing is cut off from long pages; repeated rows are treated alike.
+the tag is skipped (script and style run to the end); nothing is cut off from long pages; repeated rows are treated alike; a block whose score lies exactly between
+both labels is no main text; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -46,8 +46,10 @@ aggregation or joined between tables that Spark can split.
 Edge cases: null, empty or blank texts have the empty set, are linked with nothing
 and are their own component; a text of fewer words than a shingle has one shingle,
 the whole sequence; repeated rows share a class; rows with one doc_id are one
-vertex; rows without doc_id are never linked (component null) and are kept; an
-empty table gives an empty result.
+vertex; rows without doc_id are never linked (component null) and are kept; of equally
+near documents the smallest doc_id names the component; very long texts are read whole (one text
+is the least that a task holds); an empty table gives an empty result; other columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations

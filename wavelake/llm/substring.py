@@ -35,7 +35,8 @@ anyway; the more there is, the more rows it lets through.
 Edge cases: null, empty and blank texts have no words and lose none; texts shorter
 than a window lose none; repeated rows lose everything that is at least a window
 long; rows are told apart by id and text, so missing or repeated ids don't mix
-texts; an empty table gives an empty result.
+texts; very long texts are read whole; of equal passages none is kept, so there are no ties; an empty table gives
+an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
