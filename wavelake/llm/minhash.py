@@ -63,7 +63,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from wavelake.llm import arrowtext
+from wavelake.llm import arrowtext, twice
 from wavelake.llm.storage import arrow_rows, materialize, scratch
 
 REGISTERS = 128
@@ -76,8 +76,8 @@ SIGMAS = 6
 FEW = 4
 #: Clusters of more documents are split by differences; smaller ones are compared in blocks.
 LARGE = 1 << 14
-#: The shingles of a block, where each document counts ``BLOCK_ITEMS / 512`` more.
-BLOCK_ITEMS = 1 << 18
+#: The shingles of a block, where each document counts ``BLOCK_ITEMS / 2048`` more.
+BLOCK_ITEMS = 1 << 20
 #: The register of a bucket that no shingle fills.
 EMPTY = 0xFFFF
 
@@ -138,9 +138,13 @@ def _sketches(shingle: int):
     return run
 
 
-def _sets(shingle: int):
+def _sets(shingle: int, held):
+    """Full sets of the documents that a Bloom filter may hold."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filt = np.frombuffer(held.value, np.uint8)
         for batch in batches:
+            batch = batch.filter(pa.array(twice.contains(filt, batch.column("doc").to_numpy())))
             for part in arrowtext.slices(batch):
                 sets = arrowtext.shingle_sets(arrowtext.Words(part.column("text"), lower=True), shingle)
                 offs = np.zeros(len(sets) + 1, np.int32)
@@ -177,9 +181,14 @@ class _Verifier:
         self.round = 0
 
     def sets(self, docs: DataFrame, name: str) -> DataFrame:
-        """``(doc, items)``: the full sets of the documents that ``docs (doc)`` names."""
-        wanted = docs.groupBy("doc").agg(F.lit(1).alias("one")).drop("one")
-        found = self.texts.join(wanted, "doc", "left_semi").mapInArrow(_sets(self.shingle), "doc bigint, items array<bigint>")
+        """``(doc, items)``: the full sets of the documents that ``docs (doc)`` names, and of a few more.
+
+        A bounded Bloom filter chooses the texts, which so are not shuffled; users join the sets by ``doc``.
+        """
+        wanted = materialize(docs.groupBy("doc").agg(F.lit(1).alias("one")).drop("one"), f"{name}_wanted")
+        filt = twice.member_filter_of(wanted, lambda batch: iter([batch.column(0).to_numpy()]), twice.bits_for(wanted.count()))
+        held = docs.sparkSession.sparkContext.broadcast(filt.tobytes())
+        found = self.texts.where(F.col("doc").isNotNull()).mapInArrow(_sets(self.shingle, held), "doc bigint, items array<bigint>")
         return materialize(found, name)
 
     def links(self, pairs: DataFrame) -> DataFrame:
@@ -265,12 +274,11 @@ def _split(rows: DataFrame, verify: _Verifier, name: str) -> tuple[DataFrame, Da
 
 
 def _block_links(percent: int):
-    """Links between documents of two blocks in different components, one for each pair of components."""
+    """``(label, root)`` of the components that links between documents of two blocks make one."""
 
     def compare(left: pa.StructArray, right: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
-        reps, labels, sizes, flat, row = [], [], [], [], []
+        labels, sizes, flat, row = [], [], [], []
         for side in (left, right):
-            reps.append(side.field("rep").to_numpy())
             labels.append(side.field("label").to_numpy())
             lists = side.field("items")
             sizes.append(lists.value_lengths().to_numpy())
@@ -285,15 +293,28 @@ def _block_links(percent: int):
             held = []
             for side in range(2):
                 inside = (at[side] >= k) & (at[side] < k + 4096)
-                m = np.zeros((len(reps[side]), min(4096, len(common) - k)), np.float32)
+                m = np.zeros((len(labels[side]), min(4096, len(common) - k)), np.float32)
                 m[row[side][inside], at[side][inside] - k] = 1
                 held.append(m)
             both += held[0] @ held[1].T
-        both = both.astype(np.int64)
-        either = sizes[0][:, None].astype(np.int64) + sizes[1][None, :] - both
-        i, j = np.nonzero((100 * both >= percent * either) & (labels[0][:, None] != labels[1][None, :]))
-        _, first = np.unique(np.stack([labels[0][i], labels[1][j]]), axis=1, return_index=True)
-        return reps[0][i[first]], reps[1][j[first]]
+        # a cheap bound on all pairs, then the exact test in whole numbers
+        least = percent / (100 + percent) * (sizes[0][:, None] + sizes[1][None, :].astype(float))
+        i, j = np.nonzero((both >= least - 0.5) & (labels[0][:, None] != labels[1][None, :]))
+        linked = 100 * both[i, j].astype(np.int64) >= percent * (sizes[0][i].astype(np.int64) + sizes[1][j] - both[i, j].astype(np.int64))
+        names = np.unique(np.concatenate(labels))
+        x, y = (np.searchsorted(names, side) for side in (labels[0][i[linked]], labels[1][j[linked]]))
+        root = np.arange(len(names))
+        while True:
+            low = np.minimum(root[x], root[y])
+            new = root.copy()
+            np.minimum.at(new, x, low)
+            np.minimum.at(new, y, low)
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        return names[moved], names[root[moved]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -307,7 +328,7 @@ def _block_links(percent: int):
 def _compare_blocks(rows: DataFrame, verify: _Verifier, name: str) -> DataFrame:
     """Links between components within clusters ``rows (key, rep, n, label)`` of bounded size."""
     before = Window.partitionBy("key").orderBy("label", "rep").rowsBetween(Window.unboundedPreceding, -1)
-    weight = F.col("n") + BLOCK_ITEMS // 512
+    weight = F.col("n") + BLOCK_ITEMS // 2048
     placed = rows.withColumn("block", F.floor(F.coalesce(F.sum(weight).over(before), F.lit(0)) / BLOCK_ITEMS).cast("int"))
     placed = materialize(placed.select("key", "rep", "label", "block"), f"{name}_placed")
     ends = placed.groupBy("key", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
@@ -317,7 +338,7 @@ def _compare_blocks(rows: DataFrame, verify: _Verifier, name: str) -> DataFrame:
     met = materialize(met.select("key", "block", "block_b"), f"{name}_met")
     sets = verify.sets(placed.select(F.col("rep").alias("doc")), f"{name}_sets").withColumnRenamed("doc", "rep")
     blocks = placed.join(sets, "rep").groupBy("key", "block").agg(F.collect_list(F.struct("rep", "label", "items")).alias("docs"))
-    with arrow_rows(rows.sparkSession, 4):
+    with arrow_rows(rows.sparkSession, 1):
         blocks = materialize(blocks, f"{name}_blocks")
         left = blocks.select("key", "block", F.col("docs").alias("docs_a"))
         right = blocks.select("key", F.col("block").alias("block_b"), F.col("docs").alias("docs_b"))
@@ -372,7 +393,7 @@ def _settle(rows: DataFrame, labels: DataFrame, verify: _Verifier) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``."""
-    with scratch(docs.sparkSession) as keep:
+    with scratch(docs.sparkSession) as keep, arrow_rows(docs.sparkSession, 2000):
         return _near_duplicates(docs, shingle, percent, text, doc_id, keep)
 
 
