@@ -330,20 +330,25 @@ def _compare_blocks(rows: DataFrame, verify: _Verifier, name: str) -> DataFrame:
     before = Window.partitionBy("key").orderBy("label", "rep").rowsBetween(Window.unboundedPreceding, -1)
     weight = F.col("n") + BLOCK_ITEMS // 2048
     placed = rows.withColumn("block", F.floor(F.coalesce(F.sum(weight).over(before), F.lit(0)) / BLOCK_ITEMS).cast("int"))
-    placed = materialize(placed.select("key", "rep", "label", "block"), f"{name}_placed")
+    whole = F.sum(weight).over(Window.partitionBy("key"))
+    placed = materialize(placed.select("key", "rep", "label", "block", (whole > BLOCK_ITEMS).alias("several")), f"{name}_placed")
     ends = placed.groupBy("key", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     other = ends.select("key", F.col("block").alias("block_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
     # blocks are ordered by label, so equal ends mean that both hold the same one component
     met = ends.join(other, "key").where((F.col("block") <= F.col("block_b")) & ((F.col("low") != F.col("high_b")) | (F.col("high") != F.col("low_b"))))
     met = materialize(met.select("key", "block", "block_b"), f"{name}_met")
     sets = verify.sets(placed.select(F.col("rep").alias("doc")), f"{name}_sets").withColumnRenamed("doc", "rep")
-    blocks = placed.join(sets, "rep").groupBy("key", "block").agg(F.collect_list(F.struct("rep", "label", "items")).alias("docs"))
+    blocks = placed.join(sets, "rep").groupBy("key", "block", "several").agg(F.collect_list(F.struct("rep", "label", "items")).alias("docs"), (F.min("label") != F.max("label")).alias("mixed"))
     with arrow_rows(rows.sparkSession, 1):
         blocks = materialize(blocks, f"{name}_blocks")
-        left = blocks.select("key", "block", F.col("docs").alias("docs_a"))
-        right = blocks.select("key", F.col("block").alias("block_b"), F.col("docs").alias("docs_b"))
-        both = met.join(left, ["key", "block"]).join(right, ["key", "block_b"]).select("docs_a", "docs_b")
-        return materialize(both.mapInArrow(_block_links(verify.percent), "a bigint, b bigint"), f"{name}_links")
+        # a block meets itself where it is; only clusters of several blocks are shuffled
+        own = blocks.where("mixed").select(F.col("docs").alias("docs_a"), F.col("docs").alias("docs_b"))
+        cross = met.where(F.col("block") < F.col("block_b"))
+        several = blocks.where(F.col("several"))
+        left = several.select("key", "block", F.col("docs").alias("docs_a"))
+        right = several.select("key", F.col("block").alias("block_b"), F.col("docs").alias("docs_b"))
+        both = cross.join(left, ["key", "block"]).join(right, ["key", "block_b"]).select("docs_a", "docs_b")
+        return materialize(own.union(both).mapInArrow(_block_links(verify.percent), "a bigint, b bigint"), f"{name}_links")
 
 
 def _settle(rows: DataFrame, labels: DataFrame, verify: _Verifier) -> DataFrame:
