@@ -380,8 +380,11 @@ def _settle(rows: DataFrame, labels: DataFrame, verify: _Verifier) -> DataFrame:
             many = rows.where("many").select("key", "rep", "n", "label", "size")
             if k == 1:
                 # a document is in many buckets but in one cluster
-                star = many.join(many.groupBy("key").agg(F.min("rep").alias("low")), "key")
-                cluster = components(star.select(F.col("rep").alias("a"), F.col("low").alias("b")), "clusters").select(F.col("vertex").alias("rep"), F.col("label").alias("key"))
+                star = many.join(many.groupBy("key").agg(F.min("rep").alias("low")), "key").groupBy("rep", "low").agg(F.lit(1).alias("one"))
+                # one edge for each document, and the few different pairs of smallest members that documents connect
+                least = star.groupBy("rep").agg(F.min("low").alias("least"))
+                lows = star.join(least, "rep").where(F.col("low") != F.col("least")).select(F.col("low").alias("a"), F.col("least").alias("b")).distinct()
+                cluster = components(least.select(F.col("rep").alias("a"), F.col("least").alias("b")).union(lows), "clusters").select(F.col("vertex").alias("rep"), F.col("label").alias("key"))
                 sizes = cluster.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
                 many = many.groupBy("rep", "n", "label").agg(F.lit(1).alias("one")).join(cluster.join(sizes, "key"), "rep").select("key", "rep", "n", "label", "size")
                 many = materialize(many, "cluster_members")
