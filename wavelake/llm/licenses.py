@@ -3,18 +3,23 @@
 A text's canonical form: A-Z lower-cased; lines that only state copyright dropped;
 everything but letters a-z and digits turned into single spaces; spellings that
 licence matchers treat as one unified word by word.  The SHA-256 of the canonical
-form is hash-joined with the digests of known licences, formed the same way.  Besides the
-entire text, runs of one to ``MAX_RUN`` lines that mention a licence are looked up in the same
-digests, which finds notices inside longer texts, wrapped or not.
+form is hash-joined with the digests of known licences, formed the same way.
 
-The known licences are a table ``(license, text)`` of any size; ``KNOWN`` is a small one of
-short licences and usual notices.  Both lookups are equi-joins on digests; Spark broadcasts
-the licences if they are few.  Of the documents, only digests are shuffled.
+Licences and notices inside longer texts are looked up in the same digests, from every line
+that is not blank and no copyright line: a known text of n canonical words is found where the next n
+canonical words have its digest, however its lines are wrapped.  The longest one counts at each line.
+To hash only where a known text can begin, the first ``ANCHOR`` canonical words of each line are held against a
+fixed-size Bloom filter of those of the known texts, then joined with them; only lines that pass carry the
+words that follow.  Work and memory are proportional to the text, besides those words.
+
+The known licences are a table ``(license, text)`` of any size and with texts of any length; ``KNOWN`` is a small
+one of short licences and usual notices.  All lookups are equi-joins on digests; Spark broadcasts
+the licences if they are few.  Of the documents, only digests and the words after anchors are shuffled.
 
 Edge cases: null, empty and blank texts, and texts of copyright lines alone, have no
 licence (their canonical form is empty); repeated rows are judged alike; of licences with one
-canonical form the first by name counts; very long texts are read whole; an empty table gives an empty
-result; other columns are not read, whatever their names.
+canonical form the first by name counts; very long texts are read whole; an empty table of documents or
+licences gives no finding; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,15 +27,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelake.llm.storage import materialize, scratch
+from wavelake.llm.storage import scratch
 
-MAX_RUN = 3
+#: Words from which a known text is looked up.
+ANCHOR = 3
+#: Bits of the filter of anchors, as 64-bit words (32 KB).
+_FILTER_WORDS = 4096
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: A line, lower-cased, that only states copyright.
 COPYRIGHT_LINE = r"^[^a-z0-9]*(copyright|\(c\)|©|all rights reserved)"
 #: Such a start of a line that is part of a wrapped sentence.
 COPYRIGHT_PROSE = r"^[^a-z0-9]*copyright\s+(holder|notice|owner|law|interest|licen|statement|and |or )"
+#: Both for a whole text, in any case: lines to drop.
+_DROPPED = r"(?dim)^(?![^a-z0-9\n]*copyright[\t\x0b\f\r ]+(?:holder|notice|owner|law|interest|licen|statement|and |or ))[^a-z0-9\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*"
 
 #: Spellings that count as the same word.
 SPELLINGS = (
@@ -164,17 +174,32 @@ KNOWN = (
 )
 
 
-def canonical(text: Column) -> Column:
-    low = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
-    lines = F.filter(F.split(low, "\n", -1), lambda l: ~F.regexp_like(l, F.lit(COPYRIGHT_LINE)) | F.regexp_like(l, F.lit(COPYRIGHT_PROSE)))
-    out = F.concat(F.lit(" "), F.regexp_replace(F.array_join(lines, "\n"), "[^a-z0-9]+", " "), F.lit(" "))
-    for a, b in SPELLINGS:
-        out = F.replace(out, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.btrim(F.regexp_replace(out, " +", " "))
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _clean_lines(text: Column) -> Column:
+    """The lines that count, lower-cased, as words with single spaces."""
+    kept = F.regexp_replace(F.coalesce(text, F.lit("")), _DROPPED, "")
+    lines = F.split(F.lower(F.regexp_replace(kept, "[^A-Za-z0-9\n]+", " ")), "\n", -1)
+    return F.filter(F.transform(lines, lambda l: F.btrim(l)), lambda l: l != "")
+
 
+def _spelled(words: Column) -> Column:
+    """Words with single spaces, in the spelling that stands for all."""
 
-def digest(text: Column) -> Column:
-    return F.sha2(canonical(text), 256)
+    def of(held: Column) -> Column:
+        out, other = held, F.lit(False)
+        for a, b in SPELLINGS:
+            out, other = F.replace(out, F.lit(f" {a} "), F.lit(f" {b} ")), other | F.contains(held, F.lit(a))
+        return F.when(other, out).otherwise(held)
+
+    return F.btrim(_let(F.concat(F.lit(" "), words, F.lit(" ")), of))
+
+
+def _digest(lines: Column) -> Column:
+    return F.sha2(_spelled(F.array_join(lines, " ")), 256)
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
@@ -183,36 +208,76 @@ def known_licenses(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(rows)
 
 
-def _runs(lines: Column) -> Column:
-    """The runs of up to ``MAX_RUN`` lines that mention a licence and neither start nor end with an empty or copyright line."""
-    mentions = F.transform(lines, lambda l: F.regexp_like(l, F.lit("(?i)licen[cs]e|permission")))
-    near = F.transform(mentions, lambda _, i: F.exists(F.slice(mentions, F.greatest(F.lit(1), i + 2 - MAX_RUN), F.lit(2 * MAX_RUN - 1)), lambda m: m))
-    # lines far from any mention are not looked at again
-    full = F.transform(lines, lambda l, i: F.when(F.get(near, i), canonical(l) != "").otherwise(F.lit(False)))
-    at = lambda array, i: F.get(array, i)
+def _first(words: Column, n: Column | int) -> Column:
+    """The first ``n`` canonical words of words: two words become one at most."""
+    n = F.lit(n) if isinstance(n, int) else n
+    return _words(_spelled(_words(words, 2 * n + 2)), n)
+
+
+def _words(text: Column, n: Column) -> Column:
+    return F.call_function("substring_index", text, F.lit(" "), n.cast("int"))
+
+
+def _bit(anchor: Column) -> tuple[Column, Column]:
+    """The word of the filter that an anchor marks, and the bit in it."""
+    at = F.pmod(anchor, F.lit(64 * _FILTER_WORDS))
+    return F.floor(at / 64).cast("int"), F.pmod(at, F.lit(64)).cast("int")
+
+
+def _anchor_filter(anchors: DataFrame) -> Column:
+    """A Bloom filter with one bit a hash, as an ``array<bigint>`` literal; at most ``_FILTER_WORDS`` rows reach the driver."""
+    word, bit = _bit(F.col("anchor"))
+    marked = anchors.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("bits"))
+    words = [0] * _FILTER_WORDS
+    for row in marked.groupBy("word").agg(F.bit_or("bits").alias("bits")).collect():
+        words[row.word] = row.bits
+    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+
+
+def _held(holds: Column, anchor: Column) -> Column:
+    word, bit = _bit(anchor)
+    return F.getbit(F.get(holds, word), bit) == 1
+
 
-    def of(size: int) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(lines)), lambda i: at(full, i) & at(full, i + (size - 1)) & F.exists(F.slice(mentions, i + 1, F.lit(size)), lambda m: m))
-        return F.transform(starts, lambda i: digest(F.array_join(F.slice(lines, i + 1, F.lit(size)), "\n")))
+def _starts(lines: Column, holds: Column, sizes: list[int], window: int) -> Column:
+    """``array<struct<at, anchors, words>>``: the lines at which a known text may begin, with the words from there on."""
 
-    return F.flatten(F.array(*[of(k) for k in range(1, MAX_RUN + 1)]))
+    text = lambda i, n: _words(F.array_join(F.slice(lines, i, F.lit(n)), " "), F.lit(n))
+    anchors = lambda i: _let(text(i, 2 * ANCHOR + 2), lambda t: F.array(*[F.xxhash64(_first(t, k)) for k in sizes]))
+    each = F.transform(F.sequence(F.lit(1), F.size(lines)), lambda i: F.struct(i.alias("at"), anchors(i).alias("anchors")))
+    found = F.filter(each, lambda s: F.exists(s["anchors"], lambda a: _held(holds, a)))
+    return F.when(F.size(lines) > 0, F.transform(found, lambda s: F.struct(s["at"].alias("at"), s["anchors"].alias("anchors"), text(s["at"], window).alias("words"))))
 
 
 def scan_licenses(docs: DataFrame, licenses: DataFrame | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, digest, license, n_notices, notice_licenses``.
 
-    ``license`` is that of the entire text or empty; ``n_notices`` counts the runs of lines that are a
-    known licence or notice, and ``notice_licenses`` lists theirs, sorted and joined by commas.
+    ``license`` is that of the entire text or empty; ``n_notices`` counts the lines at which a known licence or
+    notice begins (also those inside a longer one), and ``notice_licenses`` lists the licences of the longest at each of
+    these lines, sorted and joined by commas.
     """
-    licenses = known_licenses(docs.sparkSession) if licenses is None else licenses
-    known = licenses.where(canonical(F.col("text")) != "").select(digest(F.col("text")).alias("known"), "license").groupBy("known").agg(F.min("license").alias("license"))
-    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    with scratch(docs.sparkSession) as keep:
+    spark = docs.sparkSession
+    licenses = known_licenses(spark) if licenses is None else licenses
+    forms = licenses.select("license", _clean_lines(F.col("text")).alias("lines")).where(F.size("lines") > 0)
+    forms = forms.select("license", _spelled(F.array_join("lines", " ")).alias("form"))
+    known = forms.groupBy("form").agg(F.min("license").alias("license"))
+    n = F.size(F.split("form", " "))
+    known = known.select(F.sha2("form", 256).alias("known"), "license", n.alias("n"), F.xxhash64(F.call_function("substring_index", "form", F.lit(" "), F.lit(ANCHOR))).alias("anchor"))
+    with scratch(spark) as keep:
         known = keep(known, "licenses")
-        rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), digest(t).alias("digest"), F.when(F.regexp_like(t, F.lit("(?i)licen[cs]e|permission")), _runs(F.split(t, "\n", -1))).alias("runs"))
-        rows = keep(rows.withColumn("key", F.xxhash64("doc_id", "digest", "runs")), "digests")
-        runs = materialize(rows.where(F.size("runs") > 0).groupBy("key").agg(F.first("runs").alias("runs")), "runs")
-        found = runs.select("key", F.explode("runs").alias("known")).join(known, "known")
-        notices = keep(found.groupBy("key").agg(F.count(F.lit(1)).alias("n_notices"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notice_licenses")), "notices")
+        anchors = known.select("anchor", F.least("n", F.lit(ANCHOR)).alias("size"))
+        sizes = sorted(r["size"] for r in anchors.select("size").distinct().collect()) or [ANCHOR]
+        window = 2 * (known.agg(F.max("n")).first()[0] or 0) + 2
+        holds = _anchor_filter(anchors)
+        of = lambda lines: F.struct(_digest(lines).alias("digest"), _starts(lines, holds, sizes, window).alias("starts"))
+        rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), _let(_clean_lines(F.col(f"`{text}`")), of).alias("found")).select("doc_id", "found.*")
+        rows = keep(rows.withColumn("key", F.xxhash64("doc_id", "digest", "starts")), "digests")
+        # repeated rows are looked up once
+        each = rows.where(F.size("starts") > 0).groupBy("key").agg(F.first("starts").alias("starts")).select("key", F.explode("starts").alias("s"))
+        each = each.select("key", "s.at", "s.words", F.explode("s.anchors").alias("anchor"))
+        hits = each.join(known, "anchor").where(F.sha2(_first(F.col("words"), F.col("n")), 256) == F.col("known"))
+        best = hits.groupBy("key", "at").agg(F.max_by("license", "n").alias("license"))
+        notices = best.groupBy("key").agg(F.count(F.lit(1)).alias("n_notices"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notice_licenses"))
+        notices = keep(notices, "notices")
     out = rows.join(known, F.col("digest") == F.col("known"), "left").join(notices, "key", "left")
     return out.select("doc_id", "digest", F.coalesce("license", F.lit("")).alias("license"), F.coalesce("n_notices", F.lit(0)).alias("n_notices"), F.coalesce("notice_licenses", F.lit("")).alias("notice_licenses"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wavelake.llm.decontam import find_contaminated
 from wavelake.llm.htmltext import extract_main_text
-from wavelake.llm.licenses import COPYRIGHT_LINE, COPYRIGHT_PROSE, KNOWN, MAX_RUN, SPELLINGS, scan_licenses
+from wavelake.llm.licenses import COPYRIGHT_LINE, COPYRIGHT_PROSE, KNOWN, SPELLINGS, scan_licenses
 from wavelake.llm.linededup import dedup_lines
 from wavelake.llm.minhash import near_duplicates
 from wavelake.llm.mixing import mix
@@ -273,31 +273,33 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _canonical_sql(text: str) -> str:
-    """The canonical form of a text, as a DuckDB expression."""
+def _lines_sql(text: str) -> str:
+    """The lines of a text that count, lower-cased, as words with single spaces (a DuckDB expression)."""
     low = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     lines = f"list_filter(string_split({low}, chr(10)), lambda l: NOT regexp_matches(l, {_quoted(COPYRIGHT_LINE)}) OR regexp_matches(l, {_quoted(COPYRIGHT_PROSE)}))"
-    out = f"' ' || regexp_replace(array_to_string({lines}, chr(10)), '[^a-z0-9]+', ' ', 'g') || ' '"
+    return f"list_filter(list_transform({lines}, lambda l: trim(regexp_replace(l, '[^a-z0-9]+', ' ', 'g'))), lambda l: l <> '')"
+
+
+def _spelled_sql(words: str) -> str:
+    out = f"' ' || {words} || ' '"
     for a, b in SPELLINGS:
         out = f"replace({out}, ' {a} ', ' {b} ')"
-    return f"trim(regexp_replace({out}, ' +', ' ', 'g'))"
+    return f"trim({out})"
 
 
 _OP4_SQL = f"""
 WITH known AS (
-  SELECT sha256({_canonical_sql("t")}) AS d, min(license) AS license
+  SELECT {_spelled_sql(f"array_to_string({_lines_sql('t')}, ' ')")} AS form, min(license) AS license
   FROM (VALUES {", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in KNOWN)}) k(license, t) GROUP BY 1),
-whole AS (SELECT doc_id, coalesce(text, '') AS t, sha256({_canonical_sql("coalesce(text, '')")}) AS digest FROM documents),
-ls AS (SELECT doc_id, string_split(t, chr(10)) AS ls FROM whole WHERE regexp_matches(t, '(?i)licen[cs]e|permission')),
-runs AS (
-  SELECT doc_id, array_to_string(ls[i : i + k - 1], chr(10)) AS run, ls[i] AS head, ls[i + k - 1] AS tail
-  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM ls), range(1, {MAX_RUN + 1}) r(k) WHERE i + k - 1 <= len(ls)),
-notices AS (
-  SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS names
-  FROM runs JOIN known ON known.d = sha256({_canonical_sql("run")})
-  WHERE regexp_matches(run, '(?i)licen[cs]e|permission') AND {_canonical_sql("head")} <> '' AND {_canonical_sql("tail")} <> '' GROUP BY doc_id)
+docs AS (SELECT doc_id, {_lines_sql("coalesce(text, '')")} AS ls FROM documents),
+whole AS (SELECT doc_id, sha256({_spelled_sql("array_to_string(ls, ' ')")}) AS digest FROM docs),
+starts AS (
+  SELECT doc_id, i, {_spelled_sql("array_to_string(string_split(array_to_string(ls[i : i + 499], ' '), ' ')[1 : 1000], ' ')")} || ' ' AS words
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM docs)),
+best AS (SELECT doc_id, i, arg_max(license, len(string_split(form, ' '))) AS license FROM starts JOIN known ON starts_with(words, form || ' ') GROUP BY doc_id, i),
+notices AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS names FROM best GROUP BY doc_id)
 SELECT w.doc_id, w.digest, coalesce(k.license, '') AS license, coalesce(n.n, 0) AS n_notices, coalesce(n.names, '') AS notice_licenses
-FROM whole w LEFT JOIN known k ON k.d = w.digest LEFT JOIN notices n ON n.doc_id = w.doc_id
+FROM whole w LEFT JOIN known k ON sha256(k.form) = w.digest LEFT JOIN notices n ON n.doc_id = w.doc_id
 """
 
 ORACLE_SQL = {
