@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wavelake.llm.decontam import find_contaminated
 from wavelake.llm.htmltext import extract_main_text
+from wavelake.llm.lexical import rank_documents
 from wavelake.llm.licenses import COPYRIGHT_LINE, COPYRIGHT_PROSE, KNOWN, SPELLINGS, scan_licenses
 from wavelake.llm.linededup import dedup_lines
 from wavelake.llm.minhash import near_duplicates
@@ -70,6 +71,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_documents(spark, sf_dir)).drop("n_lines")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def quality_small_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``op10_quality_rules`` with thresholds of their own for groups from five documents on."""
     return score_quality(_documents(spark, sf_dir), min_docs=5).drop("n_lines")
@@ -91,6 +96,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
+    "op11_ranked_search": op11_ranked_search,
     "quality_small_groups": quality_small_groups,
     "mix_targets": mix_targets,
 }
@@ -302,7 +308,27 @@ SELECT w.doc_id, w.digest, coalesce(k.license, '') AS license, coalesce(n.n, 0)
 FROM whole w LEFT JOIN known k ON sha256(k.form) = w.digest LEFT JOIN notices n ON n.doc_id = w.doc_id
 """
 
+_OP11_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+d AS (SELECT doc_id, len(ws) AS n, row_number() OVER () AS k, ws FROM w WHERE len(ws) > 0),
+c AS (SELECT count(*) AS n_docs, sum(n) AS length FROM d),
+q AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY item_id, term),
+p AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY k, term),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p, c GROUP BY term, n_docs),
+i AS (
+  SELECT p.k, doc_id, p.term, weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + CAST((75 * n * n_docs) // length AS BIGINT)))) AS impact
+  FROM p JOIN f ON f.term = p.term JOIN d ON d.k = p.k, c),
+s AS (SELECT item_id, k, doc_id, CAST(sum(times * impact) AS BIGINT) AS score FROM q JOIN i ON i.term = q.term GROUP BY item_id, k, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+
 ORACLE_SQL = {
+    "op11_ranked_search": _OP11_SQL,
     "op4_license_scan": _OP4_SQL,
     "op3_substring_dedup": _OP3_SQL,
     "op8_decontaminate": _OP8_SQL,
