@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import llm_fixtures
+import numpy as np
 from pyspark.sql import functions as F
 
 from wavelake.llm import lexical
@@ -78,3 +79,16 @@ def test_shared_sums_are_formed_once(spark):
         return flat(parts[s][0]) + flat(parts[s][1]) if s in parts else [s]
 
     assert all(sorted(x for s in v for x in flat(s)) == [*range(20), 100 + k] for k, v in held.items())
+
+
+def test_a_pair_may_be_made_in_two_rounds(spark):
+    """The pair (3, 4) loses to the more frequent (2, 3) where an item holds both."""
+    items = [(k, s) for k in range(6) for s in (1, 2, 3)] + [(k, s) for k in range(6, 9) for s in (3, 4)] + [(9, s) for s in (1, 2, 3, 4)]
+    left, nodes = lexical.mine_shared(spark.createDataFrame(items, "item long, symbol long"))
+    rows = spark.createDataFrame([(s, s, 0) for s in (1, 2, 3, 4)], "symbol long, term long, bit int").collect()
+    twice = nodes.collect() + [r for r in nodes.collect()]
+    later = [r.__class__(level=r.level + 10, symbol=r.symbol, a=r.a, b=r.b) for r in nodes.collect()]
+    for extra in (nodes.collect(), twice[: len(twice) // 2] + later):
+        graph = lexical.SharingGraph(rows, extra, left.collect())
+        scores = graph.scores(np.array([[1], [10], [100], [1000]], np.int64))
+        assert dict(zip(graph.items.tolist(), scores[:, 0].tolist(), strict=True)) == {k: 111 if k < 6 else 1100 if k < 9 else 1111 for k in range(10)}

@@ -48,6 +48,7 @@ class _Powers:
 
 _BYTE_POWERS = _Powers(_P)
 _WORD_POWERS = _Powers(_Q)
+_CHECK_POWERS = _Powers(np.uint64(0xA24BAED4963EE407))
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -101,13 +102,13 @@ class Words:
     are byte positions in ``data``; ``hashes`` are 64-bit fingerprints.
     ``letters=False`` cuts at ASCII white space only (words
     ``[^\\x20\\x09-\\x0D]+``), ``letters=True`` at every ASCII byte that is no
-    letter or digit.
+    letter or digit, ``cuts`` at the bytes that it marks.
     """
 
-    def __init__(self, column: pa.Array, lower: bool = False, letters: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, letters: bool = False, cuts: np.ndarray | None = None):
         self.raw, self.bounds = buffers(column)
         self.data = _LOWER[self.raw] if lower else self.raw
-        inside = _LETTER[self.raw] if letters else ~_SPACE[self.raw]
+        inside = ~cuts[self.raw] if cuts is not None else _LETTER[self.raw] if letters else ~_SPACE[self.raw]
         size = len(self.raw)
         first, last = inside.copy(), inside.copy()
         if size:
@@ -142,6 +143,14 @@ class Words:
             h[k] = int.from_bytes(hashlib.blake2b(self.data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
         return h
 
+    @property
+    def checks(self) -> np.ndarray:
+        """Fingerprints of the words that don't depend on ``hashes``."""
+        up, down = _CHECK_POWERS.upto(len(self.data) + 1)
+        sums = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
+
     @property
     def hashes(self) -> np.ndarray:
         if self._hashes is None:

@@ -99,7 +99,10 @@ class SharingGraph:
         number = {r.symbol: k for k, r in enumerate(leaves)}
         self.levels = []
         for level in sorted({r.level for r in nodes}):
-            here = [r for r in nodes if r.level == level]
+            # a pair that lost to another in some item may be made in a later round as well
+            here = [r for r in nodes if r.level == level and r.symbol not in number]
+            if not here:
+                continue
             self.levels.append((np.array([number[r.a] for r in here]), np.array([number[r.b] for r in here])))
             number |= {r.symbol: len(number) + k for k, r in enumerate(here)}
         self.size = len(number)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavelake.llm.collocations import collocations
 from wavelake.llm.decontam import find_contaminated
 from wavelake.llm.htmltext import extract_main_text
 from wavelake.llm.lexical import rank_documents
@@ -75,6 +76,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_documents(spark, sf_dir))
+
+
 def quality_small_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``op10_quality_rules`` with thresholds of their own for groups from five documents on."""
     return score_quality(_documents(spark, sf_dir), min_docs=5).drop("n_lines")
@@ -97,6 +102,7 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
     "op11_ranked_search": op11_ranked_search,
+    "op12_collocations": op12_collocations,
     "quality_small_groups": quality_small_groups,
     "mix_targets": mix_targets,
 }
@@ -327,7 +333,31 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0) WHERE rank <= 10
 """
 
+_OP12_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, k, unnest([array_to_string(w[i : i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS phrase
+  FROM w, range(1, 6) r(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS n FROM g GROUP BY lang, k, phrase HAVING count(*) >= 100),
+c AS (SELECT lang, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+cuts AS (SELECT lang, phrase, a, k, array_to_string(w[: k], ' ') AS x, array_to_string(w[k + 1 :], ' ') AS y FROM c, range(1, 5) r(k) WHERE k < len(w)),
+s AS (
+  SELECT cuts.lang, cuts.phrase, a, cuts.k, x.n AS l, y.n AS r, t.n, (1000::HUGEINT * a * t.n) // (x.n::HUGEINT * y.n) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = cuts.x JOIN f y ON y.lang = cuts.lang AND y.phrase = cuts.y JOIN t ON t.lang = cuts.lang),
+low AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM s),
+inner_of AS (
+  SELECT lang, array_to_string(w[i : i + k - 1], ' ') AS phrase, max(a) AS a
+  FROM c, range(2, 5) r(k), range(1, 5) q(i) WHERE k < len(w) AND i + k - 1 <= len(w) GROUP BY ALL),
+kept AS (SELECT * FROM low WHERE place = 1 AND NOT EXISTS (SELECT 1 FROM inner_of o WHERE o.lang = low.lang AND o.phrase = low.phrase AND o.a >= low.a))
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) WHERE rank <= 2000
+"""
+
 ORACLE_SQL = {
+    "op12_collocations": _OP12_SQL,
     "op11_ranked_search": _OP11_SQL,
     "op4_license_scan": _OP4_SQL,
     "op3_substring_dedup": _OP3_SQL,
