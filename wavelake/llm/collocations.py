@@ -71,7 +71,8 @@ class _Grams:
     def checks(self, at: np.ndarray, n: int) -> np.ndarray:
         if self._checks is None:
             self._checks = self.words.checks
-        return arrowtext.mix(arrowtext.range_hash(self._checks, at, at + n, seed=1) + self.lang[self.doc[at]])
+        # signed, as Spark compares them
+        return arrowtext.mix(arrowtext.range_hash(self._checks, at, at + n, seed=1) + self.lang[self.doc[at]]).view(np.int64)
 
     def text(self, at: int, n: int) -> str:
         words = self.words
@@ -123,7 +124,7 @@ def _counted(level: int, frequent, bits: int):
                 if level == 1:
                     full = np.flatnonzero(np.diff(offs) > 0)
                     fp = arrowtext.mix(grams.lang[full] ^ _NONE) & grams.mask
-                    held.append((fp, grams.lang[full], grams.lang[full], np.diff(offs)[full].astype(np.int64), row[full], np.zeros(len(full), np.int32), np.zeros(len(full), np.int32)))
+                    held.append((fp, grams.lang[full].view(np.int64), grams.lang[full].view(np.int64), np.diff(offs)[full].astype(np.int64), row[full], np.zeros(len(full), np.int32), np.zeros(len(full), np.int32)))
                 for n, at in grams.candidates(level, known):
                     fp, check, doc = grams.fingerprints(at, n), grams.checks(at, n), grams.doc[at]
                     own = _summed([(fp, check, check, np.ones(len(fp), np.int64), row[doc], (at - offs[doc]).astype(np.int32), np.full(len(fp), n, np.int32))])
