@@ -4,14 +4,15 @@ Texts are cut into pieces at sentence marks and line ends, pieces into words.  P
 (numpy, for a run of texts at once) give the fingerprint of any n-gram by one subtraction; the language is part of it.
 
 1. **Counts.**  Three scans count the fingerprints of single words, of pairs, and of three to five words.
-   Each task sums its own, and one row for each fingerprint goes to the shuffle: its count, a pointer (row, word) to an
-   occurrence, and the least and largest value of a second, independent fingerprint.  A phrase is as frequent
+   Each task sums its own; a row of a fingerprint and its count goes to the shuffle.  A phrase is as frequent
    as its parts at most, so a scan counts only n-grams whose words (or pairs of words) the scan before found often
    enough, by a Bloom filter of bounded size; beyond its load more n-grams are counted, with the same results.
-2. **Texts.**  Only fingerprints that are frequent are looked up: their pointers meet the rows they name, of which a Bloom
-   filter lets few through, and the phrase is cut from the text and its fingerprints compared.
+2. **Pointers.**  One more scan takes the n-grams that a filter of the frequent fingerprints lets through. Again one row for each
+   fingerprint and task is shuffled: its count, a pointer (row, word) to an occurrence, and the least and largest value of a second,
+   independent fingerprint.  What is frequent is looked up: pointers meet the rows they name, of which a Bloom
+   filter lets few through, and the phrase is cut from the text and its fingerprint compared.
 3. **Collisions.**  A fingerprint whose second one differs among its occurrences stands for several phrases; these are
-   counted by their text in one more scan, which is left out if there is none.
+   counted by their text in another scan, which is left out if there is none.
 4. **Scores.**  Cuts, parts and containing phrases are joins over the table of frequent phrases, in exact decimals.
 
 Edge cases: null and empty texts have no words; a null language is ``und``; repeated rows count each time; very
@@ -40,7 +41,7 @@ _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _CUT = _SEPARATOR.copy()
 _CUT[[0x20, 0x09]] = True
-_COLUMNS = "fp bigint, lo bigint, hi bigint, n bigint, row bigint, pos int, k int"
+_LOCATED = "fp bigint, lo bigint, hi bigint, n bigint, row bigint, pos int, k int"
 #: The phrase without words: its count is the number of words of a language.
 _NONE = np.uint64(0x5851F42D4C957F2D)
 
@@ -65,6 +66,12 @@ class _Grams:
         last = len(self.piece) - n + 1
         return np.flatnonzero(self.piece[:last] == self.piece[n - 1 :]) if last > 0 else np.zeros(0, np.int64)
 
+    def totals(self) -> tuple[np.ndarray, np.ndarray]:
+        """The fingerprint of the phrase without words, and the number of words, of each text with words."""
+        n = np.diff(self.words.offs)
+        full = np.flatnonzero(n)
+        return arrowtext.mix(self.lang[full] ^ _NONE) & self.mask, n[full].astype(np.int64)
+
     def fingerprints(self, at: np.ndarray, n: int) -> np.ndarray:
         return arrowtext.mix(arrowtext.range_hash(self.words.hashes, at, at + n) ^ self.lang[self.doc[at]]) & self.mask
 
@@ -78,68 +85,115 @@ class _Grams:
         words = self.words
         return " ".join(words.data[words.starts[k] : words.ends[k]].tobytes().decode() for k in range(at, at + n))
 
+    def hits(self, at: np.ndarray, n: int, frequent: np.ndarray) -> np.ndarray:
+        """Which starts of n-grams pass a filter, as marks of all words (and some more)."""
+        known = np.zeros(len(self.piece) + LONGEST, bool)
+        known[at] = twice.contains(frequent, self.fingerprints(at, n))
+        return known
+
+    def longer(self, pairs: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(n, starts) of the n-grams of three words and more all of whose pairs of neighbours are marked."""
+        run = pairs[: len(self.piece)]
+        for n in range(3, LONGEST + 1):
+            run = run & pairs[n - 2 : n - 2 + len(run)]
+            yield n, np.flatnonzero(run)
+
     def candidates(self, level: int, frequent: np.ndarray | None) -> Iterator[tuple[int, np.ndarray]]:
         """(n, starts) of the n-grams to count; ``frequent`` is the filter of the level before."""
         if level == 1:
             yield 1, self.starts(1)
-            return
-        known = np.zeros(len(self.piece) + LONGEST, bool)
-        before = self.starts(level - 1)
-        known[before] = twice.contains(frequent, self.fingerprints(before, level - 1))
-        if level == 2:
-            at = self.starts(2)
+        elif level == 2:
+            known, at = self.hits(self.starts(1), 1, frequent), self.starts(2)
             yield 2, at[known[at] & known[at + 1]]
-            return
-        run = known[: len(self.piece)]
-        for n in range(3, LONGEST + 1):
-            # all pairs of neighbours of an n-gram are frequent, so it lies inside a piece
-            run = run & known[n - 2 : n - 2 + len(run)]
-            yield n, np.flatnonzero(run)
+        else:
+            yield from self.longer(self.hits(self.starts(2), 2, frequent))
+
+    def frequent(self, filt: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(n, starts) of the n-grams of all sizes that the filter of all frequent ones lets through."""
+        words = self.hits(self.starts(1), 1, filt)
+        yield 1, np.flatnonzero(words)
+        at = self.starts(2)
+        pairs = self.hits(at[words[at] & words[at + 1]], 2, filt)
+        yield 2, np.flatnonzero(pairs)
+        for n, at in self.longer(pairs):
+            yield n, at[twice.contains(filt, self.fingerprints(at, n))]
+
+
+def _groups(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by fingerprint, and where each one starts in it."""
+    order = np.argsort(fp, kind="stable")
+    fp = fp[order]
+    return order, np.flatnonzero(np.append(True, fp[1:] != fp[:-1])) if len(fp) else np.zeros(0, np.int64)
+
+
+def _added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    fp, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order, at = _groups(fp)
+    return fp[order[at]], np.add.reduceat(n[order], at) if len(at) else n
 
 
 def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     fp, lo, hi, n, row, pos, size = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(fp, kind="stable")
-    fp = fp[order]
-    at = np.flatnonzero(np.append(True, fp[1:] != fp[:-1])) if len(fp) else np.zeros(0, np.int64)
+    order, at = _groups(fp)
     if not len(at):
         return fp, lo, hi, n, row, pos, size
     first = order[at]
-    return fp[at], np.minimum.reduceat(lo[order], at), np.maximum.reduceat(hi[order], at), np.add.reduceat(n[order], at), row[first], pos[first], size[first]
+    return fp[first], np.minimum.reduceat(lo[order], at), np.maximum.reduceat(hi[order], at), np.add.reduceat(n[order], at), row[first], pos[first], size[first]
+
+
+def _merged(parts: Iterator[tuple[np.ndarray, ...]], merge, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """A task's parts as one row for each fingerprint, or a few where they are more than it may hold."""
+
+    def rows(columns):
+        for k in range(0, len(columns[0]), 1 << 16):
+            some = [x[k : k + (1 << 16)] for x in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in some], names)
+
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size > HELD:
+            held = [merge(held)]
+            size = len(held[0][0])
+            if size > HELD // 2:
+                yield from rows(held[0])
+                held, size = [], 0
+    if held:
+        yield from rows(merge(held))
 
 
 def _counted(level: int, frequent, bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches):
         known = np.frombuffer(frequent.value, np.uint8) if frequent is not None else None
-        held, size = [], 0
+        for batch in batches:
+            for part in arrowtext.slices(batch):
+                grams = _Grams(part, bits)
+                if level == 1:
+                    yield grams.totals()
+                for n, at in grams.candidates(level, known):
+                    yield _added([(grams.fingerprints(at, n), np.ones(len(at), np.int64))])
+
+    return lambda batches: _merged(parts(batches), _added, ["fp", "n"])
 
-        def rows(parts):
-            for k in range(0, len(parts[0]), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 16)].view(np.int64) if x.dtype == np.uint64 else x[k : k + (1 << 16)]) for x in parts], ["fp", "lo", "hi", "n", "row", "pos", "k"])
 
+def _located(frequent, bits: int):
+    def parts(batches):
+        known = np.frombuffer(frequent.value, np.uint8)
         for batch in batches:
             for part in arrowtext.slices(batch):
                 grams = _Grams(part, bits)
                 row, offs = part.column("row").to_numpy(), grams.words.offs
-                if level == 1:
-                    full = np.flatnonzero(np.diff(offs) > 0)
-                    fp = arrowtext.mix(grams.lang[full] ^ _NONE) & grams.mask
-                    held.append((fp, grams.lang[full].view(np.int64), grams.lang[full].view(np.int64), np.diff(offs)[full].astype(np.int64), row[full], np.zeros(len(full), np.int32), np.zeros(len(full), np.int32)))
-                for n, at in grams.candidates(level, known):
-                    fp, check, doc = grams.fingerprints(at, n), grams.checks(at, n), grams.doc[at]
-                    own = _summed([(fp, check, check, np.ones(len(fp), np.int64), row[doc], (at - offs[doc]).astype(np.int32), np.full(len(fp), n, np.int32))])
-                    held.append(own)
-                    size += len(own[0])
-                if size > HELD:
-                    held = [_summed(held)]
-                    size = len(held[0][0])
-                    if size > HELD // 2:
-                        yield from rows(held[0])
-                        held, size = [], 0
-        if held:
-            yield from rows(_summed(held))
+                full = np.flatnonzero(np.diff(offs))
+                fp, n = grams.totals()
+                lang = grams.lang[full].view(np.int64)
+                none = np.zeros(len(full), np.int32)
+                yield _summed([(fp, lang, lang, n, row[full], none, none)])
+                for n, at in grams.frequent(known):
+                    check, doc = grams.checks(at, n), grams.doc[at]
+                    yield _summed([(grams.fingerprints(at, n), check, check, np.ones(len(at), np.int64), row[doc], (at - offs[doc]).astype(np.int32), np.full(len(at), n, np.int32))])
 
-    return run
+    return lambda batches: _merged(parts(batches), _summed, ["fp", "lo", "hi", "n", "row", "pos", "k"])
 
 
 def _cut_out(bits: int):
@@ -190,31 +244,34 @@ def frequent_phrases(docs: DataFrame, least: int = 100, text: str = "text", doc_
 
     Also one row of ``k`` = 0 for each language of as many words: their number.  ``bits`` is the width of fingerprints.
     """
-    spark = docs.sparkSession
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     slim = docs.select(t.alias("text"), F.coalesce(F.col(f"`{lang}`"), F.lit("und")).alias("lang"), F.xxhash64(F.col(f"`{doc_id}`"), t, F.coalesce(F.col(f"`{lang}`"), F.lit("und"))).alias("row"))
-    with scratch(spark) as keep:
-        held, levels = None, []
+    with scratch(docs.sparkSession) as keep:
+        filt, levels = None, []
         for level in (1, 2, 3):
-            rows = slim.mapInArrow(_counted(level, held, bits), _COLUMNS)
-            total = rows.groupBy("fp").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"), F.first("row").alias("row"), F.first("pos").alias("pos"), F.first("k").alias("k"))
-            total = materialize(total.where(F.col("n") >= least).select("fp", "n", "row", "pos", "k", (F.col("lo") != F.col("hi")).alias("clash")), f"frequent_{level}")
-            levels.append(total)
-            if level < 3:
-                filt = twice.member_filter_of(total.select("fp"), lambda batch: iter([batch.column(0).to_numpy()]), twice.bits_for(total.count()))
-                held = spark.sparkContext.broadcast(filt.tobytes())
-        found = levels[0].union(levels[1]).union(levels[2])
+            rows = slim.mapInArrow(_counted(level, filt, bits), "fp bigint, n bigint").groupBy("fp").agg(F.sum("n").alias("n"))
+            levels.append(materialize(rows.where(F.col("n") >= least).select("fp"), f"frequent_{level}"))
+            filt = _filter(levels[-1])
+        every = _filter(levels[0].union(levels[1]).union(levels[2]))
+        found = slim.mapInArrow(_located(every, bits), _LOCATED).groupBy("fp")
+        found = found.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"), F.first("row").alias("row"), F.first("pos").alias("pos"), F.first("k").alias("k"))
+        found = materialize(found.where(F.col("n") >= least).select("fp", "n", "row", "pos", "k", (F.col("lo") != F.col("hi")).alias("clash")), "frequent")
         phrases = _texts(slim, found.where(~F.col("clash")), bits)
         if not found.where("clash").isEmpty():
-            clashes = found.where("clash").select("fp")
-            filt = twice.member_filter_of(clashes, lambda batch: iter([batch.column(0).to_numpy()]), twice.bits_for(clashes.count()))
-            again = slim.mapInArrow(_recounted(spark.sparkContext.broadcast(filt.tobytes()), bits), "lang string, k int, phrase string, n bigint")
+            clashes = _filter(found.where("clash").select("fp"))
+            again = slim.mapInArrow(_recounted(clashes, bits), "lang string, k int, phrase string, n bigint")
             again = again.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
             # a phrase that passes the filter by chance was found above, with the same count
             phrases = phrases.union(again)
         return keep(phrases.groupBy("lang", "k", "phrase").agg(F.max("n").alias("n")), "phrases")
 
 
+def _filter(hashes: DataFrame):
+    """A Bloom filter of a column, sent to the tasks."""
+    filt = twice.member_filter_of(hashes, lambda batch: iter([batch.column(0).to_numpy()]), twice.bits_for(hashes.count()))
+    return hashes.sparkSession.sparkContext.broadcast(filt.tobytes())
+
+
 def _texts(slim: DataFrame, found: DataFrame, bits: int) -> DataFrame:
     """The phrases that the pointers of fingerprints name."""
     pointers = found.groupBy(F.col("row").alias("at")).agg(F.collect_list(F.struct("fp", "k", "pos", "n")).alias("pointers"))
