@@ -13,6 +13,7 @@ from wavelake.llm.licenses import COPYRIGHT_LINE, COPYRIGHT_PROSE, KNOWN, SPELLI
 from wavelake.llm.linededup import dedup_lines
 from wavelake.llm.minhash import near_duplicates
 from wavelake.llm.mixing import mix
+from wavelake.llm.pii import KINDS, find_private
 from wavelake.llm.quality import MIN_DOCS, score_quality
 from wavelake.llm.substring import dedup_substrings
 from wavelake.llm.toxicity import CUT, held_out, score_toxicity
@@ -80,6 +81,20 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_documents(spark, sf_dir))
 
 
+def op13_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_private(_documents(spark, sf_dir).select("doc_id", "text"))
+    spans = F.col(found.columns[-1])
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+    base = F.filter(spans, lambda s: s["base"])
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, KINDS), F.sha2(said(base), 256).alias("base_sha256"), said(spans).alias("spans"))
+
+
+def private_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of ``op13_private_data`` that SQL can express: what the patterns find in all documents."""
+    return op13_private_data(spark, sf_dir).drop("spans")
+
+
 def quality_small_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``op10_quality_rules`` with thresholds of their own for groups from five documents on."""
     return score_quality(_documents(spark, sf_dir), min_docs=5).drop("n_lines")
@@ -103,6 +118,8 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "op11_ranked_search": op11_ranked_search,
     "op12_collocations": op12_collocations,
+    "op13_private_data": op13_private_data,
+    "private_base": private_base,
     "quality_small_groups": quality_small_groups,
     "mix_targets": mix_targets,
 }
@@ -356,7 +373,29 @@ SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT
 FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) WHERE rank <= 2000
 """
 
+_PRIVATE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+r AS (SELECT * FROM (VALUES (1, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), (2, 'ip', '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)'),
+                            (3, 'card', '[0-9](?:[\x20-]?[0-9])+'), (4, 'phone', '\+[0-9][\x20().0-9-]+[0-9]')) r(place, kind, re)),
+m AS (SELECT k, place, kind, regexp_extract_all(t, re) AS found, string_split_regex(t, re) AS between FROM d, r WHERE regexp_matches(t, '[0-9@]')),
+s AS (
+  SELECT k, place, kind, found[i] AS span,
+         CAST(list_sum(list_transform(between[: i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[: i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+  FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM m)),
+g AS (SELECT *, regexp_replace(span, '[^0-9]', '', 'g') AS digits FROM s),
+ok AS (
+  SELECT * FROM g WHERE kind = 'email' OR (kind = 'phone' AND length(digits) BETWEEN 8 AND 15)
+  OR (kind = 'ip' AND len(list_filter(string_split(span, '.'), lambda x: coalesce(try_cast(x AS HUGEINT), 256) > 255)) = 0)
+  OR (kind = 'card' AND length(digits) BETWEEN 16 AND 19
+      AND list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN i % 2 = 1 THEN digits[-i]::INT WHEN digits[-i]::INT > 4 THEN 2 * digits[-i]::INT - 9 ELSE 2 * digits[-i]::INT END)) % 10 = 0))
+SELECT any_value(d.doc_id) AS doc_id, count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip,
+       count(*) FILTER (WHERE kind = 'card') AS n_card, count(*) FILTER (WHERE kind = 'phone') AS n_phone,
+       sha256(coalesce(string_agg(kind || ':' || start || ':' || start + length(span), ',' ORDER BY place, start), '')) AS base_sha256
+FROM d LEFT JOIN ok ON ok.k = d.k GROUP BY d.k
+"""
+
 ORACLE_SQL = {
+    "private_base": _PRIVATE_SQL,
     "op12_collocations": _OP12_SQL,
     "op11_ranked_search": _OP11_SQL,
     "op4_license_scan": _OP4_SQL,
