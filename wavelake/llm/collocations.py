@@ -4,13 +4,12 @@ Texts are cut into pieces at sentence marks and line ends, pieces into words.  P
 (numpy, for a run of texts at once) give the fingerprint of any n-gram by one subtraction; the language is part of it.
 
 1. **Counts.**  Three scans count the fingerprints of single words, of pairs, and of three to five words.
-   Each task sums its own; a row of a fingerprint and its count goes to the shuffle.  A phrase is as frequent
+   Each task sums its own; the shuffle gets rows of a fingerprint, its count and one number that holds a pointer to a
+   row with an occurrence and a second, independent fingerprint (32 bits each).  A phrase is as frequent
    as its parts at most, so a scan counts only n-grams whose words (or pairs of words) the scan before found often
    enough, by a Bloom filter of bounded size; beyond its load more n-grams are counted, with the same results.
-2. **Pointers.**  One more scan takes the n-grams that a filter of the frequent fingerprints lets through. Again one row for each
-   fingerprint and task is shuffled: its count, a pointer (row, word) to an occurrence, and the least and largest value of a second,
-   independent fingerprint.  What is frequent is looked up: pointers meet the rows they name, of which a Bloom
-   filter lets few through, and the phrase is cut from the text and its fingerprint compared.
+2. **Texts.**  Pointers of what is frequent meet the rows they name, of which a Bloom filter lets few through; there the phrase
+   is found by its fingerprints and cut from the text.
 3. **Collisions.**  A fingerprint whose second one differs among its occurrences stands for several phrases; these are
    counted by their text in another scan, which is left out if there is none.
 4. **Scores.**  Cuts, parts and containing phrases are joins over the table of frequent phrases, in exact decimals.
@@ -41,7 +40,7 @@ _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _CUT = _SEPARATOR.copy()
 _CUT[[0x20, 0x09]] = True
-_LOCATED = "fp bigint, lo bigint, hi bigint, n bigint, row bigint, pos int, k int"
+_LOW = np.uint64(0xFFFFFFFF)
 #: The phrase without words: its count is the number of words of a language.
 _NONE = np.uint64(0x5851F42D4C957F2D)
 
@@ -66,11 +65,11 @@ class _Grams:
         last = len(self.piece) - n + 1
         return np.flatnonzero(self.piece[:last] == self.piece[n - 1 :]) if last > 0 else np.zeros(0, np.int64)
 
-    def totals(self) -> tuple[np.ndarray, np.ndarray]:
-        """The fingerprint of the phrase without words, and the number of words, of each text with words."""
+    def totals(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Texts with words: their numbers, the fingerprint of the phrase without words, and how many words."""
         n = np.diff(self.words.offs)
         full = np.flatnonzero(n)
-        return arrowtext.mix(self.lang[full] ^ _NONE) & self.mask, n[full].astype(np.int64)
+        return full, arrowtext.mix(self.lang[full] ^ _NONE) & self.mask, n[full].astype(np.int64)
 
     def fingerprints(self, at: np.ndarray, n: int) -> np.ndarray:
         return arrowtext.mix(arrowtext.range_hash(self.words.hashes, at, at + n) ^ self.lang[self.doc[at]]) & self.mask
@@ -78,8 +77,7 @@ class _Grams:
     def checks(self, at: np.ndarray, n: int) -> np.ndarray:
         if self._checks is None:
             self._checks = self.words.checks
-        # signed, as Spark compares them
-        return arrowtext.mix(arrowtext.range_hash(self._checks, at, at + n, seed=1) + self.lang[self.doc[at]]).view(np.int64)
+        return arrowtext.mix(arrowtext.range_hash(self._checks, at, at + n, seed=1) + self.lang[self.doc[at]])
 
     def text(self, at: int, n: int) -> str:
         words = self.words
@@ -108,16 +106,6 @@ class _Grams:
         else:
             yield from self.longer(self.hits(self.starts(2), 2, frequent))
 
-    def frequent(self, filt: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(n, starts) of the n-grams of all sizes that the filter of all frequent ones lets through."""
-        words = self.hits(self.starts(1), 1, filt)
-        yield 1, np.flatnonzero(words)
-        at = self.starts(2)
-        pairs = self.hits(at[words[at] & words[at + 1]], 2, filt)
-        yield 2, np.flatnonzero(pairs)
-        for n, at in self.longer(pairs):
-            yield n, at[twice.contains(filt, self.fingerprints(at, n))]
-
 
 def _groups(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order by fingerprint, and where each one starts in it."""
@@ -127,40 +115,39 @@ def _groups(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    fp, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order, at = _groups(fp)
-    return fp[order[at]], np.add.reduceat(n[order], at) if len(at) else n
-
-
-def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    fp, lo, hi, n, row, pos, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+    """Fingerprints, counts, and pointers with the second fingerprint; a fingerprint with two of these gets two rows."""
+    fp, n, about = (np.concatenate(x) for x in zip(*parts, strict=True))
     order, at = _groups(fp)
     if not len(at):
-        return fp, lo, hi, n, row, pos, size
-    first = order[at]
-    return fp[first], np.minimum.reduceat(lo[order], at), np.maximum.reduceat(hi[order], at), np.add.reduceat(n[order], at), row[first], pos[first], size[first]
+        return fp, n, about
+    fp, n, about = fp[order], n[order], about[order]
+    check = about & _LOW
+    lo, hi = np.minimum.reduceat(check, at), np.maximum.reduceat(check, at)
+    row = about[at] & ~_LOW
+    two = np.flatnonzero(lo != hi)
+    return np.concatenate([fp[at], fp[at][two]]), np.concatenate([np.add.reduceat(n, at), np.zeros(len(two), np.int64)]), np.concatenate([row | lo, (row | hi)[two]])
 
 
-def _merged(parts: Iterator[tuple[np.ndarray, ...]], merge, names: list[str]) -> Iterator[pa.RecordBatch]:
+def _merged(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
     """A task's parts as one row for each fingerprint, or a few where they are more than it may hold."""
 
     def rows(columns):
         for k in range(0, len(columns[0]), 1 << 16):
             some = [x[k : k + (1 << 16)] for x in columns]
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in some], names)
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in some], ["fp", "n", "about"])
 
     held, size = [], 0
     for part in parts:
         held.append(part)
         size += len(part[0])
         if size > HELD:
-            held = [merge(held)]
+            held = [_added(held)]
             size = len(held[0][0])
             if size > HELD // 2:
                 yield from rows(held[0])
                 held, size = [], 0
     if held:
-        yield from rows(merge(held))
+        yield from rows(_added(held))
 
 
 def _counted(level: int, frequent, bits: int):
@@ -169,49 +156,47 @@ def _counted(level: int, frequent, bits: int):
         for batch in batches:
             for part in arrowtext.slices(batch):
                 grams = _Grams(part, bits)
+                row = part.column("row").to_numpy().view(np.uint64) << np.uint64(32)
                 if level == 1:
-                    yield grams.totals()
+                    full, fp, n = grams.totals()
+                    yield _added([(fp, n, row[full] | (grams.lang[full] & _LOW))])
                 for n, at in grams.candidates(level, known):
-                    yield _added([(grams.fingerprints(at, n), np.ones(len(at), np.int64))])
-
-    return lambda batches: _merged(parts(batches), _added, ["fp", "n"])
-
-
-def _located(frequent, bits: int):
-    def parts(batches):
-        known = np.frombuffer(frequent.value, np.uint8)
-        for batch in batches:
-            for part in arrowtext.slices(batch):
-                grams = _Grams(part, bits)
-                row, offs = part.column("row").to_numpy(), grams.words.offs
-                full = np.flatnonzero(np.diff(offs))
-                fp, n = grams.totals()
-                lang = grams.lang[full].view(np.int64)
-                none = np.zeros(len(full), np.int32)
-                yield _summed([(fp, lang, lang, n, row[full], none, none)])
-                for n, at in grams.frequent(known):
-                    check, doc = grams.checks(at, n), grams.doc[at]
-                    yield _summed([(grams.fingerprints(at, n), check, check, np.ones(len(at), np.int64), row[doc], (at - offs[doc]).astype(np.int32), np.full(len(at), n, np.int32))])
+                    yield _added([(grams.fingerprints(at, n), np.ones(len(at), np.int64), row[grams.doc[at]] | (grams.checks(at, n) & _LOW))])
 
-    return lambda batches: _merged(parts(batches), _summed, ["fp", "lo", "hi", "n", "row", "pos", "k"])
+    return lambda batches: _merged(parts(batches))
 
 
 def _cut_out(bits: int):
-    """The phrases that pointers name, if they have the fingerprint."""
+    """The phrases of a text that have one of the fingerprints asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 one = batch.slice(r, 1)
                 grams = _Grams(one, bits)
-                fp, size, pos, n = (x.to_numpy() for x in one.column("pointers").flatten().flatten())
-                right = size == 0
-                for k in range(1, LONGEST + 1):
-                    at = np.flatnonzero((size == k) & (pos + k <= len(grams.doc)))
-                    right[at] = grams.fingerprints(pos[at].astype(np.int64), k) == fp[at].view(np.uint64)
-                at = np.flatnonzero(right)
-                phrases = [grams.text(int(p), int(k)) for p, k in zip(pos[at], size[at], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([one.column("lang")[0].as_py()] * len(at), pa.string()), pa.array(size[at]), pa.array(phrases, pa.string()), pa.array(n[at])], ["lang", "k", "phrase", "n"])
+                fp, n, check = (x.to_numpy() for x in one.column("wanted").flatten().flatten())
+                # both fingerprints as one number
+                keys = arrowtext.mix(fp.view(np.uint64)) + check.view(np.uint64)
+                order = np.argsort(keys)
+                keys, n = keys[order], n[order]
+                out = []
+
+                def asked(fp, check, keys=keys):
+                    own = arrowtext.mix(fp) + (check & _LOW)
+                    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                    return at, keys[at] == own
+
+                full, fp, _ = grams.totals()
+                at, hit = asked(fp, grams.lang[full])
+                out += [(0, "", n[k]) for k in at[hit]]
+                for size in range(1, LONGEST + 1):
+                    starts = grams.starts(size)
+                    at, hit = asked(grams.fingerprints(starts, size), grams.checks(starts, size))
+                    for k, first in zip(*np.unique(at[hit], return_index=True), strict=True):
+                        out.append((size, grams.text(int(starts[hit][first]), size), n[k]))
+                if out:
+                    size, phrase, count = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([one.column("lang")[0].as_py()] * len(out), pa.string()), pa.array(size, pa.int32()), pa.array(phrase, pa.string()), pa.array(np.array(count, np.int64))], ["lang", "k", "phrase", "n"])
 
     return run
 
@@ -245,17 +230,19 @@ def frequent_phrases(docs: DataFrame, least: int = 100, text: str = "text", doc_
     Also one row of ``k`` = 0 for each language of as many words: their number.  ``bits`` is the width of fingerprints.
     """
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    slim = docs.select(t.alias("text"), F.coalesce(F.col(f"`{lang}`"), F.lit("und")).alias("lang"), F.xxhash64(F.col(f"`{doc_id}`"), t, F.coalesce(F.col(f"`{lang}`"), F.lit("und"))).alias("row"))
+    slim = docs.select(t.alias("text"), F.coalesce(F.col(f"`{lang}`"), F.lit("und")).alias("lang"), F.xxhash64(F.col(f"`{doc_id}`"), t, F.coalesce(F.col(f"`{lang}`"), F.lit("und"))).bitwiseAND(F.lit((1 << 32) - 1)).alias("row"))
     with scratch(docs.sparkSession) as keep:
-        filt, levels = None, []
+        filt, found = None, None
         for level in (1, 2, 3):
-            rows = slim.mapInArrow(_counted(level, filt, bits), "fp bigint, n bigint").groupBy("fp").agg(F.sum("n").alias("n"))
-            levels.append(materialize(rows.where(F.col("n") >= least).select("fp"), f"frequent_{level}"))
-            filt = _filter(levels[-1])
-        every = _filter(levels[0].union(levels[1]).union(levels[2]))
-        found = slim.mapInArrow(_located(every, bits), _LOCATED).groupBy("fp")
-        found = found.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"), F.first("row").alias("row"), F.first("pos").alias("pos"), F.first("k").alias("k"))
-        found = materialize(found.where(F.col("n") >= least).select("fp", "n", "row", "pos", "k", (F.col("lo") != F.col("hi")).alias("clash")), "frequent")
+            rows = slim.mapInArrow(_counted(level, filt, bits), "fp bigint, n bigint, about bigint")
+            # tasks have added up their own, so rows are dealt out as they are
+            check = F.col("about").bitwiseAND(F.lit((1 << 32) - 1))
+            total = rows.repartition("fp").groupBy("fp").agg(F.sum("n").alias("n"), F.min(check).alias("lo"), F.max(check).alias("hi"), F.first("about").alias("about"))
+            total = total.where(F.col("n") >= least).select("fp", "n", F.shiftrightunsigned("about", 32).alias("row"), F.col("lo").alias("check"), (F.col("lo") != F.col("hi")).alias("clash"))
+            total = materialize(total, f"frequent_{level}")
+            found = total if found is None else found.union(total)
+            if level < 3:
+                filt = _filter(total.select("fp"))
         phrases = _texts(slim, found.where(~F.col("clash")), bits)
         if not found.where("clash").isEmpty():
             clashes = _filter(found.where("clash").select("fp"))
@@ -274,11 +261,10 @@ def _filter(hashes: DataFrame):
 
 def _texts(slim: DataFrame, found: DataFrame, bits: int) -> DataFrame:
     """The phrases that the pointers of fingerprints name."""
-    pointers = found.groupBy(F.col("row").alias("at")).agg(F.collect_list(F.struct("fp", "k", "pos", "n")).alias("pointers"))
-    pointers = materialize(pointers, "pointers")
-    filt = twice.member_filter_of(pointers.select("at"), lambda batch: iter([batch.column(0).to_numpy()]), twice.bits_for(pointers.count()))
-    named = slim.where(twice.suspects(slim.sparkSession, filt)("row")).join(pointers, F.col("row") == F.col("at"))
-    return named.select("text", "lang", "pointers").mapInArrow(_cut_out(bits), "lang string, k int, phrase string, n bigint")
+    wanted = materialize(found.groupBy(F.col("row").alias("at")).agg(F.collect_list(F.struct("fp", "n", "check")).alias("wanted")), "pointers")
+    filt = twice.member_filter_of(wanted.select("at"), lambda batch: iter([batch.column(0).to_numpy()]), twice.bits_for(wanted.count()))
+    named = slim.where(twice.suspects(slim.sparkSession, filt)("row")).join(wanted, F.col("row") == F.col("at"))
+    return named.select("text", "lang", "wanted").mapInArrow(_cut_out(bits), "lang string, k int, phrase string, n bigint")
 
 
 def _decimal(c: str) -> Column:
