@@ -203,3 +203,89 @@ def test_a_cluster_needs_a_shared_folder():
         written.shared_dir(Session())
     Session.sparkContext.master = "local[2]"
     assert written.shared_dir(Session())
+
+
+def test_ranges_of_a_file_are_tasks_of_their_own(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    whole = rng.integers(0, 200, (24, 9, 13))
+    kinds = {
+        "a.tif": dict(dtype="u2"), "b.tif": dict(dtype="f8", big=True, order=">"), "c.tif": dict(dtype="u2", one_directory=True, description=b"ImageJ=1.5\nimages=24\nchannels=2\n"), "d.TIF": dict(dtype="u2", packed=8, tile=16),
+    }
+    for name, options in kinds.items():
+        stack_file(tmp_path / name, list(whole), **options)
+    (tmp_path / "_skipped.tif").write_bytes(b"")
+    (tmp_path / "notes.txt").write_bytes(b"no image")
+    frames = tiff.read_frames(spark, str(tmp_path), range_bytes=1000)
+    assert frames.rdd.getNumPartitions() >= 30
+    rows = {(r.path, r.t, r.c): np.array(r.px).reshape(r.height, r.width) for r in frames.collect()}
+    (tmp_path / "_skipped.tif").unlink()
+    expected = {(r.path.replace("file:///", "file:/"), r.t, r.c): np.array(r.px).reshape(r.height, r.width) for r in tiff.read_whole_files(spark, str(tmp_path)).collect()}
+    assert rows.keys() == expected.keys() and len(rows) == 96
+    assert all((rows[k] == expected[k]).all() for k in rows)
+    assert spark.read.format("tiff").load(f"{tmp_path}/[ab].tif").count() == 48
+    assert spark.read.format("tiff").load(f"file://{tmp_path}/d.TIF").count() == 24
+    with pytest.raises(Exception, match="no.tif"):
+        tiff.read_frames(spark, str(tmp_path / "no.tif")).collect()
+
+
+def test_a_file_beyond_4_gb_is_planned_from_its_directories(tmp_path):
+    """Sparse on disk; the images after the first have no directory of their own."""
+    path, images, side = tmp_path / "large.tif", 2700, 1000
+    stack_file(path, [np.full((side, side), 7)], "u2", f"ImageJ=1.5\nimages={images}\nframes={images}\n".encode())
+    start = tiff.directories(path.read_bytes())[1][0][273][0]
+    with open(path, "r+b") as out:
+        out.truncate(start + images * side * side * 2)
+        out.seek(start + (images - 1) * side * side * 2)
+        out.write(np.full((side, side), 9, "<u2").tobytes())
+    assert path.stat().st_size > 5 << 30
+    reader = tiff._RangeReader({"path": str(path)})
+    parts = reader.partitions()
+    assert len(parts) == 82 and sum(len(p.numbers) for p in parts) == images
+    last = list(reader.read(parts[-1]))
+    assert [b.column("t")[0].as_py() for b in last] == list(parts[-1].numbers) and set(last[-1].column("px")[0].as_py()) == {9.0}
+
+
+def test_samples_are_channels(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    image = rng.integers(0, 255, (5, 7, 3)).astype(np.uint8)
+    for name, planar, strips in (("chunky", 1, [image.tobytes()]), ("planar", 2, [image[..., k].tobytes() for k in range(3)])):
+        raw = bytearray(b"II*\0" + struct.pack("<I", 0))
+        at = []
+        for s in strips:
+            at.append(len(raw))
+            raw += s
+        lists = {}
+        for tag, values, form in ((258, [8] * 3, "H"), (273, at, "I"), (279, list(map(len, strips)), "I")):
+            lists[tag] = len(raw)
+            raw += struct.pack(f"<{len(values)}{form}", *values)
+        one = len(strips) == 1
+        tags = [(256, 4, 1, 7), (257, 4, 1, 5), (258, 3, 3, lists[258]), (273, 4, len(at), at[0] if one else lists[273]), (277, 3, 1, 3), (279, 4, len(at), len(strips[0]) if one else lists[279]), (284, 3, 1, planar)]
+        raw[4:8] = struct.pack("<I", len(raw))
+        raw += struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags) + struct.pack("<I", 0)
+        (tmp_path / f"{name}.tif").write_bytes(bytes(raw))
+        rows = tiff.read_frames(spark, str(tmp_path / f"{name}.tif")).orderBy("c").collect()
+        assert [(r.t, r.c) for r in rows] == [(0, 0), (0, 1), (0, 2)]
+        assert all((np.array(r.px).reshape(5, 7) == image[..., r.c]).all() for r in rows)
+
+
+def test_movies_are_written_by_the_tasks(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    images = rng.normal(size=(40, 6, 5)).astype(np.float32)
+    rows = [(int(3 * t + 5000 * (t > 20)), 6, 5, images[t].ravel().tolist()) for t in range(40)]
+    frames = spark.createDataFrame(rows, "t int, height int, width int, px array<double>").repartition(7)
+    for big in (None, True):
+        path = str(tmp_path / f"{big}.tif")
+        tiff.write_movie(frames, path, "ImageJ=1.5\nfinterval=0.5\nunit=um\n", big=big)
+        raw = open(path, "rb").read()
+        order, tags = tiff.directories(raw)
+        assert raw[2] == (43 if big else 42) and tiff.metadata(tags[0])["finterval"] == "0.5" and len(tags) == 40
+        back = {r.t: np.array(r.px, np.float32).reshape(6, 5) for r in tiff.read_frames(spark, path).collect()}
+        assert all((back[k] == images[k]).all() for k in range(40))
+        assert tiff.read_scales(spark, path).first().frame_interval == 0.5
+    tiff.write_movie(frames.where("t = 3"), str(tmp_path / "one.tif"))
+    assert tiff.read_frames(spark, str(tmp_path / "one.tif")).count() == 1
+    tiff.write_movie(frames.limit(0), str(tmp_path / "none.tif"))
+    assert tiff.read_frames(spark, str(tmp_path / "none.tif")).count() == 0
+    for bad in (frames.union(frames), frames.union(spark.createDataFrame([(-1, 1, 30, [0.0] * 30)], frames.schema))):
+        with pytest.raises(ValueError, match="one size"):
+            tiff.write_movie(bad, str(tmp_path / "bad.tif"))
