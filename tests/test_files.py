@@ -158,6 +158,33 @@ def test_wide_export(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "record")).count() == 3
     with pytest.raises(ValueError):
         export.wide_traces(rows, [], {"F": "raw"})
+    # the same table from rows of cells, with an empty cell
+    export.write_wide(rows, str(tmp_path / "cells"), {"F": "raw"}, {0: "leaf", 1: "leaf"}, 0.5)
+    same = lambda folder: sorted(map(tuple, spark.read.option("header", True).csv(str(tmp_path / folder)).collect()))
+    assert same("cells") == same("csv") and spark.read.option("header", True).csv(str(tmp_path / "cells")).columns == wide.columns
+
+
+def test_wide_export_of_many_regions(spark, tmp_path):
+    """The plan is that of a few regions, and gaps stay empty."""
+    n = 3000
+    rows = spark.range(n * 5).select((F.col("id") % n).cast("int").alias("roi_id"), F.floor(F.col("id") / n).cast("int").alias("t"), F.col("id").cast("double").alias("raw"), (-F.col("id")).cast("double").alias("dff"))
+    rows = rows.where(~((F.col("t") == 2) & (F.col("roi_id").isin(0, 7, 8, n - 1))) & ((F.col("t") != 4) | (F.col("roi_id") == 5)))
+    export.write_wide(rows, str(tmp_path / "wide"), {"F": "raw", "dFF": "dff"}, {7: 'a "b", c', 9: "roi_3"})
+    import csv
+
+    lines = [r.value for r in spark.read.text(str(tmp_path / "wide")).collect()]
+    table = [row for row in csv.reader(lines) if row[0] != "frame"]
+    head = next(row for row in csv.reader(lines) if row[0] == "frame")
+    assert len(head) == 1 + 2 * n == len(set(head)) and head[15:17] == ['a "b", c_F', 'a "b", c_dFF'] and head[7] == "roi_3_F" and head[19] == "roi_3_9_F"
+    got = {int(r[0]): r[1:] for r in table}
+    assert sorted(got) == [0, 1, 2, 3, 4] and all(len(r) == 2 * n for r in got.values())
+    for t, cells in got.items():
+        for k in range(n):
+            there = not (t == 2 and k in (0, 7, 8, n - 1)) and (t != 4 or k == 5)
+            assert cells[2 * k : 2 * k + 2] == ([str(float(t * n + k)), str(float(-(t * n + k)))] if there else ["", ""])
+    columns = export.wide_columns(rows)
+    plans = [export.wide_rows(rows.where(F.col("roi_id") < k), {"F": "raw"}, columns)._jdf.queryExecution().toString() for k in (2, n)]
+    assert abs(len(plans[0]) - len(plans[1])) < 200
 
 
 def test_live_traces(spark, tmp_path):

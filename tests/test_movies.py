@@ -184,6 +184,54 @@ def test_registration_of_rotation_and_masks(spark):
         motion.register(f, "first", "bilinear")
 
 
+def test_products_of_many_steps_are_a_scan_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    steps = {r: [np.eye(3) + np.vstack([rng.normal(0, 0.05, (2, 3)), np.zeros(3)]) for _ in range(n)] for r, n in ((0, 130), (1, 9), (2, 1))}
+    rows = [(r, t, m.ravel().tolist()) for r, own in steps.items() for t, m in enumerate(own)]
+    table = spark.createDataFrame(rows, "recording int, t int, m array<double>").repartition(5)
+    for together in (4, 50, motion.STEPS_TOGETHER):
+        got = motion.chain(table, ("recording",), together)
+        assert got.columns == ["recording", "t", "m"] and got.schema["t"].dataType.simpleString() == "int"
+        found = {(r.recording, r.t): np.array(r.m).reshape(3, 3) for r in got.collect()}
+        assert len(found) == len(rows)
+        for r, own in steps.items():
+            total = np.eye(3)
+            for t, m in enumerate(own):
+                total = m @ total
+                assert np.allclose(found[r, t], total)
+    alone = motion.chain(table.where("recording = 0").drop("recording"), (), 7).collect()
+    assert len(alone) == 130 and motion.chain(table.limit(0), ("recording",)).collect() == []
+
+
+@pytest.mark.parametrize("n", [2, 3, 4])
+def test_registration_under_a_moving_average(spark, n):
+    """Against the same registration, frame by frame on the averaged images; masks take part where all frames of a window do."""
+    images = [blob_image(0.4 * k, -0.6 * k) for k in range(5)]
+    before, after = -(-n // 2) - 1, n // 2
+    near = lambda t: [min(4, max(0, t + k)) for k in range(-before, after + 1)]
+    means = [np.mean([images[k] for k in near(t)], axis=0) for t in range(5)]
+    f = frames(spark, images)
+    for together in (1, 2, motion.FRAMES_TOGETHER):
+        got = {r.t: np.array(r.px).reshape(80, 80) for r in motion.average_frames(f, n, (), together).collect()}
+        assert all(np.allclose(got[t], means[t]) for t in range(5))
+    for reference in ("first", "previous", "mean"):
+        found = {r.t: np.array(r.m).reshape(3, 3) for r in motion.register(f, reference, "translation", moving_average=n).collect()}
+        total = np.eye(3)
+        for t in range(5):
+            ref = means[0] if reference == "first" else means[t - 1] if reference == "previous" else np.mean(means, axis=0)
+            step = align.register(ref, means[t], "translation")
+            total = step @ total if reference == "previous" else step
+            assert np.allclose(found[t], total, atol=1e-6)
+    masks = [np.ones(64, bool) for _ in range(5)]
+    for t in range(5):
+        masks[t][t] = False
+    rows = spark.createDataFrame([(t, m.tolist()) for t, m in enumerate(masks)], "t int, mask array<boolean>")
+    got = {r.t: r["mask"] for r in motion.common_masks(rows, n, (), 2).collect()}
+    assert all(got[t] == np.all([masks[k] for k in near(t)], axis=0).tolist() for t in range(5))
+    with pytest.raises(ValueError):
+        motion.register(f, "first", moving_average=0)
+
+
 def test_leaves_move_on_their_own(spark):
     y, x = np.mgrid[0:80, 0:80]
     blob = lambda cy, cx: 150 * np.exp(-((y - cy) ** 2 + (x - cx) ** 2) / 50)

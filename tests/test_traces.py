@@ -52,6 +52,12 @@ def test_smoothing_mirrors_the_ends(spark):
         want = np.convolve(np.pad(signal, radius, mode="symmetric") if radius <= 23 else np.pad(signal, radius, mode="symmetric"), kernel, "valid")
         got = column(traces.smooth_gaussian(table(spark, signal), sigma, value="raw"), "smoothed")[0]
         assert np.allclose(got, want)
+        # blocks shorter than the kernel, and traces shorter than it
+        cut = traces.smooth_gaussian(table(spark, signal, signal[:1], signal[:5]), sigma, value="raw", together=4)
+        assert cut.schema["t"].dataType.simpleString() == "int"
+        got = column(cut, "smoothed")
+        for k, n in enumerate((23, 1, 5)):
+            assert np.allclose(got[k], np.convolve(np.pad(signal[:n], radius, mode="symmetric"), kernel, "valid"))
     with pytest.raises(ValueError):
         traces.gaussian_kernel(-1)
 
@@ -64,7 +70,11 @@ def test_gradient_and_running_mean(spark):
         before, after = -(-n // 2) - 1, n // 2
         padded = np.pad(s, (before, after), mode="edge")
         want = [padded[k : k + n].mean() for k in range(5)]
-        assert np.allclose(column(traces.running_mean(table(spark, s), n, ("roi_id",), "raw"), "mean")[0], want)
+        for together in (2, traces.TOGETHER):
+            assert np.allclose(column(traces.running_mean(table(spark, s), n, ("roi_id",), "raw", together), "mean")[0], want)
+            inside = table(spark, s).withColumn("inside", F.col("raw") != 9)
+            kept = [all(v != 9 for v in padded[k : k + n]) for k in range(5)]
+            assert column(traces.running_all(inside, n, ("roi_id",), together=together), "all_inside")[0] == kept
 
 
 def test_crop_labels_seconds(spark):
@@ -193,3 +203,14 @@ def test_ties_and_several_recordings(spark):
     assert got == {1: 0, 2: 2}
     assert propagation.pairwise_speeds(both, ("recording",)).count() == 6
     assert propagation.delay_r2(both, propagation.line_fit(both, ("recording",)), ("recording",)).count() == 2
+
+
+def test_one_long_trace_spreads_over_tasks(spark):
+    """A trace of 300,000 samples in blocks: as many groups, and the same values at their edges."""
+    n = 300_000
+    one = spark.range(n, numPartitions=8).select(F.lit(0).alias("roi_id"), F.col("id").cast("int").alias("t"), F.sin(F.col("id") / 7.0).alias("raw"))
+    got = traces.smooth_gaussian(one, 2.0, value="raw").where(F.pmod(F.col("t"), F.lit(traces.TOGETHER)).isin(0, 1, traces.TOGETHER - 1)).collect()
+    kernel = traces.gaussian_kernel(2.0)
+    inner = [r for r in got if 8 <= r.t < n - 8]
+    assert len(inner) >= 3 * (n // traces.TOGETHER) - 3
+    assert all(abs(r.smoothed - sum(w * math.sin((r.t + k) / 7) for k, w in kernel)) < 1e-9 for r in inner)

@@ -18,7 +18,7 @@ from wavelake.functions import units
 from wavelake.operators import kymograph as kymo
 from wavelake.operators import movie as mv
 from wavelake.operators import motion, onset, propagation, regions, traces
-from wavelake.sources import tables
+from wavelake.sources import export, tables
 
 T, H, W = tables.MOVIE_SHAPE
 
@@ -483,13 +483,13 @@ SELECT g.frame, round(g.frame * CAST(0.5 AS DOUBLE), 6) AS seconds, g.roi_id, ra
 FROM g LEFT JOIN d ON d.t = g.frame AND d.roi_id = g.roi_id""")
 def traces_wide(spark, sf_dir):
     """The wide export of all traces, read back cell by cell."""
-    from wavelake.sources.export import wide_traces
-
     found = traces.delta_f(tables.traces_from_events(spark, sf_dir))
-    ids = sorted(r["roi_id"] for r in found.select("roi_id").distinct().collect())
-    wide = wide_traces(found, ids, {"F": "raw", "dFF": "dff"}, frame_interval=0.5)
-    cells = F.array(*[F.struct(F.lit(k).cast("bigint").alias("roi_id"), F.col(f"roi_{k}_F").alias("f"), F.col(f"roi_{k}_dFF").alias("dff")) for k in ids])
-    return _rounded(wide.select("frame", "seconds", F.inline(cells)), "seconds", "dff")
+    columns = export.wide_columns(found)
+    wide = export.wide_rows(found, {"F": "raw", "dFF": "dff"}, columns)
+    cells = wide.select("frame", F.posexplode("cells").alias("at", "v"))
+    cells = cells.groupBy("frame", F.floor(F.col("at") / 2).alias("place")).agg(*[F.max(F.when(F.col("at") % 2 == k, F.col("v"))).alias(c) for k, c in enumerate(("f", "dff"))])
+    read = cells.join(columns, "place").select("frame", (F.col("frame") * 0.5).alias("seconds"), "roi_id", "f", "dff")
+    return _rounded(read, "seconds", "dff")
 
 
 @_query(f"{_POINTS}, {_LINE} SELECT round(speed, 4) AS px_per_frame, round(speed * 0.65 / 0.25, 3) AS um_per_s, 'µm/s' AS unit FROM fit")
@@ -545,6 +545,19 @@ def register_previous(spark, sf_dir):
     return _shifts(motion.register(tables.drifting_frames(spark, sf_dir), "previous", "rigid_body", ("recording",)))
 
 
+@_query("""SELECT recording, t, round(CAST(recording % 3 - 1 AS DOUBLE), 1) AS dy, round(CAST(recording % 5 - 2 AS DOUBLE), 1) AS dx
+FROM (SELECT vec_id // 64 AS recording FROM embeddings GROUP BY 1 HAVING count(*) = 64), (VALUES (2), (3)) r(t)""", ints=("t",))
+def register_moving_average(spark, sf_dir):
+    """Steps between means of three frames, of those whose window is whole; the means blur, but move as the frames do."""
+    frames = tables.drifting_frames(spark, sf_dir, 5)
+    found = motion.register(frames, "previous", "translation", ("recording",), moving_average=3)
+    at = lambda k: F.get("m", F.lit(k))
+    moves = found.select("recording", "t", at(5).alias("y"), at(2).alias("x"))
+    before = moves.select("recording", (F.col("t") + 1).alias("t"), F.col("y").alias("y0"), F.col("x").alias("x0"))
+    steps = moves.join(before, ["recording", "t"]).where(F.col("t").isin(2, 3))
+    return steps.select("recording", "t", (F.round(F.col("y") - F.col("y0"), 1) + F.lit(0.0)).alias("dy"), (F.round(F.col("x") - F.col("x0"), 1) + F.lit(0.0)).alias("dx"))
+
+
 @_query("SELECT vec_id // 64 AS recording, true AS steadier FROM embeddings GROUP BY 1 HAVING count(*) = 64")
 def stabilised_frames(spark, sf_dir):
     """Whether warping brings the inner pixels closer to the first frame (or nothing moved)."""

@@ -1,8 +1,9 @@
 """Motion correction over frames ``(by..., t, height, width, px)``.
 
 Frames are independent rows: every estimate is one call of a numpy kernel on one frame
-and its reference, so recordings of any length spread over the cluster.  Only the
-product along frames of the ``previous`` mode is ordered; it runs on the nine numbers
+and its reference, so recordings of any length spread over the cluster.  What looks at neighbouring frames
+works on blocks of time with the frames that they need of the next ones.  Only the
+product along frames of the ``previous`` mode is ordered; it is a scan in blocks over the nine numbers
 of each frame's matrix.
 """
 
@@ -12,15 +13,18 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from wavelake.functions import align
+from wavelake.sources.written import materialize
 
 REFERENCES = ("first", "mean", "previous")
 IDENTITY = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
 _DOUBLES = ArrayType(DoubleType())
+#: Frames of a block of time, and matrices of a block of the scan.
+FRAMES_TOGETHER, STEPS_TOGETHER = 64, 4096
 
 
 def reference_frames(frames: DataFrame, reference: str = "mean", by: Sequence[str] = (), n_frames: int = 1) -> DataFrame:
@@ -61,6 +65,37 @@ def _estimator(model: str):
     return estimate
 
 
+def _around(frames: DataFrame, column: str, n: int, by: Sequence[str], together: int) -> tuple[DataFrame, int]:
+    """Each frame with ``near``, the list of the values of a window of ``n`` frames around it (shorter at the ends), and the window's frames before it.
+
+    A frame goes to every block of time that has a window with it.
+    """
+    before, after = -(-n // 2) - 1, n // 2
+    block = lambda t: F.floor(t / together)
+    blocks = F.sequence(block(F.greatest(F.lit(0), F.col("t") - after)), block(F.col("t") + before))
+    copies = frames.select("*", F.explode(blocks).alias("block"))
+    near = F.collect_list(column).over(Window.partitionBy(*by, "block").orderBy("t").rowsBetween(-before, after))
+    return copies.withColumn("near", near).where(F.col("block") == block(F.col("t"))).drop("block"), before
+
+
+def average_frames(frames: DataFrame, n: int, by: Sequence[str] = (), together: int = FRAMES_TOGETHER) -> DataFrame:
+    """Frames as the mean of ``n`` around each, the first and last repeated beyond the ends."""
+    near, before = _around(frames, "px", n, by, together)
+    head = F.greatest(F.lit(0), F.lit(before) - F.col("t"))
+    tail = F.lit(n) - F.size("near") - head
+    plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    ends = F.zip_with(F.get("near", F.lit(0)), F.element_at("near", -1), lambda x, y: x * head + y * tail)
+    total = F.aggregate("near", ends, plus)
+    return near.withColumn("px", F.transform(total, lambda v: v / n)).drop("near")
+
+
+def common_masks(masks: DataFrame, n: int, by: Sequence[str] = (), together: int = FRAMES_TOGETHER) -> DataFrame:
+    """Masks of each frame: what takes part in all frames of the window of ``average_frames``."""
+    near, _ = _around(masks, "mask", n, by, together)
+    both = lambda a, b: F.zip_with(a, b, lambda x, y: x & y)
+    return near.withColumn("mask", F.aggregate("near", F.get("near", F.lit(0)), both)).drop("near")
+
+
 def register(
     frames: DataFrame,
     reference: str = "first",
@@ -69,6 +104,7 @@ def register(
     mask: DataFrame | None = None,
     n_frames: int = 1,
     frame_masks: DataFrame | None = None,
+    moving_average: int = 1,
 ) -> DataFrame:
     """``(by..., t, m)``: one matrix per frame against its recording's reference.
 
@@ -76,23 +112,35 @@ def register(
     pixels that may take part in all frames, ``frame_masks (by..., t, mask)`` those of each frame; an averaged
     reference then lets take part what all averaged frames do, and ``previous`` what the frame before does.
     Frame 0 gets the identity, except with the mean of all frames.
+
+    With a ``moving_average`` of two frames or more, the frames are first averaged over a window of as many (and take part where
+    all of them do), frame 0 is registered too, and with ``previous`` its reference is the last frame.
     """
+    if moving_average < 1:
+        raise ValueError(f"moving_average must be at least 1: {moving_average}")
     if model not in align.MODELS:
         raise ValueError(f"unknown model {model!r}")
     if mask is not None and frame_masks is not None:
         raise ValueError("give one mask for all frames or one for each, not both")
     none = F.lit(None).cast("array<boolean>")
+    if moving_average > 1:
+        frames = average_frames(frames, moving_average, by)
+        frame_masks = common_masks(frame_masks, moving_average, by) if frame_masks is not None else None
     if frame_masks is not None:
         frames = frames.join(frame_masks.select(*by, "t", "mask"), [*by, "t"], "left")
     else:
         frames = frames.withColumn("mask", none)
     if reference == "previous":
-        order = Window.partitionBy(*by).orderBy("t")
-        paired = frames.withColumn("ref", F.lag("px").over(order)).withColumn("ref_mask", F.lag("mask").over(order))
+        earlier = frames.select(*by, (F.col("t") + 1).alias("t"), F.col("px").alias("ref"), F.col("mask").alias("ref_mask"))
+        if moving_average > 1:
+            n = frames.groupBy(*by).agg((F.max("t") + 1).alias("n_frames"))
+            earlier = earlier.join(n, list(by)) if by else earlier.join(n, F.lit(True))
+            earlier = earlier.withColumn("t", F.col("t") % F.col("n_frames")).drop("n_frames")
+        paired = frames.join(earlier, [*by, "t"], "left")
     else:
         refs = reference_frames(frames, reference, by, n_frames)
         paired = frames.join(refs, list(by)) if by else frames.join(refs, F.lit(True))
-        if reference == "first":
+        if reference == "first" and moving_average == 1:
             paired = paired.withColumn("ref", F.when(F.col("t") > 0, F.col("ref")))
         if frame_masks is None:
             paired = paired.withColumn("ref_mask", none)
@@ -105,11 +153,24 @@ def register(
         paired = paired.join(mask, list(by), "left") if by else paired.join(mask, F.lit(True), "left")
         paired = paired.withColumn("mask", F.col("all_mask")).withColumn("ref_mask", F.col("all_mask"))
     found = paired.select(*by, "t", _estimator(model)("px", "ref", "height", "width", "mask", "ref_mask").alias("m"))
-    return chain(found, by) if reference == "previous" else found
+    if reference != "previous":
+        return found
+    # the scan reads the estimates more than once
+    return chain(materialize(found, "steps"), by)
+
 
+def _times(a: str, b: str) -> Column:
+    """The product of two 3x3 matrices in rows of nine."""
+    cell = lambda m, r, c: F.get(m, F.lit(3 * r + c))
+    return F.array(*[sum((cell(a, r, k) * cell(b, k, c) for k in range(1, 3)), cell(a, r, 0) * cell(b, 0, c)) for r in range(3) for c in range(3)])
 
-def chain(steps: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Products ``M_t @ ... @ M_0`` of each recording's frame-to-frame matrices, in order."""
+
+def chain(steps: DataFrame, by: Sequence[str] = (), together: int = STEPS_TOGETHER) -> DataFrame:
+    """Products ``M_t @ ... @ M_0`` of each recording's frame-to-frame matrices, in order.
+
+    A scan in three steps: products within blocks of ``together`` frames, products of the blocks before each one, and both
+    multiplied; the second is such a scan of its own as long as it has several blocks, so no task sees more than one block.
+    """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("t")
@@ -119,11 +180,16 @@ def chain(steps: DataFrame, by: Sequence[str] = ()) -> DataFrame:
             out.append(total.ravel().tolist())
         return group.assign(m=out)
 
-    rows = steps.select(*by, "t", "m")
-    if by:
-        return rows.groupBy(*by).applyInPandas(run, rows.schema)
-    one = rows.withColumn("recording", F.lit(0))
-    return one.groupBy("recording").applyInPandas(run, one.schema).drop("recording")
+    rows = steps.select(*by, F.col("t").cast("bigint").alias("t"), "m", F.floor(F.col("t") / together).alias("block"))
+    last = rows.agg(F.max("block")).first()[0]
+    own = rows.groupBy(*by, "block").applyInPandas(run, rows.schema)
+    if last:
+        own = materialize(own, "products")
+        ends = own.groupBy(*by, "block").agg(F.max_by("m", "t").alias("m"))
+        before = chain(ends.select(*by, F.col("block").alias("t"), "m"), by, together)
+        before = before.select(*by, (F.col("t") + 1).alias("block"), F.col("m").alias("before"))
+        own = own.join(before, [*by, "block"], "left").withColumn("m", F.when(F.col("before").isNull(), F.col("m")).otherwise(_times("m", "before")))
+    return own.select(*by, F.col("t").cast(steps.schema["t"].dataType).alias("t"), "m")
 
 
 @F.pandas_udf(_DOUBLES)

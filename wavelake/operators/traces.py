@@ -1,7 +1,8 @@
 """Normalising and smoothing of traces.
 
-A trace is the rows of one key (``by``), numbered ``t = 0, 1, ...`` without gaps.  All
-operators shuffle once, on the trace's key.
+A trace is the rows of one key (``by``), numbered ``t = 0, 1, ...`` without gaps.  Baselines and slopes
+shuffle once, on the trace's key.  Smoothing and moving means cut traces into blocks of time that carry the
+samples they need of their neighbours, so one long trace spreads over many tasks.
 """
 
 from __future__ import annotations
@@ -9,11 +10,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 #: Frames of the default baseline.
 DEFAULT_FRAMES = 10
+#: Samples of a block of time.
+TOGETHER = 8192
 
 
 def float_ratio(a: Column, b: Column) -> Column:
@@ -61,20 +64,32 @@ def gaussian_kernel(sigma: float) -> list[tuple[int, float]]:
     return [(k - radius, w / sum(raw)) for k, w in enumerate(raw)]
 
 
-def smooth_gaussian(traces: DataFrame, sigma: float, by: Sequence[str] = ("roi_id",), value: str = "dff") -> DataFrame:
-    """``(by..., t, value, smoothed)``: Gaussian smoothing with the trace mirrored at its ends."""
+def smooth_gaussian(traces: DataFrame, sigma: float, by: Sequence[str] = ("roi_id",), value: str = "dff", together: int = TOGETHER) -> DataFrame:
+    """``(by..., t, value, smoothed)``: Gaussian smoothing with the trace mirrored at its ends.
+
+    A band join in blocks: every sample goes to the blocks whose samples it reaches, at its own place and at its mirror images.
+    """
     kernel = gaussian_kernel(sigma)
+    reach = len(kernel) // 2
     taps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in kernel])
-    whole = traces.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("t", F.col(value).cast("double").alias("v")))).alias("s"))
-    # the values as an array of their own: taking them from the structs at every tap would copy the trace
-    whole = whole.select(*by, "s", F.transform("s", lambda e: e["v"]).alias("v"))
-    n = F.size("v")
-
-    def at(i: Column) -> Column:
-        q = F.pmod(i, n * 2)
-        return F.get(F.col("v"), F.when(q < n, q).otherwise(n * 2 - 1 - q))
-
-    blurred = F.transform("s", lambda e, i: F.struct(e["t"].alias("t"), e["v"].alias(value), F.aggregate(taps, F.lit(0.0), lambda acc, tap: acc + tap["w"] * at(i + tap["k"])).alias("smoothed")))
+    rows = traces.select(*by, F.col("t").cast("bigint").alias("t"), F.col(value).cast("double").alias("v"))
+    sizes = rows.groupBy(*by).agg((F.max("t") + 1).alias("n"))
+    rows = rows.join(sizes, list(by)) if by else rows.join(sizes, F.lit(True))
+    n, t = F.col("n"), F.col("t")
+    # the mirrored trace repeats every 2n samples
+    periods = F.sequence(-F.ceil((n + reach) / (2 * n)), F.ceil((n + reach) / (2 * n)))
+    places = F.flatten(F.transform(periods, lambda p: F.array(t + p * 2 * n, 2 * n - 1 - t + p * 2 * n)))
+    places = F.when((t >= reach) & (t < n - reach), F.array(t)).otherwise(F.filter(places, lambda q: (q >= -reach) & (q < n + reach)))
+    block = lambda q: F.greatest(F.lit(0), F.least(F.floor(q / together), F.floor((n - 1) / together)))
+    placed = rows.select(*by, "n", "v", F.explode(places).alias("q"))
+    placed = placed.select(*by, "n", "v", "q", F.explode(F.sequence(block(F.col("q") - reach), block(F.col("q") + reach))).alias("block"))
+    whole = placed.groupBy(*by, "block").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("q", "v"))).alias("s"))
+    # the values as an array of their own: taking them from the structs at every tap would copy the block
+    start = F.col("block") * together
+    own = F.sequence(start, F.least(start + together, n) - 1)
+    whole = whole.select(*by, own.alias("own"), (start - reach).alias("from"), F.transform("s", lambda e: e["v"]).alias("v"))
+    at = lambda q: F.get("v", (q - F.col("from")).cast("int"))
+    blurred = F.transform("own", lambda q: F.struct(q.cast(traces.schema["t"].dataType).alias("t"), at(q).alias(value), F.aggregate(taps, F.lit(0.0), lambda acc, tap: acc + tap["w"] * at(q + tap["k"])).alias("smoothed")))
     return whole.select(*by, F.inline(blurred))
 
 
@@ -85,23 +100,31 @@ def gradient(traces: DataFrame, by: Sequence[str] = ("roi_id",), value: str = "r
     return traces.withColumn("slope", F.when(before.isNull(), after - v).when(after.isNull(), v - before).otherwise((after - before) / 2))
 
 
-def running_mean(frames: DataFrame, n: int, by: Sequence[str], value: str = "v") -> DataFrame:
-    """Adds ``mean``: a moving mean of ``n`` frames, the ends repeated; always over n."""
+def _blocks(frames: DataFrame, n: int, by: Sequence[str], together: int) -> tuple[DataFrame, WindowSpec, int]:
+    """Rows copied to every block of time that has a window with them, the window of ``n`` frames around each, and its frames before it."""
     before, after = -(-n // 2) - 1, n // 2
-    whole = Window.partitionBy(*by)
-    order = whole.orderBy("t").rowsBetween(-before, after)
-    first, last = F.min_by(value, "t").over(whole), F.max_by(value, "t").over(whole)
-    t, end = F.col("t"), F.max("t").over(whole)
-    missing_before = F.greatest(F.lit(0), F.lit(before) - t)
-    missing_after = F.greatest(F.lit(0), t + after - end)
-    return frames.withColumn("mean", (F.sum(value).over(order) + missing_before * first + missing_after * last) / n)
+    block = lambda t: F.floor(t / together)
+    copies = frames.select("*", F.explode(F.sequence(block(F.greatest(F.lit(0), F.col("t") - after)), block(F.col("t") + before))).alias("_block"))
+    return copies, Window.partitionBy(*by, "_block").orderBy("t").rowsBetween(-before, after), before
+
 
+def _own(copies: DataFrame, together: int) -> DataFrame:
+    return copies.where(F.col("_block") == F.floor(F.col("t") / together)).drop("_block")
 
-def running_all(frames: DataFrame, n: int, by: Sequence[str], value: str = "inside") -> DataFrame:
+
+def running_mean(frames: DataFrame, n: int, by: Sequence[str], value: str = "v", together: int = TOGETHER) -> DataFrame:
+    """Adds ``mean``: a moving mean of ``n`` frames, the ends repeated; always over n."""
+    copies, order, before = _blocks(frames, n, by, together)
+    missing_before = F.greatest(F.lit(0), F.lit(before) - F.col("t"))
+    missing_after = F.lit(n) - F.count(F.lit(1)).over(order) - missing_before
+    total = F.sum(value).over(order) + missing_before * F.first(value).over(order) + missing_after * F.last(value).over(order)
+    return _own(copies.withColumn("mean", total / n), together)
+
+
+def running_all(frames: DataFrame, n: int, by: Sequence[str], value: str = "inside", together: int = TOGETHER) -> DataFrame:
     """Adds ``all_inside``: whether a pixel is inside in every frame of ``running_mean``'s window; the ends repeat."""
-    before, after = -(-n // 2) - 1, n // 2
-    order = Window.partitionBy(*by).orderBy("t").rowsBetween(-before, after)
-    return frames.withColumn("all_inside", F.bool_and(value).over(order))
+    copies, order, _ = _blocks(frames, n, by, together)
+    return _own(copies.withColumn("all_inside", F.bool_and(value).over(order)), together)
 
 
 def label_of(label: Column, roi_id: Column) -> Column:

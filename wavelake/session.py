@@ -279,8 +279,7 @@ class Recording:
         start = (self.window or (0, 0))[0]
         names = {"F": "raw", "dFF": "dff"} | ({"smoothed": "smoothed"} if "smoothed" in have.columns else {})
         labels = {r["roi_id"]: r["label"] for r in self.rois}
-        wide = export.wide_traces(have.withColumn("frame", F.col("t") + start), [r["roi_id"] for r in self.rois], names, labels, self.frame_interval, frame="frame")
-        export.write_csv(wide, path)
+        export.write_wide(have.withColumn("frame", F.col("t") + start), path, names, labels, self.frame_interval, frame="frame")
 
     def export_stack(self, path: str) -> None:
         """The working movie as one local TIFF."""
