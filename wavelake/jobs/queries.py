@@ -616,6 +616,23 @@ def register_sheared(spark, sf_dir):
     return found.select("recording", "t", _twentieth(y - 23.5).alias("dy"), _twentieth(x - 23.5).alias("dx"), *entries)
 
 
+_CORNERS = ((0.0, 0.0, 1), (47.0, 0.0, -1), (0.0, 47.0, -1), (47.0, 47.0, 1), (23.5, 23.5, 0))
+
+
+@_query(f"""SELECT r AS recording, t, x, y, t * (CAST(r % 5 - 2 AS DOUBLE) / 4 + CAST({tables.BEND_X} AS DOUBLE) * bend) + 0.0 AS dx, t * (CAST(r % 3 - 1 AS DOUBLE) / 2 + CAST({tables.BEND_Y} AS DOUBLE) * bend) + 0.0 AS dy
+FROM {_RECORDINGS}, (SELECT CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, bend FROM (VALUES {", ".join(map(str, _CORNERS))}) p(x, y, bend))""")
+def register_bilinear(spark, sf_dir):
+    """Shifts of the window's corners and centre to a fortieth of a pixel either way; its rim, where content comes from outside, takes no part."""
+    frames = tables.bent_frames(spark, sf_dir)
+    inner = [5 <= y < 43 and 5 <= x < 43 for y in range(48) for x in range(48)]
+    mask = frames.select("recording").distinct().withColumn("mask", F.array(*map(F.lit, inner)))
+    found = motion.register_bilinear(frames, "first", ("recording",), mask=mask)
+    points = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y, _ in _CORNERS]))
+    at = found.select("recording", "t", "m", points.alias("p")).select("recording", "t", "m", "p.*")
+    mapped = lambda k: F.get("m", F.lit(k)) + F.get("m", F.lit(k + 1)) * F.col("x") + F.get("m", F.lit(k + 2)) * F.col("y") + F.get("m", F.lit(k + 3)) * F.col("x") * F.col("y")
+    return at.select("recording", "t", "x", "y", _twentieth(mapped(0) - F.col("x")).alias("dx"), _twentieth(mapped(4) - F.col("y")).alias("dy"))
+
+
 #: The upper leaf's outline leaves out a still decoy in its right half; the lower one has no outline.
 _OUTLINED = ((0, 2, 24, 2, 46, ((0.0, 0.0), (0.0, 30.0), (26.0, 30.0), (26.0, 0.0))), (1, 26, 46, 4, 44, None))
 

@@ -49,16 +49,23 @@ def reference_masks(masks: DataFrame, reference: str = "mean", by: Sequence[str]
     return whole.select(*by, F.col("c.v").alias("ref_mask"))
 
 
+#: ``register`` knows it, but not by name: its transforms are eight coefficients, no matrices.
+_BILINEAR = "eight coefficients"
+
+
 def _estimator(model: str):
+    identity = [0.0, 1, 0, 0, 0, 0, 1, 0] if model == _BILINEAR else IDENTITY
+    fit = align.register_bilinear if model == _BILINEAR else lambda ref, px, *masks: align.register(ref, px, model, *masks)
+
     @F.pandas_udf(_DOUBLES)
     def estimate(px: pd.Series, ref: pd.Series, height: pd.Series, width: pd.Series, mask: pd.Series, ref_mask: pd.Series) -> pd.Series:
         out = []
         for p, r, h, w, m, rm in zip(px, ref, height, width, mask, ref_mask, strict=True):
             if r is None:
-                out.append(IDENTITY)
+                out.append(identity)
                 continue
             inside, before = (None if x is None else np.asarray(x, bool).reshape(h, w) for x in (m, rm))
-            found = align.register(np.asarray(r).reshape(h, w), np.asarray(p).reshape(h, w), model, before, inside)
+            found = fit(np.asarray(r).reshape(h, w), np.asarray(p).reshape(h, w), before, inside)
             out.append(found.ravel().tolist())
         return pd.Series(out)
 
@@ -118,7 +125,7 @@ def register(
     """
     if moving_average < 1:
         raise ValueError(f"moving_average must be at least 1: {moving_average}")
-    if model not in align.MODELS:
+    if model not in align.MODELS and model != _BILINEAR:
         raise ValueError(f"unknown model {model!r}")
     if mask is not None and frame_masks is not None:
         raise ValueError("give one mask for all frames or one for each, not both")
@@ -159,6 +166,16 @@ def register(
     return chain(materialize(found, "steps"), by)
 
 
+def register_bilinear(frames: DataFrame, reference: str = "first", by: Sequence[str] = (), **options) -> DataFrame:
+    """``(by..., t, m)`` as ``register``, with ``m`` the eight coefficients of 1, x, y and xy for x, then for y.
+
+    Such maps have no products of the same kind, so ``previous`` raises an error.
+    """
+    if reference == "previous":
+        raise ValueError("bilinear transforms can't be chained; use the reference first or mean")
+    return register(frames, reference, _BILINEAR, by, **options)
+
+
 def _times(a: str, b: str) -> Column:
     """The product of two 3x3 matrices in rows of nine."""
     cell = lambda m, r, c: F.get(m, F.lit(3 * r + c))
@@ -195,11 +212,12 @@ def chain(steps: DataFrame, by: Sequence[str] = (), together: int = STEPS_TOGETH
 @F.pandas_udf(_DOUBLES)
 def _warped(px: pd.Series, height: pd.Series, width: pd.Series, m: pd.Series) -> pd.Series:
     rows = zip(px, height, width, m, strict=True)
-    return pd.Series([list(p) if k is None else align.warp(np.asarray(p).reshape(h, w), np.asarray(k).reshape(3, 3)).ravel().tolist() for p, h, w, k in rows])
+    warped = lambda image, k: align.warp_bilinear(image, k) if len(k) == 8 else align.warp(image, np.asarray(k).reshape(3, 3))
+    return pd.Series([list(p) if k is None else warped(np.asarray(p).reshape(h, w), k).ravel().tolist() for p, h, w, k in rows])
 
 
 def stabilise(frames: DataFrame, transforms: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Frames warped back by their matrices; frames without one stay."""
+    """Frames warped back by their matrices or bilinear coefficients; frames without one stay."""
     joined = frames.join(transforms, [*by, "t"], "left")
     return joined.select(*by, "t", "height", "width", _warped("px", "height", "width", "m").alias("px"))
 

@@ -110,3 +110,32 @@ def turning_frames(spark: SparkSession, sf_dir: str, n_frames: int = 3, sheared:
 
     seen = _images(spark, sf_dir).select("recording", F.posexplode(views("rows.v", "recording")).alias("t", "px"))
     return seen.select("recording", "t", F.lit(48).alias("height"), F.lit(48).alias("width"), "px")
+
+
+#: What ``bent_frames`` plants in a frame: pixels by which x and y change at the corners, besides the shift.
+BEND_X, BEND_Y = 0.25, -0.5
+
+
+def bent_frames(spark: SparkSession, sf_dir: str, n_frames: int = 3) -> DataFrame:
+    """The same window under bilinear maps about its centre: with X, Y from there, the content of (X, Y) of frame 0 is at
+    ``(X + t ((recording % 5 - 2) / 4 + BEND_X X Y / 23.5^2), Y + t ((recording % 3 - 1) / 2 + BEND_Y X Y / 23.5^2))``.
+    """
+
+    @F.pandas_udf("array<array<double>>")
+    def views(block: pd.Series, recording: pd.Series) -> pd.Series:
+        yy, xx = (v.ravel() for v in np.mgrid[0:48, 0:48].astype(float))
+        out = []
+        for rows, r in zip(block, recording, strict=True):
+            coefficients, cuts = align.spline_coefficients(_smoothed(rows)), []
+            for t in range(n_frames):
+                dx, dy = t * (int(r) % 5 - 2) / 4, t * (int(r) % 3 - 1) / 2
+                x, y = xx - 23.5, yy - 23.5
+                for _ in range(40):  # where a pixel's content comes from
+                    bend = x * y / 23.5**2
+                    x, y = xx - 23.5 - dx - t * BEND_X * bend, yy - 23.5 - dy - t * BEND_Y * bend
+                cuts.append(align.sample(coefficients, y + 31.5, x + 31.5).tolist())
+            out.append(cuts)
+        return pd.Series(out)
+
+    seen = _images(spark, sf_dir).select("recording", F.posexplode(views("rows.v", "recording")).alias("t", "px"))
+    return seen.select("recording", "t", F.lit(48).alias("height"), F.lit(48).alias("width"), "px")
