@@ -140,7 +140,9 @@ def test_units(spark):
     rows = spark.createDataFrame([("mm",), (" Μm ",), ("inch",), ("pixel",), (None,)], "u string")
     got = [r.f for r in rows.select(units.factor(F.col("u"), units.LENGTHS_UM).alias("f")).collect()]
     assert got == [1e3, 1.0, 25400.0, None, None]
-    assert units.speed_units(0.5, 2.5) == (0.2, "µm/s") and units.speed_units(None, None) == (1.0, "px/frame")
+    known = spark.createDataFrame([(0.5, 2.5), (None, None), (0.5, None), (None, 0.5), (-1.0, float("nan"))], "size double, seconds double")
+    speeds = [tuple(r.s) for r in known.select(units.speed_units(F.col("size"), F.col("seconds")).alias("s")).collect()]
+    assert speeds == [(0.2, "µm/s"), (1.0, "px/frame"), (0.5, "µm/frame"), (2.0, "px/s"), (1.0, "px/frame")]
     assert units.positive_number("nan") is None and units.positive_number("x") is None and units.positive_number("0.5") == 0.5
     values = spark.createDataFrame([("1.5",), ("NaN",), ("-1",), ("Infinity",), ("x",)], "v string")
     assert [r.p for r in values.select(units.positive(F.col("v")).alias("p")).collect()] == [1.5, None, None, None, None]

@@ -494,9 +494,9 @@ def traces_wide(spark, sf_dir):
 
 @_query(f"{_POINTS}, {_LINE} SELECT round(speed, 4) AS px_per_frame, round(speed * 0.65 / 0.25, 3) AS um_per_s, 'µm/s' AS unit FROM fit")
 def speed_units(spark, sf_dir):
-    factor, unit = units.speed_units(0.65, 0.25)
+    scaled = units.speed_units(F.lit(0.65), F.lit(0.25))
     fit = propagation.line_fit(_points(spark, sf_dir))
-    return fit.select(F.round("speed", 4).alias("px_per_frame"), F.round(F.col("speed") * factor, 3).alias("um_per_s"), F.lit(unit).alias("unit"))
+    return fit.select(F.round("speed", 4).alias("px_per_frame"), F.round(F.col("speed") * scaled["factor"], 3).alias("um_per_s"), scaled["unit"].alias("unit"))
 
 
 #: Spellings of all known units, and some that are none, with the expected factors.

@@ -250,12 +250,12 @@ class Recording:
     def propagation_summary(self, direction_mode: str = "roi_line", **options) -> DataFrame:
         """``(k, line)``: what propagation found, as text lines in the best units that are known."""
         result = self.propagation(direction_mode=direction_mode, **options)
-        factor, unit = units.speed_units(self.pixel_size, self.frame_interval)
+        scaled = units.speed_units(F.lit(self.pixel_size).cast("double"), F.lit(self.frame_interval).cast("double"))
         scale, time = (self.frame_interval, "s") if self.frame_interval else (1.0, "frames")
         names = self.roi_table().select("roi_id", traces.label_of(F.col("label"), F.col("roi_id")).alias("label"))
         start = (self.window or (0, 0))[0]
         fit = result["fit"].select(F.inline(F.array(
-            F.struct(F.lit(0).alias("k"), F.format_string(f"speed: %.2f {unit}", F.col("speed") * factor).alias("line")),
+            F.struct(F.lit(0).alias("k"), F.format_string("speed: %.2f %s", F.col("speed") * scaled["factor"], scaled["unit"]).alias("line")),
             F.struct(F.lit(1).alias("k"), F.format_string("direction (dy, dx): (%.3f, %.3f)", "dir_y", "dir_x").alias("line")),
         )))
         mode = self.pixels.sparkSession.range(1).select(F.lit(2).alias("k"), F.lit(f"direction mode: {direction_mode}").alias("line"))
