@@ -66,6 +66,8 @@ def test_gradient_and_running_mean(spark):
     s = [1.0, 4, 9, 16, 20]
     assert np.allclose(column(traces.gradient(table(spark, s)), "slope")[0], np.gradient(s))
     assert column(traces.gradient(table(spark, [3.0])), "slope")[0] == [None]
+    cut = column(traces.gradient(table(spark, s, s[:8], s[:9]), together=4), "slope")
+    assert all(np.allclose(cut[k], np.gradient(s[:n])) for k, n in enumerate((len(s), 8, 9)))
     for n in (1, 2, 3, 4):
         before, after = -(-n // 2) - 1, n // 2
         padded = np.pad(s, (before, after), mode="edge")
@@ -141,6 +143,29 @@ def test_onsets_equal_an_independent_scan(spark):
             want = reference_onset(s, **options)
             assert (got[i] is None) == (want is None), (options, i)
             assert want is None or got[i] == pytest.approx(want, abs=1e-9)
+        # blocks of four samples: crossings at the edges of blocks, baselines over several
+        cut = {r.roi_id: r.onset for r in onset.onset_time(table(spark, *signals), together=4, **detector).collect()}
+        assert cut == {i: x if x is None else pytest.approx(x, abs=1e-9) for i, x in got.items()}
+
+
+def test_onset_at_every_place_of_a_block(spark):
+    for method in ({}, {"method": "derivative", "baseline_region": (0, 3)}):
+        jumps = [np.where(np.arange(16) >= j, 5.0, 0.0) for j in range(4, 13)]
+        got = {r.roi_id: r.onset for r in onset.onset_time(table(spark, *jumps), together=4, **method).collect()}
+        want = {i: reference_onset(s, **{("region" if k == "baseline_region" else k): v for k, v in method.items()}) for i, s in enumerate(jumps)}
+        assert got == {i: pytest.approx(x) for i, x in want.items()}
+
+
+def test_onset_of_one_long_trace(spark):
+    """400,000 samples, some fifty blocks, beside a short trace."""
+    n = 400_000
+    long = spark.range(n, numPartitions=8).select(F.lit(0).alias("roi_id"), F.col("id").cast("int").alias("t"), F.when(F.col("id") >= 300_001, 4.0).otherwise(F.col("id") % 2).cast("double").alias("raw"))
+    both = long.union(table(spark, step(18)).withColumn("roi_id", F.lit(1)))
+    for detector in ({}, {"method": "std"}, {"method": "derivative", "k": 1.0, "d": 1.0}):
+        got = {r.roi_id: r.onset for r in onset.onset_time(both, **detector).collect()}
+        want = reference_onset(np.where(np.arange(n) >= 300_001, 4.0, np.arange(n) % 2), **detector)
+        assert got[0] == pytest.approx(want, abs=1e-6), detector
+    assert onset.onset_time(both.where("roi_id = 1").drop("roi_id"), by=()).first().onset == pytest.approx(reference_onset(step(18)))
 
 
 def test_onset_map_equals_the_detector(spark):

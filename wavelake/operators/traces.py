@@ -1,7 +1,7 @@
 """Normalising and smoothing of traces.
 
-A trace is the rows of one key (``by``), numbered ``t = 0, 1, ...`` without gaps.  Baselines and slopes
-shuffle once, on the trace's key.  Smoothing and moving means cut traces into blocks of time that carry the
+A trace is the rows of one key (``by``), numbered ``t = 0, 1, ...`` without gaps.  Baselines
+shuffle once, on the trace's key.  Slopes, smoothing and moving means cut traces into blocks of time that carry the
 samples they need of their neighbours, so one long trace spreads over many tasks.
 """
 
@@ -93,13 +93,6 @@ def smooth_gaussian(traces: DataFrame, sigma: float, by: Sequence[str] = ("roi_i
     return whole.select(*by, F.inline(blurred))
 
 
-def gradient(traces: DataFrame, by: Sequence[str] = ("roi_id",), value: str = "raw") -> DataFrame:
-    """Adds ``slope``: central differences, one-sided at the ends; null for a single frame."""
-    order = Window.partitionBy(*by).orderBy("t")
-    v, before, after = F.col(value), F.lag(value).over(order), F.lead(value).over(order)
-    return traces.withColumn("slope", F.when(before.isNull(), after - v).when(after.isNull(), v - before).otherwise((after - before) / 2))
-
-
 def _blocks(frames: DataFrame, n: int, by: Sequence[str], together: int) -> tuple[DataFrame, WindowSpec, int]:
     """Rows copied to every block of time that has a window with them, the window of ``n`` frames around each, and its frames before it."""
     before, after = -(-n // 2) - 1, n // 2
@@ -112,6 +105,15 @@ def _own(copies: DataFrame, together: int) -> DataFrame:
     return copies.where(F.col("_block") == F.floor(F.col("t") / together)).drop("_block")
 
 
+def gradient(traces: DataFrame, by: Sequence[str] = ("roi_id",), value: str = "raw", together: int = TOGETHER) -> DataFrame:
+    """Adds ``slope``: central differences, one-sided at the ends; null for a single frame."""
+    copies, _, _ = _blocks(traces, 3, by, together)
+    order = Window.partitionBy(*by, "_block").orderBy("t")
+    v, before, after = F.col(value), F.lag(value).over(order), F.lead(value).over(order)
+    slope = F.when(before.isNull(), after - v).when(after.isNull(), v - before).otherwise((after - before) / 2)
+    return _own(copies.withColumn("slope", slope), together)
+
+
 def running_mean(frames: DataFrame, n: int, by: Sequence[str], value: str = "v", together: int = TOGETHER) -> DataFrame:
     """Adds ``mean``: a moving mean of ``n`` frames, the ends repeated; always over n."""
     copies, order, before = _blocks(frames, n, by, together)
