@@ -54,9 +54,14 @@ def targets(sources: DataFrame, weights: Sequence[float], share: float, cap: flo
     The level is the fixed point of resharing what capped sources leave; only its
     two sums come to the driver.
     """
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    # numbered within ranges of sources, then moved on by the sizes of the ranges before
+    order = F.col("source").asc_nulls_last()
+    ranges = materialize(sources.repartitionByRange(order).withColumn("range", F.spark_partition_id()), "source_ranges")
+    ends = F.sum("n").over(Window.orderBy("range"))
+    before = ranges.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", (ends - F.col("n")).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("range").orderBy(order)) - 1 + F.col("before")
     weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights)).cast("int"))
-    ranked = materialize(sources.withColumn("weight", weight), "source_weights")
+    ranked = materialize(ranges.join(before, "range").withColumn("weight", weight).drop("range", "before"), "source_weights")
     total = share * (ranked.agg(F.sum("source_size")).first()[0] or 0)
     level = 0.0
     above = F.lit(False)
