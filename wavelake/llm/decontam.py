@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from wavelake.llm import arrowtext, twice
-from wavelake.llm.storage import fresh, materialize
+from wavelake.llm.storage import fresh, materialize, scratch
 
 WINDOW = 20
 PERCENT = 85
@@ -170,8 +170,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id:
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: ``doc_id, contaminated, n_items, first_item (none: -1), overlap_words``."""
-    per_row = overlaps(docs, benchmark, text, doc_id).groupBy("key").agg(F.count(F.lit(1)).alias("n_items"), F.min("item").alias("first_item"), F.max("overlap").alias("overlap_words"))
-    per_row = materialize(per_row, "contaminated")
+    with scratch(docs.sparkSession) as keep:
+        per_row = overlaps(docs, benchmark, text, doc_id).groupBy("key").agg(F.count(F.lit(1)).alias("n_items"), F.min("item").alias("first_item"), F.max("overlap").alias("overlap_words"))
+        per_row = keep(per_row, "contaminated")
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("key"))
     joined = rows.join(per_row, "key", "left")
     return joined.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("first_item", F.lit(-1)).alias("first_item"), F.coalesce("overlap_words", F.lit(0)).cast("int").alias("overlap_words"))
@@ -180,5 +181,6 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` without the rows that hold a benchmark item."""
     name = fresh(docs, "bad_key")
-    bad = materialize(overlaps(docs, benchmark, text, doc_id).select(F.col("key").alias(name)).distinct(), "contaminated")
-    return docs.join(bad, row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")) == F.col(name), "left_anti")
+    with scratch(docs.sparkSession) as keep:
+        bad = keep(overlaps(docs, benchmark, text, doc_id).select(F.col("key").alias(name)).distinct(), "contaminated")
+    return twice.without(docs, row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")), bad)
