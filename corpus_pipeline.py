@@ -14,8 +14,9 @@ from wavelake.llm.decontam import decontaminate
 from wavelake.llm.linededup import dedup_lines
 from wavelake.llm.minhash import near_duplicates
 from wavelake.llm.mixing import mix
-from wavelake.llm.storage import fresh, materialize
+from wavelake.llm.storage import fresh, materialize, scratch
 from wavelake.llm.toxicity import scorer, train
+from wavelake.llm.twice import without
 
 #: Documents with at least this score are rejected.
 TOXIC = 0.7
@@ -53,9 +54,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     an empty table gives an empty result; columns keep their names and values.
     """
     name = fresh(docs, "gone")
-    gone = near_duplicates(docs, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
-    gone = materialize(gone, "near_duplicates")
-    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
+    with scratch(spark) as keep:
+        gone = near_duplicates(docs, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+        gone = keep(gone, "near_duplicates")
+    return without(docs, F.col("doc_id"), gone)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,8 +78,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     name = fresh(docs, "mix_id")
     new = [fresh(docs, c) for c in ("mix_size", "mix_target", "mix_copy")]
     keyed = docs.select("*", F.xxhash64(*_columns(docs)).alias(name))
-    taken = mix(keyed, doc_id=name, by_entry=True).where(F.col("total") > 0)
-    taken = materialize(taken.select(F.col("doc_id").alias("key"), "n", "size", "target", "total"), "mix")
+    with scratch(spark) as keep:
+        taken = mix(keyed, doc_id=name, by_entry=True).where(F.col("total") > 0)
+        taken = keep(taken.select(F.col("doc_id").alias("key"), "n", "size", "target", "total"), "mix")
     rows = keyed.select(F.struct(*_columns(docs)).alias("doc"), F.col(name).alias("key"))
     single = rows.join(taken.where(F.col("n") == 1), "key").select("doc", "size", "target", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("total"))).alias("copy"))
     # of rows that occur more than once, one stands for all; their copies are dealt out in runs of bounded length
@@ -106,8 +109,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order, from ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, name.replace(" ", "_"))
-    return docs
+    with scratch(spark) as keep:
+        for k, (name, stage) in enumerate(STAGES[:-1], 2):
+            # only the table that the last stage reads outlives the others
+            write = keep if k == len(STAGES) else materialize
+            docs = write(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+    return STAGES[-1][1](spark, docs, sf_dir)
