@@ -183,15 +183,3 @@ def suspect_flags(spark, filt: np.ndarray):
         return pa.ListArray.from_arrays(pa.array(offs), pa.array(found))
 
     return flags
-
-
-def without(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose key is in ``gone``, a written table of one column of another name; null keys stay.
-
-    Rows that a Bloom filter of the keys rules out don't go through the join.
-    """
-    name = gone.columns[0]
-    digest = lambda k: F.xxhash64(k.cast(gone.schema[name].dataType))
-    filt = member_filter_of(gone.select(digest(F.col(name))), lambda batch: iter([batch.column(0).to_numpy()]), bits_for(gone.count()))
-    maybe = suspects(docs.sparkSession, filt)(digest(key))
-    return docs.where(~maybe).union(docs.where(maybe).join(gone, key == F.col(name), "left_anti"))
