@@ -83,6 +83,62 @@ def test_windows_cover_what_opens_the_gate():
                 assert any(s <= a and b <= s + pii.WINDOW for s in starts)
 
 
+class _Ascii(pii.Tagger):
+    """Takes every run of ASCII characters for an address."""
+
+    def read(self, x, sizes):
+        e = np.zeros((*x.shape, pii.TAGS), np.float32)
+        plain = x < 128
+        e[..., 0] = np.where(plain, -9, 9)
+        e[..., 1:3] = np.where(plain, 9, -9)[..., None]
+        e[..., 3:] = -99
+        return e
+
+
+def test_every_position_is_read():
+    """Also where no digit, sign or bracket stands, and spans beyond what windows share, wherever the windows' edges fall."""
+    step = np.zeros((pii.TAGS, pii.TAGS), np.float32)
+    step[1:, 1] = -9
+    model = _Ascii({"step": step})
+    for address in ("jane at example.com", "a" * 40 + " at " + "b" * 40 + ".com", "a" * 2000 + " at " + "b" * 1700 + ".com"):
+        for lead in [*range(0, pii.WINDOW + 60, 37), *range(pii.WINDOW - 130, pii.WINDOW), 5 * pii.WINDOW]:
+            text = "é" * lead + address + "é" * 1000
+            assert pii.spans_of([text, "", text[: lead + len(address)]], model) == [[("email", lead, lead + len(address), False)], [], [("email", lead, lead + len(address), False)]]
+    text = "one 1.2.3.4 two " * 200
+    covered = {p for s in pii.window_starts(text) for p in range(s, min(s + pii.WINDOW, len(text)))}
+    assert covered == set(range(len(text))) and pii.window_starts("") == []
+
+
+def test_what_ends_the_search_for_a_wider_window():
+    """A part of something plausible never does."""
+    writer = pii._Writer(5)
+    for kind in pii.KINDS:
+        for _ in range(150):
+            text = getattr(writer, kind)()
+            if pii.plausible(kind, text):
+                for a in range(len(text)):
+                    for b in range(a + 1, len(text) + 1):
+                        assert pii._may_grow(kind, text[a:b]), (kind, text, text[a:b])
+    assert not pii._may_grow("email", "it it it it") and not pii._may_grow("phone", "1 2 3 4 5 " * 4)
+
+
+def test_reading_is_the_same_in_any_company():
+    """Padded windows are read as alone, by the same scores as in training; texts don't touch each other."""
+    rng, model = np.random.default_rng(4), pii.Tagger.fresh(np.random.default_rng(1))
+    rows = [rng.integers(32, 131, n).astype(np.int64) for n in (40, 33, 7, 1)]
+    rows = [np.where(r == pii._PAD, 65, r) for r in rows]
+    sizes = np.array([len(r) for r in rows])
+    e = model.read(pii._columns(rows, 40), sizes)
+    tags = model.paths(e, sizes)
+    sure = model.marginals(e, tags, sizes)
+    for k, row in enumerate(rows):
+        alone = model.scores(row[:, None])[0]
+        np.testing.assert_allclose(e[: len(row), k], alone[:, 0], atol=1e-4)
+        path, of_path = model.decode(row[:, None])
+        assert (tags[k, : len(row)] == path[0]).all() and not tags[k, len(row) :].any()
+        np.testing.assert_allclose(sure[k, : len(row)], of_path[0], atol=1e-4)
+
+
 def test_best_spans_without_overlaps():
     rng = random.Random(3)
     for _ in range(200):
@@ -134,6 +190,17 @@ def test_unseen_windows_and_hand_written_texts(model):
         assert [text[a:b] for _, a, b, _ in pii.spans_of([text], model)[0]] == expected
 
 
+def test_spelled_out_addresses_without_signs(model):
+    prose = "the quick brown fox jumps over a lazy dog and then it sleeps near the old river bank. "
+    for n in (0, 1, 4, 9, 30):
+        for private in ("jane at example.com", "jane [  at  ] example.com"):
+            text = prose * n + "please write to " + private + " soon. " + prose * n
+            assert [text[a:b] for _, a, b, _ in pii.spans_of([text], model)[0]] == [private]
+    texts = [prose * k + pii._Writer(k).window(50 * k)[0] for k in range(1, 30)] + ["", "7"]
+    together = pii.spans_of(texts, model, at_once=7)
+    assert together == [pii.spans_of([t], model)[0] for t in texts] and any(together)
+
+
 def test_private_data_in_tables(spark, docs, no_docs, documents, model):
     private = "mail a.b@c.de or jane at example dot com, card 4111-1111-1111-1111."
     long = "wörd " * 30_000 + private + " wörd" * 10_000

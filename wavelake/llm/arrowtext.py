@@ -82,14 +82,14 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Runs of rows of about ``SLICE_BYTES`` of text; no text is cut."""
+def slices(batch: pa.RecordBatch, text: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about ``size`` bytes of text; no text is cut."""
     if not batch.num_rows:
         return
     _, offs = buffers(batch.column(text))
     at = 0
     while at < batch.num_rows:
-        end = int(np.searchsorted(offs, offs[at] + SLICE_BYTES, "right")) - 1
+        end = int(np.searchsorted(offs, offs[at] + size, "right")) - 1
         end = min(max(end, at + 1), batch.num_rows)
         yield batch.slice(at, end - at)
         at = end

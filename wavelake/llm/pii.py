@@ -7,10 +7,9 @@ proportional to the text; digits are counted and checked after a match.
 inside of each kind).  Both are trained in numpy on generated windows with labelled spans: the usual forms, forms that the patterns
 miss (``name at host dot org``, ``name (at) host.org``, phone numbers without ``+``, cards and addresses with other
 separators) and look-alikes (dates, versions, amounts, hex and serial numbers, handles).  Overlapping windows of
-``WINDOW`` characters are laid over every stretch of text around a digit, an ``@`` or a spelled-out ``at`` or ``dot``,
-without which nothing of these kinds can be; each window is decoded by Viterbi, spans cut by its edge are left to the
-window beside it, and of all windows' spans of a document the set without overlaps that has the greatest sum of marginal probability times
-length is kept.  Base spans always stay and displace others.  A found span must then hold what its kind needs (card: 16 to 19 digits
+``WINDOW`` characters cover every text from end to end; each window is decoded by Viterbi, spans cut by its edge are left to the
+window beside it or, if they reach beyond what the two share, read again in a wider window, and of all windows' spans of a document the set
+without overlaps that has the greatest sum of marginal probability times length is kept.  Base spans always stay and displace others.  A found span must then hold what its kind needs (card: 16 to 19 digits
 passing Luhn; address: four parts of at most 255; phone: 7 to 15 digits; e-mail: a name, a host and a dot, spelled out or not).
 
 The model is trained once in each driver process and sent to the tasks (some 50 KB).
@@ -30,7 +29,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,13 +36,14 @@ from wavelake.llm import arrowtext
 from wavelake.llm.storage import fresh
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, STRIDE = 96, 48
+#: Characters of a window, and how many of them it shares with the next.
+WINDOW, STRIDE = 1024, 48
 HIDDEN = 24
 #: Least mean of the marginal probabilities of a span's tags.
 SURE = 0.6
 
-_GATE = r"[0-9@]|[\[({<] ?(?i:at|dot) ?[\])}>]|\b(?i:dot)\b"
-_gate = re.compile(_GATE, re.ASCII)
+#: No usual form is without one of these.
+_gate = re.compile("[0-9@]")
 _HOST = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
@@ -56,6 +55,9 @@ _DOT = r"(?:{}|\s*[\[({{<]\s*(?:dot|\.)\s*[\])}}>]\s*|\s+dot\s+)"
 _HOSTS = [at + rf"[A-Za-z0-9-]+(?:{_DOT.format(dot)}[A-Za-z0-9-]+)+" for at, dot in ((_SIGN, r"\s*\.\s*"), (_WORD, r"\."))]
 _SPELLED = re.compile(rf"[A-Za-z0-9._%+-]+(?:{'|'.join(_HOSTS)})", re.ASCII | re.IGNORECASE)
 
+#: Two words with nothing of an address between them.
+_TORN = re.compile(r"\s(?!(?:at|dot)\s)[A-Za-z0-9_%+-]+\s+(?!(?:at|dot)\s)[A-Za-z0-9_%+-]+\s", re.ASCII | re.IGNORECASE)
+
 
 def luhn(digits: str) -> bool:
     total = 0
@@ -71,6 +73,8 @@ def _digits(text: str) -> str:
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the usual forms, by kind and start."""
+    if not _gate.search(text):
+        return []
     out, free, at = [], 0, text.find("@")
     while at >= 0:
         # before an "@" the longest run of characters of a name, after what was found before
@@ -211,18 +215,31 @@ def _allowed() -> np.ndarray:
 _ALLOWED = _allowed()
 
 
+@functools.cache
+def _class_of() -> np.ndarray:
+    """The class of every code point: digits are one, letters count without case, beyond ASCII only whether they are letters."""
+    out = np.array([_LETTER_CLASS if chr(c).isalpha() else _OTHER for c in range(0x110000)], np.uint8)
+    out[:128] = np.arange(128)
+    out[48:58] = 48
+    out[65:91] += 32
+    return out
+
+
+def _classes(text: str) -> np.ndarray:
+    return _class_of()[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+
+
+def _columns(rows: list[np.ndarray], window: int) -> np.ndarray:
+    """(steps, windows) classes, padded to ``window`` steps."""
+    out = np.full((len(rows), window), _PAD, np.int64)
+    for k, row in enumerate(rows):
+        out[k, : len(row)] = row
+    return out.T
+
+
 def encode(texts: list[str], window: int = WINDOW) -> np.ndarray:
-    """(steps, windows) classes of characters: digits are one, letters count without case, beyond ASCII only whether they are letters."""
-    out = np.full((len(texts), window), _PAD, np.int64)
-    for k, text in enumerate(texts):
-        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
-        high = codes >= 128
-        if high.any():
-            codes = codes.copy()
-            codes[high] = [_LETTER_CLASS if chr(c).isalpha() else _OTHER for c in codes[high]]
-        out[k, : len(codes)] = codes
-    digit, upper = (out >= 48) & (out <= 57), (out >= 65) & (out <= 90)
-    return np.where(digit, 48, np.where(upper, out + 32, out)).T
+    """(steps, windows) classes of characters."""
+    return _columns([_classes(t) for t in texts], window)
 
 
 def tags_of(spans: list[tuple[int, int, int]], window: int = WINDOW) -> np.ndarray:
@@ -276,7 +293,7 @@ class Tagger:
             states[k, :, :size], states[-1 - k, :, size:] = h
         return states @ self.w["out"] + self.w["bias"], states, tape
 
-    def _chain(self, e: np.ndarray):
+    def _chain(self, e: np.ndarray, sizes: np.ndarray | None = None):
         """Scaled forward and backward sums, the scales, the scaled scores, the transitions, and each window's log sum."""
         through = np.exp(self.w["step"].astype(float)) * _ALLOWED
         top = e.max(axis=2, keepdims=True)
@@ -288,6 +305,8 @@ class Tagger:
             a[k] = now / scale[k]
         for k in range(len(e) - 2, -1, -1):
             b[k] = (own[k + 1] * b[k + 1] / scale[k + 1]) @ through.T
+            if sizes is not None:
+                b[k, sizes <= k + 1] = 1
         return a, b, scale, own, through, (np.log(scale) + top).sum(axis=(0, 2))
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -326,22 +345,84 @@ class Tagger:
         grads["b"] = dpre.sum(axis=(0, 2))[:, None, :]
         return float((total - told).mean()), grads
 
+    def read(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """``scores`` of the first ``sizes`` (falling) steps of each window, without what training needs; zeros beyond.
+
+        Both directions begin at their end of a window, and windows drop out as they end.  Sigmoids are halves of tangents, whose
+        factors the weights take; each gate lies in one piece.
+        """
+        (steps, n), size = x.shape, HIDDEN
+        half = np.repeat([0.5, 0.5, 0.5, 1.0], size)
+        apart = lambda v: np.ascontiguousarray(v.reshape(2, -1, 4, size).transpose(2, 0, 1, 3), np.float32)
+        table, wh = apart((self.w["x"] + self.w["b"]) * half).reshape(4, 2 * _CLASSES, size), apart(self.w["h"] * half / 2)
+        out = (self.w["out"] / 2).reshape(2, size, TAGS).astype(np.float32)
+        # the place of each step counted from the window's end
+        mirror = np.maximum(sizes - 1 - np.arange(steps)[:, None], 0) * n + np.arange(n)
+        at = np.stack([x, x.ravel()[mirror] + _CLASSES], axis=1)
+        active = np.searchsorted(-sizes, -np.arange(steps))
+        e = np.zeros((2, steps, n, TAGS), np.float32)
+        h, c, y = (np.zeros((2, n, size), np.float32) for _ in range(3))
+        a, own = (np.empty((4, 2, n, size), np.float32) for _ in range(2))
+        for k in range(steps):
+            m = active[k]
+            if m < h.shape[1]:
+                h, c, y = (np.ascontiguousarray(v[:, :m]) for v in (h, c, y))
+                a, own = (np.empty((4, 2, m, size), np.float32) for _ in range(2))
+            np.matmul(h, wh, out=a)
+            a += table.take(at[k, :, :m], 1, out=own, mode="clip")
+            np.tanh(a, out=a)
+            a[:3] += 1
+            c *= a[1]
+            c += np.multiply(a[0], a[3], out=y)
+            c *= 0.5
+            np.multiply(a[2], np.tanh(c, out=y), out=h)
+            np.matmul(h, out, out=e[:, k, :m])
+        there, back = e
+        there += back.reshape(-1, TAGS).take(mirror, 0)
+        there += self.w["bias"].astype(np.float32)
+        return there
+
+    def paths(self, e: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """(windows, steps): the best tags of each window's first ``sizes`` (falling) steps by Viterbi, zeros beyond."""
+        steps, n, _ = e.shape
+        step = np.where(_ALLOWED, self.w["step"], -1e9).astype(np.float32)
+        best = e.transpose(0, 2, 1).astype(np.float32, order="C")
+        # outside and begins follow any tag, an inside two
+        free = np.concatenate([step[:, :1], step[:, 1::2]], axis=1)[:, :, None]
+        begun, on = np.diag(step[1::2, 2::2])[:, None], np.diag(step[2::2, 2::2])[:, None]
+        active = np.searchsorted(-sizes, -np.arange(steps))
+        #: Whether outside comes best from outside.
+        stays = np.zeros((steps + 1, n), bool)
+        for k in range(1, steps):
+            m = active[k]
+            before, now = best[k - 1, :, :m], best[k, :, :m]
+            through = before[:, None] + free
+            top = through.max(axis=0)
+            stays[k, :m] = through[0, 0] == top[0]
+            now[0] += top[0]
+            now[1::2] += top[1:]
+            now[2::2] += np.maximum(before[1::2] + begun, before[2::2] + on)
+        # after the end of a window comes a tag that costs nothing
+        onto = np.vstack([step.T, np.zeros((1, TAGS), np.float32)])
+        tags, follows = np.zeros((steps, n), np.int8), np.full(n, TAGS)
+        for k in range(steps - 1, -1, -1):
+            m = active[k]
+            turns = np.flatnonzero((follows[:m] != 0) | ~stays[k + 1, :m])
+            if len(turns):
+                follows[turns] = tags[k, turns] = (best[k][:, turns].T + onto[follows[turns]]).argmax(axis=1)
+        return tags.T
+
+    def marginals(self, e: np.ndarray, tags: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """(windows, steps): the probability of each tag of ``tags`` in a window's first ``sizes`` steps."""
+        a, b = self._chain(e, sizes)[:2]
+        return np.take_along_axis(a * b, tags.T[..., None].astype(np.int64), 2)[..., 0].T
+
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(windows, steps): the best tags, and the marginal probability of each."""
-        e = self.scores(x)[0]
-        a, b = self._chain(e)[:2]
-        step = np.where(_ALLOWED, self.w["step"], -1e9).astype(np.float32)
-        best, back = e[0], []
-        for k in range(1, len(e)):
-            through = best[:, :, None] + step
-            came = through.argmax(axis=1)
-            back.append(came)
-            best = np.take_along_axis(through, came[:, None], 1)[:, 0] + e[k]
-        tags = np.empty(x.shape, np.int64)
-        tags[-1] = best.argmax(axis=1)
-        for k in range(len(e) - 2, -1, -1):
-            tags[k] = np.take_along_axis(back[k], tags[k + 1][:, None], 1)[:, 0]
-        return tags.T, np.take_along_axis(a * b, tags[..., None], 2)[..., 0].T
+        sizes = np.full(x.shape[1], len(x))
+        e = self.read(x, sizes)
+        tags = self.paths(e, sizes)
+        return tags, self.marginals(e, tags, sizes)
 
 
 @functools.cache
@@ -372,37 +453,74 @@ def trained(windows: int = 3000, epochs: int = 8, batch: int = 32, window: int =
 
 
 def window_starts(text: str) -> list[int]:
-    """Starts of overlapping windows that cover ``STRIDE`` characters on both sides of whatever opens the gate."""
-    out: list[int] = []
-    covered = -1
-    for m in _gate.finditer(text):
-        end = min(len(text), m.end() + STRIDE)
-        if end <= covered:
-            continue
-        at = max(0, m.start() - STRIDE) if not out or covered < m.start() - STRIDE else out[-1] + STRIDE
-        while True:
-            out.append(at)
-            covered = at + WINDOW
-            if covered >= end:
-                break
-            at += STRIDE
+    """Starts of windows that cover the text; neighbours share ``STRIDE`` characters."""
+    return list(range(0, max(len(text) - STRIDE, 1), WINDOW - STRIDE)) if text else []
+
+
+def _runs(tags: np.ndarray) -> Iterator[tuple[int, int, int, int, bool]]:
+    """(window, start, end, kind, whether it begins here) of each run of tags of a span."""
+    flat = np.pad(tags, ((0, 0), (0, 1))).ravel()
+    width = tags.shape[1] + 1
+    goes_on = (flat > 0) & (flat % 2 == 0)
+    first = flat % 2 == 1
+    first[::width] |= goes_on[::width]
+    begins, stops = np.flatnonzero(first), np.flatnonzero(~goes_on)
+    ends = stops[np.searchsorted(stops, begins, "right")]
+    rows, kinds = begins // width, (flat[begins] - 1) // 2
+    return zip(rows.tolist(), (begins % width).tolist(), (ends - rows * width).tolist(), kinds.tolist(), (flat[begins] % 2 == 1).tolist(), strict=True)
+
+
+def _may_grow(kind: str, part: str) -> bool:
+    """Whether a span that holds ``part`` can be plausible."""
+    return not _TORN.search(part) if kind == "email" else len(_digits(part)) <= 19
+
+
+def _read(texts: list[str], windows: list[tuple[int, int, int]], model: Tagger, at_once: int, found: list[list]) -> list[tuple[int, int, int]]:
+    """Add the plausible spans (weight, start, end, kind) of windows (text, start, end) to ``found``; the wider windows that cut spans need."""
+    windows = sorted(windows, key=lambda w: (w[1] - w[2], w))
+    classes = {d: _classes(texts[d]) for d in {w[0] for w in windows}}
+    wider: list[tuple[int, int, int]] = []
+    held: list[tuple] = []
+    k = 0
+    while k < len(windows):
+        longest = windows[k][2] - windows[k][1]
+        some = windows[k : k + max(1, at_once * WINDOW // max(longest, WINDOW))]
+        k += len(some)
+        sizes = np.array([b - a for _, a, b in some])
+        e = model.read(_columns([classes[d][a:b] for d, a, b in some], longest), sizes)
+        tags = model.paths(e, sizes)
+        spans: dict[int, list[tuple[int, int, int]]] = {}
+        for r, a, b, kind, begins in _runs(tags):
+            d, start, end = some[r]
+            left, right = a == 0 and start > 0, start + b == end and end < len(texts[d])
+            if left or right:
+                if b - a >= STRIDE and _may_grow(KINDS[kind], texts[d][start + a : start + b]):
+                    wider.append((d, max(0, start + a - (end - start)), min(len(texts[d]), start + b + end - start)))
+            elif begins and plausible(KINDS[kind], texts[d][start + a : start + b]):
+                spans.setdefault(r, []).append((a, b, kind))
+        held += [(some[r], e[: sizes[r], r].copy(), tags[r, : sizes[r]].copy(), own) for r, own in spans.items()]
+    # marginals of windows with such spans, some at a time
+    held.sort(key=lambda w: -len(w[1]))
+    while held:
+        part = held[: max(1, at_once * WINDOW // max(len(held[0][1]), WINDOW) // 4)]
+        held = held[len(part) :]
+        sizes = np.array([len(e) for _, e, _, _ in part])
+        e, tags = np.zeros((sizes[0], len(part), TAGS), np.float32), np.zeros((len(part), sizes[0]), np.int8)
+        for r, (_, one, path, _) in enumerate(part):
+            e[: sizes[r], r], tags[r, : sizes[r]] = one, path
+        for sure, ((d, start, _), _, _, own) in zip(model.marginals(e, tags, sizes), part, strict=True):
+            for a, b, kind in own:
+                if (p := float(sure[a:b].mean())) >= SURE:
+                    found[d].append((p * (b - a), start + a, start + b, kind))
+    out: list[tuple[int, int, int]] = []
+    for d, a, b in sorted(wider):
+        if out and out[-1][0] == d and a <= out[-1][2]:
+            out[-1] = (d, out[-1][1], max(b, out[-1][2]))
+        else:
+            out.append((d, a, b))
     return out
 
 
-def _spans(tags: np.ndarray, sure: np.ndarray, start: int, size: int, whole: int) -> Iterator[tuple[float, int, int, int]]:
-    """(weight, start, end, kind) of a window's spans that its edges don't cut."""
-    begins = np.flatnonzero((tags > 0) & (tags % 2 == 1))
-    for a in begins:
-        b = a + 1
-        while b < size and tags[b] == tags[a] + 1:
-            b += 1
-        if (a == 0 and start > 0) or (b >= size and start + size < whole):
-            continue
-        p = float(sure[a:b].mean())
-        if p >= SURE:
-            yield p * (b - a), start + int(a), start + int(b), int(tags[a]) // 2
-
-
 def _apart(found: list[tuple[float, int, int, int]]) -> list[tuple[int, int, int]]:
     """The spans without overlaps of greatest total weight; of equal ones the first by end, start and kind."""
     found = sorted(set(found), key=lambda s: (s[2], s[1], s[3], -s[0]))
@@ -422,18 +540,12 @@ def _apart(found: list[tuple[float, int, int, int]]) -> list[tuple[int, int, int
     return out
 
 
-def spans_of(texts: list[str], model: Tagger, at_once: int = 1024) -> list[list[tuple[str, int, int, bool]]]:
+def spans_of(texts: list[str], model: Tagger, at_once: int = 384) -> list[list[tuple[str, int, int, bool]]]:
     """(kind, start, end, whether the patterns found it) of each text, by kind and start."""
-    starts = [window_starts(t) for t in texts]
-    flat = [(d, s) for d, own in enumerate(starts) for s in own]
     found: list[list] = [[] for _ in texts]
-    for k in range(0, len(flat), at_once):
-        some = flat[k : k + at_once]
-        cut = [texts[d][s : s + WINDOW] for d, s in some]
-        tags, sure = model.decode(encode(cut))
-        for r in np.flatnonzero(tags.any(axis=1)):
-            d, s = some[r]
-            found[d].extend(_spans(tags[r], sure[r], s, len(cut[r]), len(texts[d])))
+    windows = [(d, s, min(s + WINDOW, len(t))) for d, t in enumerate(texts) for s in window_starts(t)]
+    while windows:
+        windows = _read(texts, windows, model, at_once, found)
     out = []
     for text, spans in zip(texts, found, strict=True):
         base = base_spans(text)
@@ -446,8 +558,7 @@ def spans_of(texts: list[str], model: Tagger, at_once: int = 1024) -> list[list[
             k = bisect.bisect_left(first, b)
             return not k or reach[k - 1] <= a
 
-        spans = [s for s in spans if is_free(s[1], s[2]) and plausible(KINDS[s[3]], text[s[1] : s[2]])]
-        own = [(KINDS[kind], a, b, False) for a, b, kind in _apart(spans)]
+        own = [(KINDS[kind], a, b, False) for a, b, kind in _apart([s for s in spans if is_free(s[1], s[2])])]
         out.append(sorted([(*s, True) for s in base] + own, key=lambda s: (KINDS.index(s[0]), s[1], s[2])))
     return out
 
@@ -466,13 +577,10 @@ def find_private(docs: DataFrame, text: str = "text", model: Tagger | None = Non
     @F.arrow_udf(SPANS)
     def private(column: pa.Array) -> pa.Array:
         tagger = Tagger(held.value)
-        out: list[list] = [[] for _ in range(len(column))]
-        column = column.fill_null("")
-        at = np.flatnonzero(pc.match_substring_regex(column, _GATE).to_numpy(zero_copy_only=False))
-        texts = pa.RecordBatch.from_arrays([column.take(pa.array(at)), pa.array(at)], ["text", "at"])
-        for part in arrowtext.slices(texts):
-            for k, spans in zip(part.column("at").to_pylist(), spans_of(part.column("text").to_pylist(), tagger), strict=True):
-                out[k] = [{"kind": kind, "start": a, "stop": b, "base": base} for kind, a, b, base in spans]
+        out: list[list] = []
+        for part in arrowtext.slices(pa.RecordBatch.from_arrays([column.fill_null("")], ["text"]), size=1 << 22):
+            for spans in spans_of(part.column("text").to_pylist(), tagger):
+                out.append([{"kind": kind, "start": a, "stop": b, "base": base} for kind, a, b, base in spans])
         return pa.array(out, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("base", pa.bool_())])))
 
     return docs.select("*", private(F.col(f"`{text}`")).alias(name))
