@@ -139,6 +139,48 @@ def test_reading_is_the_same_in_any_company():
         np.testing.assert_allclose(sure[k, : len(row)], of_path[0], atol=1e-4)
 
 
+def test_batches_are_decoded_together():
+    """Each position is read in batches that fit the cache; the short steps of Viterbi take many batches at once, and find the same."""
+    read, followed = [], []
+
+    class Counted(pii.Tagger):
+        def read(self, x, sizes):
+            read.append(sizes.tolist())
+            return super().read(x, sizes)
+
+        def _follow(self, best, sizes):
+            followed.append(len(sizes))
+            return super()._follow(best, sizes)
+
+    w = pii.Tagger.fresh(np.random.default_rng(2)).w
+    texts = [pii._Writer(k).window(n)[0] for k, n in enumerate([2500, 1, 30, 1100, *range(100, 400, 7)])]
+    apart = [pii.spans_of([t], Counted(w)) for t in texts]
+    read.clear()
+    followed.clear()
+    assert [[s] for s in pii.spans_of(texts, Counted(w), at_once=4)] == apart
+    windows = [min(pii.WINDOW, len(t) - s) for t in texts for s in pii.window_starts(t)]
+    assert max(map(len, read)) <= 4 and sorted(n for part in read for n in part)[-len(windows) :] == sorted(windows)
+    assert len(followed) <= len(read) / 4 and sum(followed) == sum(map(len, read))
+
+
+def test_runs_of_tags():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        tags = np.zeros((3, 12), np.int8)
+        for row in tags:
+            # any start is a cut one
+            row[0] = rng.integers(0, pii.TAGS)
+            for k in range(1, 12):
+                row[k] = rng.choice(np.flatnonzero(pii._ALLOWED[row[k - 1]]))
+        expected = []
+        for r, row in enumerate(tags.tolist()):
+            for k, t in enumerate(row):
+                if t and (t % 2 or k == 0):
+                    end = next((j for j in range(k + 1, 12) if not row[j] or row[j] % 2), 12)
+                    expected.append((r, k, end, (t - 1) // 2, t % 2 == 1))
+        assert list(pii._runs(tags)) == expected
+
+
 def test_best_spans_without_overlaps():
     rng = random.Random(3)
     for _ in range(200):

@@ -39,6 +39,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window, and how many of them it shares with the next.
 WINDOW, STRIDE = 1024, 48
 HIDDEN = 24
+#: How many of the batches that fit the processor's cache when they are read are decoded together: steps of Viterbi are short.
+DECODED = 8
 #: Least mean of the marginal probabilities of a span's tags.
 SURE = 0.6
 
@@ -104,9 +106,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def plausible(kind: str, text: str) -> bool:
     """Whether a span has what its kind needs."""
-    found = _digits(text)
     if kind == "email":
         return _SPELLED.fullmatch(text) is not None
+    found = _digits(text)
     if kind == "ip":
         parts = re.findall("[0-9]+", text)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
@@ -348,7 +350,7 @@ class Tagger:
     def read(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """``scores`` of the first ``sizes`` (falling) steps of each window, without what training needs; zeros beyond.
 
-        Both directions begin at their end of a window, and windows drop out as they end.  Sigmoids are halves of tangents, whose
+        The way back passes padding first and starts anew at the end of each window.  Sigmoids are halves of tangents, whose
         factors the weights take; each gate lies in one piece.
         """
         (steps, n), size = x.shape, HIDDEN
@@ -356,37 +358,38 @@ class Tagger:
         apart = lambda v: np.ascontiguousarray(v.reshape(2, -1, 4, size).transpose(2, 0, 1, 3), np.float32)
         table, wh = apart((self.w["x"] + self.w["b"]) * half).reshape(4, 2 * _CLASSES, size), apart(self.w["h"] * half / 2)
         out = (self.w["out"] / 2).reshape(2, size, TAGS).astype(np.float32)
-        # the place of each step counted from the window's end
-        mirror = np.maximum(sizes - 1 - np.arange(steps)[:, None], 0) * n + np.arange(n)
-        at = np.stack([x, x.ravel()[mirror] + _CLASSES], axis=1)
-        active = np.searchsorted(-sizes, -np.arange(steps))
-        e = np.zeros((2, steps, n, TAGS), np.float32)
+        at = np.stack([x, x[::-1] + _CLASSES], axis=1)
+        # how many windows reach each step, the one after the last included
+        active = np.searchsorted(-sizes, -np.arange(steps + 1)).tolist()
+        there, back = (np.zeros((steps, n, TAGS), np.float32) for _ in range(2))
         h, c, y = (np.zeros((2, n, size), np.float32) for _ in range(3))
         a, own = (np.empty((4, 2, n, size), np.float32) for _ in range(2))
         for k in range(steps):
-            m = active[k]
-            if m < h.shape[1]:
-                h, c, y = (np.ascontiguousarray(v[:, :m]) for v in (h, c, y))
-                a, own = (np.empty((4, 2, m, size), np.float32) for _ in range(2))
+            m, last = active[k], steps - 1 - k
+            if active[last] > active[last + 1]:
+                h[1, active[last + 1] : active[last]] = c[1, active[last + 1] : active[last]] = 0
             np.matmul(h, wh, out=a)
-            a += table.take(at[k, :, :m], 1, out=own, mode="clip")
+            a += table.take(at[k], 1, out=own, mode="clip")
             np.tanh(a, out=a)
             a[:3] += 1
             c *= a[1]
             c += np.multiply(a[0], a[3], out=y)
             c *= 0.5
             np.multiply(a[2], np.tanh(c, out=y), out=h)
-            np.matmul(h, out, out=e[:, k, :m])
-        there, back = e
-        there += back.reshape(-1, TAGS).take(mirror, 0)
-        there += self.w["bias"].astype(np.float32)
+            np.matmul(h[0, :m], out[0], out=there[k, :m])
+            np.matmul(h[1, : active[last]], out[1], out=back[last, : active[last]])
+        there += back
+        there.reshape(steps, -1)[:] += np.tile(self.w["bias"].astype(np.float32), n)
         return there
 
     def paths(self, e: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """(windows, steps): the best tags of each window's first ``sizes`` (falling) steps by Viterbi, zeros beyond."""
-        steps, n, _ = e.shape
+        return self._follow(e.transpose(0, 2, 1).astype(np.float32, order="C"), sizes)
+
+    def _follow(self, best: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """``paths`` of scores as (steps, tags, windows), which become those of the best ways to each tag."""
+        steps, _, n = best.shape
         step = np.where(_ALLOWED, self.w["step"], -1e9).astype(np.float32)
-        best = e.transpose(0, 2, 1).astype(np.float32, order="C")
         # outside and begins follow any tag, an inside two
         free = np.concatenate([step[:, :1], step[:, 1::2]], axis=1)[:, :, None]
         begun, on = np.diag(step[1::2, 2::2])[:, None], np.diag(step[2::2, 2::2])[:, None]
@@ -461,11 +464,11 @@ def _runs(tags: np.ndarray) -> Iterator[tuple[int, int, int, int, bool]]:
     """(window, start, end, kind, whether it begins here) of each run of tags of a span."""
     flat = np.pad(tags, ((0, 0), (0, 1))).ravel()
     width = tags.shape[1] + 1
-    goes_on = (flat > 0) & (flat % 2 == 0)
-    first = flat % 2 == 1
+    inside, first = flat > 0, (flat & 1).astype(bool)
+    goes_on = inside & ~first
     first[::width] |= goes_on[::width]
-    begins, stops = np.flatnonzero(first), np.flatnonzero(~goes_on)
-    ends = stops[np.searchsorted(stops, begins, "right")]
+    # an inside follows its own kind, so runs end in the order in which they begin
+    begins, ends = np.flatnonzero(first), np.flatnonzero(inside[:-1] & ~goes_on[1:]) + 1
     rows, kinds = begins // width, (flat[begins] - 1) // 2
     return zip(rows.tolist(), (begins % width).tolist(), (ends - rows * width).tolist(), kinds.tolist(), (flat[begins] % 2 == 1).tolist(), strict=True)
 
@@ -483,12 +486,18 @@ def _read(texts: list[str], windows: list[tuple[int, int, int]], model: Tagger,
     held: list[tuple] = []
     k = 0
     while k < len(windows):
+        fit = lambda size: max(1, at_once * WINDOW // max(size, WINDOW))
         longest = windows[k][2] - windows[k][1]
-        some = windows[k : k + max(1, at_once * WINDOW // max(longest, WINDOW))]
+        some = windows[k : k + fit(longest) * DECODED]
         k += len(some)
         sizes = np.array([b - a for _, a, b in some])
-        e = model.read(_columns([classes[d][a:b] for d, a, b in some], longest), sizes)
-        tags = model.paths(e, sizes)
+        best, scores = np.zeros((longest, TAGS, len(some)), np.float32), []
+        while (r := len(scores)) < len(some):
+            few = fit(sizes[r])
+            e = model.read(_columns([classes[d][a:b] for d, a, b in some[r : r + few]], sizes[r]), sizes[r : r + few])
+            best[: sizes[r], :, r : r + few] = e.transpose(0, 2, 1)
+            scores.extend(e.transpose(1, 0, 2))
+        tags = model._follow(best, sizes)
         spans: dict[int, list[tuple[int, int, int]]] = {}
         for r, a, b, kind, begins in _runs(tags):
             d, start, end = some[r]
@@ -498,20 +507,20 @@ def _read(texts: list[str], windows: list[tuple[int, int, int]], model: Tagger,
                     wider.append((d, max(0, start + a - (end - start)), min(len(texts[d]), start + b + end - start)))
             elif begins and plausible(KINDS[kind], texts[d][start + a : start + b]):
                 spans.setdefault(r, []).append((a, b, kind))
-        held += [(some[r], e[: sizes[r], r].copy(), tags[r, : sizes[r]].copy(), own) for r, own in spans.items()]
-    # marginals of windows with such spans, some at a time
-    held.sort(key=lambda w: -len(w[1]))
-    while held:
-        part = held[: max(1, at_once * WINDOW // max(len(held[0][1]), WINDOW) // 4)]
-        held = held[len(part) :]
-        sizes = np.array([len(e) for _, e, _, _ in part])
-        e, tags = np.zeros((sizes[0], len(part), TAGS), np.float32), np.zeros((len(part), sizes[0]), np.int8)
-        for r, (_, one, path, _) in enumerate(part):
-            e[: sizes[r], r], tags[r, : sizes[r]] = one, path
-        for sure, ((d, start, _), _, _, own) in zip(model.marginals(e, tags, sizes), part, strict=True):
-            for a, b, kind in own:
-                if (p := float(sure[a:b].mean())) >= SURE:
-                    found[d].append((p * (b - a), start + a, start + b, kind))
+        held += [(some[r], scores[r][: sizes[r]].copy(), tags[r, : sizes[r]].copy(), own) for r, own in spans.items()]
+        # marginals of windows with such spans, some at a time; few wait for the next batches
+        while held and (k == len(windows) or sum(len(e) for _, e, _, _ in held) >= at_once * WINDOW):
+            held.sort(key=lambda w: -len(w[1]))
+            part = held[: max(1, at_once * WINDOW // max(len(held[0][1]), WINDOW) // 4)]
+            held = held[len(part) :]
+            sizes = np.array([len(e) for _, e, _, _ in part])
+            e, tags = np.zeros((sizes[0], len(part), TAGS), np.float32), np.zeros((len(part), sizes[0]), np.int8)
+            for r, (_, one, path, _) in enumerate(part):
+                e[: sizes[r], r], tags[r, : sizes[r]] = one, path
+            for sure, ((d, start, _), _, _, own) in zip(model.marginals(e, tags, sizes), part, strict=True):
+                for a, b, kind in own:
+                    if (p := float(sure[a:b].mean())) >= SURE:
+                        found[d].append((p * (b - a), start + a, start + b, kind))
     out: list[tuple[int, int, int]] = []
     for d, a, b in sorted(wider):
         if out and out[-1][0] == d and a <= out[-1][2]:
@@ -578,7 +587,7 @@ def find_private(docs: DataFrame, text: str = "text", model: Tagger | None = Non
     def private(column: pa.Array) -> pa.Array:
         tagger = Tagger(held.value)
         out: list[list] = []
-        for part in arrowtext.slices(pa.RecordBatch.from_arrays([column.fill_null("")], ["text"]), size=1 << 22):
+        for part in arrowtext.slices(pa.RecordBatch.from_arrays([column.fill_null("")], ["text"]), size=1 << 24):
             for spans in spans_of(part.column("text").to_pylist(), tagger):
                 out.append([{"kind": kind, "start": a, "stop": b, "base": base} for kind, a, b, base in spans])
         return pa.array(out, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("base", pa.bool_())])))
