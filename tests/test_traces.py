@@ -230,6 +230,24 @@ def test_ties_and_several_recordings(spark):
     assert propagation.delay_r2(both, propagation.line_fit(both, ("recording",)), ("recording",)).count() == 2
 
 
+def test_halves_round_as_in_the_sql(spark, tmp_path):
+    """Two delays whose seventh decimal is a 5 that subtraction leaves inexact."""
+    import datetime
+
+    import duckdb
+
+    from wavelake.jobs import queries
+
+    crossings = {1464: (3, 0.89, 344.45, 93.5, 197.5), 4206: (11, 1.04, 277.19, 59.51, 152.31), 555: (6, 0.35, 262.34, 17.98, 144.38), 5807: (10, 0.02, 331.46, 2.93, 175.73)}
+    values = [(user, v) for user, (t, low, high, before, raw) in crossings.items() for v in [low] * (t - 1) + [before, raw, high]]
+    rows = [(k, datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=k), user, v) for k, (user, v) in enumerate(values)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(map(tuple, queries.QUERIES["propagation_pairwise"](spark, str(tmp_path)).collect()))
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+        assert got == sorted(db.execute(queries.ORACLE_SQL["propagation_pairwise"]).fetchall())
+
+
 def test_one_long_trace_spreads_over_tasks(spark):
     """A trace of 300,000 samples in blocks: as many groups, and the same values at their edges."""
     n = 300_000
