@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from wavelake.functions import align
 from wavelake.operators import kymograph, motion, movie, regions, traces
 from wavelake.session import Recording, register_analysis
-from wavelake.sources import tiff
+from wavelake.sources import tables, tiff
 from wavelake.streaming import live
 
 
@@ -287,6 +287,20 @@ def test_leaves_move_on_their_own(spark):
     assert steady[1][0, 0] == images[1][0, 0]
 
 
+def noise_views(seed, dy, dx):
+    """Two windows of 48 x 48 on smoothed noise, whose content moves by whole pixels, farther than its own grain."""
+    image = tables._smoothed(np.random.default_rng(seed).normal(0, 1, (64, 64)))
+    return image[8:56, 8:56], image[8 - dy : 56 - dy, 8 - dx : 56 - dx]
+
+
+def test_small_boxes_that_move_far(spark):
+    """A box without coarser levels, where the steps from no motion end in a minimum nearby."""
+    leaves = spark.createDataFrame([(0, 2, 24, 2, 46)], "leaf_id int, y0 int, y1 int, x0 int, x1 int")
+    for seed in (1, 6, 8):
+        found = motion.register_leaves(frames(spark, noise_views(seed, 3, -5)), leaves, "first", "translation").where("t = 1").first()
+        assert (found.m[5], found.m[2]) == pytest.approx((3, -5), abs=0.01)
+
+
 def test_recording_facade(spark):
     yy, xx = np.mgrid[0:20, 0:30]
     stack = np.stack([np.where(t >= 5 + np.round(xx / 2), 30.0, 10.0) for t in range(40)])
