@@ -301,6 +301,12 @@ def test_small_boxes_that_move_far(spark):
         assert (found.m[5], found.m[2]) == pytest.approx((3, -5), abs=0.01)
 
 
+@pytest.mark.parametrize("seed", [7, 11, 19])
+def test_affine_steps_find_far_shifts(spark, seed):
+    found = motion.register(frames(spark, noise_views(seed, 4, -6)), "first", "affine").where("t = 1").first()
+    assert np.allclose(np.reshape(found.m, (3, 3)), [[1, 0, -6], [0, 1, 4], [0, 0, 1]], atol=1e-3)
+
+
 def test_recording_facade(spark):
     yy, xx = np.mgrid[0:20, 0:30]
     stack = np.stack([np.where(t >= 5 + np.round(xx / 2), 30.0, 10.0) for t in range(40)])
