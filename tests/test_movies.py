@@ -307,6 +307,14 @@ def test_affine_steps_find_far_shifts(spark, seed):
     assert np.allclose(np.reshape(found.m, (3, 3)), [[1, 0, -6], [0, 1, 4], [0, 0, 1]], atol=1e-3)
 
 
+def test_stabilised_frames_that_moved_far_are_still(spark):
+    images = noise_views(11, 4, -6)
+    f = frames(spark, images)
+    steady = motion.stabilise(f, motion.register(f, "first", "affine")).where("t = 1").first().px
+    inner = (slice(8, 40),) * 2
+    assert ((np.reshape(steady, (48, 48)) - images[0])[inner] ** 2).mean() < 0.1 * ((images[1] - images[0])[inner] ** 2).mean()
+
+
 def test_recording_facade(spark):
     yy, xx = np.mgrid[0:20, 0:30]
     stack = np.stack([np.where(t >= 5 + np.round(xx / 2), 30.0, 10.0) for t in range(40)])
