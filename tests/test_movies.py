@@ -315,6 +315,23 @@ def test_stabilised_frames_that_moved_far_are_still(spark):
     assert ((np.reshape(steady, (48, 48)) - images[0])[inner] ** 2).mean() < 0.1 * ((images[1] - images[0])[inner] ** 2).mean()
 
 
+def mapped_views(seed, linear, shift):
+    """A window of 48 x 48 on smoothed noise, and its content mapped about its centre to parts of a pixel."""
+    image = tables._smoothed(np.random.default_rng(seed).normal(0, 1, (64, 64)))
+    yy, xx = (v.ravel() for v in np.mgrid[0:48, 0:48].astype(float))
+    x, y = np.linalg.solve(linear, np.stack([xx, yy]) - 23.5 - np.reshape(shift, (2, 1))) + 23.5
+    return image[8:56, 8:56], align.sample(align.spline_coefficients(image), y + 8, x + 8).reshape(48, 48)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_the_rim_of_a_window_does_not_turn_it(spark, seed):
+    """What a frame's border pixels are interpolated from lies outside of it; angles to a two-hundredth of a degree all the same."""
+    c, s = np.cos(np.radians(1.5)), np.sin(np.radians(1.5))
+    m = np.reshape(motion.register(frames(spark, mapped_views(seed, [[c, -s], [s, c]], (0.25, -0.5))), "first", "rigid_body").where("t = 1").first().m, (3, 3))
+    assert (m @ [23.5, 23.5, 1])[:2] == pytest.approx([23.75, 23.0], abs=0.002)
+    assert np.degrees(np.arctan2(m[1, 0], m[0, 0])) == pytest.approx(1.5, abs=0.005)
+
+
 def test_recording_facade(spark):
     yy, xx = np.mgrid[0:20, 0:30]
     stack = np.stack([np.where(t >= 5 + np.round(xx / 2), 30.0, 10.0) for t in range(40)])
