@@ -332,6 +332,14 @@ def test_the_rim_of_a_window_does_not_turn_it(spark, seed):
     assert np.degrees(np.arctan2(m[1, 0], m[0, 0])) == pytest.approx(1.5, abs=0.005)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_the_rim_of_a_window_does_not_stretch_it(spark, seed):
+    linear = [[1.04, 0.04], [0, 1]]
+    m = np.reshape(motion.register(frames(spark, mapped_views(seed, linear, (-0.5, 0.5))), "first", "affine").where("t = 1").first().m, (3, 3))
+    assert (m @ [23.5, 23.5, 1])[:2] == pytest.approx([23.0, 24.0], abs=0.002)
+    assert np.allclose(m[:2, :2], linear, atol=5e-4)
+
+
 def test_recording_facade(spark):
     yy, xx = np.mgrid[0:20, 0:30]
     stack = np.stack([np.where(t >= 5 + np.round(xx / 2), 30.0, 10.0) for t in range(40)])
