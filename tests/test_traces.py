@@ -248,6 +248,17 @@ def test_halves_round_as_in_the_sql(spark, tmp_path):
         assert got == sorted(db.execute(queries.ORACLE_SQL["propagation_pairwise"]).fetchall())
 
 
+def test_pairs_of_many_regions_come_from_a_written_table(spark):
+    """However the regions were found, their pairs read them from a table and are listed by several tasks."""
+    n = 3000
+    found = spark.range(n, numPartitions=1).select(F.col("id").alias("roi_id"), (F.col("id") % 7).cast("double").alias("onset"), F.floor(F.col("id") / 15).cast("double").alias("cy"), F.pmod("id", F.lit(15)).cast("double").alias("cx"))
+    pairs = propagation.pairwise_speeds(found)
+    assert pairs.inputFiles() and all("/points/" in f for f in pairs.inputFiles())
+    assert pairs.rdd.getNumPartitions() >= n * n // propagation.PAIRS_TOGETHER
+    assert pairs.count() == n * (n - 1) // 2
+    assert propagation.pairwise_speeds(found.where("roi_id < 0")).count() == 0
+
+
 def test_one_long_trace_spreads_over_tasks(spark):
     """A trace of 300,000 samples in blocks: as many groups, and the same values at their edges."""
     n = 300_000
